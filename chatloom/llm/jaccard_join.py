@@ -225,7 +225,7 @@ def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     x = post.where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("cls", "part", "size", "root")])
     y = post.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("cls", "part", "size", "root", "main")])
     fits = (F.lit(den) * F.least("x_size", "y_size") >= F.lit(num) * F.greatest("x_size", "y_size")) & (F.col("x_part") != F.col("y_part")) & (F.col("x_root") != F.col("y_root"))
-    pairs = x.join(y, "gram").where(fits & ((F.col("y_root") == F.col("main")) | (F.col("x_cls") < F.col("y_cls")))).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
+    pairs = x.join(y, "gram").where(fits & ((F.col("y_root") == F.col("y_main")) | (F.col("x_cls") < F.col("y_cls")))).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
     side = lambda k: alive.select(F.col("cls").alias(k), F.col("size").alias(f"{k}_size"), F.col("grams").alias(f"{k}_grams"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
