@@ -31,7 +31,9 @@ from chatloom.llm.store import kept
 
 NUM, DEN = 75, 100
 #: Bounds of a task: n-grams of a block of the incidence matrix, and entries of the rows multiplied at once.
-BLOCK_GRAMS, BLOCK_ENTRIES, EMIT = 3_000_000, 300_000, 1_500_000
+BLOCK_GRAMS, BLOCK_ENTRIES = 3_000_000, 300_000
+#: A task sends the matrix on after so many entries or texts; a chunk has at most CHUNK texts more, so a place fits in 16 bits.
+EMIT, EMIT_ROWS = 1_500_000, 30_000
 
 
 def class_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
         bounds = np.searchsorted(block_of(grams, blocks), np.arange(blocks + 1))
         some = np.flatnonzero(np.diff(bounds))
         whole = lambda x: pa.array([x.tobytes()] * len(some), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(some), whole(keys), whole(sizes[first].astype(np.int32)), binaries(at.astype(np.int32), bounds).take(pa.array(some)), binaries(grams, bounds).take(pa.array(some))], names=["block", "classes", "sizes", "at", "grams"])
+        return pa.RecordBatch.from_arrays([pa.array(some), whole(keys), whole(sizes[first].astype(np.int32)), binaries(at.astype(np.uint16), bounds).take(pa.array(some)), binaries(grams, bounds).take(pa.array(some))], names=["block", "classes", "sizes", "at", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, keys, sizes, total, docs_so_far = [], [], [], 0, 0
@@ -74,7 +76,7 @@ def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
                 keys.append(class_keys(grams, bounds))
                 sizes.append(np.diff(bounds))
                 total, docs_so_far = total + len(grams), docs_so_far + hi - lo
-                if total >= EMIT:
+                if total >= EMIT or docs_so_far >= EMIT_ROWS:
                     yield packed(parts, np.concatenate(keys), np.concatenate(sizes))
                     parts, keys, sizes, total, docs_so_far = [], [], [], 0, 0
         if total:
@@ -87,11 +89,11 @@ def block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
     return ((grams >> U(40)) * U(blocks)) >> U(24)
 
 
-def shared(table: pa.Table) -> pa.Table:
-    """Of one block, each class with those of its n-grams that two or more classes have, and in how many."""
+def shared(table: pa.Table, buckets: int) -> pa.Table:
+    """Of one block, the n-grams that two or more classes have and in how many, packed by buckets of classes."""
     cls, size, gram = [], [], []
     for classes, sizes, at, grams in zip(*(table.column(k).to_pylist() for k in ("classes", "sizes", "at", "grams")), strict=True):
-        at = np.frombuffer(at, dtype=np.int32)
+        at = np.frombuffer(at, dtype=np.uint16)
         cls.append(np.frombuffer(classes, dtype=np.int64)[at])
         size.append(np.frombuffer(sizes, dtype=np.int32)[at])
         gram.append(np.frombuffer(grams, dtype=U))
@@ -110,29 +112,37 @@ def shared(table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
     df = np.repeat(np.diff(np.append(begin, len(g))), np.diff(np.append(begin, len(g))))
     order, g, df = order[df > 1], g[df > 1], df[df > 1]
-    by = np.argsort(cls[order], kind="stable")
-    c, s, g, df = cls[order][by], size[order][by], g[by], df[by]
+    cls, size = cls[order], size[order]
+    bucket = cls % buckets
+    by = np.lexsort((cls, bucket))
+    c, s, g, df, bucket = cls[by], size[by], g[by], np.minimum(df[by], 65535).astype(np.uint16), bucket[by]
     begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
-    bounds = np.append(begin, len(c))
-    return pa.table({"cls": c[begin], "size": s[begin].astype(np.int64), "grams": binaries(g, bounds), "dfs": binaries(np.minimum(df, 65535).astype(np.uint16), bounds)})
-
-
-def survivors(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Classes (cls, size, grams, dfs as lists of pieces) that may have a link: cls, size, entries, grams (sorted), prefix."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for cls, size, grams, dfs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                need = -(-num * size // den)
-                g = np.frombuffer(b"".join(grams), dtype=U)
-                if len(g) < need:
-                    continue
-                order = np.lexsort((g, np.frombuffer(b"".join(dfs), dtype=np.uint16)))
-                out.append((cls, size, len(g), np.sort(g).tobytes(), g[order[: len(g) - need + 1]].view(np.int64)))  # those in no other class come first and are not here
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["cls", "size", "entries", "grams", "prefix"])
-
-    return rows.mapInArrow(run, "cls long, size long, entries long, grams binary, prefix array<long>")
+    count = np.diff(np.append(begin, len(c))).astype(np.int32)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
+    entries, classes = np.append(first, len(c)), np.searchsorted(begin, np.append(first, len(c)))
+    return pa.table({"bucket": bucket[first], "classes": binaries(c[begin], classes), "sizes": binaries(s[begin].astype(np.int32), classes), "counts": binaries(count, classes), "grams": binaries(g, entries), "dfs": binaries(df, entries)})
+
+
+def survivors(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Of one bucket of classes, those that may have a link: cls, size, entries, grams (sorted), prefix (rarest first)."""
+    cat = lambda k, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(k).to_pylist()])
+    count, g, df = cat("counts", np.int32), cat("grams", U), cat("dfs", np.uint16)
+    cls, size = np.repeat(cat("classes", np.int64), count), np.repeat(cat("sizes", np.int32).astype(np.int64), count)
+    order = np.lexsort((g, df, cls))
+    cls, size, g = cls[order], size[order], g[order]
+    begin = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+    entries = np.diff(np.append(begin, len(cls)))
+    need = -(-num * size[begin] // den)
+    live = entries >= need
+    kept_row = np.repeat(live, entries)
+    spare = np.repeat(entries - need + 1, entries)  # n-grams of no other class come first in the order and are not here
+    prefix = g[kept_row & (np.arange(len(g)) - np.repeat(begin, entries) < spare)].view(np.int64)
+    by = np.lexsort((g, cls))
+    grams = g[by][kept_row]
+    begin, entries, need = begin[live], entries[live], need[live]
+    ends = lambda n: np.append(0, np.cumsum(n))
+    lists = pa.ListArray.from_arrays(pa.array(ends(entries - need + 1).astype(np.int32)), pa.array(prefix))
+    return pa.table({"cls": cls[begin], "size": size[begin], "entries": entries, "grams": binaries(grams, ends(entries)), "prefix": lists})
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -219,7 +229,7 @@ def block_links(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
 
 def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes of different parts and roots, exactly: candidates share a prefix n-gram and fit in size."""
-    post = alive.select("cls", "grp", "part", "size", F.explode("prefix").alias("gram")).join(labels.select("cls", "root"), "cls")
+    post = kept(alive.select("cls", "part", "size", F.explode("prefix").alias("gram")).join(labels, "cls"), "postings")
     by_root = post.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("roots"))
     post = post.join(by_root.where("roots > 1").drop("roots"), "gram")
     x = post.where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("cls", "part", "size", "root")])
@@ -238,20 +248,20 @@ def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_grams", "b_grams").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = DEN) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = DEN, block_grams: int = BLOCK_GRAMS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """docs (id, text) as id, n_shingles, class_id (least id of those with the same set), component_id (least id that links reach). One row for each of docs' rows."""
     own = kept(sets(docs, n), "sets")
     total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
-    blocks = max(1, min(1 << 20, -(-total // BLOCK_GRAMS)))
-    parts = incidence(docs, n, blocks).groupBy("block").applyInArrow(shared, "cls long, size long, grams binary, dfs binary")
-    rows = parts.groupBy("cls").agg(F.max("size").alias("size"), F.collect_list("grams").alias("grams"), F.collect_list("dfs").alias("dfs"))
-    alive = kept(survivors(rows, num, den), "survivors")
+    blocks = max(1, min(1 << 20, -(-total // block_grams)))
+    parts = incidence(docs, n, blocks).groupBy("block").applyInArrow(lambda t: shared(t, blocks), "bucket long, classes binary, sizes binary, counts binary, grams binary, dfs binary")
+    alive = parts.groupBy("bucket").applyInArrow(lambda t: survivors(t, num, den), "cls long, size long, entries long, grams binary, prefix array<long>")
+    alive = kept(alive, "survivors")
     post = alive.select("cls", F.explode("prefix").alias("gram"))
     least = post.groupBy("gram").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = components(post.join(least, "gram").where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")))
     weights = alive.select("cls", "entries").join(groups, F.col("cls") == F.col("node")).groupBy(F.col("root").alias("grp")).agg(F.sum("entries").alias("weight"))
-    weights = kept(weights.withColumn("parts", F.ceil(F.col("weight") / BLOCK_ENTRIES)), "weights")
-    tasks = max(1, int((weights.agg(F.sum("weight")).head()[0] or 0) // (4 * BLOCK_ENTRIES)) + 1)
+    weights = kept(weights.withColumn("parts", F.ceil(F.col("weight") / block_entries)), "weights")
+    tasks = max(1, int((weights.agg(F.sum("weight")).head()[0] or 0) // (4 * block_entries)) + 1)
     alive = alive.join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls").join(weights, "grp")
     alive = kept(alive.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))), "grouped")
     found = kept(block_links(alive.select("cls", "grp", "part", "size", "grams"), num, den, tasks), "links")
@@ -262,7 +272,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
             block_links(heads.select("cls", "grp", F.pmod(F.xxhash64(F.lit(1), "cls"), F.ceil(F.col("parts") / 16)).alias("part"), "size", "grams"), num, den, tasks).select(F.col("cls").alias("a"), F.col("root").alias("b"))), "merged")
         so_far = components(merged)
         labels = several.select("cls").join(so_far, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
-        merged = merged.unionByName(cross_links(several, labels, num, den))
+        merged = merged.unionByName(cross_links(several, kept(labels, "labels"), num, den))
     else:
         merged = found.select(F.col("cls").alias("a"), F.col("root").alias("b"))
     roots = components(merged)
