@@ -229,12 +229,15 @@ def block_links(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
 
 def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes of different parts and roots, exactly: candidates share a prefix n-gram and fit in size."""
-    post = kept(alive.select("cls", "part", "size", F.explode("prefix").alias("gram")).join(labels, "cls"), "postings")
+    post = alive.select("cls", "part", "size", (F.col("size") - F.col("entries")).alias("before"), F.posexplode("prefix").alias("pos", "gram"))
+    post = kept(post.select("cls", "part", "size", (F.col("size") - F.col("before") - F.col("pos")).alias("left"), "gram").join(labels, "cls"), "postings")
     by_root = post.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("roots"))
     post = post.join(by_root.where("roots > 1").drop("roots"), "gram")
-    x = post.where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("cls", "part", "size", "root")])
-    y = post.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("cls", "part", "size", "root", "main")])
-    fits = (F.lit(den) * F.least("x_size", "y_size") >= F.lit(num) * F.greatest("x_size", "y_size")) & (F.col("x_part") != F.col("y_part")) & (F.col("x_root") != F.col("y_root"))
+    x = post.where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("cls", "part", "size", "left", "root")])
+    y = post.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("cls", "part", "size", "left", "root", "main")])
+    # linked classes have their first shared n-gram in both prefixes, and from there on all that they share
+    reach = F.lit(num + den) * F.least("x_left", "y_left") >= F.lit(num) * (F.col("x_size") + F.col("y_size"))
+    fits = reach & (F.lit(den) * F.least("x_size", "y_size") >= F.lit(num) * F.greatest("x_size", "y_size")) & (F.col("x_part") != F.col("y_part")) & (F.col("x_root") != F.col("y_root"))
     pairs = x.join(y, "gram").where(fits & ((F.col("y_root") == F.col("y_main")) | (F.col("x_cls") < F.col("y_cls")))).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct()
     side = lambda k: alive.select(F.col("cls").alias(k), F.col("size").alias(f"{k}_size"), F.col("grams").alias(f"{k}_grams"))
 
