@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
 Features are words and their first five bytes. Of the labelled examples (at most `per_class` of each label, the lowest by a hash of
-their id) those features are kept that stand in toxic examples significantly more often (log-likelihood ratio), at most `features`
+their id; of near copies, which share a minimum of hashed word 5-grams, one of each label) those features are kept that stand in toxic examples significantly more often (log-likelihood ratio), at most `features`
 of them; document frequencies then are counted over all documents. Examples are cut in blocks; the index keeps each feature's
 postings and its largest weight in every block, which bounds what any example of a block can score, so whole blocks are passed over
 without losing one of the k nearest. The k nearest vote with weights that fall with the distance; a logistic curve, fitted on the
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.kernel import U, Lookup, Words, binaries, chunks
+from chatloom.llm.kernel import U, Lookup, Words, binaries, chunks, mix, shingle_sets
 
 BLOCK, K, PREFIX = 64, 15, 5
 
@@ -150,19 +150,49 @@ def packed(rows: DataFrame) -> DataFrame:
             for lo, hi, w in chunks(batch.column(2)):
                 doc, feature, tf = counted(*features_of(w))
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], binaries(feature, bounds), binaries(tf.astype(np.int32), bounds)], names=["id", "toxic", "feature", "tf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], binaries(feature, bounds), binaries(tf.astype(np.int32), bounds), minima(w)], names=["id", "toxic", "feature", "tf", "minima"])
 
-    return rows.mapInArrow(run, "id long, toxic int, feature binary, tf binary")
+    return rows.mapInArrow(run, "id long, toxic int, feature binary, tf binary, minima binary")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, features: int = 4096, significance: float = 12.0) -> Model:
+def minima(w: Words, hashes: int = 4) -> pa.Array:
+    """For each text the least of its 5-grams under each of several hashes, nothing for a text without words."""
+    grams, bounds = shingle_sets(w, 5)
+    some = np.flatnonzero(np.diff(bounds))
+    least = np.stack([np.minimum.reduceat(mix(grams ^ U(k + 1)), bounds[some]) for k in range(hashes)], axis=1) if len(some) else np.zeros((0, hashes), dtype=U)
+    ends = np.zeros(len(bounds), dtype=np.int64)
+    ends[some + 1] = hashes
+    return binaries(least.ravel(), np.cumsum(ends))
+
+
+def distinct(rows: list) -> list:
+    """Of rows that share a minimum, directly or over others, the first of each label."""
+    root, seen = list(range(len(rows))), {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, r in enumerate(rows):
+        for key in enumerate(np.frombuffer(r.minima, dtype=U).tolist()):
+            j = find(seen.setdefault(key, i))
+            root[max(j, find(i))] = min(j, find(i))
+    first = {}
+    for i, r in enumerate(rows):
+        first.setdefault((find(i), r.toxic), r)
+    return list(first.values())
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, features: int = 4096, significance: float = 30.0) -> Model:
     """docs: (id, text); labels: (id, toxic), only those to learn from. Bounded: 2 * per_class examples and `features` counts come to the driver."""
     labels = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
     some = labels.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
     shares = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     rows = docs.join(F.broadcast(some), "id").select("id", "toxic", "text")  # at most 2 * per_class ids
-    got = packed(rows).dropDuplicates(["id"]).orderBy("id").collect()
+    got = distinct(packed(rows).dropDuplicates(["id"]).orderBy("id").collect())
     total = sum(shares.values())
     empty = Model(Lookup(np.zeros(0, dtype=U)), np.zeros(0), np.zeros(0), [], shares.get(1, 0) / total if total else 0.0)
     y = np.array([r.toxic for r in got], dtype=np.int64)
