@@ -9,8 +9,9 @@ link when den * |A & B| >= num * |A | B|. The product is never formed as a whole
    candidate groups.
 3. Within a group (cut in blocks of bounded weight) the product of the block's rows with their transpose gives overlap counts;
    pairs below the bound of their sizes are discarded, and only the groups that the links make leave the task.
-4. Where a group had several blocks, representatives of what the blocks found are multiplied, then every pair from different blocks
-   that is still apart, shares a prefix n-gram and fits in size is counted. So no link is lost, and copies are not expanded.
+4. Where a group had several blocks, representatives of what the blocks found are multiplied. Of what is still apart, classes that
+   share a rare prefix n-gram are paired by it. Around frequent ones, the classes outside the largest group so far are multiplied,
+   in blocks of near sizes, with all. So no link is lost, and copies are not expanded.
 
 Null, empty and wordless texts have an empty set and link with nothing. Rows with one id are one document. n-grams are compared by
 64-bit hashes.
@@ -34,6 +35,8 @@ NUM, DEN = 75, 100
 BLOCK_GRAMS, BLOCK_ENTRIES = 3_000_000, 300_000
 #: A task sends the matrix on after so many entries or texts; a chunk has at most CHUNK texts more, so a place fits in 16 bits.
 EMIT, EMIT_ROWS = 1_500_000, 30_000
+#: Classes across blocks are paired by an n-gram that so many of them have at most in their prefixes; more are multiplied in blocks.
+RARE = 16
 
 
 def class_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -149,8 +152,11 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int)
     return (inter > 0) & (den * inter >= num * (a + b - inter))
 
 
-def product_roots(size: np.ndarray, grams: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For rows of the incidence matrix, the first row of each one's group under the links that the product shows."""
+def product_roots(size: np.ndarray, grams: list[np.ndarray], num: int, den: int, rows: int | None = None) -> np.ndarray:
+    """For rows of the incidence matrix, the first row of each one's group under the links that the product shows.
+
+    With `rows`, only so many first rows are multiplied with all.
+    """
     n = len(size)
     root = np.arange(n)
     if n < 2:
@@ -175,8 +181,9 @@ def product_roots(size: np.ndarray, grams: list[np.ndarray], num: int, den: int)
         whole = np.zeros((n, len(df)), dtype=np.float32)
         whole[row, col] = 1
     step = max(1, min(256, (1 << 24) // n))
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
+    rows = n if rows is None else rows
+    for lo in range(0, rows, step):
+        hi = min(rows, lo + step)
         if wide:
             inter = (whole[lo:hi] @ whole.T).astype(np.int64)
         else:
@@ -212,27 +219,28 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
 
 
 def block_links(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
-    """Products within each (grp, part) of rows (cls, grp, part, size, grams): (cls, root)."""
+    """Products within each (grp, part) of rows (cls, grp, part, size, grams): (cls, root). With a column `mine`, of rows that have it true with all."""
+    some = "mine" in rows.columns
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("grp", "ascending"), ("part", "ascending"), ("size", "ascending"), ("cls", "ascending")])
+        first = [("mine", "descending")] if some else []
+        table = table.sort_by([("grp", "ascending"), ("part", "ascending"), *first, ("size", "ascending"), ("cls", "ascending")])
         grp, part, cls, size = (table.column(k).to_numpy() for k in ("grp", "part", "cls", "size"))
+        mine = table.column("mine").to_numpy() if some else np.ones(len(cls), dtype=bool)
         grams = table.column("grams").combine_chunks() if table.num_rows else table.column("grams")
         new = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])]))
         out = np.empty(len(cls), dtype=np.int64)
         for lo, hi in zip(new, np.append(new[1:], len(cls)), strict=True):
-            out[lo:hi] = cls[lo + product_roots(size[lo:hi], [np.frombuffer(g.as_buffer(), dtype=U) for g in grams[int(lo) : int(hi)]], num, den)]
+            block = [np.frombuffer(g.as_buffer(), dtype=U) for g in grams[int(lo) : int(hi)]]
+            out[lo:hi] = cls[lo + product_roots(size[lo:hi], block, num, den, int(mine[lo:hi].sum()))]
         return pa.table({"cls": cls, "root": out})
 
     keyed = rows.withColumn("task", F.pmod(F.xxhash64("grp", "part"), F.lit(tasks)))
     return keyed.groupBy("task").applyInArrow(run, "cls long, root long")
 
 
-def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes of different parts and roots, exactly: candidates share a prefix n-gram and fit in size."""
-    post = alive.select("cls", "part", "size", (F.col("size") - F.col("entries")).alias("before"), F.posexplode("prefix").alias("pos", "gram"))
-    post = kept(post.select("cls", "part", "size", (F.col("size") - F.col("before") - F.col("pos")).alias("left"), "gram").join(labels, "cls"), "postings")
-    by_root = post.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("roots"))
-    post = post.join(by_root.where("roots > 1").drop("roots"), "gram")
+def rare_links(alive: DataFrame, post: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between classes of different parts and roots that share a gram of post (cls, part, size, left, gram, root, main)."""
     x = post.where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("cls", "part", "size", "left", "root")])
     y = post.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("cls", "part", "size", "left", "root", "main")])
     # linked classes have their first shared n-gram in both prefixes, and from there on all that they share
@@ -251,6 +259,40 @@ def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_grams", "b_grams").mapInArrow(run, "a long, b long")
 
 
+def frequent_links(alive: DataFrame, post: DataFrame, labels: DataFrame, num: int, den: int, block_entries: int) -> DataFrame:
+    """Links (a, b) between classes of different roots that share a gram of post (cls, gram), by products of blocks.
+
+    Classes whose sizes may link are one step of den / num apart at most, so steps are blocked apart.
+    """
+    least = post.groupBy("gram").agg(F.min("cls").alias("least"))
+    groups = components(post.join(least, "gram").where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")))
+    step = F.col("size") if num >= den else F.floor(F.log("size") / float(np.log(den / num)) + 1e-9)
+    rows = groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(labels, "cls").join(alive.select("cls", "size", "entries"), "cls")
+    rows = kept(rows.withColumn("step", step.cast("long")), "frequent")
+    main = rows.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
+    x = rows.join(main, "grp").where("root <> main").select("cls", "grp", "size", "entries", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    parts = lambda side, name: side.groupBy("grp", "step").agg(F.sum("entries").alias(f"{name}_entries"), F.ceil(F.sum("entries") / block_entries).alias(name))
+    blocks = kept(parts(x, "xs").join(parts(rows, "ys"), ["grp", "step"]), "blocks")
+    tasks = max(1, int((blocks.agg(F.sum(F.expr("xs_entries * ys + ys_entries * xs"))).head()[0] or 0) // (4 * block_entries)) + 1)
+    spread = lambda side, own, other, mine: (
+        side.join(blocks, ["grp", "step"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        .select("cls", "grp", F.xxhash64("step", *(("own", "other") if mine else ("other", "own"))).alias("part"), F.lit(mine).alias("mine"))
+    )
+    dealt = spread(x, "xs", "ys", True).unionByName(spread(rows, "ys", "xs", False))
+    found = block_links(dealt.join(alive.select("cls", "size", "grams"), "cls"), num, den, tasks)
+    return found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
+
+
+def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int, block_entries: int) -> DataFrame:
+    """Links (a, b) between classes of different parts and roots, exactly: candidates share a prefix n-gram and fit in size."""
+    post = alive.select("cls", "part", "size", (F.col("size") - F.col("entries")).alias("before"), F.posexplode("prefix").alias("pos", "gram"))
+    post = kept(post.select("cls", "part", "size", (F.col("size") - F.col("before") - F.col("pos")).alias("left"), "gram").join(labels, "cls"), "postings")
+    by_gram = post.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).getField("root").alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"))
+    by_gram = kept(by_gram.where("roots > 1").drop("roots"), "by_gram")
+    rare = rare_links(alive, post.join(by_gram.where(F.col("n") <= RARE), "gram"), num, den)
+    return rare.unionByName(frequent_links(alive, post.join(by_gram.where(F.col("n") > RARE), "gram").select("cls", "gram"), labels, num, den, block_entries))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = DEN, block_grams: int = BLOCK_GRAMS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """docs (id, text) as id, n_shingles, class_id (least id of those with the same set), component_id (least id that links reach). One row for each of docs' rows."""
     own = kept(sets(docs, n), "sets")
@@ -275,7 +317,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
             block_links(heads.select("cls", "grp", F.pmod(F.xxhash64(F.lit(1), "cls"), F.ceil(F.col("parts") / 16)).alias("part"), "size", "grams"), num, den, tasks).select(F.col("cls").alias("a"), F.col("root").alias("b"))), "merged")
         so_far = components(merged)
         labels = several.select("cls").join(so_far, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
-        merged = merged.unionByName(cross_links(several, kept(labels, "labels"), num, den))
+        merged = merged.unionByName(cross_links(several, kept(labels, "labels"), num, den, block_entries))
     else:
         merged = found.select(F.col("cls").alias("a"), F.col("root").alias("b"))
     roots = components(merged)

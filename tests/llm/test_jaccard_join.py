@@ -23,6 +23,16 @@ def test_groups_that_are_cut_in_blocks(spark):
     assert got(spark, rows, block_grams=500, block_entries=150) == plain.jaccard(rows)
 
 
+@pytest.mark.parametrize("rare", [0, 2, 1000])
+def test_links_across_blocks_by_rare_and_by_frequent_ngrams(spark, monkeypatch, rare):
+    monkeypatch.setattr(J, "RARE", rare)
+    rng = random.Random(rare)
+    core = [f"c{k}" for k in range(60)]
+    rows = [(k, " ".join(core[: rng.randrange(40, 60)] + [f"n{rng.random()}" for _ in range(rng.randrange(0, 25))])) for k in range(90)]
+    assert len({c for _, _, c in plain.jaccard(rows)}) > 1
+    assert got(spark, rows, block_entries=200) == plain.jaccard(rows)
+
+
 def test_a_chain_whose_ends_are_not_linked(spark):
     rng = random.Random(3)
     base = [f"a{k}" for k in range(40)]
