@@ -11,19 +11,26 @@ from chatloom.llm.store import kept
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a long, b long): equal roots mark one component.
 
-    Each round every node joins the neighbour (or itself) of least random rank, drawn anew by round; the edges between the joined
-    groups make the next, geometrically smaller round. A node with many neighbours only takes a minimum.
+    Each round every node joins the neighbour (or itself) of least rank; the edges between the joined groups make the next, smaller
+    round. Ranks are drawn anew in every odd round, so the rounds shrink geometrically on any graph; in even rounds they are the ids,
+    so that stars around their least id, as joins by a shared key make them, vanish at once and not by halves. A node with many
+    neighbours only takes a minimum. What each round joined is put together once, at the end.
     """
-    labels, turn = None, 0
+    rounds = []
     edges = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while edges.head(1):
+        turn = len(rounds)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("rank"), F.col(c).alias("of"))  # noqa: B023, E731
+        drawn = lambda c: F.xxhash64(F.lit(turn), F.col(c)) if turn % 2 else F.col(c)  # noqa: B023, E731
+        rank = lambda c: F.struct(drawn(c).alias("rank"), F.col(c).alias("of"))  # noqa: B023, E731
         joined = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("best"))
         joined = kept(joined.select("node", F.least(rank("node"), "best").getField("of").alias("root")), "joined")
-        to = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        labels = joined if labels is None else kept(labels.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
         moved = edges.join(joined.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(joined.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = kept(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        turn += 1
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
+        rounds.append(joined)
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = rounds.pop()
+    for joined in reversed(rounds):
+        labels = joined.join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return kept(labels, "labels")
