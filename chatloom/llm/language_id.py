@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from chatloom.llm.kernel import segment_sum
 
 CHARS, ROWS = 1 << 20, 16_384
+#: A language's rows are ranked in so many parts first.
+SALTS = 64
 UND = "und"
 
 
@@ -108,11 +110,18 @@ class Profiles:
         return best, np.clip(score, 0, 1)
 
 
+def least(rows: DataFrame, order: list, salt: Column, n: int) -> DataFrame:
+    """The first n rows of each lang in that order, with their rank; first of each of SALTS parts, so that no task takes a whole lang."""
+    parts = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
+    for keys in (["lang", "_salt"], ["lang"]):
+        parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    return parts.drop("_salt")
+
+
 def learn(labelled: DataFrame, per_language: int = 2000, length: int = 300) -> Profiles:
     """Profiles from rows (id, text, lang) whose lang isn't null. What comes to the driver is `length` rows a language."""
     rows = labelled.where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    some = rows.select("id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("id").distinct()
+    some = least(rows.select("id", "lang", F.xxhash64("id").alias("_hash")), ["_hash", "id"], F.col("_hash"), per_language).select("id").distinct()
     rows = rows.join(F.broadcast(some), "id", "left_semi").select("lang", "text")  # at most per_language ids a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +136,7 @@ def learn(labelled: DataFrame, per_language: int = 2000, length: int = 300) -> P
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keys >> 48], pa.string()), pa.array(keys & ((1 << 48) - 1)), pa.array(np.bincount(at, n, len(keys)).astype(np.int64))], names=["lang", "gram", "n"])
 
     grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = grams.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= length).select("lang", "gram", "rank").collect()
+    top = least(grams, [F.desc("n"), "gram"], F.xxhash64("gram"), length).select("lang", "gram", "rank").collect()
     languages, all_grams = sorted({r.lang for r in top}), np.array(sorted({r.gram for r in top}), dtype=np.int64)
     ranks = np.full((len(all_grams), len(languages)), length, dtype=np.int32)
     for r in top:
