@@ -2,9 +2,11 @@
 
 Words come in vocabulary order of their counts over all training texts; the network predicts the `vocabulary` most frequent ones,
 the end of the text, and one symbol for all other words, whose own share comes from their counts plus one. The softmax first
-predicts a word's class, then the word in its class. Training runs truncated backpropagation through windows of `steps` words over
-a bounded sample of texts (`sample`, lowest by a hash of their id); scoring carries the state through all windows of a text to its
-end, so every score is the log-likelihood of the whole text.
+predicts a word's class, then the word in its class. Training runs truncated backpropagation through windows of `steps` words. The
+driver starts the network on a bounded sample of texts (`sample`, lowest by a hash of their id); then it is trained on all training
+texts: each falls, by a hash of id and words, to one part of about `part` words; in each of `rounds` rounds a share of the parts
+trains from the same weights, each part in one task as `wide` streams, and the parts' weights are averaged by their words. Scoring carries the state
+through all windows of a text to its end, so every score is the log-likelihood of the whole text.
 
 The unigram base needs the count of every word. Counts are gathered over all training texts; the `frequent` most common ones go to
 every task (a fixed bound), the words beyond them meet their counts in a join.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.kernel import Lookup, chunks, segment_sum
+from chatloom.llm.kernel import Lookup, binaries, chunks, segment_sum
 from chatloom.llm.store import kept
 
 END, OTHER = 0, 1
@@ -126,7 +128,7 @@ class Network:
             steps.append(rest)
             past[-1] = (past[-1], h)
         states = np.stack([s for _, s in past])
-        weight = live.astype(np.float32).ravel() / max(1, live.sum())
+        weight = live.astype(np.float32).ravel() / max(1, int(live.sum()))
         back = self.output_grads(states.reshape(-1, w), target.ravel(), weight, grads).reshape(states.shape)
         da, dh = np.empty_like(a), np.zeros_like(h)
         for t in range(len(inputs) - 1, -1, -1):
@@ -147,7 +149,9 @@ class Network:
         return grads, h
 
     def train(self, texts: list[np.ndarray], steps: int, streams: int, epochs: int, rate: float, seed: int) -> None:
-        """Truncated backpropagation over texts (word numbers that end with END), dealt to streams; Adam steps."""
+        """Truncated backpropagation over texts (word numbers that end with END), dealt to streams; Adam steps. Texts above a stream's fair share are cut."""
+        most = max(64 * steps, -(-sum(map(len, texts)) // streams))
+        texts = [x[lo : lo + most] for x in texts for lo in range(0, len(x), most)]
         rng = np.random.default_rng(seed)
         first, second, turn = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, 0
         first, second = first
@@ -243,8 +247,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 2048, width: int = 24, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 4e-3, seed: int = 11) -> tuple[Model, DataFrame]:
-    """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts and `sample` texts."""
+def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 2048, width: int = 24, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 4e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
+    """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts, `sample` texts and, each round, one set of weights."""
     own = docs.where(train)
     counts = kept(count_words(own), "word_counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
@@ -263,9 +267,59 @@ def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int
         for _, _, w in chunks(column):
             lists += [np.append(x, END) for x in np.split(numbered(model, model.words.find(w.hashes())), w.bounds[1:-1])]
     network.train(lists, steps, streams, epochs, rate, seed)
+    shards = max(1, -(-model.n // (part * rounds)))
+    rows = kept(numbers(own, model).withColumn("part", F.pmod(F.xxhash64("id", "numbers"), F.lit(shards * rounds))), "lm_numbers")
+    for k in range(rounds):
+        network.p = averaged(rows.where(F.col("part") % rounds == k), network, steps, wide, rate * (1 - 0.9 * k / rounds), seed)
     return model, counts
 
 
+def numbers(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (id, text) as id and numbers, those of the text's words and END."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # `frequent` words and the network
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for lo, hi, w in chunks(batch.column(1)):
+                ids = np.insert(numbered(m, m.words.find(w.hashes())), w.bounds[1:], END)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], binaries(ids.astype(np.min_scalar_type(len(m.network.of))), w.bounds + np.arange(hi - lo + 1))], names=["id", "numbers"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, numbers binary")
+
+
+def averaged(rows: DataFrame, network: Network, steps: int, streams: int, rate: float, seed: int, piece: int = 4096) -> dict[str, np.ndarray]:
+    """Weights after every part of rows (id, numbers, part) trained from the network's, averaged by words. Averages are taken in tasks, by pieces of the weights."""
+    shared, kind = rows.sparkSession.sparkContext.broadcast(network), np.min_scalar_type(len(network.of))
+    sizes = {k: v.size for k, v in network.p.items()}
+    starts = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
+
+    def trained(key: tuple, table: pa.Table) -> pa.Table:
+        start = shared.value
+        own = Network.__new__(Network)
+        own.__dict__.update(start.__dict__, p={k: v.copy() for k, v in start.p.items()})
+        held = sorted(zip(table.column("id").to_pylist(), table.column("numbers").to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        texts = [np.frombuffer(x, dtype=kind).astype(np.int64) for _, x in held]
+        own.train(texts, steps, streams, 1, rate, seed + key[0].as_py())
+        flat = np.concatenate([own.p[k].ravel() for k in sizes]).astype(np.float32)
+        cuts = range(0, len(flat), piece)
+        return pa.table({"piece": pa.array([lo // piece for lo in cuts], pa.int64()), "n": pa.array([sum(map(len, texts))] * len(cuts), pa.int64()), "part": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "value": pa.array([flat[lo : lo + piece].tobytes() for lo in cuts], pa.binary())})
+
+    def mean(key: tuple, table: pa.Table) -> pa.Table:
+        total, weight = 0.0, 0
+        for _, n, value in sorted(zip(*(table.column(c).to_pylist() for c in ("part", "n", "value")), strict=True)):
+            total = total + n * np.frombuffer(value, dtype=np.float32).astype(np.float64)
+            weight += n
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "value": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+
+    parts = rows.select("part", "id", "numbers").groupBy("part").applyInArrow(trained, "piece long, n long, part long, value binary")
+    got = sorted(parts.groupBy("piece").applyInArrow(mean, "piece long, value binary").collect())
+    if not got:
+        return network.p
+    flat = np.frombuffer(b"".join(bytes(r.value) for r in got), dtype=np.float32)
+    return {k: flat[starts[k] : starts[k] + sizes[k]].reshape(v.shape).copy() for k, v in network.p.items()}
+
+
 def numbered(model: Model, found: np.ndarray) -> np.ndarray:
     return np.where(found >= 0, model.number[np.maximum(found, 0)], OTHER) if len(model.number) else np.full(len(found), OTHER)
 

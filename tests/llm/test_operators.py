@@ -207,6 +207,18 @@ def test_language_model_against_plain_counts_and_steps(spark, docs):
     assert np.exp(every).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_learns_from_texts_beyond_the_sample(spark):
+    held, pair = (10_000, "red blue " * 40), (["red blue " * 40], ["red " * 40 + "blue " * 40])
+    got = []
+    for text in pair:  # the same counts in another order
+        docs = spark.createDataFrame([(k, text[0]) for k in range(200)] + [held], "id long, text string").withColumn("held", F.col("id") == 10_000)
+        got.append(language_model.scored(docs, ~F.col("held"), sample=0, width=6, rate=0.05).where("held").head().score)
+    assert got[0] > got[1] + 1
+    rows = [(None, None), (1, ""), (1, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("held", F.lit(False))
+    assert len(language_model.scored(docs, F.lit(True)).collect()) == len(language_model.scored(docs, F.lit(False)).collect()) == 3
+
+
 def test_gradients():
     network = language_model.Network(np.arange(9, 0, -1).astype(float), 4, 5)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
