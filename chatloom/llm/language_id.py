@@ -11,7 +11,7 @@ one, so repeated rows and ids give repeated results; other columns are never rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -118,11 +118,38 @@ def least(rows: DataFrame, order: list, salt: Column, n: int) -> DataFrame:
     return parts.drop("_salt")
 
 
-def learn(labelled: DataFrame, per_language: int = 2000, length: int = 300) -> Profiles:
-    """Profiles from rows (id, text, lang) whose lang isn't null. What comes to the driver is `length` rows a language."""
+def learned_from(labelled: DataFrame, per_language: int) -> DataFrame:
+    """The rows (lang, text) that `learn` reads, of at most per_language ids a language."""
     rows = labelled.where("lang is not null and text is not null")
     some = least(rows.select("id", "lang", F.xxhash64("id").alias("_hash")), ["_hash", "id"], F.col("_hash"), per_language).select("id").distinct()
-    rows = rows.join(F.broadcast(some), "id", "left_semi").select("lang", "text")  # at most per_language ids a language
+    return rows.join(F.broadcast(some), "id", "left_semi").select("lang", "text")
+
+
+def length_class(text: Column) -> Column:
+    """Texts of 2^k to 2^(k+1) - 1 characters share a class."""
+    return F.floor(F.log2(F.greatest(F.char_length(text), F.lit(1)))).cast("int")
+
+
+def least_scores(labelled: DataFrame, profiles: Profiles, per_language: int = 2000, share: float = 0.01, slack: float = 0.8) -> Callable[[Column], Column]:
+    """From the rows that the profiles were learned from, the score below which a text of its length is unlike them: slack times what
+    all but `share` of them reach. A length with fewer than 1 / share learned rows takes no more than what holds for all lengths."""
+    rows = judged(learned_from(labelled, per_language), profiles).where(F.col("lang_pred") != UND).select(length_class(F.col("text")).alias("k"), "score")
+    low = [F.percentile("score", share).alias("low"), F.count("*").alias("n")]
+    every = rows.agg(*low).head().low or 0.0
+    bounds = {r.k: slack * (r.low if r.n * share >= 1 else min(r.low, every)) for r in rows.groupBy("k").agg(*low).collect()}
+
+    def bound(text: Column) -> Column:
+        out, k = F.lit(slack * every), length_class(text)
+        for key, value in sorted(bounds.items()):
+            out = F.when(k == key, value).otherwise(out)
+        return out
+
+    return bound
+
+
+def learn(labelled: DataFrame, per_language: int = 2000, length: int = 300) -> Profiles:
+    """Profiles from rows (id, text, lang) whose lang isn't null. What comes to the driver is `length` rows a language."""
+    rows = learned_from(labelled, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -322,3 +322,17 @@ def test_pipeline_against_plain_stages(spark, sf):
     assert clean == {r.doc_id for r in cut.collect() if not any(x in " ".join(plain.words(r.text)) for x in items)}
     mixed = P.mix_to_weights(spark, cut, sf)
     assert mixed.columns == [*docs.columns, "n_tokens", "copies"] and mixed.where("copies < 1").count() == 0
+
+
+def test_pipeline_drops_texts_unlike_every_learned_language(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    letters = np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), (40, 7))
+    unlike = [finnish, "xkq zvv qqq wxz " * 20, " ".join("".join(w) for w in letters), "zxqkvj"]
+    rows = [(-k - 1, t, None, "s", len(t)) for k, t in enumerate([*unlike, "Avec."])]
+    out = P.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")), "")
+    ids = {r.doc_id for r in out.collect()}
+    assert {i for i in ids if i < 0} == {-5}
+    assert ids >= {r.doc_id for r in docs.collect()}
