@@ -336,3 +336,12 @@ def test_pipeline_drops_texts_unlike_every_learned_language(spark):
     ids = {r.doc_id for r in out.collect()}
     assert {i for i in ids if i < 0} == {-5}
     assert ids >= {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_keeps_documents_without_an_id(spark):
+    import corpus_pipeline as P
+
+    same, own = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    rows = [(7, same), (None, same), (None, own), (3, same), (None, None), (None, own)]
+    out = P.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(3, same), (None, same), (None, own), (None, None), (None, own)], key=str)
