@@ -67,7 +67,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_report(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+    out = license_scan.license_report(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op8(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -122,5 +123,26 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root)
 """
 
 
+LICENSE_SQL = r"""
+WITH tpl(tid, label, base, w) AS (VALUES {templates}),
+q AS (SELECT tid, label, base, len(w) - 1 AS pairs, t, w[t + 1] AS a, w[t + 2] AS b FROM tpl, LATERAL (SELECT unnest(range(len(w) - 1)) AS t)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b FROM d, LATERAL (SELECT unnest(range(len(w) - 1)) AS p)),
+v AS (SELECT doc_id, tid, label, base, pairs, p - t AS diagonal, bit_or(1::BIGINT << t) AS bits FROM x JOIN q USING (a, b) GROUP BY ALL),
+n AS (SELECT *, bit_count(bit_or(bits) OVER (PARTITION BY doc_id, tid ORDER BY diagonal RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)) / pairs::DOUBLE AS near, bit_count(bits) / pairs::DOUBLE AS own FROM v),
+s AS (SELECT doc_id, label, base, diagonal, CASE WHEN base THEN own ELSE near END AS covered FROM n WHERE CASE WHEN base THEN own = 1 ELSE near >= 0.6 END),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+        array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(covered) AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n_base, 0)::BIGINT AS n_base, g.first_word::BIGINT AS first_word, g.last_word::BIGINT AS last_word,
+       coalesce(g.base_labels, '') AS base_labels, coalesce(g.labels, '') AS labels, coalesce(g.score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def license_sql() -> str:
+    rows = [f"({tid}, '{label}', {base}, {words!r})" for tid, (label, base, words) in enumerate(license_scan.templates(license_scan.BASE, license_scan.NOTICES))]
+    return LICENSE_SQL.replace("{templates}", ", ".join(rows))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op6_ngram_jaccard": JACCARD_SQL}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op6_ngram_jaccard": JACCARD_SQL, "op7_license_scan": license_sql()}

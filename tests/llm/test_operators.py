@@ -2,17 +2,21 @@
 
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chatloom.llm import decontaminate, language_id, language_model, license_scan, line_dedup, mixing, nearest_vectors, token_counts, toxicity
 from chatloom.llm.kernel import Lookup, chunks, shingle_sets
-from chatloom.llm.queries import queries
+from chatloom.llm.queries import oracle_sql, queries
 from tests.llm import plain
 
 ROWS = plain.texts()
@@ -102,15 +106,54 @@ def test_language_id(spark):
     assert language_id.identify(empty(spark, "id long, text string, lang string"), F.lit(True)).count() == 0
 
 
+def plain_licenses(text, coverage=0.6, slack=3):
+    """All template pairs against all text pairs; diagonals within slack are merged around each one."""
+    w = re.findall(license_scan.WORD, plain.low(text))
+    base, labels, best = [], set(), 0.0
+    for label, is_base, t in license_scan.templates(license_scan.BASE, license_scan.NOTICES):
+        if is_base:
+            base += [(p, label) for p in range(len(w)) if w[p : p + len(t)] == t]
+            continue
+        hit = {}
+        for p in range(len(w) - 1):
+            for k in range(len(t) - 1):
+                if w[p : p + 2] == t[k : k + 2]:
+                    hit.setdefault(p - k, set()).add(k)
+        most = max((len(set().union(*(hit.get(d + j, set()) for j in range(-slack, slack + 1)))) / (len(t) - 1) for d in hit), default=0)
+        if most >= coverage:
+            labels.add(label)
+            best = max(best, most)
+    names = {x for _, x in base}
+    at = [p for p, _ in base]
+    return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(names)), ",".join(sorted(names | labels)), 1.0 if base else best
+
+
 def test_license_scan(spark):
-    rows = [(1, None), (2, ""), (3, "MIT License, mit license"), (4, "The GNU  General-Public License; Apache license"), (5, "x " * 3000 + "CC-BY"), (5, "x " * 3000 + "CC-BY"), (6, "Permission is hereby granted, free of charge, to any one obtaining a copy of this software and associated documentation files"), (7, "gnu general license public")]
-    got = {r.id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license_scan.license_report(spark.createDataFrame(rows, "id long, text string")).collect()}
-    assert got[1] == got[2] == (0, 0, None, None, "", "")
-    assert got[3] == (4, 2, 0, 2, "mit", "mit")
-    assert got[4] == (7, 2, 1, 5, "apache,gpl", "apache,gpl")
-    assert got[5] == (3002, 1, 3000, 3000, "cc-by", "cc-by")
-    assert got[6][1:] == (0, None, None, "", "mit") and got[7][1:] == (0, None, None, "", "")
+    rng = random.Random(8)
+    notices = [text for _, text in license_scan.NOTICES]
+    rows = [(1, None), (2, ""), (3, "MIT License, mit license"), (4, "The GNU  General-Public License; Apache license"), (5, "x " * 3000 + "CC-BY"), (5, "x " * 3000 + "CC-BY"), (None, "mit license"), (7, "gnu general license public"), (8, "..."), (9, " a "), (10, "wor\u212a under the mit license \u0130"), (11, "of the " * 200)]
+    for k, text in enumerate(notices * 3):  # words lost, added and replaced; a notice next to itself; the end of a notice alone
+        w = text.split()
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(0, 2)] = ["zz"] * rng.randrange(0, 2)
+        rows.append((100 + k, " ".join(w if k % 3 else w[len(w) // 2 :] + w)))
+    got = sorted(((r.id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in license_scan.license_report(spark.createDataFrame(rows, "id long, text string").withColumn("tag", F.lit(1))).collect()), key=str)
+    assert got == sorted(((i, *plain_licenses(t)) for i, t in rows), key=str)
+    assert len({x[6] for x in got}) > 8
     assert license_scan.license_report(empty(spark)).count() == 0
+    spans = license_scan.scan(spark.createDataFrame([(1, "a b " + notices[8] + " c"), (2, "la " * 9 + "mit license")], "id long, text string")).collect()
+    assert sorted((r.id, r.label, r.base, r.start, r.stop) for r in spans) == [(1, "mit", False, 2, 22), (2, "mit", True, 9, 11)]
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_queries_against_sql(spark, sf, name):
+    got = queries()[name](spark, sf).toPandas()
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = duck.execute(oracle_sql()[name]).df()[list(got.columns)]
+    show = lambda f: sorted(tuple("null" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in f.itertuples(index=False, name=None))
+    assert show(got) == show(want)
 
 
 def test_token_counts(spark, docs):
