@@ -52,25 +52,54 @@ def test_lookup():
     assert (Lookup(keys[:0]).find(keys[:3]) < 0).all()
 
 
-def test_line_dedup(spark, docs):
-    out = line_dedup.dedup_lines(docs.withColumns({"n_lost": F.lit(1), "line": F.lit("x")}), batches=3, fan_in=2)
-    assert {"n_lost", "line"} <= set(out.columns)
-    top, holders = {}, {}
-    for i, t in ROWS:
-        for line in (t or "").split("\n"):
-            key = plain.low(line.strip(plain.SPACE))
+def plain_lines(rows):
+    """(id, lines, dropped lines, text that stays)."""
+    holders, out = {}, []
+    keys = lambda t: [plain.low(x.strip(plain.SPACE)) for x in (t or "").split("\n")]
+    for i, t in rows:
+        for key in keys(t) if i is not None else []:
             if len(key) >= 40:
                 holders.setdefault(key, set()).add(i)
-                top[key] = max(i, top.get(key, i))
-    def cut(i, t):
+    for i, t in rows:
         lines = (t or "").split("\n")
-        stay = [x for x in lines if not ((k := plain.low(x.strip(plain.SPACE))) in holders and len(holders[k]) >= 5 and i < top[k])]
-        return i, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()
-    got = sorted((r.id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in out.collect())
-    assert got == sorted(cut(i, t) for i, t in ROWS) and any(x[2] for x in got)
+        stay = [x for x, k in zip(lines, keys(t), strict=True) if i is None or len(holders.get(k, ())) < 5 or i == max(holders[k])]
+        out.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup(spark, docs):
+    clash = ["line", "_tag", "_id", "_tag2", "_lost", "_lines", "h1", "c0", "top"]
+    out = line_dedup.dedup_lines(docs.withColumns({c: F.lit(c) for c in clash}).withColumn("n_lines", F.lit(-1)), batches=5, fan_in=2)
+    assert out.columns == ["id", "text", *clash, "n_lines", "n_dropped"] and all(r[c] == c for r in out.collect() for c in clash)
+    got = sorted(((r.id, r.n_lines, r.n_dropped, r.text) for r in out.collect()), key=str)
+    assert got == plain_lines(ROWS) and any(x[2] for x in got)
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_runs_hold_each_key_once(spark):
+    batches = [[(k % m, 0, 1, 100 * b + k) for k in range(m)] for b, m in enumerate((5, 9, 3, 12, 9, 2))]
+    runs = line_dedup.Runs(spark, fan_in=2)
+    for rows in batches:
+        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, docs long, top long"))
+        held = [r.h1 for run in runs.all() for r in run.collect()]
+        assert len(held) == len(set(held))
+    assert len(runs.all()) < len(batches) and len(runs.again) == len(batches) - 1
+    plan = runs.again[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = {k: (sum(1 for rows in batches for r in rows if r[0] == k), max(r[3] for rows in batches for r in rows if r[0] == k)) for k in range(12)}
+    for least in (1, 3):
+        assert {r.h1: (r.docs, r.top) for r in runs.repeated(least).collect()} == {k: x for k, x in want.items() if x[0] >= least}
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_lines_of_hot_keys_meet_them_by_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    lines = ["a line that stands in all of the many documents " + "x" * k for k in range(4)]
+    rows = [(i, "\n".join(lines[: 1 + i % 4])) for i in range(40)] + [(None, lines[0]), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert sorted(((r.id, r.n_lines, r.n_dropped, r.text) for r in got), key=str) == plain_lines(rows)
+
+
 def profile(texts, length):
     grams = Counter()
     for t in texts:
