@@ -37,7 +37,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def log_sum_exp(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
-    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+    return np.log(row_sums(np.exp(x - top[:, None]))) + top
 
 
 def word_classes(counts: np.ndarray) -> np.ndarray:
@@ -51,102 +51,135 @@ def word_classes(counts: np.ndarray) -> np.ndarray:
     return np.unique(out, return_inverse=True)[1]
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], dtype=x.dtype)
+
+
 class Network:
-    """Embedding, gated recurrent cell (reset, update, candidate) and factored output. `place` is a word's row in its class."""
+    """Embedding, gated recurrent cell (reset, update, candidate) and factored output. The words' output rows stand class by class:
+    class c has rows edge[c]:edge[c + 1], and a word stands in row `row`."""
 
     def __init__(self, counts: np.ndarray, width: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.of = word_classes(counts)
-        self.members = [np.flatnonzero(self.of == c) for c in range(self.of.max() + 1)]
-        self.place = np.empty(len(counts), dtype=np.int64)
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
+        order = np.argsort(self.of, kind="stable")
+        self.row = np.empty(len(counts), dtype=np.int64)
+        self.row[order] = np.arange(len(counts))
+        self.edge = np.searchsorted(self.of[order], np.arange(self.of.max() + 2))
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        prior = np.log((counts + 1) / (counts.sum() + len(counts)))
-        mass = np.array([np.logaddexp.reduce(prior[m]) for m in self.members])
+        prior = np.log((counts + 1) / (counts.sum() + len(counts)))[order]
+        mass = np.logaddexp.reduceat(prior, self.edge[:-1])
         self.p = {"emb": draw(len(counts), width) * np.float32(np.sqrt(len(counts))) * np.float32(0.1), "wx": draw(width, 3 * width), "wh": draw(width, 3 * width), "b": np.zeros(3 * width, np.float32),
-                  "wc": draw(width, len(self.members)) * np.float32(0.1), "bc": mass.astype(np.float32), "ww": draw(width, len(counts)) * np.float32(0.1), "bw": prior.astype(np.float32)}
+                  "wc": draw(width, len(mass)) * np.float32(0.1), "bc": mass.astype(np.float32), "ww": np.ascontiguousarray(draw(width, len(counts)).T) * np.float32(0.1), "bw": prior.astype(np.float32)}
         self.width = width
 
     def cell(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after h and what it is made of; a is the input's part. Columns are streams."""
         w = self.width
-        g = h @ self.p["wh"]
-        rz = sigmoid(a[:, : 2 * w] + g[:, : 2 * w])
-        r, z = rz[:, :w], rz[:, w:]
-        c = np.tanh(a[:, 2 * w :] + r * g[:, 2 * w :])
-        return c + z * (h - c), r, z, c, g[:, 2 * w :]
+        g = self.p["wh"].T @ h
+        rz = sigmoid(a[: 2 * w] + g[: 2 * w])
+        r, z, g = rz[:w], rz[w:], g[2 * w :]
+        c = r * g
+        c += a[2 * w :]
+        np.tanh(c, out=c)
+        h = h - c
+        h *= z
+        h += c
+        return h, r, z, c, g
+
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, slice]]]:
+        """The order of targets by class, and for each class of several words that occurs its number, its part of that order and its rows."""
+        cls = self.of[target]
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(len(self.edge))).tolist()
+        edge = self.edge.tolist()
+        return order, [(c, slice(ends[c], ends[c + 1]), slice(edge[c], edge[c + 1])) for c in range(len(edge) - 1) if ends[c + 1] > ends[c] and edge[c + 1] > edge[c] + 1]
 
     def log_likelihood(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after its state."""
+        order, classes = self.by_class(target)
+        states, target = states[order], target[order]
         logits = states @ self.p["wc"] + self.p["bc"]
-        cls = self.of[target]
-        out = logits[np.arange(len(target)), cls] - log_sum_exp(logits)
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.members) + 1))
-        for c, m in enumerate(self.members):
-            at = order[ends[c] : ends[c + 1]]
-            if len(m) > 1 and len(at):
-                inner = states[at] @ self.p["ww"][:, m] + self.p["bw"][m]
-                out[at] += inner[np.arange(len(at)), self.place[target[at]]] - log_sum_exp(inner)
+        got = logits[np.arange(len(target)), self.of[target]] - log_sum_exp(logits)
+        place = self.row[target]
+        for _, at, rows in classes:
+            inner = states[at] @ self.p["ww"][rows].T + self.p["bw"][rows]
+            got[at] += inner[np.arange(len(inner)), place[at] - rows.start] - log_sum_exp(inner)
+        out = np.empty(len(target), dtype=got.dtype)
+        out[order] = got
         return out
 
     def output_grads(self, states: np.ndarray, target: np.ndarray, weight: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
         def soft(x: np.ndarray, hit: np.ndarray, w: np.ndarray) -> np.ndarray:
-            x = np.exp(x - x.max(axis=1, keepdims=True))
-            x /= x.sum(axis=1, keepdims=True)
-            x[np.arange(len(x)), hit] -= 1
-            return x * w[:, None]
-
-        cls = self.of[target]
-        d = soft(states @ self.p["wc"] + self.p["bc"], cls, weight)
+            x -= x.max()
+            np.exp(np.maximum(x, -80, out=x), out=x)
+            x *= (w / row_sums(x))[:, None]
+            x[np.arange(len(x)), hit] -= w
+            return x
+
+        order, classes = self.by_class(target)
+        states, target, weight = states[order], target[order], weight[order]
+        d = soft(states @ self.p["wc"] + self.p["bc"], self.of[target], weight)
         grads["wc"] += states.T @ d
         grads["bc"] += d.sum(axis=0)
         back = d @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.members) + 1))
-        for c, m in enumerate(self.members):
-            at = order[ends[c] : ends[c + 1]]
-            if len(m) > 1 and len(at):
-                w = self.p["ww"][:, m]
-                d = soft(states[at] @ w + self.p["bw"][m], self.place[target[at]], weight[at])
-                grads["ww"][:, m] += states[at].T @ d
-                grads["bw"][m] += d.sum(axis=0)
-                back[at] += d @ w.T
-        return back
+        place = self.row[target]
+        for _, at, rows in classes:
+            w = self.p["ww"][rows]
+            d = soft(states[at] @ w.T + self.p["bw"][rows], place[at] - rows.start, weight[at])
+            grads["ww"][rows] += d.T @ states[at]
+            grads["bw"][rows] += d.sum(axis=0)
+            back[at] += d @ w
+        out = np.empty_like(back)
+        out[order] = back
+        return out
 
     def window(self, inputs: np.ndarray, target: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of one window (arrays of steps by streams) that starts from state h, and the state after it."""
-        w, p = self.width, self.p
+        w, p, n = self.width, self.p, len(inputs)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         x = p["emb"][inputs]
-        a = x @ p["wx"] + p["b"]
-        past, steps = [], []
-        for t in range(len(inputs)):
-            h = h * ~fresh[t][:, None]
-            past.append(h)
-            h, *rest = self.cell(a[t], h)
+        a = p["wx"].T @ x.transpose(0, 2, 1) + p["b"][:, None]
+        h = np.ascontiguousarray(h.T)
+        before, states, steps = np.empty((n, *h.shape), h.dtype), np.empty((n, *h.shape), h.dtype), []
+        stays, some = (~fresh).astype(h.dtype), fresh.any(axis=1)
+        for t in range(n):
+            before[t] = h * stays[t] if some[t] else h
+            h, *rest = self.cell(a[t], before[t])
             steps.append(rest)
-            past[-1] = (past[-1], h)
-        states = np.stack([s for _, s in past])
-        weight = live.astype(np.float32).ravel() / max(1, int(live.sum()))
-        back = self.output_grads(states.reshape(-1, w), target.ravel(), weight, grads).reshape(states.shape)
-        da, dh = np.empty_like(a), np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
-            before = past[t][0]
+            states[t] = h
+        weight = (live.ravel() / max(1, int(live.sum()))).astype(h.dtype)
+        back = self.output_grads(states.transpose(0, 2, 1).reshape(-1, w), target.ravel(), weight, grads)
+        back = np.ascontiguousarray(back.reshape(n, -1, w).transpose(0, 2, 1))
+        da, dg, dh = np.empty_like(a), np.empty_like(a), np.zeros_like(h)
+        for t in range(n - 1, -1, -1):
             r, z, c, g = steps[t]
-            dh = dh + back[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * g * r * (1 - r)
-            da[t] = np.concatenate([dr, dz, dc], axis=1)
-            dg = np.concatenate([dr, dz, dc * r], axis=1)
-            grads["wh"] += before.T @ dg
-            dh = (dh * z + dg @ p["wh"].T) * ~fresh[t][:, None]
-        flat = da.reshape(-1, 3 * w)
-        grads["wx"] += x.reshape(-1, w).T @ flat
-        grads["b"] += flat.sum(axis=0)
-        np.add.at(grads["emb"], inputs.ravel(), flat @ p["wx"].T)
-        return grads, h
+            dh += back[t]
+            dc = 1 - z
+            dc *= dh
+            dz = before[t] - c
+            dz *= dc
+            dz *= z
+            c *= c
+            dc *= 1 - c
+            dr = r - r * r
+            dr *= g
+            dr *= dc
+            da[t, :w], da[t, w : 2 * w], da[t, 2 * w :] = dr, dz, dc
+            dc *= r
+            dg[t, : 2 * w], dg[t, 2 * w :] = da[t, : 2 * w], dc
+            dh *= z
+            dh += p["wh"] @ dg[t]
+            if some[t]:
+                dh *= stays[t]
+        grads["wh"] += (before @ dg.transpose(0, 2, 1)).sum(axis=0)
+        grads["wx"] += (da @ x).sum(axis=0).T
+        grads["b"] += da.sum(axis=(0, 2))
+        order = np.argsort(inputs, axis=None, kind="stable")
+        word = inputs.ravel()[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        grads["emb"][word[first]] = np.add.reduceat((da.transpose(0, 2, 1) @ p["wx"].T).reshape(-1, w)[order], first)
+        return grads, np.ascontiguousarray(h.T)
 
     def train(self, texts: list[np.ndarray], steps: int, streams: int, epochs: int, rate: float, seed: int) -> None:
         """Truncated backpropagation over texts (word numbers that end with END), dealt to streams; Adam steps. Texts above a stream's fair share are cut."""
@@ -193,18 +226,18 @@ class Network:
         order = np.argsort(-size, kind="stable")
         begin, size = bounds[:-1][order], size[order]
         table = self.p["emb"] @ self.p["wx"] + self.p["b"]
-        total, h = np.zeros(len(size)), np.zeros((len(size), self.width), dtype=np.float32)
+        total, h = np.zeros(len(size)), np.zeros((self.width, len(size)), dtype=np.float32)
         last = np.full(len(size), END, dtype=np.int64)
         for lo in range(0, int(size[0]) if len(size) else 0, steps):
             live = int(np.searchsorted(-size, -lo, side="left"))
             span = min(steps, int(size[0]) - lo)
             there = lo + np.arange(span)[:, None] < size[None, :live]
             target = ids[np.where(there, begin[None, :live] + lo + np.arange(span)[:, None], 0)]
-            h, last = h[:live], last[:live]
+            h, last = h[:, :live], last[:live]
             states = np.empty((span, live, self.width), dtype=np.float32)
             for t in range(span):
-                h = self.cell(table[last], h)[0]
-                states[t], last = h, target[t]
+                h = self.cell(np.ascontiguousarray(table[last].T), h)[0]
+                states[t], last = h.T, target[t]
             got = self.log_likelihood(states[there], target[there])
             total[:live] += np.bincount(np.nonzero(there)[1], got.astype(np.float64), live)
         out = np.empty(len(size))

@@ -271,7 +271,7 @@ def test_language_model_against_plain_counts_and_steps(spark, docs):
     text = np.random.default_rng(1).integers(0, 12, 70)
     h, last, total = np.zeros((1, 5), np.float32), language_model.END, 0.0
     for word in text:
-        h = network.cell(network.p["emb"][[last]] @ network.p["wx"] + network.p["b"], h)[0]
+        h = network.cell((network.p["emb"][[last]] @ network.p["wx"] + network.p["b"]).T, h.T)[0].T
         total += float(network.log_likelihood(h, np.array([word]))[0])
         last = word
     assert network.score(np.concatenate([text, text[:3]]), np.array([0, 70, 73]))[0] == pytest.approx(total, rel=1e-4)
@@ -303,7 +303,7 @@ def test_gradients():
     def loss():
         h, states = np.zeros((3, 4)), []
         for t in range(5):
-            h = network.cell(network.p["emb"][inputs[t]] @ network.p["wx"] + network.p["b"], h * ~fresh[t][:, None])[0]
+            h = network.cell((network.p["emb"][inputs[t]] @ network.p["wx"] + network.p["b"]).T, (h * ~fresh[t][:, None]).T)[0].T
             states.append(h)
         return -(network.log_likelihood(np.concatenate(states), target.ravel()) * live.ravel()).sum() / live.sum()
 
