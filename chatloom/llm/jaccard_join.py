@@ -4,7 +4,8 @@ A document is the set of its distinct word n-grams (shorter texts: their one who
 link when den * |A & B| >= num * |A | B|. The product is never formed as a whole:
 
 1. The incidence matrix is cut in blocks of n-grams. A block learns in how many classes each n-gram stands and keeps those in two
-   or more. A class whose kept n-grams are fewer than the smallest overlap that its size allows has no link and leaves.
+   or more. Hot n-grams, whose entries would be too many for the task of a block, are dealt by class and come last in the order of
+   frequency. A class whose kept n-grams are fewer than the smallest overlap that its size allows has no link and leaves.
 2. In the order of rising frequency, linked classes share an n-gram within the first size - overlap + 1. Sharing one there makes
    candidate groups.
 3. Within a group (cut in blocks of bounded weight) the product of the block's rows with their transpose gives overlap counts;
@@ -13,8 +14,10 @@ link when den * |A & B| >= num * |A | B|. The product is never formed as a whole
    share a rare prefix n-gram are paired by it. Around frequent ones, the classes outside the largest group so far are multiplied,
    in blocks of near sizes, with all. So no link is lost, and copies are not expanded.
 
-Null, empty and wordless texts have an empty set and link with nothing. Rows with one id are one document. n-grams are compared by
-64-bit hashes.
+Null, empty and wordless texts have an empty set and link with nothing; very long ones are cut over the blocks like others. Every row
+has a result; rows of one id are told apart by their sets, so an id with two texts has two results. A null id is no document's least
+id unless all of a component's are null. n-grams are compared by 64-bit hashes. Columns other than id and text are not read. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.components import components
-from chatloom.llm.kernel import U, binaries, chunks, mix, segment_sum, shingle_sets
+from chatloom.llm.kernel import U, Lookup, binaries, chunks, mix, segment_sum, shingle_sets
 from chatloom.llm.store import kept
 
 NUM, DEN = 75, 100
 #: Bounds of a task: n-grams of a block of the incidence matrix, and entries of the rows multiplied at once.
 BLOCK_GRAMS, BLOCK_ENTRIES = 3_000_000, 300_000
-#: A task sends the matrix on after so many entries or texts; a chunk has at most CHUNK texts more, so a place fits in 16 bits.
+#: A task sends the matrix on after so many entries or texts.
 EMIT, EMIT_ROWS = 1_500_000, 30_000
+#: An n-gram is hot if it has more entries than this and more than a HOTth of all; TOP is its frequency in the order of n-grams.
+HOT_LEAST, HOT, TOP = 4096, 1 << 20, 65535
 #: Classes across blocks are paired by an n-gram that so many of them have at most in their prefixes; more are multiplied in blocks.
 RARE = 16
 
@@ -45,107 +50,154 @@ def class_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, cls, size) of docs (id, text)."""
+    """(id, cls, size) of docs (id, text), and beside them (gram, classes): n-grams that are frequent among the classes that a task has at a time, with in how many."""
+    def frequent(parts: list, classes: np.ndarray) -> pa.RecordBatch:
+        _, first = np.unique(classes, return_index=True)
+        once = np.isin(np.arange(len(classes)), first)  # equal sets count once
+        grams, count = np.unique(np.concatenate([g[once[at]] for g, at in parts]), return_counts=True)
+        some = count >= max(8, len(classes) // 512)
+        none = pa.nulls(int(some.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(grams[some].view(np.int64)), pa.array(count[some])], names=["id", "cls", "size", "gram", "classes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, keys, total, rows = [], [], 0, 0
         for batch in batches:
             for lo, hi, w in chunks(batch.column(1)):
                 grams, bounds = shingle_sets(w, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(class_keys(grams, bounds)), pa.array(np.diff(bounds))], names=["id", "cls", "size"])
+                keys.append(class_keys(grams, bounds))
+                none = pa.nulls(hi - lo, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(keys[-1]), pa.array(np.diff(bounds)), none, none], names=["id", "cls", "size", "gram", "classes"])
+                parts.append((grams, rows + np.repeat(np.arange(hi - lo), np.diff(bounds))))
+                total, rows = total + len(grams), rows + hi - lo
+                if total >= EMIT or rows >= EMIT_ROWS:
+                    yield frequent(parts, np.concatenate(keys))
+                    parts, keys, total, rows = [], [], 0, 0
+        if total:
+            yield frequent(parts, np.concatenate(keys))
+
+    return docs.select("id", "text").mapInArrow(run, "id long, cls long, size long, gram long, classes long")
+
 
-    return docs.select("id", "text").mapInArrow(run, "id long, cls long, size long")
+def hot_grams(own: DataFrame, total: int) -> np.ndarray:
+    """n-grams of so many classes that one task shouldn't take them all; HOT at most, as each has over 1 / HOT of all entries."""
+    by_gram = own.where("gram is not null").groupBy("gram").agg(F.sum("classes").alias("n"))
+    found = by_gram.where(F.col("n") > max(HOT_LEAST, total // HOT)).select("gram").toArrow()
+    return np.sort(found.column("gram").to_numpy().view(U))
 
 
-def incidence(docs: DataFrame, n: int, blocks: int) -> DataFrame:
-    """The incidence matrix in blocks of n-grams: (block, classes, sizes, at, grams), where grams[i] stands in class classes[at[i]]."""
-    def packed(parts: list, classes: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+def incidence(docs: DataFrame, n: int, blocks: int, hot: np.ndarray) -> DataFrame:
+    """The incidence matrix in blocks of n-grams: (block, classes, at, grams), where grams[i] stands in class classes[at[i]]. A row names
+    only the classes that its entries are of. Entries of hot n-grams go by their class to blocks from `blocks` on."""
+    lookup = Lookup(hot)
+
+    def packed(parts: list, classes: np.ndarray) -> pa.RecordBatch:
         grams = np.concatenate([p[0] for p in parts])
         at = np.concatenate([p[1] for p in parts])
         keys, first, where = np.unique(classes, return_index=True, return_inverse=True)
         once = first[where[at]] == at  # a class that the batch has twice is written once
         grams, at = grams[once], where[at[once]]
-        order = np.argsort(grams)
-        grams, at = grams[order], at[order]
-        bounds = np.searchsorted(block_of(grams, blocks), np.arange(blocks + 1))
-        some = np.flatnonzero(np.diff(bounds))
-        whole = lambda x: pa.array([x.tobytes()] * len(some), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(some), whole(keys), whole(sizes[first].astype(np.int32)), binaries(at.astype(np.uint16), bounds).take(pa.array(some)), binaries(grams, bounds).take(pa.array(some))], names=["block", "classes", "sizes", "at", "grams"])
+        block = block_of(grams, blocks).astype(np.int64)
+        if len(hot):
+            block = np.where(lookup.find(grams) >= 0, blocks + keys[at] % blocks, block)
+        order = np.lexsort((grams, block)) if len(hot) else np.argsort(grams)
+        grams, at, block = grams[order], at[order], block[order]
+        named, local = np.unique(block * len(keys) + at, return_inverse=True)  # the classes of each block
+        some, begin = np.unique(block, return_index=True)
+        ends, its = np.append(begin, len(block)), np.append(np.searchsorted(named, some * len(keys)), len(named))
+        local = local - np.repeat(its[:-1], np.diff(ends))
+        kind = np.uint16 if int(np.diff(its).max(initial=0)) <= 1 << 16 else np.uint32
+        return pa.RecordBatch.from_arrays([pa.array(some), binaries(keys[named % len(keys)], its), binaries(local.astype(kind), ends), binaries(grams, ends)], names=["block", "classes", "at", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, keys, sizes, total, docs_so_far = [], [], [], 0, 0
+        parts, keys, total, rows = [], [], 0, 0
         for batch in batches:
             for lo, hi, w in chunks(batch.column(0)):
                 grams, bounds = shingle_sets(w, n)
-                parts.append((grams, docs_so_far + np.repeat(np.arange(hi - lo), np.diff(bounds))))
+                parts.append((grams, rows + np.repeat(np.arange(hi - lo), np.diff(bounds))))
                 keys.append(class_keys(grams, bounds))
-                sizes.append(np.diff(bounds))
-                total, docs_so_far = total + len(grams), docs_so_far + hi - lo
-                if total >= EMIT or docs_so_far >= EMIT_ROWS:
-                    yield packed(parts, np.concatenate(keys), np.concatenate(sizes))
-                    parts, keys, sizes, total, docs_so_far = [], [], [], 0, 0
+                total, rows = total + len(grams), rows + hi - lo
+                if total >= EMIT or rows >= EMIT_ROWS:
+                    yield packed(parts, np.concatenate(keys))
+                    parts, keys, total, rows = [], [], 0, 0
         if total:
-            yield packed(parts, np.concatenate(keys), np.concatenate(sizes))
+            yield packed(parts, np.concatenate(keys))
 
-    return docs.select("text").mapInArrow(run, "block long, classes binary, sizes binary, at binary, grams binary")
+    return docs.select("text").mapInArrow(run, "block long, classes binary, at binary, grams binary")
 
 
 def block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
     return ((grams >> U(40)) * U(blocks)) >> U(24)
 
 
-def shared(table: pa.Table, buckets: int) -> pa.Table:
-    """Of one block, the n-grams that two or more classes have and in how many, packed by buckets of classes."""
-    cls, size, gram = [], [], []
-    for classes, sizes, at, grams in zip(*(table.column(k).to_pylist() for k in ("classes", "sizes", "at", "grams")), strict=True):
-        at = np.frombuffer(at, dtype=np.uint16)
-        cls.append(np.frombuffer(classes, dtype=np.int64)[at])
-        size.append(np.frombuffer(sizes, dtype=np.int32)[at])
+def begins(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value of the sorted keys begins."""
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def shared(block: int, table: pa.Table, blocks: int) -> pa.Table:
+    """Of one block, the n-grams that two or more classes have and in how many, packed by buckets of classes; all of a block of hot ones, as the most frequent."""
+    cls, gram = [], []
+    for classes, at, grams in zip(*(table.column(k).to_pylist() for k in ("classes", "at", "grams")), strict=True):
         gram.append(np.frombuffer(grams, dtype=U))
-    cls, size, gram = np.concatenate(cls), np.concatenate(size), np.concatenate(gram)
-    order = np.argsort(gram)
-    g = gram[order]
-    twice = np.zeros(len(g), dtype=bool)
-    twice[1:] = g[1:] == g[:-1]
-    twice[:-1] |= twice[1:]
-    order = order[twice]
-    order = order[np.lexsort((cls[order], gram[order]))]
-    g, c = gram[order], cls[order]
-    first = np.ones(len(g), dtype=bool)
-    first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-    order, g = order[first], g[first]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
-    df = np.repeat(np.diff(np.append(begin, len(g))), np.diff(np.append(begin, len(g))))
-    order, g, df = order[df > 1], g[df > 1], df[df > 1]
-    cls, size = cls[order], size[order]
-    bucket = cls % buckets
-    by = np.lexsort((cls, bucket))
-    c, s, g, df, bucket = cls[by], size[by], g[by], np.minimum(df[by], 65535).astype(np.uint16), bucket[by]
-    begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
+        cls.append(np.frombuffer(classes, dtype=np.int64)[np.frombuffer(at, dtype=f"u{len(at) // len(gram[-1])}")])
+    c, g = np.concatenate(cls), np.concatenate(gram)
+    hot = block >= blocks
+    if not hot:  # first without what is there once
+        order = np.argsort(g)
+        g = g[order]
+        twice = np.zeros(len(g), dtype=bool)
+        twice[1:] = g[1:] == g[:-1]
+        twice[:-1] |= twice[1:]
+        c, g = c[order[twice]], g[twice]
+    by = np.lexsort((c, g))
+    c, g = c[by], g[by]
+    first = begins(g, c)
+    c, g = c[first], g[first]
+    begin = begins(g)
+    count = np.diff(np.append(begin, len(g)))
+    df = np.repeat(np.full(len(count), TOP) if hot else np.where(count > 1, np.minimum(count, TOP - 1), 0), count)
+    c, g, df = c[df > 0], g[df > 0], df[df > 0].astype(np.uint16)
+    by = np.lexsort((c, c % blocks))
+    c, g, df = c[by], g[by], df[by]
+    begin = begins(c)
     count = np.diff(np.append(begin, len(c))).astype(np.int32)
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
-    entries, classes = np.append(first, len(c)), np.searchsorted(begin, np.append(first, len(c)))
-    return pa.table({"bucket": bucket[first], "classes": binaries(c[begin], classes), "sizes": binaries(s[begin].astype(np.int32), classes), "counts": binaries(count, classes), "grams": binaries(g, entries), "dfs": binaries(df, entries)})
+    first = begins(c % blocks)
+    entries = np.append(first, len(c))
+    classes = np.searchsorted(begin, entries)
+    return pa.table({"bucket": (c % blocks)[first], "classes": binaries(c[begin], classes), "counts": binaries(count, classes), "grams": binaries(g, entries), "dfs": binaries(df, entries)})
+
+
+SURVIVORS = pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("entries", pa.int64()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
-def survivors(table: pa.Table, num: int, den: int) -> pa.Table:
+def survivors(table: pa.Table, sizes: pa.Table, num: int, den: int) -> pa.Table:
     """Of one bucket of classes, those that may have a link: cls, size, entries, grams (sorted), prefix (rarest first)."""
+    if not table.num_rows:
+        return SURVIVORS.empty_table()
     cat = lambda k, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(k).to_pylist()])
     count, g, df = cat("counts", np.int32), cat("grams", U), cat("dfs", np.uint16)
-    cls, size = np.repeat(cat("classes", np.int64), count), np.repeat(cat("sizes", np.int32).astype(np.int64), count)
+    cls = np.repeat(cat("classes", np.int64), count)
     order = np.lexsort((g, df, cls))
-    cls, size, g = cls[order], size[order], g[order]
-    begin = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+    cls, g = cls[order], g[order]
+    begin = begins(cls)
+    known = sizes.sort_by("cls")
+    size = known.column("size").to_numpy()[np.searchsorted(known.column("cls").to_numpy(), cls[begin])]
     entries = np.diff(np.append(begin, len(cls)))
-    need = -(-num * size[begin] // den)
+    need = -(-num * size // den)
     live = entries >= need
     kept_row = np.repeat(live, entries)
     spare = np.repeat(entries - need + 1, entries)  # n-grams of no other class come first in the order and are not here
     prefix = g[kept_row & (np.arange(len(g)) - np.repeat(begin, entries) < spare)].view(np.int64)
     by = np.lexsort((g, cls))
     grams = g[by][kept_row]
-    begin, entries, need = begin[live], entries[live], need[live]
+    begin, entries, need, size = begin[live], entries[live], need[live], size[live]
     ends = lambda n: np.append(0, np.cumsum(n))
     lists = pa.ListArray.from_arrays(pa.array(ends(entries - need + 1).astype(np.int32)), pa.array(prefix))
-    return pa.table({"cls": cls[begin], "size": size[begin], "entries": entries, "grams": binaries(grams, ends(entries)), "prefix": lists})
+    return pa.Table.from_arrays([pa.array(cls[begin]), pa.array(size), pa.array(entries), binaries(grams, ends(entries)), lists], schema=SURVIVORS)
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -295,11 +347,13 @@ def cross_links(alive: DataFrame, labels: DataFrame, num: int, den: int, block_e
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = DEN, block_grams: int = BLOCK_GRAMS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """docs (id, text) as id, n_shingles, class_id (least id of those with the same set), component_id (least id that links reach). One row for each of docs' rows."""
-    own = kept(sets(docs, n), "sets")
+    found = kept(sets(docs, n), "sets")
+    own = found.where("cls is not null").select("id", "cls", "size")
     total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     blocks = max(1, min(1 << 20, -(-total // block_grams)))
-    parts = incidence(docs, n, blocks).groupBy("block").applyInArrow(lambda t: shared(t, blocks), "bucket long, classes binary, sizes binary, counts binary, grams binary, dfs binary")
-    alive = parts.groupBy("bucket").applyInArrow(lambda t: survivors(t, num, den), "cls long, size long, entries long, grams binary, prefix array<long>")
+    parts = incidence(docs, n, blocks, hot_grams(found, total)).groupBy("block").applyInArrow(lambda key, t: shared(key[0].as_py(), t, blocks), "bucket long, classes binary, counts binary, grams binary, dfs binary")
+    sizes = own.where("size > 0").groupBy("cls").agg(F.max("size").alias("size")).withColumn("bucket", F.pmod("cls", F.lit(blocks)))
+    alive = parts.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(lambda t, u: survivors(t, u, num, den), "cls long, size long, entries long, grams binary, prefix array<long>")
     alive = kept(alive, "survivors")
     post = alive.select("cls", F.explode("prefix").alias("gram"))
     least = post.groupBy("gram").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")

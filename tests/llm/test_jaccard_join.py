@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chatloom.llm import jaccard_join as J
@@ -10,7 +11,7 @@ from tests.llm import plain
 
 def got(spark, rows, **options):
     out = J.jaccard_components(spark.createDataFrame(rows, "id long, text string"), **options)
-    return sorted((r.id, r.n_shingles, r.component_id) for r in out.collect())
+    return sorted(((r.id, r.n_shingles, r.component_id) for r in out.collect()), key=lambda x: (x[0] is None, x))
 
 
 def test_against_all_pairs(spark):
@@ -43,6 +44,33 @@ def test_a_chain_whose_ends_are_not_linked(spark):
     assert got(spark, rows, block_entries=200) == plain.jaccard(rows)
 
 
+@pytest.mark.parametrize("rounds_alone", [False, True])
+def test_hot_ngrams_and_blocks_whose_rows_name_few_classes(spark, monkeypatch, rounds_alone):
+    monkeypatch.setattr(J, "HOT_LEAST", 8)
+    monkeypatch.setattr(J, "HOT", 1000)
+    if rounds_alone:
+        monkeypatch.setattr(J, "components", lambda edges: components(edges, 0))
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join(passage + [f"n{rng.randrange(40)}" for _ in range(rng.randrange(0, 25))])) for k in range(150)] + [(None, "a b c"), (None, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = J.sets(docs.coalesce(1), 5)
+    assert len(J.hot_grams(found, 5000)) == 26
+    named = rows[:-2]
+    assert got(spark, named, block_grams=200, block_entries=300) == plain.jaccard(named)
+    assert len(got(spark, rows[-2:])) == 2
+
+
+def test_a_row_of_the_matrix_names_the_classes_of_its_entries_alone(spark):
+    rows = [(f"w{k} x{k} y{k} z{k} v{k} u{k}",) for k in range(400)]
+    for hot in (np.zeros(0, np.uint64), J.shingle_sets(next(J.chunks(pa.array([rows[7][0]])))[2], 5)[0]):
+        parts = J.incidence(spark.createDataFrame(rows, "text string").coalesce(1), 5, 50, hot).collect()
+        assert sum(len(r["grams"]) // 8 for r in parts) == 800
+        for r in parts:
+            at = np.frombuffer(r["at"], np.uint16)
+            assert set(at.tolist()) == set(range(len(r["classes"]) // 8))
+
+
 def test_no_rows(spark):
     assert got(spark, []) == []
 
