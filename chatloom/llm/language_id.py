@@ -110,10 +110,10 @@ class Profiles:
         return best, np.clip(score, 0, 1)
 
 
-def least(rows: DataFrame, order: list, salt: Column, n: int) -> DataFrame:
-    """The first n rows of each lang in that order, with their rank; first of each of SALTS parts, so that no task takes a whole lang."""
+def least(rows: DataFrame, order: list, salt: Column, n: int, by: str = "lang") -> DataFrame:
+    """The first n rows of each value of `by` in that order, with their rank; first of each of SALTS parts, so that no task takes all of a value."""
     parts = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
-    for keys in (["lang", "_salt"], ["lang"]):
+    for keys in ([by, "_salt"], [by]):
         parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
     return parts.drop("_salt")
 

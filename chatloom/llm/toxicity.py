@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Features are words and their first five bytes. Of the labelled examples (at most `per_class` of each label, the lowest by a hash of
-their id; of near copies, which share a minimum of hashed word 5-grams, one of each label) those features are kept that stand in toxic examples significantly more often (log-likelihood ratio), at most `features`
-of them; document frequencies then are counted over all documents. Examples are cut in blocks; the index keeps each feature's
-postings and its largest weight in every block, which bounds what any example of a block can score, so whole blocks are passed over
-without losing one of the k nearest. The k nearest vote with weights that fall with the distance; a logistic curve, fitted on the
-examples' own votes without themselves and weighted to the labels' true shares, makes the vote a probability. A text without any
-feature gets the share of toxic labels among such examples.
-
-Null, empty and featureless texts get that share too. Rows are scored one by one. A document with several labels counts as toxic if
-one says so; null labels are none. Without both labels the score is the share of toxic labels, or 0.
+Features are words without punctuation at their ends. Examples are at most `per_class` rows of each label,
+the lowest by a hash of their id. Cross-validation over the examples decides which features count: all of them, or those that stand in
+toxic examples significantly more often (log-likelihood ratio, near copies counted once) at one of several levels. Near copies, which
+share a minimum of hashed word 5-grams, are in one fold. Document frequencies are counted over all documents. Examples are cut in blocks;
+the index keeps each feature's postings and its largest weight in every block, which bounds what any example of a block can score, so
+whole blocks are passed over without losing one of the k nearest. The k nearest vote with weights that fall with the distance; a
+logistic curve, fitted on the votes of examples in the folds that didn't know them and weighted to the labels' true shares, makes the
+vote a probability. A text without any feature gets the share of toxic labels among such examples.
+
+Null, empty and featureless texts get that share too; long texts are read whole. Rows are scored one by one, so repeated rows score
+alike. Of an example's repeated ids the least text counts. A document with several labels counts as toxic if one says so; null labels
+and ids are none. Without both labels the score is the share of toxic labels, or 0. Other columns are not read. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -19,20 +22,33 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.kernel import U, Lookup, Words, binaries, chunks, mix, shingle_sets
+from chatloom.llm.kernel import U, Lookup, Words, binaries, chunks, mix, segment_sum, shingle_sets
+from chatloom.llm.language_id import least
 
-BLOCK, K, PREFIX = 64, 15, 5
+BLOCK, K = 64, 15
+#: What cross-validation chooses from: the least log-likelihood ratio of a feature, 0 for all features; and into how many folds examples fall.
+LEVELS, FOLDS = (0.0, 4.0, 8.0, 16.0, 32.0), 4
+#: Bytes that are taken off the ends of words.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def bare(w: Words) -> Words:
+    """The words without punctuation at their ends, but for those that are nothing else."""
+    solid = np.flatnonzero(~MARKS[w.buf])
+    first, last = np.searchsorted(solid, w.start), np.searchsorted(solid, w.end)
+    some = last > first
+    start, end = solid[first[some]], solid[last[some] - 1] + 1
+    return Words(w.buf, start, end, np.append(0, np.cumsum(segment_sum(some.astype(np.int64), w.bounds))), w.sums)
 
 
 def features_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature hash) of all words and prefixes."""
-    doc, size = w.docs(), w.end - w.start
-    long = size > PREFIX
-    stems = w.span_hash(w.start[long], w.start[long] + PREFIX) ^ U(0x5555555555555555)
-    return np.concatenate([doc, doc[long]]), np.concatenate([w.hashes(), stems])
+    """(text, feature hash) of all words."""
+    w = bare(w)
+    return w.docs(), w.hashes()
 
 
 def counted(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,29 +70,31 @@ class Model:
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
     example: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    peak_start: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    peak_block: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    peak: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def index(self, doc: np.ndarray, feature: np.ndarray, tf: np.ndarray) -> None:
-        """Postings by feature and, for each, the largest weight in every block of examples."""
-        n, blocks = len(self.labels), -(-len(self.labels) // BLOCK)
-        weight = self.weights(doc, feature, tf, n)
+        """Postings by feature and, for each, the largest weight in every block of examples that has it."""
+        weight = self.weights(doc, feature, tf, len(self.labels))
         order = np.lexsort((doc, feature))
-        self.example, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(feature[order], np.arange(len(self.idf) + 1))
-        self.peaks = np.zeros((len(self.idf), blocks))
-        np.maximum.at(self.peaks, (feature[order], self.example // BLOCK), self.weight)
+        feature, self.example, self.weight = feature[order], doc[order], weight[order]
+        self.start = np.searchsorted(feature, np.arange(len(self.idf) + 1))
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.append(True, (feature[1:] != feature[:-1]) | (block[1:] != block[:-1]))) if len(feature) else np.zeros(0, dtype=np.int64)
+        self.peak_block = block[new]
+        self.peak = np.maximum.reduceat(self.weight, new) if len(new) else self.weight
+        self.peak_start = np.searchsorted(feature[new], np.arange(len(self.idf) + 1))
 
     def weights(self, doc: np.ndarray, feature: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
         raw = (1 + np.log(tf)) * self.idf[feature]
         return raw / np.sqrt(np.bincount(doc, raw * raw, n))[doc]
 
     def nearest(self, feature: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties to the lower number) and the cosines. Blocks are taken by falling bound until none left can hold a better one."""
-        spans = [slice(self.start[f], self.start[f + 1]) for f in feature]
-        example = np.concatenate([self.example[s] for s in spans])
-        value = np.concatenate([self.weight[s] * w for s, w in zip(spans, weight, strict=True)])
+        """The k examples of largest cosine above 0 (ties, to twelve places, to the lower number) and the cosines. Blocks are taken by falling bound until none left can hold a better one."""
+        example, value = gathered(self.start, self.example, self.weight, feature, weight)
         block = example // BLOCK
-        bound = weight @ self.peaks[feature]
+        bound = np.bincount(*gathered(self.peak_start, self.peak_block, self.peak, feature, weight), -(-len(self.labels) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         scores, done, floor, width = np.zeros(len(self.labels)), 0, 0.0, 4
@@ -89,7 +107,7 @@ class Model:
                 floor = np.partition(scores, -k)[-k]
             done, width = done + width, width * 2
         some = np.flatnonzero(scores > max(floor - 1e-9, 0)) if floor else np.flatnonzero(scores)
-        best = some[np.lexsort((some, -scores[some]))][:k]
+        best = some[np.lexsort((some, -np.round(scores[some], 12)))][:k]
         return best, scores[best]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
@@ -165,8 +183,15 @@ def minima(w: Words, hashes: int = 4) -> pa.Array:
     return binaries(least.ravel(), np.cumsum(ends))
 
 
-def distinct(rows: list) -> list:
-    """Of rows that share a minimum, directly or over others, the first of each label."""
+def gathered(start: np.ndarray, place: np.ndarray, value: np.ndarray, feature: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of some features one after another, their values times the feature's weight."""
+    many = start[feature + 1] - start[feature]
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[feature], many)
+    return place[at], value[at] * np.repeat(weight, many)
+
+
+def near_copies(rows: list) -> np.ndarray:
+    """For each row the first that it shares a minimum with, directly or over others."""
     root, seen = list(range(len(rows))), {}
 
     def find(i: int) -> int:
@@ -177,61 +202,101 @@ def distinct(rows: list) -> list:
 
     for i, r in enumerate(rows):
         for key in enumerate(np.frombuffer(r.minima, dtype=U).tolist()):
-            j = find(seen.setdefault(key, i))
-            root[max(j, find(i))] = min(j, find(i))
-    first = {}
-    for i, r in enumerate(rows):
-        first.setdefault((find(i), r.toxic), r)
-    return list(first.values())
+            j, i_root = find(seen.setdefault(key, i)), find(i)
+            root[max(j, i_root)] = min(j, i_root)
+    return np.array([find(i) for i in range(len(rows))], dtype=np.int64)
+
 
+@dataclass
+class Examples:
+    """Labelled texts: ids, labels y, near-copy groups, the hashes of all features and (doc, at, tf), how often feature `at` stands in a text."""
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, features: int = 4096, significance: float = 30.0) -> Model:
-    """docs: (id, text); labels: (id, toxic), only those to learn from. Bounded: 2 * per_class examples and `features` counts come to the driver."""
+    ids: list[int]
+    y: np.ndarray
+    group: np.ndarray
+    names: np.ndarray
+    doc: np.ndarray
+    at: np.ndarray
+    tf: np.ndarray
+
+    def significant(self, level: float, use: np.ndarray) -> np.ndarray:
+        """The features of the used texts, all at level 0, else those that toxic ones have significantly and four times as often."""
+        seen = use[self.doc]
+        if not level:
+            return np.unique(self.at[seen])
+        key = np.unique(np.stack([self.at[seen], self.group[self.doc[seen]], self.y[self.doc[seen]]]), axis=1)
+        of = np.unique(np.stack([self.group[use], self.y[use]]), axis=1)[1]
+        n1, n0 = int((of == 1).sum()), int((of == 0).sum())
+        bad, good = (np.bincount(key[0][key[2] == v], minlength=len(self.names)) for v in (1, 0))
+        if not n1 or not n0:
+            return np.zeros(0, dtype=np.int64)
+        return np.flatnonzero((ratio(bad.astype(float), good.astype(float), n1, n0) >= level) & (bad / n1 >= 4 * good / n0))
+
+    def model(self, chosen: np.ndarray, idf: np.ndarray, use: np.ndarray) -> Model:
+        """An index of the used texts that have a chosen feature; idf is by feature."""
+        place = np.full(len(self.names), -1)
+        place[chosen] = np.arange(len(chosen))
+        part = (place[self.at] >= 0) & use[self.doc]
+        some = np.unique(self.doc[part])
+        out = Model(Lookup(self.names[chosen]), idf[chosen], self.y[some].astype(float), [self.ids[i] for i in some], 0.0)
+        out.index(np.searchsorted(some, self.doc[part]), place[self.at[part]], self.tf[part])
+        return out
+
+    def votes(self, models: list[Model], fold: np.ndarray) -> np.ndarray:
+        """Every text's vote by the model of its fold, which doesn't know it; nan without any neighbour."""
+        out, bounds = np.full(len(self.y), np.nan), np.searchsorted(self.doc, np.arange(len(self.y) + 1))
+        for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            m = models[fold[i]]
+            found = m.lookup.find(self.names[self.at[lo:hi]])
+            feature, tf = found[found >= 0], self.tf[lo:hi][found >= 0]
+            if len(feature) and len(m.labels):
+                best, cosine = m.nearest(feature, m.weights(np.zeros(len(feature), dtype=np.int64), feature, tf, 1), K)
+                if len(best):
+                    out[i] = m.vote(best, cosine)
+        return out
+
+
+def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> Examples:
+    """At most per_class texts of each label with all their features; they come to the driver."""
+    some = least(labels.withColumn("_hash", F.xxhash64("id")), ["_hash", "id"], F.col("_hash"), per_class, "toxic").select("id", "toxic")
+    rows = docs.join(F.broadcast(some), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))  # at most 2 * per_class ids
+    got = packed(rows).orderBy("id").collect()
+    doc = np.repeat(np.arange(len(got)), [len(r.feature) // 8 for r in got])
+    names, at = np.unique(np.frombuffer(b"".join(r.feature for r in got), dtype=U), return_inverse=True)
+    return Examples([r.id for r in got], np.array([r.toxic for r in got], dtype=np.int64), near_copies(got), names, doc, at, np.frombuffer(b"".join(r.tf for r in got), dtype=np.int32))
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, levels: tuple[float, ...] = LEVELS) -> Model:
+    """docs: (id, text); labels: (id, toxic), only those to learn from. What comes to the driver are 2 * per_class examples and their features' counts."""
     labels = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    some = labels.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
     shares = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    rows = docs.join(F.broadcast(some), "id").select("id", "toxic", "text")  # at most 2 * per_class ids
-    got = distinct(packed(rows).dropDuplicates(["id"]).orderBy("id").collect())
-    total = sum(shares.values())
-    empty = Model(Lookup(np.zeros(0, dtype=U)), np.zeros(0), np.zeros(0), [], shares.get(1, 0) / total if total else 0.0)
-    y = np.array([r.toxic for r in got], dtype=np.int64)
-    if not (y == 1).any() or not (y == 0).any():
-        return empty
-    size = [len(r.feature) // 8 for r in got]
-    doc = np.repeat(np.arange(len(got)), size)
-    feature = np.frombuffer(b"".join(r.feature for r in got), dtype=U)
-    tf = np.frombuffer(b"".join(r.tf for r in got), dtype=np.int32)
-    names, at = np.unique(feature, return_inverse=True)
-    bad, good = np.bincount(at[y[doc] == 1], minlength=len(names)), np.bincount(at[y[doc] == 0], minlength=len(names))
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    g = ratio(bad.astype(float), good.astype(float), n1, n0)
-    chosen = np.flatnonzero((g >= significance) & (bad / n1 >= 4 * good / n0))
-    chosen = np.sort(chosen[np.lexsort((names[chosen], -g[chosen]))][:features])
-    if not len(chosen):
-        return empty
-    lookup = Lookup(names[chosen])
-    n_docs, df = frequencies(docs, lookup)
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[at] >= 0
-    e_doc, e_feature, e_tf = doc[use], place[at[use]], tf[use]
-    some_doc = np.unique(e_doc)
-    model = Model(lookup, np.log((n_docs + 1) / (df + 1)) + 1e-6, y[some_doc].astype(float), [got[i].id for i in some_doc], 0.0)
-    e_doc = np.searchsorted(some_doc, e_doc)
-    model.index(e_doc, e_feature, e_tf)
-    true = {k: shares.get(k, 0) / max(1, n) for k, n in ((1, n1), (0, n0))}  # labels for which an example stands
-    without = np.ones(len(got), dtype=bool)
-    without[some_doc] = False
-    model.nothing = float((0.5 + true[1] * (y[without] == 1).sum()) / (1 + true[1] * (y[without] == 1).sum() + true[0] * (y[without] == 0).sum()))
-    weight, bounds = model.weights(e_doc, e_feature, e_tf, len(some_doc)), np.searchsorted(e_doc, np.arange(len(some_doc) + 1))
-    votes = []
-    for i in range(len(some_doc)):
-        own = slice(bounds[i], bounds[i + 1])
-        best, cosine = model.nearest(e_feature[own], weight[own], K + 1)
-        cosine, best = cosine[best != i], best[best != i]
-        votes.append(model.vote(best[:K], cosine[:K]) if len(best) else 0.0)
-    model.curve = fitted(np.array(votes), model.labels, np.where(model.labels == 1, true[1], true[0]))
+    e, total = examples(docs, labels, per_class), sum(shares.values())
+    n = {k: int((e.y == k).sum()) for k in (1, 0)}
+    if not n[1] or not n[0]:
+        return Model(Lookup(np.zeros(0, dtype=U)), np.zeros(0), np.zeros(0), [], shares.get(1, 0) / total if total else 0.0)
+    weight = np.where(e.y == 1, shares[1] / n[1], shares[0] / n[0])
+    fold = (mix(e.group.astype(U)) % U(FOLDS)).astype(np.int64)
+    every = np.ones(len(e.y), dtype=bool)
+
+    def tried(level: float, idf: np.ndarray) -> tuple[np.ndarray, float, tuple[float, float]]:
+        """Votes of all examples at this level, the log loss that they leave, and what makes them probabilities."""
+        vote = e.votes([e.model(e.significant(level, fold != k), idf, fold != k) for k in range(FOLDS)], fold)
+        none = np.isnan(vote)
+        nothing = (0.5 + weight[none & (e.y == 1)].sum()) / (1 + weight[none].sum())
+        curve = fitted(vote[~none], e.y[~none], weight[~none])
+        p = np.full(len(vote), nothing)
+        p[~none] = 1 / (1 + np.exp(-(curve[0] * vote[~none] + curve[1])))
+        loss = -(weight * np.log(np.clip(np.where(e.y == 1, p, 1 - p), 1e-6, 1))).sum() / weight.sum()
+        return nothing, loss, curve
+
+    own = np.log((len(e.y) + 1) / (np.bincount(e.at, minlength=len(e.names)) + 1)) + 1e-6  # among the examples: enough to compare levels
+    level = min(levels, key=lambda x: tried(x, own)[1])
+    chosen = np.unique(np.concatenate([e.significant(level, every if k < 0 else fold != k) for k in range(-1, FOLDS)]))
+    n_docs, df = frequencies(docs, Lookup(e.names[chosen]))
+    idf = np.zeros(len(e.names))
+    idf[chosen] = np.log((n_docs + 1) / (df + 1)) + 1e-6
+    model = e.model(e.significant(level, every), idf, every)
+    model.nothing, _, model.curve = tried(level, idf)
     return model
 
 

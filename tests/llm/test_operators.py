@@ -339,6 +339,43 @@ def test_toxicity(spark):
     got = {r.id: r.score for r in toxicity.scored(docs, toxicity.learn(docs, labels)).collect()}
     assert all((got[k] >= 0.5) == (k % 3 == 0) for k in range(150)) and got[900] == got[901] < 0.5
     assert {r.score for r in toxicity.scored(docs, toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
+    assert toxicity.scored(docs.limit(0), toxicity.learn(docs.limit(0), labels)).count() == 0
+    assert {r.score for r in toxicity.scored(docs, toxicity.learn(docs.limit(0), labels)).collect()} == {34 / 100}
+
+
+@pytest.mark.parametrize("level", [0.0, 4.0])
+def test_toxicity_against_all_examples(spark, level):
+    """Every score from the cosines with all examples, by plain counts of words without marks at their ends."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda bad: " ".join(rng.choice(words) + rng.choice(["", "", ",", "!!"]) for _ in range(rng.randrange(3, 30))) + (" (Awful) -vile-" if bad and rng.random() < 0.9 else "")
+    rows = [(k, text(k % 3 == 0)) for k in range(120)] + [(500, None), (501, ""), (502, "... !!"), (503, "zz"), (3, "a second text of an id"), (None, "vile")]
+    docs, labels = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)] + [(None, 1), (4, None)], "id long, toxic int")
+    model = toxicity.learn(docs, labels, levels=(level,))
+    split = lambda t: Counter(x for x in (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in plain.words(t)) if x)
+    df = Counter(x for _, t in rows for x in set(split(t)))
+    texts = {i: min(t for j, t in rows if j == i) for i in range(90)}
+    hashes = {x: toxicity.features_of(next(chunks(pa.array([x])))[2])[1][0] for x in df}
+    known = {x for x, h in hashes.items() if model.lookup.find(np.array([h]))[0] >= 0}
+    assert {"awful", "vile"} <= known and (level or known == {x for i in texts for x in split(texts[i])})
+
+    def vector(t):
+        v = {x: (1 + math.log(n)) * (math.log((len(rows) + 1) / (df[x] + 1)) + 1e-6) for x, n in split(t).items() if x in known}
+        return {x: y / math.sqrt(sum(z * z for z in v.values())) for x, y in v.items()}
+
+    index = {i: v for i in texts if (v := vector(texts[i]))}
+    assert sorted(model.ids) == sorted(index)
+    want = []
+    for i, t in rows:
+        v = vector(t)
+        near = sorted(((round(sum(y * u.get(x, 0) for x, y in v.items()), 12), -j) for j, u in index.items()), reverse=True)[: toxicity.K]
+        near = [(c, -j) for c, j in near if c > 0]
+        pull = [(c / (1.05 - min(c, 1)), j) for c, j in near]
+        score = model.calibrated(sum(p for p, j in pull if j % 3 == 0) / sum(p for p, _ in pull)) if near else model.nothing
+        want.append((str(i), float(score)))
+    got = [(str(r.id), r.score) for r in toxicity.scored(docs, model).collect()]
+    close = sum(abs(a[1] - b[1]) < 1e-9 for a, b in zip(sorted(got), sorted(want), strict=True))
+    assert len(got) == len(rows) and close == len(rows)
 
 
 def test_budgets_pour_over_siblings_first():
