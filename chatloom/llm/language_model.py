@@ -11,8 +11,9 @@ through all windows of a text to its end, so every score is the log-likelihood o
 The unigram base needs the count of every word. Counts are gathered over all training texts; the `frequent` most common ones go to
 every task (a fixed bound), the words beyond them meet their counts in a join.
 
-Tokens are the words of a text and one end. Null and empty texts have the end alone. Rows are scored one by one, so repeated rows get
-repeated scores.
+Tokens are the words of a text and one end. Null and empty texts have the end alone; very long ones are trained on in pieces and scored
+whole. Rows are scored one by one, so repeated rows get repeated scores. Other columns are not read. An empty table gives an empty
+one, and without training rows every word is as likely.
 """
 
 from __future__ import annotations
@@ -35,9 +36,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], dtype=x.dtype)
+
+
 def log_sum_exp(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return np.log(row_sums(np.exp(x - top[:, None]))) + top
+    """Over each row. One maximum for all rows is cheaper; where a row is too far below it, each takes its own."""
+    top = x.max()
+    total = row_sums(np.exp(x - top))
+    if total.min() > 1e-25:
+        return np.log(total) + top
+    top = x.max(axis=1, keepdims=True)
+    return np.log(row_sums(np.exp(x - top))) + top[:, 0]
 
 
 def word_classes(counts: np.ndarray) -> np.ndarray:
@@ -51,10 +61,6 @@ def word_classes(counts: np.ndarray) -> np.ndarray:
     return np.unique(out, return_inverse=True)[1]
 
 
-def row_sums(x: np.ndarray) -> np.ndarray:
-    return x @ np.ones(x.shape[1], dtype=x.dtype)
-
-
 class Network:
     """Embedding, gated recurrent cell (reset, update, candidate) and factored output. The words' output rows stand class by class:
     class c has rows edge[c]:edge[c + 1], and a word stands in row `row`."""
@@ -97,6 +103,8 @@ class Network:
 
     def log_likelihood(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target after its state."""
+        if not len(target):
+            return np.zeros(0)
         order, classes = self.by_class(target)
         states, target = states[order], target[order]
         logits = states @ self.p["wc"] + self.p["bc"]
@@ -280,20 +288,41 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 2048, width: int = 24, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 4e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The first n rows of counts (h, c) by falling c, then h. Few more than n are sorted: histograms of c, and of h where c is that of the last row, exclude the rest."""
+    bin_ = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64)).cast("long")
+    above, last = 0, -1
+    for r in sorted(counts.groupBy(bin_.alias("bin")).count().collect(), reverse=True):
+        last = r["bin"]
+        if above + r["count"] >= n:
+            break
+        above += r["count"]
+    rows = counts.where(bin_ > last)
+    ties, part = counts.where(bin_ == last), F.shiftright("h", 52)
+    if last < 4096:
+        upto = 0
+        for r in sorted(ties.groupBy(part.alias("part")).count().collect()):
+            upto += r["count"]
+            if above + upto >= n:
+                ties = ties.where(part <= r["part"])
+                break
+    return rows.unionByName(ties).orderBy(F.desc("c"), "h").limit(n)
+
+
+def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 512, width: int = 24, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 4e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
     """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts, `sample` texts and, each round, one set of weights."""
     own = docs.where(train)
     counts = kept(count_words(own), "word_counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     ends = own.select("id").count()
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toArrow()
+    top = most_frequent(counts, frequent).toArrow()
     words, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
     size = min(len(words), max(0, vocabulary - 2))
     number = np.full(len(words), OTHER, dtype=np.int64)
     number[:size] = np.arange(size) + 2
     network = Network(np.concatenate([[ends, n - c[:size].sum()], c[:size]]).astype(np.float64), width, seed)
     model = Model(Lookup(words), c, number, network, n + ends, v + (ends > 0), ends, float(n - c[:size].sum() + v - size + 1))
-    some = own.where("id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    some = own.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = own.join(F.broadcast(some), "id", "left_semi").orderBy("id", F.xxhash64("text")).select("text").toArrow().column("text")
     lists = []
     for column in texts.chunks:
@@ -397,8 +426,8 @@ def scored(docs: DataFrame, train: Column, **options) -> DataFrame:
     """docs (id, held, text): id, held, n_tokens, n_known, train_tokens, base_score, score. Learns from rows where `train` holds."""
     model, counts = learn(docs, train, **options)
     own = kept(parts(docs, model).withColumn("row", F.monotonically_increasing_id()), "lm_rows")
-    rare = own.select("row", F.explode("beyond").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n"))
-    rare = rare.join(counts, "h").groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    rare = own.select("row", F.explode("beyond").alias("h")).join(counts, "h")  # each of these words is rare: no key is hot
+    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
     out = own.select("row", "id", "held", "n_tokens", "known", "logs", "score").join(rare, "row", "left")
     more = F.coalesce("more_logs", F.lit(0.0))
     lowest = float(np.log10(model.n + model.v + 1))

@@ -234,27 +234,64 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), items, chance=1.0).count() == 0
 
 
-def test_nearest_vectors(spark):
+def true_neighbours(rows, q, k=5):
+    """ids and cosines of the k nearest of the rows with other ids than q's, of each id its nearest."""
+    vector = {i: np.array(v, dtype=float) for i, v in rows}[q]
+    best = {}
+    for i, v in rows:
+        v = np.array(v, dtype=float)
+        if i != q and len(v) == len(vector):
+            best[i] = max(best.get(i, -2), float((v * vector).sum() / np.sqrt((v * v).sum()) / np.sqrt((vector * vector).sum())))
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_vectors(spark, kind):
     rng = np.random.default_rng(2)
-    rows = [(k, rng.standard_normal(16).astype(np.float32).tolist()) for k in range(700)] + [(k, [1.0] + [0.0] * 15) for k in range(700, 1000)]
-    rows += [(2000, None), (2050, [0.0] * 16), (2100, [math.nan] * 16), (2150, [None] * 16), (2200, [1.0, 2.0])]
-    table = spark.createDataFrame(rows, "id long, vector array<float>")
+    rows = [(k, rng.standard_normal(16).astype(np.float32).tolist()) for k in range(700)] + [(k, [1.0] + [0.0] * 15) for k in range(700, 1000)] + [(3, rng.standard_normal(16).astype(np.float32).tolist())]
+    odd = [(2000, None), (2050, [0.0] * 16), (2100, [math.nan] * 16), (2150, [None] * 16), (2200, [1.0, 2.0]), (None, [1.0] * 16), (2250, [])]
+    table = spark.createDataFrame(rows + odd, f"id long, vector array<{kind}>").withColumn("size", F.lit("clash"))
     got = {}
-    for r in nearest_vectors.nearest(table, F.col("id") % 50 == 0, shard=300, block=7).collect():
+    for r in nearest_vectors.nearest(table, F.col("id") % 50 == 0, cell=100, shard=60, block=7).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
-    m = np.array([v for _, v in rows[:1000]], dtype=float)
     hits = 0
     for q in range(0, 1000, 50):
-        s = (m * m[q]).sum(axis=1) / np.sqrt((m * m).sum(axis=1)) / np.sqrt((m[q] * m[q]).sum())
-        s[q] = -2
-        want = np.lexsort((np.arange(1000), -s))[:5].tolist()
+        want = true_neighbours(rows, q)
         found = sorted(got[q])
-        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(c == pytest.approx(s[i], abs=1e-12) for _, i, c in found)
-        hits += len(set(want) & {i for _, i, _ in found})
+        cosines = dict(true_neighbours(rows, q, 10**6))
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(c == pytest.approx(cosines[i], abs=1e-12) for _, i, c in found)
+        hits += len({i for i, _ in want} & {i for _, i, _ in found})
         if q >= 700:
-            assert [i for _, i, _ in found] == want
+            assert [i for _, i, _ in found] == [i for i, _ in want]
     assert hits >= 0.9 * 100 and set(got) == set(range(0, 1000, 50))
     assert nearest_vectors.nearest(table.limit(0), F.lit(True)).count() == 0
+    assert {r.id for r in nearest_vectors.nearest(table.where("id in (1, 2, 2200)"), F.lit(True)).collect()} == {1, 2}
+
+
+def test_nearest_vectors_where_the_test_excludes_most_cells(spark):
+    """Clustered vectors: recall stays, and queries meet few of the cells."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32)) * 3
+    m = (centres[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 32)) * 0.3).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id long, vector array<float>")
+    met, seen = nearest_vectors.met, []
+
+    def counting(index, asked, *rest):
+        seen.append(asked.count())
+        return met(index, asked, *rest)
+
+    nearest_vectors.met = counting
+    try:
+        found = nearest_vectors.nearest(table, F.col("id") % 50 == 0, cell=128).collect()
+    finally:
+        nearest_vectors.met = met
+    unit = m.astype(float) / np.sqrt((m.astype(float) ** 2).sum(axis=1))[:, None]
+    hits = 0
+    for q in range(0, 6000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & {r.id for r in found if r.query_id == q})
+    assert hits >= 0.9 * 600 and sum(seen) < 0.5 * 120 * 64
 
 
 def test_language_model_against_plain_counts_and_steps(spark, docs):
@@ -291,6 +328,24 @@ def test_language_model_learns_from_texts_beyond_the_sample(spark):
     assert len(language_model.scored(docs, F.lit(True)).collect()) == len(language_model.scored(docs, F.lit(False)).collect()) == 3
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 40, 90, 200])
+def test_most_frequent(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.randrange(-(2**63), 2**63), c) for c in [5000, 5001, 9000, 5000] + [rng.choice([1, 1, 1, 2, 2, 3, 50]) for _ in range(100)]]
+    got = [tuple(r) for r in language_model.most_frequent(spark.createDataFrame(rows, "h long, c long"), n).collect()]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
+
+
+def test_language_model_of_nothing(spark):
+    docs = spark.createDataFrame([], "id long, text string, held boolean")
+    assert language_model.scored(docs, F.lit(True)).count() == 0
+
+
+def test_log_sum_exp():
+    x = np.array([[0.0, 1.0], [-500.0, -501.0], [300.0, 1.0]])
+    assert language_model.log_sum_exp(x) == pytest.approx(np.logaddexp.reduce(x, axis=1))
+
+
 def test_gradients():
     network = language_model.Network(np.arange(9, 0, -1).astype(float), 4, 5)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
