@@ -2,35 +2,62 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import functions as F
 
-from chatloom.operators.calls import parse, parse_any, render, same, spans
+from chatloom.operators import calls as K
+
+CALLS = "array<struct<name:string,arguments:string>>"
 
 
 @F.pandas_udf("string")
 def render_udf(calls: pd.Series, prefix: pd.Series) -> pd.Series:
-    return pd.Series([render(a, b) for a, b in zip(calls, prefix, strict=True)])
+    return pd.Series([K.render(a, b) for a, b in zip(calls, prefix, strict=True)], dtype=object)
+
+
+@F.pandas_udf("string")
+def reference_udf(text: pd.Series) -> pd.Series:
+    return text.map(K.literal_reference)
 
 
-@F.pandas_udf("content string, calls string")
+@F.pandas_udf(f"content string, calls {CALLS}")
 def parse_udf(text: pd.Series) -> pd.DataFrame:
-    got = [parse(x) for x in text]
-    return pd.DataFrame({"content": [a for a, _ in got], "calls": [json.dumps(b, sort_keys=True) for _, b in got]})
+    got = [K.parse(x) for x in text]
+    return pd.DataFrame({"content": [a for a, _ in got], "calls": [K.structs(b) for _, b in got]})
 
 
-@F.pandas_udf("string")
-def parse_any_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: json.dumps(parse_any(x), sort_keys=True))
+@F.pandas_udf(f"content string, calls {CALLS}")
+def parse_any_udf(text: pd.Series) -> pd.DataFrame:
+    got = [K.parse_any(x) for x in text]
+    return pd.DataFrame({"content": [a for a, _ in got], "calls": [K.structs(b) for _, b in got]})
 
 
 @F.pandas_udf("boolean")
 def same_udf(key: pd.Series, got: pd.Series, want: pd.Series) -> pd.Series:
-    return pd.Series([same(k, a, b) for k, a, b in zip(key, got, want, strict=True)])
+    return pd.Series([K.same(k, a, b) for k, a, b in zip(key, got, want, strict=True)], dtype=object)
 
 
 @F.pandas_udf("array<struct<start:int,stop:int,role:int>>")
 def spans_udf(text: pd.Series) -> pd.Series:
-    return text.map(spans)
+    return text.map(K.spans)
+
+
+@F.pandas_udf("strict boolean, elastic boolean")
+def legacy_udf(prediction: pd.Series, answer: pd.Series, category: pd.Series, tried: pd.Series) -> pd.DataFrame:
+    known = lambda t: None if t is None or pd.isna(t) else bool(t)
+    return pd.DataFrame([K.legacy(p, a, c, known(t)) for p, a, c, t in zip(prediction, answer, category, tried, strict=True)], columns=["strict", "elastic"])
+
+
+@F.pandas_udf("array<string>")
+def leaves_udf(text: pd.Series) -> pd.Series:
+    return text.map(K.leaf_texts)
+
+
+@F.pandas_udf("array<struct<role:string,content:string>>")
+def messages_udf(text: pd.Series) -> pd.Series:
+    return text.map(K.messages_of)
+
+
+@F.pandas_udf("string")
+def indented_udf(text: pd.Series) -> pd.Series:
+    return text.map(K.indented)

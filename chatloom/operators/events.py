@@ -34,3 +34,8 @@ def best_per_run_suite(evaluations: DataFrame) -> DataFrame:
     """evaluations: run, suite, samples, has_base, evaluated_at, pos. The best by samples, base, time; the first on a tie."""
     by = Window.partitionBy("run", "suite").orderBy(F.desc("samples"), F.desc("has_base"), F.desc("evaluated_at"), "pos")
     return evaluations.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")
+
+
+def compared(runs: DataFrame, sheets: DataFrame, evaluations: DataFrame, default: str = "legacy / unsaved") -> DataFrame:
+    """runs (run, key) with the sheet of their key, or the default, and each of their evaluations; a run without any keeps one row."""
+    return runs.join(sheets, "key", "left").withColumn("sheet", F.coalesce("sheet", F.lit(default))).join(evaluations, "run", "left")

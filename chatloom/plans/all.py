@@ -1,4 +1,4 @@
 """All queries, by importing the modules that register them."""
 
-from chatloom.plans import corpus, scores  # noqa: F401
+from chatloom.plans import calls, corpus, evaluation, scores  # noqa: F401
 from chatloom.plans.registry import QUERIES, SQL  # noqa: F401

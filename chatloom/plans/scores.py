@@ -1,11 +1,10 @@
-"""Queries over predictions, evaluations, events, tool calls and small configuration tables."""
+"""Queries over predictions, evaluations, events and small configuration tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.operators import calls as K
 from chatloom.operators import events as E
 from chatloom.operators import metrics as M
 from chatloom.plans.registry import add, query
@@ -63,17 +62,6 @@ def per_tool_metrics(spark, sf):
     return pred(spark, sf).where("expected_tool is not null").groupBy("expected_tool").agg(F.count("*").alias("expected"), F.count_if(F.col("predicted_tool") == F.col("expected_tool")).alias("correct"), F.count_if("exact").alias("whole"), F.count_if("elastic").alias("tolerant"))
 
 
-@query(f"SELECT expected_tool, sum(fields)::BIGINT AS fields_exact, count(*) * 6 AS fields_expected, round(sum(fields) / greatest(1, count(*) * 6)::DOUBLE, 9) AS micro FROM {PRED} WHERE expected_tool IS NOT NULL GROUP BY 1")
-def field_micro(spark, sf):
-    rows = pred(spark, sf).where("expected_tool is not null").groupBy("expected_tool").agg(F.sum("fields").alias("fields_exact"), (F.count("*") * 6).alias("fields_expected"))
-    return rows.withColumn("micro", F.round(M.per(F.col("fields_exact"), F.col("fields_expected")), 9))
-
-
-@query(f"SELECT samples, {shown(SLICE)} FROM {base('')}")
-def global_rates(spark, sf):
-    return rounded(M.scored(pred(spark, sf)), ["samples"], SLICE)
-
-
 @query(f"""SELECT category, total, strict, tolerant, round(strict / greatest(1, total)::DOUBLE, 9) AS strict_rate, round(tolerant / greatest(1, total)::DOUBLE, 9) AS tolerant_rate FROM (SELECT coalesce(nullif(stratum, ''), nullif("condition", ''), 'unclassified') AS category, count(*) AS total, count(*) FILTER (exact) AS strict, count(*) FILTER (elastic) AS tolerant FROM {PRED} GROUP BY 1)""")
 def category_scores(spark, sf):
     category = F.coalesce(F.nullif("stratum", F.lit("")), F.nullif("condition", F.lit("")), F.lit("unclassified"))
@@ -102,41 +90,6 @@ def bfcl_family_scores(spark, sf):
     return rows.groupBy("version", "family").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 9))
 
 
-V13 = {"exact_accuracy": 0.35, "balanced": 0.15, "mcc_scaled": 0.10, "named_accuracy": 0.20, "parse_rate": 0.10, "accuracy": 0.10, "guard": 0.05}
-V14 = {"exact_accuracy": 0.30, "named_accuracy": 0.20, "accuracy": 0.15, "balanced": 0.15, "mcc_scaled": 0.10, "parse_rate": 0.10, "guard": 0.05}
-GUARDED = "(mcc + 1.0) / 2.0 AS mcc_scaled, least(balanced, parse_rate, accuracy) AS guard"
-
-
-def fitness_sql(weights: dict[str, float]) -> str:
-    terms = " + ".join(f"{w}::DOUBLE * {n}" for n, w in weights.items())
-    return f"""SELECT "condition", round({terms} - 0.1::DOUBLE * greatest(0, elastic_accuracy - exact_accuracy), 9) AS fitness FROM (SELECT *, {GUARDED} FROM {base('"condition"')})"""
-
-
-def fit(spark, sf, weights):
-    rows = M.scored(pred(spark, sf), "condition").withColumn("mcc_scaled", (F.col("mcc") + 1.0) / 2.0).withColumn("guard", F.least("balanced", "parse_rate", "accuracy"))
-    return M.fitness(rows, weights).select("condition", F.round("fitness", 9).alias("fitness"))
-
-
-add("fitness_v13", lambda spark, sf: fit(spark, sf, V13), fitness_sql(V13))
-add("fitness_v14", lambda spark, sf: fit(spark, sf, V14), fitness_sql(V14))
-
-
-@query("SELECT user_id % 50 AS gene, round(0.7 * avg(value) + 0.3 * min(value) - 0.15 * stddev_pop(value), 6) AS robust FROM events WHERE event_id < 400 GROUP BY 1")
-def dual_seed(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 400").groupBy((F.col("user_id") % 50).alias("gene"))
-    return rows.agg(F.round(0.7 * F.avg("value") + 0.3 * F.min("value") - 0.15 * F.stddev_pop("value"), 6).alias("robust"))
-
-
-@query(f"""WITH c AS (SELECT *, max(named_accuracy) FILTER ("condition" = 'src0') OVER () AS bt, max(exact_accuracy) FILTER ("condition" = 'src0') OVER () AS be FROM {base('"condition"')})
-  SELECT "condition", specificity >= 0.3 AND recall >= 0.5 AND balanced >= 0.4 AND named_accuracy >= bt - 0.02 AND exact_accuracy >= be AS passes, round(0.3 * balanced + 0.15 * specificity + 0.15 * recall + 0.2 * named_accuracy + 0.2 * exact_accuracy, 9) AS score FROM c""")
-def screening_gates(spark, sf):
-    rows = M.scored(pred(spark, sf), "condition")
-    first = rows.where("condition = 'src0'").select(F.col("named_accuracy").alias("bt"), F.col("exact_accuracy").alias("be"))
-    rows = rows.join(F.broadcast(first), how="cross")  # one row
-    score = 0.3 * F.col("balanced") + 0.15 * F.col("specificity") + 0.15 * F.col("recall") + 0.2 * F.col("named_accuracy") + 0.2 * F.col("exact_accuracy")
-    return rows.select("condition", F.expr("specificity >= 0.3 and recall >= 0.5 and balanced >= 0.4 and named_accuracy >= bt - 0.02 and exact_accuracy >= be").alias("passes"), F.round(score, 9).alias("score"))
-
-
 @query(f"""SELECT "condition" AS winner FROM {base('"condition"')} ORDER BY round(balanced, 9) DESC, round(exact_accuracy, 9) DESC, round(named_accuracy, 9) DESC, "condition" DESC LIMIT 1""")
 def lexi_winner(spark, sf):
     key = F.struct(F.round("balanced", 9), F.round("exact_accuracy", 9), F.round("named_accuracy", 9), F.col("condition"))
@@ -150,13 +103,6 @@ def non_regression_gate(spark, sf):
     return rows.select(F.col("stratum").alias("category"), "base_total", "new_total", F.coalesce(F.expr("new_ok >= base_ok"), F.lit(False)).alias("passes"), F.expr("new_ok - base_ok").alias("delta"))
 
 
-@query(f"SELECT k AS metric, round(n - b, 9) AS delta FROM (SELECT round(coalesce(max(recall) FILTER (side = 1), 0), 12) AS r1, round(coalesce(max(recall) FILTER (side = 0), 0), 12) AS r0, coalesce(max(specificity) FILTER (side = 1), 0) AS s1, coalesce(max(specificity) FILTER (side = 0), 0) AS s0 FROM (SELECT {RATES} FROM (SELECT doc_id % 2 AS side, {COUNTS} FROM {PRED} p GROUP BY 1))), LATERAL (VALUES ('recall', r1, r0), ('specificity', s1, s0)) t(k, n, b)")
-def base_adapter_delta(spark, sf):
-    rows = M.scored(pred(spark, sf).withColumn("side", F.col("doc_id") % 2), "side")
-    long = rows.selectExpr("side", "stack(2, 'recall', recall, 'specificity', specificity) as (metric, x)")
-    return long.groupBy("metric").agg(F.round(F.coalesce(F.max(F.expr("if(side = 1, x, null)")), F.lit(0.0)) - F.coalesce(F.max(F.expr("if(side = 0, x, null)")), F.lit(0.0)), 9).alias("delta"))
-
-
 # Event logs and evaluations.
 
 
@@ -221,13 +167,12 @@ def avg_common_metric(spark, sf):
     return rows.join(first, "metric").where("x is not null and b is not null").groupBy("stratum").agg(F.round(F.avg(F.col("x") - F.col("b")), 9).alias("average"))
 
 
-@query("SELECT c_custkey AS run, coalesce(n_name, 'legacy / unsaved') AS sheet, o.orders AS evaluations FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20 LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS run, coalesce(n_name, 'legacy / unsaved') AS sheet, o_orderkey AS evaluation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey")
 def run_comparison(spark, sf):
-    sheets = table(spark, sf, "nation").where("n_nationkey < 20").select("n_nationkey", "n_name")
-    evaluations = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("evaluations"))
-    runs = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    rows = runs.join(sheets, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(evaluations, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.select(F.col("c_custkey").alias("run"), F.coalesce("n_name", F.lit("legacy / unsaved")).alias("sheet"), "evaluations")
+    """Every run once for each of its evaluations, or once without; a run without a known sheet gets the default label."""
+    runs = table(spark, sf, "customer").select(F.col("c_custkey").alias("run"), F.col("c_nationkey").alias("key"))
+    sheets = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("sheet"))
+    return E.compared(runs, sheets, table(spark, sf, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("evaluation"))).select("run", "sheet", "evaluation")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 AS updated FROM supplier")
@@ -246,15 +191,6 @@ def survivors(spark, sf):
 
 # Dependencies, grids and small rules.
 
-NEEDS = [("a", "b"), ("b", "c"), ("d", "e"), ("f", "a")]
-
-
-@query("WITH RECURSIVE d(x, y) AS (VALUES ('a','b'),('b','c'),('d','e'),('f','a')), r(x) AS (SELECT 'f' UNION SELECT d.y FROM r JOIN d ON d.x = r.x) SELECT x AS id FROM r")
-def dependency_closure(spark, sf):
-    spark.createDataFrame(NEEDS, "x string, y string").createOrReplaceTempView("needs")
-    return spark.sql("WITH RECURSIVE r(x, depth) AS (SELECT 'f', 0 UNION ALL SELECT n.y, r.depth + 1 FROM r JOIN needs n ON n.x = r.x WHERE r.depth < 50) SELECT DISTINCT x AS id FROM r")
-
-
 @query("SELECT replace(id, 'memory', 'memory_' || v) AS id FROM (VALUES ('memory_1'), ('memory_2')) t(id), (VALUES ('kv'), ('vector'), ('rec_sum')) u(v) UNION ALL SELECT 'simple_1'")
 def variant_expansion(spark, sf):
     ids = spark.createDataFrame([("memory_1",), ("memory_2",), ("simple_1",)], "id string")
@@ -263,18 +199,6 @@ def variant_expansion(spark, sf):
     return rows.select(F.coalesce(F.regexp_replace("id", F.lit("memory"), F.concat(F.lit("memory_"), F.col("v"))), "id").alias("id"))
 
 
-@query("SELECT r_name, n_name, w FROM region, nation, (VALUES (0.1), (0.5)) t(w)")
-def config_grid(spark, sf):
-    """A product of small domains; more than 100000 cells are refused."""
-    domains = [table(spark, sf, "region").select("r_name"), table(spark, sf, "nation").select("n_name"), spark.createDataFrame([(0.1,), (0.5,)], "w double")]
-    cells = 1
-    for d in domains:
-        cells *= d.count()
-    if cells > 100_000:
-        raise ValueError(f"a grid of {cells} cells")
-    return domains[0].crossJoin(domains[1]).crossJoin(domains[2])
-
-
 @query("SELECT role, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM (VALUES (0,0.05,0.85,0.1),(1,1.0,1.0,0.92),(2,1.0,1.0,1.0),(3,1.0,1.0,0.88),(4,1.0,1.0,0.88),(5,1.0,1.0,0.92)) t(role,x,y,z)")
 def target_coordinate(spark, sf):
     role, d = F.col("id"), lambda *v: F.array(*map(F.lit, v))
@@ -282,87 +206,13 @@ def target_coordinate(spark, sf):
     return spark.range(6).select(F.col("id").cast("int").alias("role"), *[spot[k].alias(c) for k, c in enumerate("xyz")])
 
 
-@query("SELECT i, round(greatest(0, 0.1 * (1 + 0.5 * (p - 49.5) / 49.5)), 9) AS alpha FROM (SELECT i, substr('3141592653', 1 + 2 * (i % 5), 2)::INT AS p FROM (SELECT unnest(range(12))::BIGINT AS i))")
-def digit_schedule(spark, sf):
-    pair = F.expr("cast(substr('3141592653', cast(1 + 2 * (id % 5) as int), 2) as int)")
-    return spark.range(12).select(F.col("id").alias("i"), F.round(F.greatest(F.lit(0.0), 0.1 * (1 + 0.5 * (pair - 49.5) / 49.5)), 9).alias("alpha"))
-
-
 @query("SELECT r, s, round(CASE WHEN s THEN 16 / sqrt(r) ELSE 16.0 / r END, 9) AS scale FROM (VALUES (4), (8), (16)) t(r), (VALUES (true), (false)) u(s)")
 def lora_scale(spark, sf):
     rows = spark.createDataFrame([(r, s) for r in (4, 8, 16) for s in (True, False)], "r int, s boolean")
     return rows.withColumn("scale", F.round(F.when(F.col("s"), 16 / F.sqrt("r")).otherwise(16 / F.col("r")), 9))
 
 
-# Tool calls on literals.
-
-TEXTS = ["<|tool_call_start|>[bash(command='ls'), read(path='a')]<|tool_call_end|>", "plain", "<|tool_call_start|>[lsp(operation='x', line=3)]<|tool_call_end|> tail", "<|tool_call_start|>[a.b(x=1)]<|tool_call_end|>"]
-TEXT_VALUES = ", ".join("({}, '{}')".format(k, t.replace("'", "''")) for k, t in enumerate(TEXTS))
-
-
-def texts(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
-
-
-@query(r"SELECT id, array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all(t, '(?s)<\|tool_call_start\|>(.*?)<\|tool_call_end\|>', 1), lambda b: regexp_extract_all(b, '(?:\[|,)\s*([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1))))), ',') AS names FROM (VALUES " + TEXT_VALUES + ") v(id, t)")
-def tool_names(spark, sf):
-    return texts(spark).select("id", F.array_join(K.tool_names(F.col("t")), ",").alias("names"))
-
-
-@query("SELECT * FROM (VALUES (0), (1), (3)) t(id)")
-def allowed_tools_filter(spark, sf):
-    return texts(spark).where(F.size(F.array_except(K.tool_names(F.col("t")), F.array(F.lit("bash"), F.lit("read")))) == 0).select("id")
-
-
-@query("SELECT * FROM (VALUES ('shell','cmd','bash','command'),('lsp','path','lsp','filePath'),('read_file','file_path','read','path'),('other','x','other','x')) t(tool,argument,tool_name,argument_name)")
-def tool_aliases(spark, sf):
-    rows = spark.createDataFrame([("shell", "cmd"), ("lsp", "path"), ("read_file", "file_path"), ("other", "x")], "tool string, argument string")
-    rows = rows.withColumn("tool_name", K.alias(F.col("tool")))
-    return rows.withColumn("argument_name", K.argument_alias(F.col("tool_name"), F.col("argument")))
-
-
-@query("""SELECT * FROM (VALUES (0, 'p<|tool_call_start|>[bash(command=''pytest -q'')]<|tool_call_end|>'), (1, 'p'), (2, '<|tool_call_start|>[read(raw=''oops'')]<|tool_call_end|>')) t(id, shown)""")
-def render_tool_calls(spark, sf):
-    from chatloom.operators import call_udfs as U
-
-    rows = spark.createDataFrame([(0, '[{"function": {"name": "exec_command", "arguments": "{\\"cmd\\": \\"pytest -q\\"}"}}]', "p"), (1, "[{}]", "p"), (2, '[{"name": "read_file", "arguments": "oops"}]', "")], "id int, calls string, prefix string")
-    return rows.select("id", U.render_udf("calls", "prefix").alias("shown"))
-
-
-@query("""SELECT * FROM (VALUES (0, '', '[{"arguments": {"command": "ls"}, "name": "bash"}, {"arguments": {"path": "a"}, "name": "read"}]'), (1, 'plain', '[]'), (2, 'tail', '[{"arguments": {"line": 3, "operation": "x"}, "name": "lsp"}]'), (3, '', '[{"arguments": {"x": 1}, "name": "a.b"}]')) t(id, content, calls)""")
-def call_parse_native(spark, sf):
-    from chatloom.operators import call_udfs as U
-
-    return texts(spark).select("id", U.parse_udf("t").alias("p")).select("id", "p.content", "p.calls")
-
-
-GENERIC = ['{"name": "bash", "arguments": {"command": "ls"}}', '<tool_call>{"name": "bash", "arguments": {"command": "ls"}}</tool_call>', "bash(command='ls')", 'I would say {"name": "bash"} here']
-
-
-@query("""SELECT id, CASE WHEN id < 3 THEN '[{"arguments": {"command": "ls"}, "name": "bash"}]' ELSE '[]' END AS calls FROM (SELECT unnest(range(4))::INT AS id)""")
-def call_parse_generic(spark, sf):
-    from chatloom.operators import call_udfs as U
-
-    return spark.createDataFrame(list(enumerate(GENERIC)), "id int, t string").select("id", U.parse_any_udf("t").alias("calls"))
-
-
-EQUAL = [("timeout", '"30"', "30"), ("path", '"a//b/./c"', '"a/b/c"'), ("command", '"ls \'x\'"', '"ls x"'), ("content", '"a\\n"', '"a"'), ("query", '"a "', '"a"'), ("flag", '"yes"', "true"), ("n", '"3.5"', "4")]
-
-
-@query("SELECT id, id < 4 AS equal FROM (SELECT unnest(range(7))::INT AS id)")
-def elastic_equal(spark, sf):
-    from chatloom.operators import call_udfs as U
-
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(EQUAL)], "id int, key string, got string, want string")
-    return rows.select("id", U.same_udf("key", "got", "want").alias("equal"))
-
-
-@query()
-def role_spans(spark, sf):
-    from chatloom.operators import call_udfs as U
-
-    return texts(spark).select("id", F.explode(U.spans_udf("t")).alias("s")).select("id", "s.start", "s.stop", "s.role")
-
+# Tokens, turns and dialogues.
 
 SPANS, TOKENS = [(0, 5, 1), (3, 9, 2), (12, 20, 4)], [(0, 3), (3, 6), (6, 12), (12, 13), (19, 25), (25, 30)]
 
@@ -393,13 +243,6 @@ def state_binding(spark, sf):
     return rows.withColumn("producer", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before)).where("role = 'assistant'").select("conv_id", "turn", "producer")
 
 
-@query("SELECT doc_id, CASE (rn - 1) % 6 WHEN 0 THEN 'missing-key' WHEN 1 THEN 'wrong-value' WHEN 2 THEN 'extra-key' WHEN 3 THEN 'wrong-type' WHEN 4 THEN 'wrong-tool' ELSE 'extra-prose' END AS mutation FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)")
-def near_miss_pairs(spark, sf):
-    kinds = F.array(*map(F.lit, ["missing-key", "wrong-value", "extra-key", "wrong-type", "wrong-tool", "extra-prose"]))
-    rows = table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("rn"))
-    return rows.select("doc_id", F.get(kinds, F.pmod(F.col("rn") - 1, F.lit(6))).alias("mutation"))
-
-
 DIALOGUE = "USER: hi\n\nASSISTANT: hello <functioncall> {\"name\": \"f\"}\n\nFUNCTION RESPONSE: {}\n\nASSISTANT: done"
 
 

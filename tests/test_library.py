@@ -2,7 +2,6 @@ import json
 
 import pytest
 
-from chatloom.operators import calls as K
 from chatloom.operators import sampling as S
 from chatloom.sources import readers as R
 from chatloom.streaming import logs
@@ -15,25 +14,6 @@ def test_entry_and_guarded_import(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("text", ["<|tool_call_start|>[bash(command='ls')]<|tool_call_end|>", '{"name": "bash", "arguments": {"command": "ls"}}', '```json\n{"name": "bash", "arguments": {"command": "ls"}}\n```', "bash(command='ls')"])
-def test_equal_encodings_of_one_call(text):
-    assert K.parse_any(text) == [{"name": "bash", "arguments": {"command": "ls"}}]
-
-
-def test_prose_with_json_is_no_call():
-    assert K.parse_any('so {"name": "bash"} it is') == []
-
-
-@pytest.mark.parametrize(("key", "got", "want", "equal"), [("t", '"30"', "30", True), ("path", '"a//b"', '"a/b"', True), ("q", '"a "', '"a"', False), ("b", '"TRUE"', "true", True), ("n", '"3.5"', "4", False)])
-def test_elastic(key, got, want, equal):
-    assert K.same(key, got, want) is equal
-
-
-def test_spans_cover_names_and_values():
-    text = "é<|tool_call_start|>[bash(command='ü', n=1)]<|tool_call_end|>"
-    assert [text[s["start"] : s["stop"]] for s in K.spans(text)] == [K.OPEN, "bash", "command", "'ü'", "n", "1", K.CLOSE]
-
-
 def test_json_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n[2]\nbroken\n{"id": 3}\n')
     assert sorted(r.id for r in R.json_lines(spark, str(tmp_path), "id long").collect() if r.id is not None) == [1, 3]
