@@ -309,7 +309,7 @@ def most_frequent(counts: DataFrame, n: int) -> DataFrame:
     return rows.unionByName(ties).orderBy(F.desc("c"), "h").limit(n)
 
 
-def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 512, width: int = 24, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 4e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 512, width: int = 16, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 8e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
     """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts, `sample` texts and, each round, one set of weights."""
     own = docs.where(train)
     counts = kept(count_words(own), "word_counts")
