@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -96,12 +97,13 @@ class Model:
         block = example // BLOCK
         bound = np.bincount(*gathered(self.peak_start, self.peak_block, self.peak, feature, weight), -(-len(self.labels) // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores, done, floor, width = np.zeros(len(self.labels)), 0, 0.0, 4
+        turn = np.empty(len(order), dtype=np.int64)
+        turn[order] = np.arange(len(order))
+        order, turn = order[bound[order] > 0], turn[block]
+        scores, done, floor, width = np.zeros(len(self.labels)), 0, 0.0, 8
         while done < len(order) and bound[order[done]] >= floor - 1e-9:
-            take = order[done : done + width]
-            take = take[bound[take] >= floor - 1e-9]
-            live = np.isin(block, take)
+            to = done + int((bound[order[done : done + width]] >= floor - 1e-9).sum())
+            live = (turn >= done) & (turn < to)
             scores += np.bincount(example[live], value[live], len(self.labels))
             if np.count_nonzero(scores) >= k:
                 floor = np.partition(scores, -k)[-k]
@@ -219,15 +221,21 @@ class Examples:
     at: np.ndarray
     tf: np.ndarray
 
+    @cached_property
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each feature with each group of near copies and label that have it: the feature, and the group's number doubled plus the label."""
+        span = 2 * len(self.y)
+        key = np.unique(self.at * span + 2 * self.group[self.doc] + self.y[self.doc])
+        return key // span, key % span
+
     def significant(self, level: float, use: np.ndarray) -> np.ndarray:
-        """The features of the used texts, all at level 0, else those that toxic ones have significantly and four times as often."""
-        seen = use[self.doc]
+        """The features of the used texts (near copies are used together), all at level 0, else those that toxic ones have significantly and four times as often."""
         if not level:
-            return np.unique(self.at[seen])
-        key = np.unique(np.stack([self.at[seen], self.group[self.doc[seen]], self.y[self.doc[seen]]]), axis=1)
-        of = np.unique(np.stack([self.group[use], self.y[use]]), axis=1)[1]
-        n1, n0 = int((of == 1).sum()), int((of == 0).sum())
-        bad, good = (np.bincount(key[0][key[2] == v], minlength=len(self.names)) for v in (1, 0))
+            return np.unique(self.at[use[self.doc]])
+        feature, of = self.units
+        of = np.isin(of, 2 * self.group[use] + self.y[use])
+        bad, good = (np.bincount(feature[of & (self.units[1] % 2 == v)], minlength=len(self.names)) for v in (1, 0))
+        n1, n0 = (len(np.unique(self.group[use & (self.y == v)])) for v in (1, 0))
         if not n1 or not n0:
             return np.zeros(0, dtype=np.int64)
         return np.flatnonzero((ratio(bad.astype(float), good.astype(float), n1, n0) >= level) & (bad / n1 >= 4 * good / n0))
