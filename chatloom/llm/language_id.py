@@ -172,7 +172,8 @@ def learn(labelled: DataFrame, per_language: int = 2000, length: int = 300) -> P
 
 
 def judged(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """All of docs' columns, then lang_pred and score (docs must not have these)."""
+    """All of docs' columns, then lang_pred and score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

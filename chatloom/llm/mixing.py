@@ -7,7 +7,8 @@ order drawn from the seed and the epoch's number, the longest prefix that fits.
 
 Prefixes are found without sorting a leaf: its rows are dealt by their random order to buckets of bounded size, bucket totals are
 added up, and only the bucket where the budget ends is summed row by row. Null levels form a node of their own. Tokens are words;
-null and empty texts have none. Rows that repeat exactly are taken or left together, as one of all their words. An empty table gives an empty one.
+null and empty texts have none, very long ones all of theirs. Rows that repeat exactly are taken or left together, as one of all their
+words. Other columns pass through, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.store import kept
+from chatloom.llm.store import kept, numbered_columns
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS = 5_000
@@ -95,7 +96,9 @@ def taken_units(docs: DataFrame, levels: list[str], weight: Callable[[tuple], fl
 
 
 def mix(docs: DataFrame, levels: list[str], weight: Callable[[tuple], float], **options) -> DataFrame:
-    """The rows of docs (id, text, levels..., ...) that the mix takes, with n_tokens and copies."""
+    """The rows of docs (id, text, levels..., ...) that the mix takes, with n_tokens and copies, which replace columns of these names."""
     taken, path = taken_units(docs, levels, weight, **options), [f"_l{k}" for k in range(len(levels))]
-    on = [F.col("id").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_t"), *[F.col(c).cast("string").eqNullSafe(F.col(p)) for c, p in zip(levels, path, strict=True)]]
-    return docs.join(taken.hint("shuffle_hash"), reduce(and_, on)).select(*docs.columns, "n_tokens", "copies")
+    plain, back = numbered_columns(docs)
+    own = {c: F.col(f"c{docs.columns.index(c)}") for c in ("id", "text", *levels)}
+    on = [own["id"].eqNullSafe(F.col("_id")), F.xxhash64(own["text"]) == F.col("_t"), *[own[c].cast("string").eqNullSafe(F.col(p)) for c, p in zip(levels, path, strict=True)]]
+    return plain.join(taken, reduce(and_, on)).select(*[x for c, x in back.items() if c not in ("n_tokens", "copies")], "n_tokens", "copies")

@@ -132,6 +132,7 @@ def test_language_id(spark):
         best = min(sorted(away), key=away.get)
         assert got[k][0] == best and got[k][1] == pytest.approx(max(0, 1 - away[best] / (20 * len(own))))
     assert [r.lang_pred for r in language_id.identify(docs, F.lit(False)).collect()] == ["und"] * len(rows)
+    assert language_id.judged(docs.withColumns({"score": F.lit("x"), "lang_pred": F.lit(1)}), language_id.learn(docs.where("id < 0"))).columns == ["id", "text", "lang", "lang_pred", "score"]
     assert language_id.identify(empty(spark, "id long, text string, lang string"), F.lit(True)).count() == 0
 
 
@@ -463,6 +464,9 @@ def test_mixing_takes_the_longest_prefix(spark, docs):
         left = [n for (i, t), n in units.items() if f"s{i % 3}" == leaf[1] and taken.get((i, t), (0,))[0] < 1 + most // leaves[leaf]]
         assert used <= most and (not left or used + max(left) > most or min(left) <= most - used)
     assert mixing.mix(rows.limit(0), ["lang", "source"], lambda p: 1.0).count() == 0
+    clash = ["n_tokens", "copies", "_id", "_t", "_l0", "_bucket", "c0"]
+    out = mixing.mix(rows.withColumns({c: F.lit("mine") for c in clash}), ["lang", "source"], lambda p: 1.0)
+    assert out.columns == ["id", "text", "lang", "source", *clash[2:], "n_tokens", "copies"] and all(r[c] == "mine" for r in out.collect() for c in clash[2:])
 
 
 @pytest.mark.parametrize("name", ["op2_language_id", "op4_toxicity", "op8_token_counts"])
@@ -488,6 +492,26 @@ def test_pipeline_against_plain_stages(spark, sf):
     assert mixed.columns == [*docs.columns, "n_tokens", "copies"] and mixed.where("copies < 1").count() == 0
 
 
+def test_pipeline_stages_of_nothing(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, sf).count() == 0
+
+
+def test_pipeline_cleans_up_behind_itself(spark, sf):
+    import os
+
+    import corpus_pipeline as P
+    from chatloom.llm import store
+
+    before = list(store.MADE)
+    rows = P.run(spark, sf).count()
+    made = [p for p in store.MADE if p not in before]
+    assert rows and all(os.path.exists(p) for p in made) and sum("stage_" in p for p in made) == 1
+
+
 def test_pipeline_drops_texts_unlike_every_learned_language(spark):
     import corpus_pipeline as P
 
