@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as a secret.
@@ -29,17 +29,26 @@ def secret_hits(c: Column) -> Column:
     return hits[0] + hits[1] + hits[2]
 
 
+def where_seen(c: Column, sign: str, pattern: str, mark: str) -> Column:
+    """Replaces a pattern in texts that have a sign of it; the others aren't searched."""
+    return F.when(F.contains(c, F.lit(sign)), F.regexp_replace(c, pattern, mark)).otherwise(c)
+
+
 def skeleton(c: Column) -> Column:
     """Digits, then paths, made alike."""
-    return F.regexp_replace(F.regexp_replace(c, r"\d+", "<N>"), r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+", "<PATH>")
+    return where_seen(F.regexp_replace(c, r"\d+", "<N>"), "/", r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+", "<PATH>")
+
+
+#: What is made alike, in this order, and a sign without which it can't be there.
+MARKS = [("```", r"```[\s\S]*?```", "<BLOCK>"), ("`", r"`[^`]+`", "<LITERAL>"), ("://", r"https?://\S+", "<URL>"), ("/", r"(?:[a-z0-9_.-]+/)+[a-z0-9_.-]+", "<PATH>")]
 
 
 def full_skeleton(c: Column) -> Column:
     """Fences, inline code, links, paths and digits made alike, in this order, on one lower-cased line."""
     c = F.lower(c)
-    for pattern, mark in ((r"```[\s\S]*?```", "<BLOCK>"), (r"`[^`]+`", "<LITERAL>"), (r"https?://\S+", "<URL>"), (r"(?:[a-z0-9_.-]+/)+[a-z0-9_.-]+", "<PATH>"), (r"\d+", "<N>"), (r"\s+", " ")):
-        c = F.regexp_replace(c, pattern, mark)
-    return F.trim(c)
+    for sign, pattern, mark in MARKS:
+        c = where_seen(c, sign, pattern, mark)
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\d+", "<N>"), r"\s+", " "))
 
 
 def word_count(c: Column) -> Column:
@@ -185,3 +194,64 @@ def starts_with_line(c: Column, starter: str) -> Column:
 def sentence_count(c: Column) -> Column:
     """Sentences by closing punctuation (an approximation of a trained splitter)."""
     return F.size(F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda x: stripped(x) != ""))
+
+
+def in_language(detected: Column, code: str) -> Column:
+    """Whether a text is in a language; where none was detected it passes."""
+    return F.coalesce(detected == code, F.lit(True))
+
+
+def sentences_as_said(c: Column, how: str, n: int) -> Column:
+    return relation(sentence_count(c), how, n)
+
+
+#: What a sentence splitter by rules protects or breaks, in this order. <prd> stands for a dot that ends nothing.
+LETTER, PREFIXES, SUFFIXES = "([A-Za-z])", "(Mr|St|Mrs|Ms|Dr)[.]", "(Inc|Ltd|Jr|Sr|Co)"
+STARTERS = r"(Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
+ACRONYMS, SITES = "([A-Z][.][A-Z][.](?:[A-Z][.])?)", "[.](com|net|org|io|gov|edu|me)"
+RULES = [(PREFIXES, "$1<prd>"), (SITES, "<prd>$1"), (r"([0-9])[.]([0-9])", "$1<prd>$2")]
+LATER = [
+    (rf"\s{LETTER}[.] ", " $1<prd> "), (rf"{ACRONYMS} {STARTERS}", "$1<stop> $2"), (rf"{LETTER}[.]{LETTER}[.]{LETTER}[.]", "$1<prd>$2<prd>$3<prd>"), (rf"{LETTER}[.]{LETTER}[.]", "$1<prd>$2<prd>"),
+    (rf" {SUFFIXES}[.] {STARTERS}", " $1<stop> $2"), (rf" {SUFFIXES}[.]", " $1<prd>"), (rf" {LETTER}[.]", " $1<prd>"),
+]
+
+
+def sentences(c: Column) -> Column:
+    """The sentences of a text by rules: abbreviations, numbers, sites and initials keep their dots."""
+    c = F.replace(F.concat(F.lit(" "), c, F.lit("  ")), F.lit("\n"), F.lit(" "))
+    for pattern, to in RULES:
+        c = F.regexp_replace(c, pattern, to)
+    # runs of dots: each is protected, and the run ends a sentence
+    c = F.regexp_replace(c, r"(?<![.])([.]{2,})(?![.])", "$1<stop>")
+    c = F.regexp_replace(c, r"[.](?=[.]+<stop>)|(?<=[.])[.](?=<stop>)", "<prd>")
+    c = F.replace(c, F.lit("Ph.D."), F.lit("Ph<prd>D<prd>"))
+    for pattern, to in LATER:
+        c = F.regexp_replace(c, pattern, to)
+    for old, new in ((".\u201d", "\u201d."), ('."', '".'), ('!"', '"!'), ('?"', '"?'), (".", ".<stop>"), ("?", "?<stop>"), ("!", "!<stop>"), ("<prd>", ".")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    parts = F.transform(F.split(c, "<stop>"), stripped)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def key_sentences(c: Column, wanted: list[str], n: int) -> Column:
+    """As many of the wanted sentences are among a text's."""
+    own = sentences(c)
+    return sum((F.array_contains(own, w).cast("int") for w in wanted), F.lit(0)) == n
+
+
+def rephrased(c: Column, original: Column) -> Column:
+    """Texts that differ between asterisks only; without asterisks there is nothing to compare, which is an error."""
+    plain = lambda x: F.regexp_replace(x, r"\*.*\*", "")
+    return F.when(c.rlike(r"\*.*\*"), plain(c) == plain(original)).otherwise(F.raise_error(F.lit("no change in the form *change me*")).cast("boolean"))
+
+
+def shares_words(rows: DataFrame, key: str, value: str, original: str, low: int, high: int) -> DataFrame:
+    """key and `shares`: whether the words that two texts of a row share, as often as both have them, are from low to high. key is unique.
+
+    Words are counted by row, so the cost is that of the words, not of their pairs.
+    """
+    words_ = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    mine = rows.select(key, F.explode(words_(F.col(value))).alias("w"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    other = rows.select(key, F.explode(words_(F.col(original))).alias("w"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    shared = mine.unionAll(other).groupBy(key, "w").agg(F.least(F.sum("a"), F.sum("b")).alias("n")).groupBy(key).agg(F.sum("n").alias("n"))
+    return rows.select(key).join(shared, key, "left").select(key, F.coalesce("n", F.lit(0)).between(low, high).alias("shares"))

@@ -68,3 +68,57 @@ def first_prompt_dedup(turns: DataFrame, cap: int | None = None) -> DataFrame:
     opening = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"))
     first = opening.groupBy("opening").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("conversations"))
     return first if cap is None else first.orderBy("conv_id").limit(cap)
+
+
+#: What a category's name says about its calls.
+TYPED_NAMES = ("java", "javascript", "sql", "typed")
+
+
+def capabilities(rows: DataFrame) -> DataFrame:
+    """rows: turn and meta (structs of flags, each may be null), structure, category, expected_tool, inferred_tool, turn_index, turn_count.
+
+    What the turn's metadata says comes first, then the record's, then its structure, then what the category and the text suggest.
+    """
+    category = F.lower(F.coalesce("category", F.lit("canonical")))
+    said = lambda name, *rest: F.coalesce(F.col(f"turn.{name}"), F.col(f"meta.{name}"), *rest)
+    tool = said("is_tool", F.col("expected_tool").isNotNull() | F.coalesce("inferred_tool", F.lit(False)))
+    typed = tool
+    for name in TYPED_NAMES:
+        typed = typed | category.contains(name)
+    calls = said("expected_call_count", F.col("structure.expected_call_count"), F.lit(1))
+    return rows.withColumns({
+        "cap_is_tool": tool.cast("int"), "cap_is_parallel": said("is_parallel", category.contains("parallel")).cast("int"), "cap_is_multiturn": said("is_multiturn", (F.col("turn_count") > 1) | category.contains("multi_turn") | category.contains("multiturn")).cast("int"),
+        "cap_is_typed": said("is_typed", typed).cast("int"), "trajectory_weight": 1.0 / F.greatest(F.lit(1), F.col("turn_count")), "cap_is_docstring_derived": said("is_docstring_derived", F.col("structure.is_docstring_derived"), F.lit(False)).cast("int"),
+        "cap_expected_call_count": F.greatest(F.lit(1), F.coalesce(F.nullif(calls, F.lit(0)), F.lit(1))).cast("int"),
+    })
+
+
+#: How turns of a dialogue begin, and how a call is written in them.
+SPEAKERS = r"(?:USER|ASSISTANT|FUNCTION RESPONSE):"
+WRITTEN_CALL = r"(?s)<functioncall>\s*(\{.*?\}(?:\s*\})?)"
+
+
+def dialogues(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (key, system, chat): messages, category and expected_tool of each dialogue; of equal openings the first, `most` at most.
+
+    Calls become native ones, answers of functions the user's; a dialogue with an unreadable call goes, and so does one of fewer than three messages.
+    """
+    from chatloom.operators import call_udfs as U
+
+    turns = F.split(F.trim("chat"), rf"\n\n(?={SPEAKERS})")
+    said = rows.select(key, "system", F.posexplode(turns).alias("pos", "turn")).withColumn("turn", F.regexp_replace("turn", r"(?U)^\s+|\s+$", ""))
+    said = said.withColumn("who", F.regexp_extract("turn", f"^({SPEAKERS})", 1)).where("who <> ''").withColumn("content", F.trim(F.regexp_replace("turn", f"^{SPEAKERS}", "")))
+    said = said.withColumn("content", F.when(F.col("who") == "ASSISTANT:", F.trim(F.replace("content", F.lit("<|endoftext|>"), F.lit("")))).otherwise(F.col("content")))
+    said = said.withColumn("calls", F.when(F.col("who") == "ASSISTANT:", F.regexp_extract_all("content", F.lit(WRITTEN_CALL), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    said = said.withColumn("readable", F.forall("calls", lambda c: F.try_parse_json(c).isNotNull()))
+    shown = U.render_udf(F.concat(F.lit("["), F.array_join("calls", ","), F.lit("]")), F.lit(""))
+    content = F.when(F.size("calls") > 0, shown).when(F.col("who") == "FUNCTION RESPONSE:", F.concat(F.lit("[Tool Output: "), F.col("content"), F.lit("]"))).otherwise(F.col("content"))
+    message = F.struct(F.when(F.col("who") == "ASSISTANT:", "assistant").otherwise("user").alias("role"), content.alias("content"))
+    whole = said.withColumn("m", F.struct("pos", message.alias("message"))).groupBy(key).agg(
+        F.first("system").alias("system"), F.array_sort(F.collect_list("m")).alias("list"), F.max(F.size("calls") > 0).alias("tool"), F.min("readable").alias("valid"), F.min_by("content", F.when(F.col("who") == "USER:", F.col("pos"))).alias("opening"))
+    head = F.struct(F.lit("system").alias("role"), F.trim(F.regexp_replace("system", r"SYSTEM:\s*", "")).alias("content"))
+    whole = whole.withColumn("messages", F.concat(F.array(head), F.transform("list", lambda x: x["message"]))).where(F.col("valid") & (F.size("messages") >= 3))
+    first = Window.partitionBy("opening").orderBy(key)
+    whole = whole.withColumn("rn", F.row_number().over(first)).where("rn = 1").orderBy(key).limit(most)
+    category = F.when(F.size("messages") > 3, "glaive_multiturn").when(F.col("tool"), "glaive_single").otherwise("rehearsal")
+    return whole.select(key, "messages", category.alias("category"), F.when(F.col("tool"), "external_tool").alias("expected_tool"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOOL = F.col
@@ -58,8 +58,29 @@ def fitness(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.withColumn("fitness", total - 0.10 * F.greatest(F.lit(0.0), F.col("elastic_accuracy") - F.col("exact_accuracy")))
 
 
-def nearest_rank(values: Column, fraction: float) -> Column:
-    """The value at index min(n - 1, round((n - 1) * fraction)) of the sorted list, half to even; 0 for none."""
-    listed = F.sort_array(F.collect_list(values))
-    at = F.bround((F.size(listed) - 1) * F.lit(fraction)).cast("int")
-    return F.coalesce(F.get(listed, F.least(F.size(listed) - 1, at)), F.lit(0))
+def nearest_ranks(rows: DataFrame, by: str, value: str, fractions: dict[str, float]) -> DataFrame:
+    """For each `by` and fraction the value at index min(n - 1, round((n - 1) * fraction)) of the sorted list, half to even.
+
+    Equal values are counted first, so the window runs over distinct values alone.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(by).orderBy(value)
+    counts = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
+    at = {name: F.least(F.col("all") - 1, F.bround((F.col("all") - 1) * F.lit(f))) for name, f in fractions.items()}
+    hit = lambda i: F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("n") <= i), F.col(value)))
+    return counts.groupBy(by).agg(*[hit(i).alias(name) for name, i in at.items()])
+
+
+def classifier(rows: DataFrame, label: str, p: str, threshold: float = 0.5) -> DataFrame:
+    """auroc (ties count half; null without both labels), precision, recall, f1 and specificity of scores p for label 1.
+
+    Equal scores are counted first; the rank sum runs over distinct scores.
+    """
+    y = F.col(label) == 1
+    counts = rows.groupBy(p).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+    below = F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy(p)) - F.col("neg")
+    area = counts.withColumn("below", below).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
+    hit = F.col(p) >= threshold
+    parts = rows.agg(F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"))
+    both = area.join(parts)  # one row each
+    return both.select("auroc", per(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), per(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), per(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), per(F.col("tn"), F.col("tn") + F.col("fp")).alias("specificity"))

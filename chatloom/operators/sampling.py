@@ -12,6 +12,32 @@ def draw(seed: str, *keys: Column) -> Column:
     return sha(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]))
 
 
+def drawn_bucket(c: Column) -> Column:
+    """Which of 4096 even parts of the order a drawn key is in."""
+    return F.conv(F.substring(c, 1, 3), 16, 10).cast("long")
+
+
+def id_bucket(c: Column) -> Column:
+    """Which run of 65536 whole numbers a number is in."""
+    return F.floor(c / 65536)
+
+
+def ranked(rows: DataFrame, name: str, bucket: Column, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the position from 1 of each row in a total order (within each `by`), and n, how many there are.
+
+    The order is cut in buckets that rise with it. Rows are numbered within their bucket, and what the buckets before hold is added: the
+    only window over all is over one row a bucket, so no task takes all rows.
+    """
+    rows = rows.withColumn("_bucket", bucket)
+    every = Window.partitionBy(*(by or (F.lit(0),)))
+    sums = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_own"))
+    sums = sums.withColumn("_before", F.sum("_own").over(every.orderBy("_bucket")) - F.col("_own")).withColumn("n", F.sum("_own").over(every)).drop("_own")
+    same = [rows[c].eqNullSafe(sums[c]) for c in (*by, "_bucket")]
+    rows = rows.join(sums, same).drop(*[sums[c] for c in (*by, "_bucket")])
+    within = Window.partitionBy(*by, "_bucket").orderBy(*order)
+    return rows.withColumn(name, F.col("_before") + F.row_number().over(within)).drop("_before", "_bucket")
+
+
 def shuffled_limit(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n rows by their drawn order; a top-n, not a full sort."""
     return rows.withColumn("drawn", draw(seed, F.col(key))).orderBy("drawn").limit(n)
@@ -21,28 +47,29 @@ def group_split(rows: DataFrame, group: str, share: float, seed: str) -> DataFra
     """Adds `side`: whole groups go to eval, at least one and not all, about share of them (half to even)."""
     groups = rows.select(group).distinct().withColumn("drawn", draw(seed, F.col(group)))
     n = groups.agg(F.count("*").alias("n")).select("n", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * share))).cast("int").alias("k"))
-    # the k lowest draws: one row of counts meets the groups, whose rank comes from a global order over group ids alone
-    ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy("drawn")))
-    chosen = ranked.join(F.broadcast(n), F.col("rank") <= F.col("k"), "left_semi").select(group, F.lit("eval").alias("side"))
+    # the k lowest draws: one row of counts meets the groups
+    chosen = ranked(groups, "rank", drawn_bucket(F.col("drawn")), [F.col("drawn")]).drop("n").join(F.broadcast(n), F.col("rank") <= F.col("k"), "left_semi").select(group, F.lit("eval").alias("side"))
     return rows.join(chosen, group, "left").withColumn("side", F.coalesce("side", F.lit("train")))
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
     """Of each stratum max(1, min(n, ceil(n * share))) rows without replacement."""
-    size = Window.partitionBy(stratum)
-    order = size.orderBy(draw(seed, F.col(stratum), F.col(key)), key)
-    rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("size", F.count("*").over(size))
+    key_order = draw(seed, F.col(stratum), F.col(key))
+    rows = ranked(rows, "rank", drawn_bucket(key_order), [key_order, F.col(key)], (stratum,)).withColumnRenamed("n", "size")
     return rows.where(F.col("rank") <= F.greatest(F.lit(1), F.least(F.col("size"), F.ceil(F.col("size") * share))))
 
 
 def drawn_with_replacement(rows: DataFrame, key: str, count: int, seed: str) -> DataFrame:
     """Each row once until the pool is used up, then further draws: (key, copies) of exactly count draws from a non-empty pool."""
     n = rows.count()
-    ranked = rows.select(key).withColumn("rank", F.row_number().over(Window.orderBy(draw(seed, F.col(key)), key)) - 1)
+    if not n:
+        raise ValueError("nothing to draw from")
+    order = draw(seed, F.col(key))
+    drawn = ranked(rows.select(key), "rank", drawn_bucket(order), [order, F.col(key)]).withColumn("rank", F.col("rank") - 1)
     if count <= n:
-        return ranked.where(F.col("rank") < count).select(key, F.lit(1).cast("long").alias("copies"))
+        return drawn.where(F.col("rank") < count).select(key, F.lit(1).cast("long").alias("copies"))
     # as many times as the draws go round, and once more for the first of the rest
-    return ranked.select(key, (F.lit(count // n) + F.when(F.col("rank") < count % n, 1).otherwise(0)).cast("long").alias("copies"))
+    return drawn.select(key, (F.lit(count // n) + F.when(F.col("rank") < count % n, 1).otherwise(0)).cast("long").alias("copies"))
 
 
 def weighted_quotas(categories: DataFrame, total: int) -> DataFrame:
@@ -58,22 +85,21 @@ def weighted_quotas(categories: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("quota", F.lit(floor) + F.col("whole") + F.when(F.col("rank") <= F.col("missing"), 1).otherwise(0))
 
 
-def interleaved(rows: DataFrame, category: str, category_order: Column, order: Column) -> DataFrame:
-    """Round-robin over categories: position is by turn, then category."""
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(category).orderBy(order))).withColumn("cat_idx", category_order)
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("turn", "cat_idx", order)))
+def interleaved(rows: DataFrame, category: str, category_order: Column, order: str) -> DataFrame:
+    """Round-robin over categories: position is by turn, then category. order is a whole number."""
+    rows = ranked(rows, "turn", id_bucket(F.col(order)), [F.col(order)], (category,)).drop("n").withColumn("cat_idx", category_order)
+    return ranked(rows, "position", id_bucket(F.col("turn")), [F.col("turn"), F.col("cat_idx"), F.col(order)]).drop("n")
 
 
-def spaced(rows: DataFrame, is_rehearsal: Column, order: Column) -> DataFrame:
-    """One rehearsal row after every third other row; what is left of them comes last."""
+def spaced(rows: DataFrame, is_rehearsal: Column, order: str) -> DataFrame:
+    """One rehearsal row after every third other row; what is left of them comes last. order is a whole number."""
     rows = rows.withColumn("rehearsal", is_rehearsal)
-    by = Window.partitionBy("rehearsal")
-    rows = rows.withColumn("rn", F.row_number().over(by.orderBy(order))).withColumn("mine", F.count("*").over(by)).withColumn("all", F.count("*").over(Window.partitionBy(F.lit(0))))
-    hard, easy = F.when(F.col("rehearsal"), F.col("all") - F.col("mine")).otherwise(F.col("mine")), F.when(F.col("rehearsal"), F.col("mine")).otherwise(F.col("all") - F.col("mine"))
-    at_hard = F.col("rn") + F.least(F.floor((F.col("rn") - 1) / 3), easy)
-    at_easy = F.when(3 * F.col("rn") <= hard, 4 * F.col("rn")).otherwise(hard + F.col("rn"))
+    sizes = rows.agg(F.count_if("rehearsal").alias("easy"), F.count_if(~F.col("rehearsal")).alias("hard"))
+    rows = ranked(rows, "rn", id_bucket(F.col(order)), [F.col(order)], ("rehearsal",)).drop("n").join(F.broadcast(sizes))  # one row
+    at_hard = F.col("rn") + F.least(F.floor((F.col("rn") - 1) / 3), F.col("easy"))
+    at_easy = F.when(3 * F.col("rn") <= F.col("hard"), 4 * F.col("rn")).otherwise(F.col("hard") + F.col("rn"))
     return rows.withColumn("position", F.when(F.col("rehearsal"), at_easy).otherwise(at_hard).cast("long"))
 
 
-def folds(rows: DataFrame, order: Column, k: int) -> DataFrame:
-    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(k)))
+def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
+    return ranked(rows, "rn", id_bucket(F.col(order)), [F.col(order)]).withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k))).drop("rn", "n")

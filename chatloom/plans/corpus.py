@@ -37,11 +37,22 @@ def conversation_group_ids(spark, sf):
     return C.records(table(spark, sf, "conversations")).select("conv_id", "group_id", F.size("messages").cast("long").alias("messages"))
 
 
-@query(f"SELECT sha256(string_agg(example_hash, chr(10) ORDER BY conv_id, turn)) AS fingerprint, count(*) AS n, count(DISTINCT example_hash) AS distinct_n FROM ({EXAMPLES_SQL})")
+@query(f"""SELECT (SELECT sha256(string_agg(h, chr(10) ORDER BY b)) FROM (SELECT b // 1024 AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM (SELECT conv_id // 1024 AS b, sha256(string_agg(example_hash, chr(10) ORDER BY conv_id, turn)) AS h FROM ({EXAMPLES_SQL}) GROUP BY 1) GROUP BY 1)) AS fingerprint,
+  count(*) AS n, count(DISTINCT example_hash) AS distinct_n FROM ({EXAMPLES_SQL})""")
 def sealed_profile(spark, sf):
+    """An ordered fingerprint as a tree of hashes: every level hashes lists of bounded length, so no row holds all."""
     rows = examples(spark, sf).select("conv_id", "turn", "example_hash")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "example_hash"))), lambda x: x.example_hash)
-    return rows.agg(T.sha(F.array_join(listed, "\n")).alias("fingerprint"), F.count("*").alias("n"), F.countDistinct("example_hash").alias("distinct_n"))
+    counts = rows.agg(F.count("*").alias("n"), F.countDistinct("example_hash").alias("distinct_n"))
+    return fingerprint(rows, "conv_id", ["conv_id", "turn"], "example_hash").join(counts)  # one row each
+
+
+def fingerprint(rows: DataFrame, number: str, order: list[str], h: str, levels: int = 2, width: int = 1024) -> DataFrame:
+    """One hash of all rows' hashes h in order, repeats included; number is the whole number that order begins with."""
+    join = lambda keys, c: T.sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(c).alias("_h")))), lambda x: x["_h"]), "\n"))
+    level = rows.groupBy(F.floor(F.col(number) / width).alias("b")).agg(join(order, h).alias("h"))
+    for _ in range(levels - 1):
+        level = level.groupBy(F.floor(F.col("b") / width).alias("up")).agg(join(["b"], "h").alias("h")).withColumnRenamed("up", "b")
+    return level.agg(join(["b"], "h").alias("fingerprint"))
 
 
 @query(f"SELECT conv_id, turn, length(m) AS chars, sha256(m) AS text_hash FROM (SELECT conv_id, turn, json_extract_string(completion_json, '$[0].content') AS m FROM ({EXAMPLES_SQL}))")
@@ -155,7 +166,7 @@ def full_skeletons(spark, sf):
 @query("""WITH f AS (SELECT DISTINCT text, (row_number() OVER (ORDER BY doc_id) - 1) % 3 AS fold FROM documents)
   SELECT a.fold AS a, b.fold AS b, count(*) AS shared FROM f a JOIN f b ON a.text = b.text AND a.fold < b.fold GROUP BY ALL""")
 def fold_overlap_pairs(spark, sf):
-    f = S.folds(table(spark, sf, "documents").select("doc_id", T.sha(F.col("text")).alias("h")), F.col("doc_id"), 3).select("h", F.col("fold").cast("long").alias("fold")).distinct()
+    f = S.folds(table(spark, sf, "documents").select("doc_id", T.sha(F.col("text")).alias("h")), "doc_id", 3).select("h", F.col("fold").cast("long").alias("fold")).distinct()
     return f.withColumnRenamed("fold", "a").join(f.withColumnRenamed("fold", "b"), "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -292,7 +303,8 @@ def weighted_quotas(spark, sf):
 def candidate_mix(spark, sf):
     quotas = S.weighted_quotas(spark.createDataFrame(QUOTAS, "category string, idx int, weight double"), 181).select("category", "quota")
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"))
-    docs = docs.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(S.draw("5", F.col("doc_id")), "doc_id"))).join(F.broadcast(quotas), "category")
+    order = S.draw("5", F.col("doc_id"))
+    docs = S.ranked(docs, "r", S.drawn_bucket(order), [order, F.col("doc_id")], ("category",)).join(F.broadcast(quotas), "category")  # a row a category
     rows = docs.where("r <= ceil(quota / 2)").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2)))).where("(r - 1) * 2 + k <= quota")
     return rows.groupBy("category").agg(F.count("*").alias("rows_taken"), F.countDistinct("doc_id").alias("cases"))
 
@@ -302,25 +314,25 @@ ORDER_CAT = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY t, c, doc_id) AS position FROM (SELECT doc_id, {ORDER_CAT} AS c, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS t FROM documents)")
 def order_interleaved(spark, sf):
-    return S.interleaved(table(spark, sf, "documents").select("doc_id", "lang"), "lang", F.expr(ORDER_CAT), F.col("doc_id")).select("doc_id", F.col("position").cast("long").alias("position"))
+    return S.interleaved(table(spark, sf, "documents").select("doc_id", "lang"), "lang", F.expr(ORDER_CAT), "doc_id").select("doc_id", F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, doc_id) AS position FROM documents")
 def order_hard_first(spark, sf):
-    by = F.expr("CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END")
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.orderBy(by, "doc_id")).cast("long").alias("position"))
+    rows = table(spark, sf, "documents").select("doc_id", F.expr("CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END").alias("c"))
+    return S.ranked(rows, "position", F.struct("c", S.id_bucket(F.col("doc_id")).alias("b")), [F.col("doc_id")]).select("doc_id", "position")
 
 
 @query("""WITH r AS (SELECT doc_id, lang = 'es' AS easy, row_number() OVER (PARTITION BY lang = 'es' ORDER BY doc_id) AS rn, count(*) FILTER (lang = 'es') OVER () AS ne, count(*) FILTER (lang <> 'es') OVER () AS nh FROM documents)
   SELECT doc_id, (CASE WHEN NOT easy THEN rn + least((rn - 1) // 3, ne) WHEN 3 * rn <= nh THEN 4 * rn ELSE nh + rn END)::BIGINT AS position FROM r""")
 def order_rehearsal_spaced(spark, sf):
-    return S.spaced(table(spark, sf, "documents").select("doc_id", "lang"), F.col("lang") == "es", F.col("doc_id")).select("doc_id", "position")
+    return S.spaced(table(spark, sf, "documents").select("doc_id", "lang"), F.col("lang") == "es", "doc_id").select("doc_id", "position")
 
 
 @query("SELECT side, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('8:' || doc_id)) <= floor(count(*) OVER () * 0.85) THEN 'train' ELSE 'dev' END AS side FROM documents) GROUP BY side")
 def positional_split(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", S.draw("8", F.col("doc_id")).alias("k"))
-    rows = rows.withColumn("side", F.when(F.row_number().over(Window.orderBy("k")) <= F.floor(F.count("*").over(Window.partitionBy(F.lit(0))) * 0.85), "train").otherwise("dev"))
+    rows = S.ranked(rows, "rn", S.drawn_bucket(F.col("k")), [F.col("k")]).withColumn("side", F.when(F.col("rn") <= F.floor(F.col("n") * 0.85), "train").otherwise("dev"))
     return rows.groupBy("side").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
@@ -328,22 +340,21 @@ def positional_split(spark, sf):
   WHERE (fold = 0 AND rn <= n // 2) OR (fold = 1 AND rn > n // 2) GROUP BY source""")
 def round_dev_rotation(spark, sf):
     rows = table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") % 2).alias("fold"))
-    by = Window.partitionBy("source", "fold")
-    rows = rows.withColumn("rn", F.row_number().over(by.orderBy("doc_id"))).withColumn("n", F.count("*").over(by))
+    rows = S.ranked(rows, "rn", S.id_bucket(F.col("doc_id")), [F.col("doc_id")], ("source", "fold"))
     return rows.where("(fold = 0 and rn <= floor(n / 2)) or (fold = 1 and rn > floor(n / 2))").groupBy("source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
 @query("SELECT lang, greatest(min(n), 0) AS lowest, max(CASE WHEN i = least(c - 1, round_even((c - 1) * 0.5, 0)) THEN n END) AS p50, max(CASE WHEN i = least(c - 1, round_even((c - 1) * 0.95, 0)) THEN n END) AS p95 FROM (SELECT lang, n_chars AS n, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM documents) GROUP BY lang")
 def percentile_profile(spark, sf):
-    from chatloom.operators.metrics import nearest_rank
+    from chatloom.operators.metrics import nearest_ranks
 
-    return table(spark, sf, "documents").groupBy("lang").agg(F.min("n_chars").alias("lowest"), nearest_rank(F.col("n_chars"), 0.5).alias("p50"), nearest_rank(F.col("n_chars"), 0.95).alias("p95"))
+    return nearest_ranks(table(spark, sf, "documents"), "lang", "n_chars", {"lowest": 0.0, "p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT l.doc_id, l.quality, row_number() OVER (ORDER BY l.doc_id) AS position FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 def answer_alignment(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", "quality").join(table(spark, sf, "documents").select("doc_id"), "doc_id")
-    return rows.select("doc_id", "quality", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("position"))
+    return S.ranked(rows, "position", S.id_bucket(F.col("doc_id")), [F.col("doc_id")]).select("doc_id", "quality", "position")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

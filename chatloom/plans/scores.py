@@ -241,27 +241,3 @@ def state_binding(spark, sf):
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     return rows.withColumn("producer", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before)).where("role = 'assistant'").select("conv_id", "turn", "producer")
-
-
-DIALOGUE = "USER: hi\n\nASSISTANT: hello <functioncall> {\"name\": \"f\"}\n\nFUNCTION RESPONSE: {}\n\nASSISTANT: done"
-
-
-@query("SELECT * FROM (VALUES (0, 'user', 'hi', false), (1, 'assistant', 'hello <functioncall> {\"name\": \"f\"}', true), (2, 'tool', '{}', false), (3, 'assistant', 'done', false)) t(pos, role, content, has_call)")
-def dialogue_parse(spark, sf):
-    rows = spark.createDataFrame([(DIALOGUE,)], "t string").select(F.posexplode(F.split("t", r"\n\n(?=(?:USER|ASSISTANT|FUNCTION RESPONSE):)")).alias("pos", "turn"))
-    who = F.regexp_extract("turn", r"^(USER|ASSISTANT|FUNCTION RESPONSE):", 1)
-    content = F.trim(F.regexp_replace("turn", r"^(?:USER|ASSISTANT|FUNCTION RESPONSE):", ""))
-    return rows.select("pos", F.when(who == "USER", "user").when(who == "ASSISTANT", "assistant").otherwise("tool").alias("role"), content.alias("content"), content.contains("<functioncall>").alias("has_call"))
-
-
-@query()
-def router_logreg(spark, sf):
-    """A class-balanced logistic router over embeddings: label 0 against the others."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    rows = table(spark, sf, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") == 0).cast("double").alias("label"))
-    share = rows.agg(F.avg("label")).head()[0]
-    rows = rows.withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    model = LogisticRegression(maxIter=20, regParam=0.01, weightCol="w").fit(rows)
-    return model.transform(rows).select("vec_id", "label", "prediction")
