@@ -141,12 +141,6 @@ def stride_events(spark, sf):
     return E.strided(table(spark, sf, "events").select("event_type", "event_id"), "event_type", "event_id", 300).select("event_type", "event_id")
 
 
-@query("SELECT event_type, count(*) AS n, sum(count(*)) OVER (ORDER BY event_type) AS upto FROM events GROUP BY 1")
-def running_progress(spark, sf):
-    rows = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return rows.withColumn("upto", F.sum("n").over(Window.orderBy("event_type")))
-
-
 @query("SELECT s.event_type, CASE WHEN u.n IS NULL THEN 'UNOPENED' ELSE 'USED x' || u.n END AS badge FROM (SELECT DISTINCT event_type FROM events) s LEFT JOIN (SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1) u USING (event_type)")
 def suite_usage(spark, sf):
     events = table(spark, sf, "events")

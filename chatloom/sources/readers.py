@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | T.StructType, limit: int | None = None) -> DataFrame:
-    """Objects of the JSON-lines files under path; blank lines count towards each file's limit, anything but an object is dropped."""
+    """Objects of the JSON-lines files under path; blank lines count towards each file's limit, anything but a whole object is dropped."""
     lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     if limit is not None:
         by = Window.partitionBy("file").orderBy("block", F.monotonically_increasing_id())
         lines = lines.withColumn("n", F.row_number().over(by)).where(F.col("n") <= limit)
-    return lines.where(F.btrim("value").startswith("{")).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("row"), "value").where("row is not null").select("row.*")
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    row = F.from_json("value", T.StructType([*fields.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.where(F.btrim("value").startswith("{")).select(row.alias("row"), "value").where("row is not null and row._bad is null").select("row.*").drop("_bad")
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -36,8 +38,9 @@ def dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     """A dataset by what is there: all Parquet files of a folder if it has any, else its JSON files; a single file by its suffix."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names: list[str] = []
     if fs.getFileStatus(fs_path).isDirectory():
-        files, names = fs.listFiles(fs_path, True), []
+        files = fs.listFiles(fs_path, True)
         while files.hasNext():
             names.append(files.next().getPath().getName())
         kind = next((k for k in ("parquet", "json") if any(n.endswith((f".{k}", f".{k}l")) for n in names)), None)
@@ -47,7 +50,9 @@ def dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
         raise ValueError(f"no Parquet or JSON data under {path}")
     if kind == "parquet":
         return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(path, schema=schema)
+    found = [(glob, many) for glob, many in (("*.jsonl", False), ("*.json", True)) if any(n.endswith(glob[1:]) for n in (names or [path]))]
+    parts = [spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path, schema=schema, multiLine=many) for glob, many in found]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def first_objects(spark: SparkSession, path: str, schema: str, glob: str = "*") -> DataFrame:
