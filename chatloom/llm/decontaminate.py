@@ -3,11 +3,14 @@ alignment of the passage with the item scores exact, edited and paraphrased copi
 
 A seed is the shortest run of 3 to 8 item words whose expected number of chance occurrences, from the frequencies of its words over
 all documents, is at most `chance`. So a seed stays rare by its words however often the item itself leaked. Items without any such
-run use their longest runs. Seeds that stand near one another make a passage; it is aligned with the item by words (match 2,
+run use their longest runs. Besides, of each item six runs of three words that don't overlap, the rarest, are seeds whatever the size of the corpus, so that a
+copy with few words left in a row is found in a large corpus as in a small one. Seeds that stand near one another make a passage; it is aligned with the item by words (match 2,
 mismatch -1, gap -1), and its score is the alignment's share of the best possible one.
 
 Items are taken in blocks of at most `block` from the benchmark, all documents against each block, so what a task holds is
-bounded. Null and empty texts and items match nothing. Repeated rows of an id give one result, the best.
+bounded. Null and empty texts and items match nothing; long ones are read whole. Repeated rows of an id give one result, the best.
+`without_leaks` judges every row by itself and keeps all columns, whatever their names. An empty table gives an empty one, and an empty
+benchmark no results.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from chatloom.llm.kernel import U, Lookup, Words, chunks, ngrams
 
 SHORTEST, LONGEST, PAD = 3, 8, 4
+#: So many of an item's shortest runs, the rarest that don't overlap, are always seeds.
+ALWAYS = 6
 
 
 @dataclass
@@ -80,7 +85,12 @@ def prepared(docs: DataFrame, rows: list, chance: float) -> Items:
                     found.append((n, at))
                     break
         n = min(LONGEST, len(x))
-        for n, at in found or [(n, at) for at in range(len(x) - n + 1)]:
+        found = found or [(n, at) for at in range(len(x) - n + 1)]
+        apart: list[int] = []
+        for _, at in sorted((p[at + SHORTEST] - p[at], at) for at in range(len(x) - SHORTEST + 1)):
+            if len(apart) < ALWAYS and all(abs(at - b) >= SHORTEST for b in apart):
+                apart.append(at)
+        for n, at in sorted({*found, *((SHORTEST, at) for at in apart)}):
             spots.setdefault(n, []).append((i, at))
     seeds = {}
     for n, places in spots.items():

@@ -6,7 +6,8 @@ so cut. Reading a character follows an edge, or pops pieces and tries again from
 its length. All distinct words of a chunk are read in step.
 
 Words are maximal runs without white space, A-Z lower-cased, read as bytes with an end mark. A word that can't be cut into pieces
-counts as one token, and as unknown. Null and empty texts have no token. Rows are counted one by one.
+counts as one token, and as unknown. Null and empty texts have no token; very long ones are read whole. Rows are counted one by one, so
+repeated rows have equal counts. Other columns are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations

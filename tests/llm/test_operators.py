@@ -204,6 +204,7 @@ def test_token_counts(spark, docs):
     got = sorted(tuple(r) for r in token_counts.token_counts(docs.unionByName(spark.createDataFrame(extra, docs.schema)), pieces).collect())
     want = sorted((i, len(w), sum(greedy(x) or 1 for x in w), sum(greedy(x) is None for x in w)) for i, t in [*ROWS, *extra] for w in [plain.words(t)])
     assert got == want
+    assert token_counts.token_counts(empty(spark), pieces).count() == 0 and token_counts.token_counts(docs.withColumn("n_words", F.lit("x")), pieces).count() == len(ROWS)
 
 
 def plain_align(item, passage):
@@ -269,6 +270,29 @@ def test_nearest_vectors(spark, kind):
     assert {r.id for r in nearest_vectors.nearest(table.where("id in (1, 2, 2200)"), F.lit(True)).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("chance", [1.0, 1e-9])
+def test_decontamination_against_all_alignments(spark, chance):
+    """Edited copies in long and short texts: what is found, and its score, is what aligning every text with every item gives."""
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 4000}"
+    items = [(k, " ".join(f"{word()}" for _ in range(rng.randrange(12, 40)))) for k in range(12)]
+    rows = []
+    for k in range(90):
+        w = [word() for _ in range(rng.randrange(0, 60))]
+        copy = items[k % 12][1].split()
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(0, 2)] = ["zz"] * rng.randrange(0, 2)
+        rows.append((k, " ".join(w + (copy if k % 4 else copy[: len(copy) // 3]) + [word() for _ in range(rng.randrange(0, 60))])))
+    got = decontaminate.contamination(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(items, "id long, text string"), chance=chance, block=5).collect()
+    want = {}
+    for i, t in rows:
+        for j, item in items:
+            if (score := plain_align(plain.words(item), plain.words(t))) >= 0.5:
+                want[i, j] = score
+    assert {(r.doc_id, r.item_id): pytest.approx(r.score) for r in got} == want and len(want) > 60
+
+
 def test_nearest_vectors_where_the_test_excludes_most_cells(spark):
     """Clustered vectors: recall stays, and queries meet few of the cells."""
     rng = np.random.default_rng(4)
@@ -459,6 +483,21 @@ def test_mixing_takes_the_longest_prefix(spark, docs):
     taken = {}
     for r in out:
         taken[r.id, r.text] = (r.copies, r.n_tokens)
+    order = {}
+    tagged = rows.select("id", "text", "source", F.xxhash64("text").alias("tag")).distinct()
+    for epochs in {most // leaves[leaf] for leaf, most in budget.items()}:
+        for r in tagged.withColumn("u", F.xxhash64(F.lit(17), F.lit(epochs).cast("long"), "id", "tag")).collect():
+            order.setdefault((epochs, r.source), []).append((r.u, r.id, r.text))
+    want = {}
+    for leaf, most in budget.items():  # whole epochs, then the longest prefix of the next one
+        epochs, rest = divmod(most, leaves[leaf])
+        whole = True
+        for _, i, t in sorted(order[epochs, leaf[1]], key=lambda x: x[0]):
+            rest -= units[i, t]
+            whole = whole and rest >= 0
+            if epochs + whole:
+                want[i, t] = (epochs + whole, units[i, t])
+    assert taken == want
     for leaf, most in budget.items():
         used = sum(c * n for (i, _), (c, n) in taken.items() if f"s{i % 3}" == leaf[1])
         left = [n for (i, t), n in units.items() if f"s{i % 3}" == leaf[1] and taken.get((i, t), (0,))[0] < 1 + most // leaves[leaf]]
