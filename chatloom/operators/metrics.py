@@ -84,3 +84,19 @@ def classifier(rows: DataFrame, label: str, p: str, threshold: float = 0.5) -> D
     parts = rows.agg(F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"), F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"))
     both = area.join(parts)  # one row each
     return both.select("auroc", per(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), per(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), per(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), per(F.col("tn"), F.col("tn") + F.col("fp")).alias("specificity"))
+
+
+OUTCOMES = ("strict", "elastic", "routing", "format")
+
+
+def category_scores(rows: DataFrame) -> DataFrame:
+    """rows (stratum, category and a flag for each outcome): successes and shares by stratum, else category, else unclassified."""
+    named = F.coalesce(F.nullif("stratum", F.lit("")), F.nullif("category", F.lit("")), F.lit("unclassified"))
+    out = rows.groupBy(named.alias("_c")).agg(F.count("*").alias("total"), *[F.count_if(F.col(k)).alias(f"{k}_success") for k in OUTCOMES]).withColumnRenamed("_c", "category")
+    return out.withColumns({f"{k}_accuracy": F.col(f"{k}_success") / F.col("total") for k in OUTCOMES})
+
+
+def legacy_scores(metrics: DataFrame) -> DataFrame:
+    """metrics (total, routing_accuracy, format_accuracy) of reports without predictions, in the same columns; without cases there is no row."""
+    rows = metrics.where("total > 0").withColumn("category", F.lit("overall-only-legacy"))
+    return rows.withColumns({f"{k}_success": F.lit(None).cast("long") for k in OUTCOMES} | {f"{k}_accuracy": F.lit(None).cast("double") for k in OUTCOMES[:2]})

@@ -225,3 +225,45 @@ def first_of_each(rows: DataFrame, key: str, order: str, most: int) -> DataFrame
 
 def all_of(*conditions: Column) -> Column:
     return reduce(and_, conditions)
+
+
+def coordinate(role: Column, is_tool: Column, several: Column, typed: Column) -> Column:
+    """The target point of a token: action, arity and syntax by its role (0 ordinary, 1 and 5 marks, 2 tool name, 3 and 4 arguments)."""
+    point = lambda *v: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("double") for x in v])
+    arity, strict = several.cast("double"), typed.cast("double")
+    thought = F.when(several, point(0.05, 0.85, 0.10)).otherwise(point(0.0, 0.0, 0.0))
+    return (
+        F.when(~is_tool, point(0.0, 0.0, 0.0)).when(role == 0, thought).when(role == 2, point(1.0, arity, 1.0)).when(role.isin(3, 4), point(1.0, arity, F.when(typed, 1.0).otherwise(0.88)))
+        .when(role.isin(1, 5), point(1.0, arity, 0.92)).otherwise(point(1.0, arity, strict))
+    )
+
+
+#: Categories whose ids stand for several cases, and which scopes take which kind.
+VARIANTS = {"memory": ["kv", "vector", "rec_sum"], "web_search": ["base", "no_snippet"]}
+MULTI_TURN, AGENTIC = ("multi-turn", "single-and-multi", "all"), ("agentic", "all")
+
+
+def expanded(rows: DataFrame, scope: str) -> DataFrame:
+    """rows (kind, id) that a scope takes, once for each variant of their kind: category, id."""
+    turns, agents = F.col("kind").startswith("multi_turn"), F.col("kind").isin(*VARIANTS)
+    taken = F.when(turns, F.lit(scope in MULTI_TURN)).when(agents, F.lit(scope in AGENTIC)).otherwise(F.lit(scope not in ("multi-turn", "agentic")))
+    names = F.create_map(*[x for k, v in VARIANTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    some = rows.where((F.col("kind") != "format_sensitivity") & taken).select("kind", "id", F.explode_outer(F.element_at(names, F.col("kind"))).alias("v"))
+    at, own = F.instr("id", F.col("kind")), F.concat("kind", F.lit("_"), "v")
+    first = F.concat(F.substring("id", F.lit(1), at - 1), own, F.substring("id", at + F.char_length("kind"), F.char_length("id")))
+    return some.select(F.coalesce(own, "kind").alias("category"), F.coalesce(first, "id").alias("id"))
+
+
+def bound(names: DataFrame, key: str) -> DataFrame:
+    """names (key, name, start, gives): every use with the start of the latest giving of that name before it."""
+    before = Window.partitionBy(key, "name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return names.withColumn("producer", F.last(F.when(F.col("gives"), F.col("start")), ignorenulls=True).over(before)).where("not gives")
+
+
+def suite_profile(rows: DataFrame, with_tool: Column, skeleton: str) -> DataFrame:
+    """How many examples a suite has, how many of them call, how many kinds of prompts there are, and what that warns of."""
+    out = rows.agg(F.count("*").alias("n"), F.count_if(with_tool).alias("tool_samples"), F.countDistinct(skeleton).alias("skeletons"))
+    plain = F.col("n") - F.col("tool_samples")
+    return out.withColumn("warnings", problems([
+        (F.least("tool_samples", plain) < 0.5 * F.greatest(F.lit(1), F.col("tool_samples"), plain), F.lit("tool and other answers are imbalanced")), (F.col("skeletons") < F.greatest(F.lit(10), F.floor(F.col("n") / 5)), F.lit("prompts are alike")),
+    ]))

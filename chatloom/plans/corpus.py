@@ -80,17 +80,6 @@ def capability_features(spark, sf):
     )
 
 
-PAIRS = [("a", None, "b", None, "", None, None), ("", "q", "", "", "r", None, None), (None, None, None, None, None, "p", "c"), ("x", None, None, None, None, None, None), ("", "", "", "", "", None, None)]
-PAIRS_VALUES = "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in PAIRS) + ") t(instruction, question, output, answer, reference_answer, prompt, completion)"
-
-
-@query(f"""SELECT ask, reply FROM (SELECT CASE WHEN i IS NOT NULL AND o IS NOT NULL THEN i ELSE prompt END AS ask, CASE WHEN i IS NOT NULL AND o IS NOT NULL THEN o ELSE completion END AS reply
-  FROM (SELECT coalesce(nullif(instruction, ''), question) AS i, coalesce(nullif(output, ''), nullif(answer, ''), reference_answer) AS o, prompt, completion FROM {PAIRS_VALUES})) WHERE ask IS NOT NULL AND reply IS NOT NULL""")
-def instruction_pairs(spark, sf):
-    rows = spark.createDataFrame(PAIRS, "instruction string, question string, output string, answer string, reference_answer string, prompt string, completion string")
-    return C.instruction_pairs(rows).select("ask", "reply")
-
-
 MENU = '{"name": "bash"}'
 
 
@@ -229,17 +218,6 @@ def check_query(check):
 for name, (check, sql) in CHECKS.items():
     add(f"ifeval_{name}", check_query(check), f"SELECT doc_id, ({sql}) AS ok FROM documents")
 
-#: Responses for checks that no document meets.
-RESPONSES = ["one *** two", "*** a *** b ***", "a ***  *** b", "x ****** y", "x ****** x", "x ****** ****** y", "Hello there\n\nSecond one", "\n\nFirst, of all\n\n'Second' part", "note\nP.S. more", "note\nP.P.S more", "Do as I say. Then more", "p.s. x"]
-
-
-@query("SELECT * FROM (VALUES (0,true,false,false,false,false,false),(1,true,false,false,false,false,false),(2,false,false,false,false,false,false),(3,false,true,false,false,false,false),(4,false,false,false,false,false,false),(5,false,false,false,false,false,false),(6,false,false,true,false,false,false),(7,false,false,false,false,false,false),(8,false,false,false,true,false,false),(9,false,false,false,false,true,false),(10,false,false,false,false,false,true),(11,false,false,false,true,false,false)) t(id,two_paragraphs,two_responses,second_paragraph,ps,pps,repeats)")
-def ifeval_on_literals(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(RESPONSES)), "id int, c string")
-    c = F.col("c")
-    return rows.select("id", T.paragraphs(c, 2).alias("two_paragraphs"), T.two_responses(c).alias("two_responses"), T.nth_paragraph_first_word(c, 2, 2, "second").alias("second_paragraph"), T.postscript(c, "P.S.").alias("ps"), T.postscript(c, "P.P.S").alias("pps"), T.repeats_prompt(c, F.lit("do as I say.")).alias("repeats"))
-
-
 FOLLOW = ["no_comma", "number_words", "existence"]
 
 
@@ -278,16 +256,6 @@ def draw_with_replacement(spark, sf):
     return S.drawn_with_replacement(table(spark, sf, "documents").where("lang = 'es'").select("doc_id"), "doc_id", 500, "9")
 
 
-@query("""SELECT pool, count(*) AS distinct_rows, sum(copies)::BIGINT AS draws FROM (
-  SELECT 'replay' AS pool, doc_id, 120 // n + (r < 120 % n)::INT AS copies FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('1:' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents WHERE lang = 'es') WHERE n < 120 OR r < 120
-  UNION ALL SELECT 'canonical', doc_id, 280 // n + (r < 280 % n)::INT FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('2:' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents WHERE lang = 'en') WHERE n < 280 OR r < 280) GROUP BY pool""")
-def replay_mix(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
-    replay = S.drawn_with_replacement(docs.where("lang = 'es'"), "doc_id", 120, "1").withColumn("pool", F.lit("replay"))
-    rest = S.drawn_with_replacement(docs.where("lang = 'en'"), "doc_id", 280, "2").withColumn("pool", F.lit("canonical"))
-    return replay.unionByName(rest).groupBy("pool").agg(F.count("*").alias("distinct_rows"), F.sum("copies").alias("draws"))
-
-
 QUOTAS = [("en", 0, 0.45), ("fr", 1, 0.25), ("de", 2, 0.2), ("es", 3, 0.1)]
 QUOTA_SQL = """SELECT category, idx, (fl + whole + (row_number() OVER (ORDER BY part DESC, idx) <= rest - sum(whole) OVER ())::INT)::BIGINT AS quota FROM (
   SELECT *, floor(share)::BIGINT AS whole, round(share - floor(share), 9) AS part FROM (SELECT *, 11 AS fl, 181 - 44 AS rest, (181 - 44) * weight::DOUBLE AS share FROM (VALUES ('en',0,0.45),('fr',1,0.25),('de',2,0.2),('es',3,0.1)) t(category, idx, weight)))"""

@@ -62,34 +62,12 @@ def per_tool_metrics(spark, sf):
     return pred(spark, sf).where("expected_tool is not null").groupBy("expected_tool").agg(F.count("*").alias("expected"), F.count_if(F.col("predicted_tool") == F.col("expected_tool")).alias("correct"), F.count_if("exact").alias("whole"), F.count_if("elastic").alias("tolerant"))
 
 
-@query(f"""SELECT category, total, strict, tolerant, round(strict / greatest(1, total)::DOUBLE, 9) AS strict_rate, round(tolerant / greatest(1, total)::DOUBLE, 9) AS tolerant_rate FROM (SELECT coalesce(nullif(stratum, ''), nullif("condition", ''), 'unclassified') AS category, count(*) AS total, count(*) FILTER (exact) AS strict, count(*) FILTER (elastic) AS tolerant FROM {PRED} GROUP BY 1)""")
-def category_scores(spark, sf):
-    category = F.coalesce(F.nullif("stratum", F.lit("")), F.nullif("condition", F.lit("")), F.lit("unclassified"))
-    rows = pred(spark, sf).groupBy(category.alias("category")).agg(F.count("*").alias("total"), F.count_if("exact").alias("strict"), F.count_if("elastic").alias("tolerant"))
-    return rows.withColumn("strict_rate", F.round(M.per(F.col("strict"), F.col("total")), 9)).withColumn("tolerant_rate", F.round(M.per(F.col("tolerant"), F.col("total")), 9))
-
-
 @query(f"SELECT coalesce(stratum, 'overall') AS category, count(*) AS total, round(avg(exact::INT), 4) AS strict, round(avg(elastic::INT), 4) AS tolerant FROM {PRED} GROUP BY ROLLUP (stratum)")
 def category_rollup(spark, sf):
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 4).alias("strict" if c == "exact" else "tolerant")
     return pred(spark, sf).rollup("stratum").agg(F.count("*").alias("total"), rate("exact"), rate("elastic")).withColumn("category", F.coalesce("stratum", F.lit("overall"))).drop("stratum")
 
 
-SCORES = [("web_search_base", "v4", 3, 4), ("multi_turn_base", "v4", 5, 10), ("live_simple", "v4", 1, 8), ("non_live_x", "v4", 2, 3), ("exec_simple", "v3", 7, 9), ("exec_simple", "v4", 7, 9), ("format_sensitivity", "v4", 1, 2), ("simple", "v3", 4, 4), ("memory_kv", "v4", 0, 5)]
-
-
-def family(category, version):
-    c = F.lower(category)
-    return F.when(c.contains("memory") | c.contains("web_search"), "agentic").when(c.contains("multi_turn"), "multi_turn").when(c.contains("live"), "live").when((version == "v3") & c.contains("exec"), "executable").when(c.contains("format_sensitivity"), "format_sensitivity").otherwise("non_live")
-
-
-@query(f"""SELECT version, family, sum(correct)::BIGINT AS correct, sum(total)::BIGINT AS total, round(sum(correct) / sum(total)::DOUBLE, 9) AS accuracy FROM (SELECT *, CASE WHEN c LIKE '%memory%' OR c LIKE '%web_search%' THEN 'agentic' WHEN c LIKE '%multi_turn%' THEN 'multi_turn' WHEN c LIKE '%live%' THEN 'live'
-  WHEN version = 'v3' AND c LIKE '%exec%' THEN 'executable' WHEN c LIKE '%format_sensitivity%' THEN 'format_sensitivity' ELSE 'non_live' END AS family FROM (VALUES {", ".join(map(repr, SCORES))}) t(c, version, correct, total)) GROUP BY ALL""")
-def bfcl_family_scores(spark, sf):
-    rows = spark.createDataFrame(SCORES, "c string, version string, correct long, total long").withColumn("family", family(F.col("c"), F.col("version")))
-    return rows.groupBy("version", "family").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total")).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 9))
-
-
 @query(f"""SELECT "condition" AS winner FROM {base('"condition"')} ORDER BY round(balanced, 9) DESC, round(exact_accuracy, 9) DESC, round(named_accuracy, 9) DESC, "condition" DESC LIMIT 1""")
 def lexi_winner(spark, sf):
     key = F.struct(F.round("balanced", 9), F.round("exact_accuracy", 9), F.round("named_accuracy", 9), F.col("condition"))
@@ -185,21 +163,6 @@ def survivors(spark, sf):
 
 # Dependencies, grids and small rules.
 
-@query("SELECT replace(id, 'memory', 'memory_' || v) AS id FROM (VALUES ('memory_1'), ('memory_2')) t(id), (VALUES ('kv'), ('vector'), ('rec_sum')) u(v) UNION ALL SELECT 'simple_1'")
-def variant_expansion(spark, sf):
-    ids = spark.createDataFrame([("memory_1",), ("memory_2",), ("simple_1",)], "id string")
-    variants = spark.createDataFrame([("memory", "kv"), ("memory", "vector"), ("memory", "rec_sum")], "kind string, v string")
-    rows = ids.join(F.broadcast(variants), F.col("id").startswith(F.col("kind")), "left")
-    return rows.select(F.coalesce(F.regexp_replace("id", F.lit("memory"), F.concat(F.lit("memory_"), F.col("v"))), "id").alias("id"))
-
-
-@query("SELECT role, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM (VALUES (0,0.05,0.85,0.1),(1,1.0,1.0,0.92),(2,1.0,1.0,1.0),(3,1.0,1.0,0.88),(4,1.0,1.0,0.88),(5,1.0,1.0,0.92)) t(role,x,y,z)")
-def target_coordinate(spark, sf):
-    role, d = F.col("id"), lambda *v: F.array(*map(F.lit, v))
-    spot = F.when(role == 0, d(0.05, 0.85, 0.1)).when(role == 2, d(1.0, 1.0, 1.0)).when(role.isin(3, 4), d(1.0, 1.0, 0.88)).otherwise(d(1.0, 1.0, 0.92))
-    return spark.range(6).select(F.col("id").cast("int").alias("role"), *[spot[k].alias(c) for k, c in enumerate("xyz")])
-
-
 @query("SELECT r, s, round(CASE WHEN s THEN 16 / sqrt(r) ELSE 16.0 / r END, 9) AS scale FROM (VALUES (4), (8), (16)) t(r), (VALUES (true), (false)) u(s)")
 def lora_scale(spark, sf):
     rows = spark.createDataFrame([(r, s) for r in (4, 8, 16) for s in (True, False)], "r int, s boolean")
@@ -208,30 +171,9 @@ def lora_scale(spark, sf):
 
 # Tokens, turns and dialogues.
 
-SPANS, TOKENS = [(0, 5, 1), (3, 9, 2), (12, 20, 4)], [(0, 3), (3, 6), (6, 12), (12, 13), (19, 25), (25, 30)]
-
-
-@query(f"SELECT t.a AS start, coalesce(max(s.role), 0) AS role FROM (VALUES {', '.join(map(repr, TOKENS))}) t(a, b) LEFT JOIN (VALUES {', '.join(map(repr, SPANS))}) s(x, y, role) ON s.x < t.b AND s.y > t.a GROUP BY 1")
-def token_role_join(spark, sf):
-    """A range join: spans are few for a text, and are cut at fixed steps so that tokens meet them by equal keys."""
-    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 16), F.floor((F.col(b) - 1) / 16)))
-    tokens = spark.createDataFrame(TOKENS, "a int, b int").withColumn("cell", cell("a", "b"))
-    spans = spark.createDataFrame(SPANS, "x int, y int, role int").withColumn("cell", cell("x", "y"))
-    rows = tokens.join(spans.withColumnRenamed("cell", "at"), (F.col("cell") == F.col("at")) & (F.col("x") < F.col("b")) & (F.col("y") > F.col("a")), "left")
-    return rows.groupBy(F.col("a").alias("start")).agg(F.coalesce(F.max("role"), F.lit(0)).alias("role"))
-
-
 @query("SELECT min(turn) AS first_turn, max(turn) AS last_turn, conv_id, role FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS island FROM conversations) GROUP BY conv_id, role, island")
 def role_runs(spark, sf):
     by = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     rows = rows.withColumn("change", F.coalesce((F.col("role") != F.lag("role").over(by)).cast("int"), F.lit(0))).withColumn("run", F.sum("change").over(by))
     return rows.groupBy("conv_id", "role", "run").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn")).drop("run")
-
-
-@query("SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS producer FROM conversations QUALIFY role = 'assistant'")
-def state_binding(spark, sf):
-    """As-of: each consumer is bound to the latest producer before it."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return rows.withColumn("producer", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(before)).where("role = 'assistant'").select("conv_id", "turn", "producer")
