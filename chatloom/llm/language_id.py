@@ -130,7 +130,7 @@ def length_class(text: Column) -> Column:
     return F.floor(F.log2(F.greatest(F.char_length(text), F.lit(1)))).cast("int")
 
 
-def least_scores(labelled: DataFrame, profiles: Profiles, per_language: int = 2000, share: float = 0.01, slack: float = 0.8) -> Callable[[Column], Column]:
+def least_scores(labelled: DataFrame, profiles: Profiles, per_language: int = 2000, share: float = 0.01, slack: float = 0.7) -> Callable[[Column], Column]:
     """From the rows that the profiles were learned from, the score below which a text of its length is unlike them: slack times what
     all but `share` of them reach. A length with fewer than 1 / share learned rows takes no more than what holds for all lengths."""
     rows = judged(learned_from(labelled, per_language), profiles).where(F.col("lang_pred") != UND).select(length_class(F.col("text")).alias("k"), "score")
