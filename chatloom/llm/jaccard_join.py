@@ -86,7 +86,7 @@ def hot_grams(own: DataFrame, total: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, n: int, blocks: int, hot: np.ndarray) -> DataFrame:
-    """The incidence matrix in blocks of n-grams: (block, classes, at, grams), where grams[i] stands in class classes[at[i]]. A row names
+    """The incidence matrix in blocks of n-grams: (block, n, classes, at, grams), where grams[i] of n stands in class classes[at[i]]. A row names
     only the classes that its entries are of. Entries of hot n-grams go by their class to blocks from `blocks` on."""
     lookup = Lookup(hot)
 
@@ -106,7 +106,8 @@ def incidence(docs: DataFrame, n: int, blocks: int, hot: np.ndarray) -> DataFram
         ends, its = np.append(begin, len(block)), np.append(np.searchsorted(named, some * len(keys)), len(named))
         local = local - np.repeat(its[:-1], np.diff(ends))
         kind = np.uint16 if int(np.diff(its).max(initial=0)) <= 1 << 16 else np.uint32
-        return pa.RecordBatch.from_arrays([pa.array(some), binaries(keys[named % len(keys)], its), binaries(local.astype(kind), ends), binaries(grams, ends)], names=["block", "classes", "at", "grams"])
+        short = pa.array([squeezed(grams[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.diff(ends)), binaries(keys[named % len(keys)], its), binaries(local.astype(kind), ends), short], names=["block", "n", "classes", "at", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, keys, total, rows = [], [], 0, 0
@@ -122,7 +123,24 @@ def incidence(docs: DataFrame, n: int, blocks: int, hot: np.ndarray) -> DataFram
         if total:
             yield packed(parts, np.concatenate(keys))
 
-    return docs.select("text").mapInArrow(run, "block long, classes binary, at binary, grams binary")
+    return docs.select("text").mapInArrow(run, "block long, n long, classes binary, at binary, grams binary")
+
+
+def squeezed(grams: np.ndarray) -> bytes:
+    """Sorted n-grams as the first and six bytes of each difference; as they are where a difference needs more."""
+    steps = np.diff(grams)
+    if len(steps) and int(steps.max()) >> 48:
+        return grams.tobytes()
+    return grams[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unsqueezed(short: bytes, n: int) -> np.ndarray:
+    if len(short) == 8 * n:
+        return np.frombuffer(short, dtype=U)
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[1:, :6] = np.frombuffer(short, dtype=np.uint8, offset=8).reshape(-1, 6)
+    steps[0] = np.frombuffer(short, dtype=np.uint8, count=8)
+    return np.cumsum(steps.view(U).ravel(), dtype=U)
 
 
 def block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
@@ -141,9 +159,9 @@ def begins(*keys: np.ndarray) -> np.ndarray:
 def shared(block: int, table: pa.Table, blocks: int) -> pa.Table:
     """Of one block, the n-grams that two or more classes have and in how many, packed by buckets of classes; all of a block of hot ones, as the most frequent."""
     cls, gram = [], []
-    for classes, at, grams in zip(*(table.column(k).to_pylist() for k in ("classes", "at", "grams")), strict=True):
-        gram.append(np.frombuffer(grams, dtype=U))
-        cls.append(np.frombuffer(classes, dtype=np.int64)[np.frombuffer(at, dtype=f"u{len(at) // len(gram[-1])}")])
+    for n, classes, at, grams in zip(*(table.column(k).to_pylist() for k in ("n", "classes", "at", "grams")), strict=True):
+        gram.append(unsqueezed(grams, n))
+        cls.append(np.frombuffer(classes, dtype=np.int64)[np.frombuffer(at, dtype=f"u{len(at) // n}")])
     c, g = np.concatenate(cls), np.concatenate(gram)
     hot = block >= blocks
     if not hot:  # first without what is there once

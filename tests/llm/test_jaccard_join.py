@@ -65,12 +65,18 @@ def test_a_row_of_the_matrix_names_the_classes_of_its_entries_alone(spark):
     rows = [(f"w{k} x{k} y{k} z{k} v{k} u{k}",) for k in range(400)]
     for hot in (np.zeros(0, np.uint64), J.shingle_sets(next(J.chunks(pa.array([rows[7][0]])))[2], 5)[0]):
         parts = J.incidence(spark.createDataFrame(rows, "text string").coalesce(1), 5, 50, hot).collect()
-        assert sum(len(r["grams"]) // 8 for r in parts) == 800
+        assert sum(r["n"] for r in parts) == 800 and all(len(J.unsqueezed(r["grams"], r["n"])) == r["n"] for r in parts)
         for r in parts:
             at = np.frombuffer(r["at"], np.uint16)
             assert set(at.tolist()) == set(range(len(r["classes"]) // 8))
 
 
+@pytest.mark.parametrize("grams", [[5], [0, 2**64 - 1], [3, 3, 3], [1, 2**48, 2**49 - 1], [7, 2**48 + 7], list(range(0, 2**47, 2**37))])
+def test_squeezed_ngrams(grams):
+    grams = np.array(grams, dtype=np.uint64)
+    assert J.unsqueezed(J.squeezed(grams), len(grams)).tolist() == grams.tolist()
+
+
 def test_no_rows(spark):
     assert got(spark, []) == []
 
