@@ -68,14 +68,13 @@ def prompt_role_profile(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(is_("user").alias("users"), is_("assistant").alias("assistants"), is_("system").alias("systems"), F.min_by("role", "turn").alias("opener"), F.max("turn").alias("last_turn"))
 
 
-@query(f"""SELECT conv_id, turn, (turn_count > 1)::INT AS cap_is_multiturn, 0 AS cap_is_tool, 0 AS cap_is_parallel, 0 AS cap_is_typed, round(1.0::DOUBLE / greatest(1, turn_count), 9) AS trajectory_weight,
+@query(f"""SELECT conv_id, turn, (turn_count > 1)::INT AS cap_is_multiturn, round(1.0::DOUBLE / greatest(1, turn_count), 9) AS trajectory_weight,
   round(1 + 0.5 * pow(CASE WHEN turn_count > 1 THEN least(1.0, greatest(0.0, turn_index::DOUBLE / (turn_count - 1))) ELSE 0 END, 1.5), 9) AS turn_credit FROM ({EXAMPLES_SQL})""")
 def capability_features(spark, sf):
-    rows = examples(spark, sf).withColumn("text", C.text_of(F.col("completion")))
-    tool = F.col("text").rlike(r"<\|tool_call_start\|>")
+    rows = examples(spark, sf)
     depth = F.when(F.col("turn_count") > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("turn_index") / (F.col("turn_count") - 1)))).otherwise(0.0)
     return rows.select(
-        "conv_id", "turn", (F.col("turn_count") > 1).cast("int").alias("cap_is_multiturn"), tool.cast("int").alias("cap_is_tool"), F.lit(0).alias("cap_is_parallel"), tool.cast("int").alias("cap_is_typed"),
+        "conv_id", "turn", (F.col("turn_count") > 1).cast("int").alias("cap_is_multiturn"),
         F.round(1.0 / F.greatest(F.lit(1), F.col("turn_count")), 9).alias("trajectory_weight"), F.round(1 + 0.5 * F.pow(depth, F.lit(1.5)), 9).alias("turn_credit"),
     )
 

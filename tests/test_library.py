@@ -156,3 +156,22 @@ def test_sentences_by_rules(spark):
     assert got == ["Mr. A. Smith paid 3.50 to x.com...", "He left.", "Ph.D. work?", '"Yes"!', "Done"]
     with pytest.raises(Exception, match="change me"):
         spark.range(1).select(X.rephrased(F.lit("plain"), F.lit("x"))).collect()
+
+
+def test_recipes(tmp_path):
+    from chatloom.recipe import Recipe, load_recipe, save_recipe
+
+    path = str(tmp_path / "r.json")
+    save_recipe(Recipe("one", ["a"], allowed_tools=["bash"]), path)
+    assert load_recipe(path) == Recipe("one", ["a"], allowed_tools=["bash"])
+    for bad in ({"name": " ", "datasets": ["a"]}, {"name": "x", "datasets": []}, {"name": "x", "datasets": ["a"], "eval_ratio": 0.9}, {"name": "x", "datasets": ["a"], "validation_datasets": ["a"]}, {"name": "x", "datasets": ["a"], "rows": 3}, [1]):
+        (tmp_path / "r.json").write_text(json.dumps(bad))
+        with pytest.raises((ValueError, TypeError)):
+            load_recipe(path)
+
+
+def test_category_scores_of_reports_without_predictions(spark):
+    from chatloom.operators import metrics as M
+
+    rows = M.legacy_scores(spark.createDataFrame([(5, 0.4, 0.8), (0, 0.0, 0.0)], "total long, routing_accuracy double, format_accuracy double")).collect()
+    assert [(r.category, r.total, r.strict_success, r.routing_accuracy) for r in rows] == [("overall-only-legacy", 5, None, 0.4)]
