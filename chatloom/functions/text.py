@@ -59,7 +59,7 @@ def relation(value: Column, how: str, n: int) -> Column:
     return value < n if how == "less than" else value >= n
 
 
-# Instruction checks; each takes the response and gives a boolean.
+# Instruction checks; each takes the response and gives a boolean. Their patterns are the rules themselves.
 
 
 def has_keywords(c: Column, keywords: list[str]) -> Column:

@@ -46,7 +46,7 @@ def listed(rows: DataFrame, *rules: Column) -> DataFrame:
 
 
 def warnings(profiles: DataFrame, tools: DataFrame, allowed: list[str], sealed_sources: DataFrame, filtered: bool = True, coverage: bool = True) -> DataFrame:
-    """Rules over profile() and tool_counts(): source (null for all), severity, code."""
+    """Rules over profile() and tool_counts(): source (null for all), severity, code. The codes and their thresholds."""
     strange = tools.groupBy("source").agg(F.sum("unknown").alias("unknown"))
     each = profiles.join(strange, "source", "left").join(sealed_sources.select("source").distinct().withColumn("reused", F.lit(True)), "source", "left")
     own = listed(

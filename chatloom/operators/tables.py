@@ -176,7 +176,7 @@ def status(found: Column, blocked: str = "blocked", fine: str = "ready") -> Colu
 
 
 def gene_problems(cap: int = 1408, rank: int = 16) -> Column:
-    """Of genes (sequence_length, lora_rank, target_profile, value_weight, intent_weight; null counts as the safe default, but for the profile)."""
+    """The caps. Of genes (sequence_length, lora_rank, target_profile, value_weight, intent_weight; null counts as the safe default, but for the profile)."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return problems([
         (F.coalesce("sequence_length", F.lit(cap)) > cap, F.lit(f"sequence length exceeds {cap}")), (F.coalesce("lora_rank", F.lit(rank)) > rank, F.lit(f"rank exceeds {rank}")),
@@ -228,7 +228,7 @@ def all_of(*conditions: Column) -> Column:
 
 
 def coordinate(role: Column, is_tool: Column, several: Column, typed: Column) -> Column:
-    """The target point of a token: action, arity and syntax by its role (0 ordinary, 1 and 5 marks, 2 tool name, 3 and 4 arguments)."""
+    """The points. The target of a token: action, arity and syntax by its role (0 ordinary, 1 and 5 marks, 2 tool name, 3 and 4 arguments)."""
     point = lambda *v: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("double") for x in v])
     arity, strict = several.cast("double"), typed.cast("double")
     thought = F.when(several, point(0.05, 0.85, 0.10)).otherwise(point(0.0, 0.0, 0.0))
