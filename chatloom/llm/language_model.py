@@ -53,10 +53,10 @@ def log_sum_exp(x: np.ndarray) -> np.ndarray:
 
 
 def word_classes(counts: np.ndarray) -> np.ndarray:
-    """About sqrt(n) classes of equal mass in the square roots of the counts, frequent words first."""
+    """About two thirds of sqrt(n) classes of equal mass in the square roots of the counts, frequent words first: then a word's class and the word in it take about as long."""
     mass = np.sqrt(counts + 1.0)
     order = np.argsort(-counts, kind="stable")
-    n = max(1, int(np.sqrt(len(counts))))
+    n = max(1, int(0.65 * np.sqrt(len(counts))))
     before = np.cumsum(mass[order]) - mass[order]
     out = np.empty(len(counts), dtype=np.int64)
     out[order] = np.minimum(before / mass.sum() * n, n - 1).astype(np.int64)
@@ -148,28 +148,28 @@ class Network:
 
     def window(self, inputs: np.ndarray, target: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of one window (arrays of steps by streams) that starts from state h, and the state after it."""
-        w, p, n = self.width, self.p, len(inputs)
+        w, p, n, m = self.width, self.p, len(inputs), inputs.shape[1]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        x = p["emb"][inputs]
-        a = p["wx"].T @ x.transpose(0, 2, 1) + p["b"][:, None]
+        x = np.ascontiguousarray(p["emb"][inputs.ravel()].T)  # all steps of a feature stand together, so one product serves the whole window
+        a = (p["wx"].T @ x + p["b"][:, None]).reshape(-1, n, m)
         h = np.ascontiguousarray(h.T)
-        before, states, steps = np.empty((n, *h.shape), h.dtype), np.empty((n, *h.shape), h.dtype), []
+        before, states, steps = np.empty((w, n, m), h.dtype), np.empty((w, n, m), h.dtype), []
         stays, some = (~fresh).astype(h.dtype), fresh.any(axis=1)
         for t in range(n):
-            before[t] = h * stays[t] if some[t] else h
-            h, *rest = self.cell(a[t], before[t])
+            before[:, t] = h = h * stays[t] if some[t] else h
+            h, *rest = self.cell(a[:, t], h)
             steps.append(rest)
-            states[t] = h
+            states[:, t] = h
         weight = (live.ravel() / max(1, int(live.sum()))).astype(h.dtype)
-        back = self.output_grads(states.transpose(0, 2, 1).reshape(-1, w), target.ravel(), weight, grads)
-        back = np.ascontiguousarray(back.reshape(n, -1, w).transpose(0, 2, 1))
+        back = self.output_grads(np.ascontiguousarray(states.reshape(w, -1).T), target.ravel(), weight, grads)
+        back = np.ascontiguousarray(back.T).reshape(w, n, m)
         da, dg, dh = np.empty_like(a), np.empty_like(a), np.zeros_like(h)
         for t in range(n - 1, -1, -1):
             r, z, c, g = steps[t]
-            dh += back[t]
+            dh += back[:, t]
             dc = 1 - z
             dc *= dh
-            dz = before[t] - c
+            dz = before[:, t] - c
             dz *= dc
             dz *= z
             c *= c
@@ -177,20 +177,20 @@ class Network:
             dr = r - r * r
             dr *= g
             dr *= dc
-            da[t, :w], da[t, w : 2 * w], da[t, 2 * w :] = dr, dz, dc
+            da[:w, t], da[w : 2 * w, t], da[2 * w :, t] = dr, dz, dc
             dc *= r
-            dg[t, : 2 * w], dg[t, 2 * w :] = da[t, : 2 * w], dc
+            dg[:w, t], dg[w : 2 * w, t], dg[2 * w :, t] = dr, dz, dc
             dh *= z
-            dh += p["wh"] @ dg[t]
+            dh += p["wh"] @ dg[:, t]
             if some[t]:
                 dh *= stays[t]
-        grads["wh"] += (before @ dg.transpose(0, 2, 1)).sum(axis=0)
-        grads["wx"] += (da @ x).sum(axis=0).T
-        grads["b"] += da.sum(axis=(0, 2))
-        order = np.argsort(inputs, axis=None, kind="stable")
-        word = inputs.ravel()[order]
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        grads["emb"][word[first]] = np.add.reduceat((da.transpose(0, 2, 1) @ p["wx"].T).reshape(-1, w)[order], first)
+        da = da.reshape(3 * w, -1)
+        grads["wh"] += before.reshape(w, -1) @ dg.reshape(3 * w, -1).T
+        grads["wx"] += x @ da.T
+        grads["b"] += da.sum(axis=1)
+        word = inputs.ravel()
+        for k, row in enumerate(p["wx"] @ da):
+            grads["emb"][:, k] = np.bincount(word, row, len(grads["emb"]))
         return grads, np.ascontiguousarray(h.T)
 
     def train(self, texts: list[np.ndarray], steps: int, streams: int, epochs: int, rate: float, seed: int) -> None:
