@@ -7,7 +7,7 @@ run use their longest runs. Besides, of each item six runs of three words that d
 copy with few words left in a row is found in a large corpus as in a small one. Seeds that stand near one another make a passage; it is aligned with the item by words (match 2,
 mismatch -1, gap -1), and its score is the alignment's share of the best possible one.
 
-Items are taken in blocks of at most `block` from the benchmark, all documents against each block, so what a task holds is
+Items are taken in blocks of bounded number and size from the benchmark, all documents against each block, so what a task holds is
 bounded. Null and empty texts and items match nothing; long ones are read whole. Repeated rows of an id give one result, the best.
 `without_leaks` judges every row by itself and keeps all columns, whatever their names. An empty table gives an empty one, and an empty
 benchmark no results.
@@ -29,6 +29,8 @@ from chatloom.llm.kernel import U, Lookup, Words, chunks, ngrams
 SHORTEST, LONGEST, PAD = 3, 8, 4
 #: So many of an item's shortest runs, the rarest that don't overlap, are always seeds.
 ALWAYS = 6
+#: Text of a block of items.
+BYTES = 1 << 24
 
 
 @dataclass
@@ -168,9 +170,9 @@ def leaks(w: Words, items: Items, threshold: float) -> list[tuple[int, int, floa
 
 
 def item_blocks(docs: DataFrame, items: DataFrame, block: int, chance: float) -> Iterator[Items]:
-    """The items (id, text) in blocks of at most about `block`, ready to be met by all documents."""
-    n = items.count()
-    blocks = max(1, -(-n // block))
+    """The items (id, text) in blocks of at most about `block` of them and about BYTES of text, ready to be met by all documents."""
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()
+    blocks = max(1, -(-n // block), -(-size // BYTES))
     for k in range(blocks):
         yield prepared(docs, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect(), chance)
 
