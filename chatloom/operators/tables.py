@@ -67,6 +67,14 @@ def closure(entries: DataFrame, needs: DataFrame, wanted: DataFrame) -> DataFram
     return entries.join(found, "id", "left_semi")
 
 
+def aligned(selected: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """selected with what answers has for its key; a row without an answer is an error that shows the first five."""
+    lost = selected.join(answers, key, "left_anti").orderBy(key).limit(5).collect()
+    if lost:
+        raise ValueError(f"no answers for {[r[key] for r in lost]}")
+    return selected.join(answers, key)
+
+
 def grid(spark: SparkSession, domains: dict[str, list], seed: str, most: int = 100_000, draws: int = 1000) -> DataFrame:
     """All combinations of the domains' values in a drawn order; of more than `most`, `draws` drawn ones (a cell may come twice).
 

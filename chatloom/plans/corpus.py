@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.operators import conversations as C
 from chatloom.operators import sampling as S
+from chatloom.operators.tables import aligned
 from chatloom.plans.registry import add, query
 from chatloom.sources.readers import table
 
@@ -320,7 +321,7 @@ def percentile_profile(spark, sf):
 
 @query("SELECT l.doc_id, l.quality, row_number() OVER (ORDER BY l.doc_id) AS position FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
 def answer_alignment(spark, sf):
-    rows = table(spark, sf, "labels").select("doc_id", "quality").join(table(spark, sf, "documents").select("doc_id"), "doc_id")
+    rows = aligned(table(spark, sf, "labels").select("doc_id", "quality"), table(spark, sf, "documents").select("doc_id"), "doc_id")
     return S.ranked(rows, "position", S.id_bucket(F.col("doc_id")), [F.col("doc_id")]).select("doc_id", "quality", "position")
 
 

@@ -19,6 +19,12 @@ def test_closure_of_long_chains_and_cycles(spark):
     assert T.closure(entries, ring, ids(spark)).count() == 0
 
 
+def test_a_missing_answer_is_an_error(spark):
+    assert T.aligned(ids(spark, 1, 2), ids(spark, 2, 1, 5), "id").count() == 2
+    with pytest.raises(ValueError, match="\\[3, 4\\]"):
+        T.aligned(ids(spark, 4, 3, 1), ids(spark, 1), "id")
+
+
 def test_dual_seed_wants_two(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "gene string, s double")
     assert T.dual_seed(rows, "gene", "s").head().robust == pytest.approx(0.7 * 2 + 0.3 - 0.15)
