@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm import decontaminate, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, nearest_vectors, token_counts, toxicity
-from chatloom.llm.store import fold, read
+from chatloom.llm import change_points, decontaminate, jaccard_join, language_id, language_model, license_scan, line_dedup, mixing, nearest_vectors, token_counts, topk_search, toxicity, vector_codes
+from chatloom.llm.store import fold, kept, read
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 LEVELS = ["domain", "lang", "source"]
@@ -88,10 +88,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"id": "doc_id", "held": "held_out"})
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").where(topk_search.finite(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk_search.scaled(F.col("embedding")).alias("vector"))
+    out = topk_search.top_k(vectors, F.col("id") % 50 == 0)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "sale_lines").select(F.col("vendor_id").alias("key"), F.col("shipped_at").alias("at"), F.col("quantity").alias("value"))
+    return change_points.segments(rows).withColumnRenamed("key", "vendor_id")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").where(topk_search.finite(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk_search.scaled(F.col("embedding")).alias("vector"), "label")
+    books = vector_codes.learn(vectors)
+    codes = kept(vector_codes.encoded(vectors, books).select("id", "label", "code", "error"), "vector_codes")
+    digits = F.lower(F.concat_ws("", F.transform("code", lambda c: F.lpad(F.hex(c), 2, "0"))))
+    out = with_total(codes, "label", "error", "label_error")
+    return out.select(F.col("id").alias("vec_id"), F.when(F.col("code").isNotNull(), digits).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def with_total(rows: DataFrame, key: str, value: str, name: str, most: int = 1 << 16, salts: int = 64) -> DataFrame:
+    """rows with the sum of value over the rows of an equal key, nulls together. Up to `most` keys are broadcast; more meet their rows by a shuffle in which each key has `salts` places."""
+    totals = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(value).alias(name))
+    if totals.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(totals), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    salted = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_place", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_place") == F.col("_salt"))).drop("_key", "_salt", "_place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mixing": op1, "op2_language_id": op2, "op3_line_dedup": op3, "op4_toxicity": op4, "op5_decontamination": op5, "op6_ngram_jaccard": op6,
-        "op7_license_scan": op7, "op8_token_counts": op8, "op9_nearest_vectors": op9, "op10_language_model": op10,
+        "op7_license_scan": op7, "op8_token_counts": op8, "op9_nearest_vectors": op9, "op10_language_model": op10, "op11_topk_inner_product": op11, "op12_change_points": op12,
+        "op13_vector_codes": op13,
     }
 
 
@@ -139,10 +169,68 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+TOPK_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+#: State by vendor and day: the keys (cost times 100000, plus segments) and last starts of the best cuts of the days up to it.
+CHANGE_POINTS_SQL = r"""
+WITH RECURSIVE t AS (SELECT vendor_id, datediff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS day, sum(quantity) AS total
+  FROM sale_lines WHERE quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL),
+b AS (SELECT vendor_id, min(day) AS first, max(day) - min(day) + 1 AS days, map_from_entries(list((day, total))) AS by_day FROM t GROUP BY vendor_id),
+l AS (SELECT *, list_transform(range(days), lambda i: CAST(coalesce(by_day[first + i], 0) AS BIGINT)) AS x FROM b),
+c AS (SELECT vendor_id, first, days, list_transform(range(days + 1), lambda e: CAST(coalesce(list_sum(x[1:e]), 0) AS HUGEINT)) AS s,
+        list_transform(range(days + 1), lambda e: CAST(coalesce(list_sum(list_transform(x[1:e], lambda y: y * y)), 0) AS HUGEINT)) AS q FROM l),
+w AS (
+  SELECT vendor_id, first, days, s, q, 0::BIGINT AS e, [-40000::BIGINT * 100000] AS k, [0::BIGINT] AS f FROM c
+  UNION ALL
+  SELECT vendor_id, first, days, s, q, e + 1, list_append(k, m.k), list_append(f, m.s)
+  FROM (SELECT *, CASE WHEN e + 1 < 14 THEN {'k': 9000000000000000000::BIGINT, 's': 0::BIGINT} ELSE list_min(list_transform(
+      list_filter(range(0, e + 1 - 13), lambda i: i = 0 OR i >= 14),
+      lambda i: {'k': k[i + 1] + 100000 * (40000 + (e + 1 - i) * CAST(floor(1000 * ln(CAST(1 + ((e + 1 - i) * (q[e + 2] - q[i + 1]) - (s[e + 2] - s[i + 1]) * (s[e + 2] - s[i + 1])) // ((e + 1 - i) * (e + 1 - i)) AS DOUBLE))) AS BIGINT)) + 1, 's': i})) END AS m
+    FROM w WHERE e < days)),
+p AS (
+  SELECT vendor_id, first, days, s, q, f, days AS till, CASE WHEN days < 14 THEN 0 ELSE f[days + 1] END AS since FROM w WHERE e = days
+  UNION ALL
+  SELECT vendor_id, first, days, s, q, f, since, f[since + 1] FROM p WHERE since > 0),
+g AS (SELECT vendor_id, first + since AS first_day, till - since AS n, s[till + 1] - s[since + 1] AS total, q[till + 1] - q[since + 1] AS squares FROM p),
+v AS (SELECT *, 1 + (n * squares - total * total) // (n * n) AS spread FROM g),
+z AS (SELECT *, n * CAST(floor(1000 * ln(CAST(spread AS DOUBLE))) AS BIGINT) AS cost FROM v)
+SELECT vendor_id, CAST(row_number() OVER o AS INT) AS segment_no, first_day, CAST(n AS BIGINT) AS n_days, CAST(total AS BIGINT) AS total, CAST(spread AS BIGINT) AS spread, cost,
+       count(*) OVER a AS n_segments, CAST(sum(cost) OVER a + 40000 * (count(*) OVER a - 1) AS BIGINT) AS best_cost
+FROM z WINDOW o AS (PARTITION BY vendor_id ORDER BY first_day), a AS (PARTITION BY vendor_id)
+"""
+
+
+def codes_sql(rounds: int = 2, entries: int = 64) -> str:
+    """Parts by vector and position, a codebook a round, and the nearest entry by distance, then index."""
+    sql = [
+        "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "s AS (SELECT vec_id, label, p, x[p * len(x) // 16 + 1:(p + 1) * len(x) // 16] AS y FROM v, (SELECT unnest(range(16)) AS p))",
+        f"b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, y AS c FROM s QUALIFY e < {entries})",
+    ]
+    for r in range(rounds + 1):
+        far = "list_sum(list_transform(range(1, len(y) + 1), lambda i: (y[i] - c[i]) * (y[i] - c[i])))"
+        sql.append(f"a{r} AS (SELECT vec_id, label, p, any_value(y) AS y, min({{'d': {far}, 'e': e}}) AS m FROM s JOIN b{r} USING (p) GROUP BY vec_id, label, p)")
+        if r < rounds:
+            mean = "list_transform(range(1, any_value(len(y)) + 1), lambda i: CAST(floor(list_sum(list_transform(list(y), lambda z: z[i])) / count(*)) AS BIGINT))"
+            sql.append(f"n{r} AS (SELECT p, m.e AS e, {mean} AS c FROM a{r} GROUP BY p, m.e)")
+            sql.append(f"b{r + 1} AS (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN n{r} n ON n.p = b.p AND n.e = b.e)")
+    sql.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})")
+    sql.append(f"d AS (SELECT vec_id, label, string_agg(lpad(to_hex(m.e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)")
+    return ",\n".join(sql) + "\nSELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM d, h"
+
+
 def license_sql() -> str:
     rows = [f"({tid}, '{label}', {base}, {words!r})" for tid, (label, base, words) in enumerate(license_scan.templates(license_scan.BASE, license_scan.NOTICES))]
     return LICENSE_SQL.replace("{templates}", ", ".join(rows))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": LINE_DEDUP_SQL, "op6_ngram_jaccard": JACCARD_SQL, "op7_license_scan": license_sql()}
+    return {"op3_line_dedup": LINE_DEDUP_SQL, "op6_ngram_jaccard": JACCARD_SQL, "op7_license_scan": license_sql(), "op11_topk_inner_product": TOPK_SQL, "op12_change_points": CHANGE_POINTS_SQL, "op13_vector_codes": codes_sql()}
