@@ -29,9 +29,9 @@ def step(acc: Column, m: Column) -> Column:
 
 
 def overlapping(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """tokens (key, start, stop) with the largest role of the spans (key, start, stop, role) that they touch, else 0."""
+    """tokens (key, start, stop and what else tells them apart) with the largest role of the spans (key, start, stop, role) that they touch, else 0."""
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(b) - 1) / CELL)))
     t = tokens.withColumn("cell", cells("start", "stop"))
     s = spans.where("stop > start").select(F.col(key).alias("_key"), F.col("start").alias("x"), F.col("stop").alias("y"), "role").withColumn("_cell", cells("x", "y"))
     rows = t.join(s, (F.col(key) == F.col("_key")) & (F.col("cell") == F.col("_cell")) & (F.col("x") < F.col("stop")) & (F.col("y") > F.col("start")), "left")
-    return rows.groupBy(key, "start", "stop").agg(F.coalesce(F.max("role"), F.lit(0)).alias("role"))
+    return rows.groupBy(*tokens.columns).agg(F.coalesce(F.max("role"), F.lit(0)).alias("role"))

@@ -6,25 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.operators import calls as K
+from chatloom.plans.pieces import ARGUMENTS, FIRST_ARGUMENTS, FIRST_NAME, FORMS, N_CALLS, NAME, TEXT, V, duck, flat, spans_sql, spark_sql
 from chatloom.plans.registry import query
 from chatloom.sources.readers import table
 
-#: A document's whole text without what would need an escape; in both dialects.
-SAFE, DUCK_SAFE = "regexp_replace(text, '[^A-Za-z0-9 .,]', '_')", "regexp_replace(text, '[^A-Za-z0-9 .,]', '_', 'g')"
-NAME = "CASE doc_id % 5 WHEN 0 THEN 'bash' WHEN 1 THEN 'read' WHEN 2 THEN 'shell' WHEN 3 THEN 'a.b' ELSE 'lsp' END"
-CALL = f"{NAME} || '(command=''' || {{safe}} || ''', n=' || n_chars || ', flag=True, word=quiet)'"
-BODY = f"CASE doc_id % 4 WHEN 0 THEN '[' || {CALL} || ']' WHEN 1 THEN '[' || {CALL} || ', next.step(x=-' || n_chars || '), 7]' WHEN 2 THEN '[' || {CALL} || ' oops]' ELSE '' END"
-TEXT = f"CASE WHEN doc_id % 4 = 3 THEN 'said ' || {{safe}} ELSE 'lead <|tool_call_start|>' || {BODY} || '<|tool_call_end|><|im_end|>' END"
-ARGUMENTS = """'{"command": "' || {safe} || '", "flag": true, "n": ' || n_chars || ', "word": "quiet"}'"""
-
-
-def spark_sql(e: str) -> str:
-    return e.replace("{safe}", SAFE)
-
-
-def duck(e: str) -> str:
-    return e.replace("{safe}", DUCK_SAFE)
-
 
 def texts(spark, sf, e: str = TEXT, name: str = "t") -> DataFrame:
     return table(spark, sf, "documents").selectExpr("doc_id", "lang", "source", "n_chars", "text", f"{spark_sql(e)} as {name}")
@@ -35,8 +20,7 @@ def first_call(p: str) -> list[Column]:
     return [F.size(f"{p}.calls").cast("long").alias("n_calls"), call.getField("name").alias("name"), call.getField("arguments").alias("arguments")]
 
 
-@query(duck(f"""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 'lead' WHEN doc_id % 4 = 2 THEN trim(replace({TEXT}, '<|im_end|>', '')) ELSE trim({TEXT}) END AS content, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END::BIGINT AS n_calls,
-  CASE WHEN doc_id % 4 < 2 THEN {NAME} END AS name, CASE WHEN doc_id % 4 < 2 THEN {ARGUMENTS} END AS arguments FROM documents"""))
+@query(duck(f"""SELECT doc_id, CASE WHEN {N_CALLS} > 0 THEN 'lead' ELSE trim(replace({TEXT}, '<|im_end|>', '')) END AS content, ({N_CALLS})::BIGINT AS n_calls, {FIRST_NAME} AS name, {FIRST_ARGUMENTS} AS arguments FROM documents"""))
 def call_parse_native(spark, sf):
     from chatloom.operators import call_udfs as U
 
@@ -44,12 +28,21 @@ def call_parse_native(spark, sf):
 
 
 OBJECT = f"""'{{"name": "' || {NAME} || '", "arguments": ' || {ARGUMENTS} || '}}'"""
-GENERIC = f"""CASE doc_id % 7 WHEN 0 THEN {OBJECT} WHEN 1 THEN 'x <tool_call>' || {OBJECT} || '</tool_call>' WHEN 2 THEN '```json' || chr(10) || '[{{"function": ' || {OBJECT} || '}}]' || chr(10) || '```' WHEN 3 THEN {CALL} WHEN 4 THEN 'I would say ' || {OBJECT} || ' here'
-  WHEN 5 THEN '{{"tool_calls": [{{"tool_name": "' || {NAME} || '", "args": "' || {{safe}} || '"}}]}}' ELSE '[' || {CALL} || ', 3]' END"""
+BARE = " || ".join(flat(FORMS[0])[0][3:-3])
+GENERIC = f"""CASE doc_id % 9 WHEN 0 THEN {OBJECT} WHEN 1 THEN 'x <tool_call>' || {OBJECT} || '</tool_call>' WHEN 2 THEN '```json' || chr(10) || '[{{"function": ' || {OBJECT} || '}}]' || chr(10) || '```' WHEN 3 THEN {BARE} WHEN 4 THEN 'I would say ' || {OBJECT} || ' here'
+  WHEN 5 THEN '{{"tool_calls": [{{"tool_name": "' || {NAME} || '", "args": "' || {{safe}} || '"}}]}}' WHEN 6 THEN '[' || {BARE} || ', 3]' WHEN 7 THEN '[f(1 + x[0], **{{''a'': 1}}, k=' || {V[0]} || '), g()]' ELSE 'f(k=0b1 + ' || n_chars || ')' END"""
 
 
-@query(duck(f"""SELECT doc_id, CASE WHEN doc_id % 7 IN (4, 6) THEN trim({GENERIC}) WHEN doc_id % 7 = 1 THEN 'x' ELSE '' END AS content, CASE WHEN doc_id % 7 IN (4, 6) THEN 0 ELSE 1 END::BIGINT AS n_calls, CASE WHEN doc_id % 7 NOT IN (4, 6) THEN {NAME} END AS name,
-  CASE WHEN doc_id % 7 IN (4, 6) THEN NULL WHEN doc_id % 7 = 5 THEN CASE WHEN regexp_full_match({{safe}}, '[0-9]+') THEN NULL ELSE '{{"value": "' || {{safe}} || '"}}' END ELSE {ARGUMENTS} END AS arguments FROM documents"""))
+def found_in(none: str, odd: str, one: str) -> str:
+    return f"CASE WHEN doc_id % 9 IN (4, 6, 8) THEN {none} WHEN doc_id % 9 = 7 THEN {odd} ELSE {one} END"
+
+
+ODD = """'{"k": "' || {safe} || '"}'"""
+VALUE = """CASE WHEN NOT regexp_full_match({safe}, '[0-9]+') THEN '{"value": "' || {safe} || '"}' END"""
+
+
+@query(duck(f"""SELECT doc_id, CASE WHEN doc_id % 9 IN (4, 6, 8) THEN trim({GENERIC}) WHEN doc_id % 9 = 1 THEN 'x' ELSE '' END AS content, ({found_in('0', '2', '1')})::BIGINT AS n_calls, {found_in('NULL', "'f'", NAME)} AS name,
+  CASE WHEN doc_id % 9 = 5 THEN {VALUE} ELSE {found_in('NULL', ODD, ARGUMENTS)} END AS arguments FROM documents"""))
 def call_parse_generic(spark, sf):
     from chatloom.operators import call_udfs as U
 
@@ -125,17 +118,12 @@ def elastic_equal(spark, sf):
     return rows.select("doc_id", U.same_udf("k", "got", "want").alias("equal"))
 
 
-@query(duck(f"""WITH d AS (SELECT doc_id, {NAME} AS name, {{safe}} AS v, n_chars || '' AS n FROM documents WHERE doc_id % 4 = 0), p AS (SELECT *, 24 + 1 + 1 + length(name) AS a FROM d)
-  SELECT doc_id, unnest([{{'start': 5, 'stop': 24, 'role': 1}}, {{'start': 25, 'stop': 25 + length(name), 'role': 2}}, {{'start': a, 'stop': a + 7, 'role': 3}}, {{'start': a + 8, 'stop': a + 10 + length(v), 'role': 4}}, {{'start': a + 12 + length(v), 'stop': a + 13 + length(v), 'role': 3}},
-    {{'start': a + 14 + length(v), 'stop': a + 14 + length(v) + length(n), 'role': 4}}, {{'start': a + 16 + length(v) + length(n), 'stop': a + 20 + length(v) + length(n), 'role': 3}}, {{'start': a + 21 + length(v) + length(n), 'stop': a + 25 + length(v) + length(n), 'role': 4}},
-    {{'start': a + 27 + length(v) + length(n), 'stop': a + 31 + length(v) + length(n), 'role': 3}}, {{'start': a + 32 + length(v) + length(n), 'stop': a + 37 + length(v) + length(n), 'role': 4}}, {{'start': a + 39 + length(v) + length(n), 'stop': a + 56 + length(v) + length(n), 'role': 5}},
-    {{'start': a + 56 + length(v) + length(n), 'stop': a + 66 + length(v) + length(n), 'role': 5}}], recursive := true) FROM p"""))
+@query(duck(spans_sql(FORMS)))
 def role_spans(spark, sf):
-    """Of the documents that hold one native call; the others' spans are in state_spans."""
+    """Where the parts of calls stand: in native blocks, read or not, and in code with nested, chained and multi-line calls."""
     from chatloom.operators import call_udfs as U
 
-    rows = texts(spark, sf).where("doc_id % 4 = 0")
-    return rows.select("doc_id", F.explode(U.spans_udf("t")).alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
+    return texts(spark, sf).select("doc_id", F.explode(U.spans_udf("t")).alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
 
 
 @query(duck("""WITH d AS (SELECT doc_id, length({safe}) AS v FROM documents) SELECT doc_id, unnest([{'start': 0, 'stop': 1, 'role': 4}, {'start': 2, 'stop': 3, 'role': 1}, {'start': 4, 'stop': 8, 'role': 2}, {'start': 8, 'stop': 9, 'role': 1}, {'start': 9, 'stop': 10, 'role': 3}, {'start': 10, 'stop': 11, 'role': 1},
@@ -152,7 +140,7 @@ FIRST = r"nullif(regexp_extract(t, '\[\s*([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), '')
 
 
 @query(duck(f"""SELECT doc_id, {FIRST} AS first_tool, n > 0 OR t LIKE '%<|tool_call_start|>%' OR t LIKE '%<|tool_call_end|>%' OR {FIRST} IS NOT NULL AS attempted, {FIRST} IS NULL OR {FIRST} IN ('bash', 'read') AS valid,
-  CASE WHEN lang = 'en' THEN t LIKE '%<|tool_call_start|>%' AND n > 0 ELSE t NOT LIKE '%<|tool_call_start|>%' AND {FIRST} IS NULL END AS format_correct FROM (SELECT doc_id, lang, {TEXT} AS t, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END AS n FROM documents)"""))
+  CASE WHEN lang = 'en' THEN t LIKE '%<|tool_call_start|>%' AND n > 0 ELSE t NOT LIKE '%<|tool_call_start|>%' AND {FIRST} IS NULL END AS format_correct FROM (SELECT doc_id, lang, {TEXT} AS t, {N_CALLS} AS n FROM documents)"""))
 def call_shapes(spark, sf):
     from chatloom.operators import call_udfs as U
 

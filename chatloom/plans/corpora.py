@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as X
 from chatloom.operators import generators as G
+from chatloom.operators import literals as L
 from chatloom.operators import metrics as M
 from chatloom.operators import preflight as P
 from chatloom.operators import sampling as S
-from chatloom.plans.calls import DUCK_SAFE, SAFE
+from chatloom.operators import subwords as B
+from chatloom.plans.pieces import DUCK_SAFE, LITERAL_FORMS, SAFE, known_sql, known_text
 from chatloom.plans.registry import add, query
 from chatloom.sources.readers import table
 
@@ -217,18 +219,12 @@ def router_logreg(spark, sf):
 
 # Literals in token streams.
 
-TOKEN = "'say `' || source || '` and ```py' || char(10) || lang || ' `x` = 1' || char(10) || '``` end'"
-
-
-@query("""WITH t AS (SELECT doc_id, 'say `' || source || '` and ```py' || chr(10) || lang || ' `x` = 1' || chr(10) || '``` end' AS t, length(source) AS a, length(lang) AS b FROM documents), k AS (SELECT doc_id, t, a, b, unnest(range(0, length(t), 3)) AS start FROM t)
-  SELECT doc_id, start, (start < 5 + a AND least(start + 3, length(t)) > 5) OR (start < 26 + a + b AND least(start + 3, length(t)) > 17 + a) AS literal FROM (SELECT doc_id, t, a, b, start FROM k)""")
-def literal_mask(spark, sf):
-    """Tokens of three characters that touch what stands in code marks; marks within fences don't count on their own."""
-    from chatloom.operators.literals import literal_spans, overlapping
-
-    rows = table(spark, sf, "documents").selectExpr("doc_id", f"{TOKEN} as t")
-    tokens = rows.select("doc_id", F.explode(F.sequence(F.lit(0), F.char_length("t") - 1, F.lit(3))).alias("start"), F.char_length("t").alias("n")).select("doc_id", "start", F.least(F.col("start") + 3, F.col("n")).alias("stop"))
-    return overlapping(tokens, literal_spans(rows, "doc_id", "t").withColumn("role", F.lit(1)), "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), (F.col("role") > 0).alias("literal"))
+@query(f"SELECT doc_id, n, start, role > 0 AS literal FROM ({known_sql(LITERAL_FORMS)})")
+def literal_mask(spark, sf, tokenizer: str = B.TOKENIZER):
+    """Pieces of a vocabulary that touch what stands in code marks; marks within fences don't count on their own."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id", f"{known_text(LITERAL_FORMS)} as t")
+    tokens, spans = B.tokens(rows, "doc_id", "t", tokenizer), L.literal_spans(rows, "doc_id", "t").withColumn("role", F.lit(1))
+    return L.overlapping(tokens, spans, "doc_id").select("doc_id", "n", F.col("start").cast("long").alias("start"), (F.col("role") > 0).alias("literal"))
 
 
 # Manifests, unions and generated corpora.

@@ -10,11 +10,13 @@ from chatloom.operators import conversations as C
 from chatloom.operators import literals as L
 from chatloom.operators import metrics as M
 from chatloom.operators import sampling as S
+from chatloom.operators import subwords as B
 from chatloom.operators import tables as T
-from chatloom.plans.calls import DUCK_SAFE, SAFE, texts
+from chatloom.plans.calls import texts
+from chatloom.plans.pieces import DUCK_SAFE, ROLE_FORMS, SAFE, known_sql, known_text
 from chatloom.plans.corpora import DUCK_EXAMPLE, examples
 from chatloom.plans.evaluation import FULL, full
-from chatloom.plans.registry import SQL, query
+from chatloom.plans.registry import query
 from chatloom.sources import stores as W
 from chatloom.sources.readers import table
 
@@ -41,17 +43,14 @@ def variant_expansion(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("scope", "category", "id")
 
 
-@query(f"""WITH s AS ({SQL['role_spans']}), t AS (SELECT doc_id, length(t) AS n, unnest(range(0, length(t), 16)) AS start FROM (SELECT doc_id, 'lead <|tool_call_start|>[' || CASE doc_id % 5 WHEN 0 THEN 'bash' WHEN 1 THEN 'read' WHEN 2 THEN 'shell' WHEN 3 THEN 'a.b' ELSE 'lsp' END || '(command=''' || {DUCK_SAFE} || ''', n=' || n_chars || ', flag=True, word=quiet)]<|tool_call_end|><|im_end|>' AS t FROM documents WHERE doc_id % 4 = 0))
-  SELECT t.doc_id, t.start, coalesce(max(s.role), 0)::INT AS role FROM t LEFT JOIN s ON s.doc_id = t.doc_id AND s.start < least(t.start + 16, t.n) AND s.stop > t.start GROUP BY ALL""")
-def token_role_join(spark, sf):
-    """Every token of 16 characters with the largest role of the spans that it touches."""
+@query(known_sql(ROLE_FORMS))
+def token_role_join(spark, sf, tokenizer: str = B.TOKENIZER):
+    """Every piece of a vocabulary in texts of calls and code, with the largest role of the spans that it touches."""
     from chatloom.operators import call_udfs as U
 
-    rows = texts(spark, sf).where("doc_id % 4 = 0").select("doc_id", "t")
+    rows = table(spark, sf, "documents").selectExpr("doc_id", f"{known_text(ROLE_FORMS)} as t")
     spans = rows.select("doc_id", F.explode(U.spans_udf("t")).alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
-    n = F.char_length("t")
-    tokens = rows.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(16))).alias("start")).select("doc_id", "start", F.least(F.col("start") + 16, "n").alias("stop"))
-    return L.overlapping(tokens, spans, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), "role")
+    return L.overlapping(B.tokens(rows, "doc_id", "t", tokenizer), spans, "doc_id").select("doc_id", "n", F.col("start").cast("long").alias("start"), "role")
 
 
 @query("""WITH d AS (SELECT doc_id, lang AS n1, 'v' || doc_id % 7 AS n2, length(lang) AS a, length('v' || doc_id % 7) AS b FROM documents), p AS (SELECT *, a + 7 AS p2, 2 * a + b + 14 AS p3, 3 * a + 2 * b + 21 AS p4 FROM d)

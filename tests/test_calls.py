@@ -71,12 +71,43 @@ def test_elastic(key, got, want, same):
     assert K.same(key, got, want) is same
 
 
-def test_spans_cover_names_and_values():
+def shown(text, without=1):
+    return [(text[s["start"] : s["stop"]], s["role"]) for s in K.spans(text) if s["role"] != without]
+
+
+def test_members_that_are_no_calls_are_passed_over():
+    named = lambda body: [(c["name"], c["arguments"]) for c in K.parse(native(body))[1]]
+    assert named("[f(**{'a': 1}), g(y=2)]") == [("f", {}), ("g", {"y": 2})] and named("[f(x=0b11)]") == [("f", {"x": 3})]
+    assert named("[a + b, f(x=1)]") == named("[f(1 + 2, x[0], *y, x=1)]") == named("[lambda: 1, [g(z=1)], f(x=1)]") == [("f", {"x": 1})]
+    for body in ("[f(x=1+2), g(y=1)]", "[f()(x=1)]", "[f(x=b'1')]", "[f(x={**a})]", "[f(x=not y)]", "[f(x=-'a')]", f"[f(x={'9' * 5000})]", f"[f(x=0x{'f' * 5000})]", "[f(x=1j)]", "[f(x=...)]"):
+        assert K.parse(native(body)) == (native(body), [])
+    assert K.structs([{"name": "f", "arguments": {"d": {1: 2, "a": None, None: 3}, "s": "\ud800x"}}]) == [{"name": "f", "arguments": '{"d": {"1": 2, "a": null, "null": 3}, "s": "\\ud800x"}'.replace("\\ud800", "")}]
+
+
+def test_spans_of_native_blocks():
     text = "é<|tool_call_start|>[bash(command='ü', n=1)]<|tool_call_end|><|im_end|>"
-    assert [(text[s["start"] : s["stop"]], s["role"]) for s in K.spans(text)] == [(K.OPEN, 1), ("bash", 2), ("command", 3), ("'ü'", 4), ("n", 3), ("1", 4), (K.CLOSE, 5), ("<|im_end|>", 5)]
-    text = "x = load(p='a')\nuse(x)"
-    assert [text[s["start"] : s["stop"]] for s in K.spans(text) if s["role"] != 1] == ["x", "load", "p", "'a'", "use", "x"]
-    assert K.spans("just prose here") == K.spans("x = 3") == K.spans(None) == []
+    assert shown(text) == [("bash", 2), ("command", 3), ("'ü'", 4), ("n", 3), ("1", 4), (K.CLOSE, 5), ("<|im_end|>", 5)]
+    assert [x for x, role in shown(text, 0) if role == 1] == [K.OPEN, "[", "(", "=", ",", "=", ")", "]"]
+    text = native("[f(x=g(y=1), z='a, b(c=2)', w={'k': [1, 2]} ), a.b(q = 3 )]") + native("oops(x='open, y=2")
+    assert shown(text) == [("f", 2), ("x", 3), ("g(y=1)", 4), ("y", 3), ("1", 4), ("z", 3), ("'a, b(c=2)'", 4), ("w", 3), ("{'k': [1, 2]}", 4), ("q", 3), ("3", 4), (K.CLOSE, 5), ("x", 3), ("'open, y=2", 4), (K.CLOSE, 5)]
+    assert [x for x, _ in shown("so " + K.OPEN + "[f(x=1", 0)] == [K.OPEN]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("x = load(p='a')\nuse(x)", [("x", 4), ("load", 2), ("p", 3), ("'a'", 4), ("use", 2), ("x", 4)]), ("x = f(\n a=1,\n b=2)", [("x", 4), ("f", 2), ("a", 3), ("1", 4), ("b", 3), ("2", 4)]), ("if ok:\n    f(a=1)", [("f", 2), ("a", 3), ("1", 4)]),
+    ("import os\nx = f(a=1)", [("x", 4), ("f", 2), ("a", 3), ("1", 4)]), ("x = f(a=1)[0]", [("f", 2), ("a", 3), ("1", 4)]), ("y = a.b(c=1).d(e=2)", [("y", 4), ("a.b", 2), ("a.b(c=1).d", 2), ("c", 3), ("1", 4), ("e", 3), ("2", 4)]),
+    ("x: int = f(a=1 + 2)", [("x", 4), ("f", 2), ("a", 3), ("1 + 2", 4)]), ("a, b = c = f(*z, **{'k': g()})", [("a, b", 4), ("c", 4), ("f", 2), ("*z", 4), ("{'k': g()}", 4), ("g", 2)]),
+    ("é = 'ü🙂'; ö = f('é', kü=[1])\r\n#ß\rx = g('ß')", [("ö", 4), ("f", 2), ("'é'", 4), ("kü", 3), ("[1]", 4), ("x", 4), ("g", 2), ("'ß'", 4)]),
+])
+def test_spans_of_code(text, want):
+    assert shown(text) == want and shown(text + "<|im_end|>")[-1] == ("<|im_end|>", 5)
+    marks = "".join(x for x, role in shown(text, 0) if role == 1)
+    assert marks.replace("'", "") == "".join(c for c in text if c in "=(),[]{}:.")
+
+
+@pytest.mark.parametrize("text", [None, "", "just prose here", "x = 3", "f(a=1", "def f(:", "x = f(a='b)", "(" * 9000, "f(" * 5000 + ")" * 5000, "-" * 90000 + "f(1)", "f(x)\x00", "  f(x)\n y"])
+def test_texts_without_spans(text):
+    assert K.spans(text) == []
 
 
 def test_legacy_scores():
