@@ -201,3 +201,65 @@ def streamed_job_states(spark, sf):
     states = shared_path(spark, "states")
     logs.job_states(logs.read_log(spark, path, 1), states, shared_path(spark, "stream")).awaitTermination(600)
     return logs.current_states(spark, states).groupBy("state").agg(F.count("*").alias("jobs"))
+
+
+LINE = ["user_id as job", "event_id", "ts as at", "case event_type when 'signup' then 'start' when 'click' then 'stop' when 'view' then 'beat' else 'exit' end as event", "case event_type when 'purchase' then 0 when 'error' then -9 end as code", "value"]
+
+
+def slices(rows: DataFrame, at: str, many: int) -> list[DataFrame]:
+    """rows parted by a time in as many equal spans; those without one come last."""
+    ends = rows.agg(F.min(at).cast("timestamp").cast("double").alias("a"), F.max(at).cast("timestamp").cast("double").alias("b")).head()
+    span = F.least(F.lit(many - 1), F.floor((F.col(at).cast("timestamp").cast("double") - F.lit(ends.a)) / F.lit((ends.b - ends.a) / many + 1e-6)))
+    return [rows.where(F.coalesce(span, F.lit(many - 1)) == k) for k in range(many)]
+
+
+@query("""SELECT job, CASE WHEN exit_at IS NOT NULL THEN CASE WHEN code <> 0 THEN 'failed' WHEN stop_at <= exit_at THEN 'stopped' ELSE 'complete' END WHEN last <= clock - INTERVAL 5 DAY THEN 'ended' WHEN stop_at IS NOT NULL THEN 'stopping' ELSE 'running' END AS status, code, CASE WHEN code < 0 THEN -code END AS signal, event, value,
+  (epoch_us(last) - epoch_us(started)) / 1000000 AS seconds FROM (SELECT user_id AS job, min(ts) AS started, max(ts) AS last, arg_max(CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'stop' WHEN 'view' THEN 'beat' ELSE 'exit' END, (ts, event_id)) AS event, arg_max(value, (ts, event_id)) AS value,
+    min(ts) FILTER (event_type = 'click') AS stop_at, min(ts) FILTER (event_type IN ('purchase', 'error')) AS exit_at, arg_min(CASE event_type WHEN 'purchase' THEN 0 ELSE -9 END, (ts, event_id)) FILTER (event_type IN ('purchase', 'error')) AS code FROM events GROUP BY user_id), (SELECT max(ts) - INTERVAL 10 MINUTE AS clock FROM events)""")
+def streamed_job_transitions(spark, sf):
+    """The event table as job logs, followed as a stream in four batches over two starts; a job that is silent for five days has ended."""
+    from chatloom.streaming import jobs
+
+    log, out, checkpoint = (shared_path(spark, name) for name in ("joblog", "jobs", "jobstream"))
+    rows = table(spark, sf, "events").selectExpr(*LINE)
+    for number, part in enumerate(slices(rows, "at", 4)):
+        part.repartition(2, "event_id").write.mode("append").parquet(log)
+        if number % 2:
+            jobs.follow(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(log), out, checkpoint, silence=5 * 86400).awaitTermination()
+    return jobs.current(spark, out).drop("last_seen")
+
+
+def appended_clicks(spark, sf) -> str:
+    """Clicks as results of cases, by arrival: a stream takes two of four parts, is started again for the others and gets the first part once more."""
+    from chatloom.streaming import results
+
+    log, out, checkpoint = (shared_path(spark, name) for name in ("clicklog", "clicks", "clickstream"))
+    rows = table(spark, sf, "clicks").select("click_id", "arrived_at", "kind", "value")
+    parts = slices(rows, "arrived_at", 4)
+    for number, part in enumerate([*parts, parts[0]]):
+        part.repartition(2, "click_id").write.mode("append").parquet(log)
+        if number in (1, 4):
+            results.append_once(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(log), out, checkpoint, "click_id", ["arrived_at", "kind", "value"]).awaitTermination()
+    return out
+
+
+ONCE = "SELECT click_id, arrived_at, kind, value FROM clicks WHERE click_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY arrived_at NULLS LAST, kind NULLS LAST, value NULLS LAST) = 1"
+
+
+@query(ONCE)
+def streamed_results(spark, sf):
+    """Each case once, however often the stream is started again or brings it."""
+    return spark.read.parquet(appended_clicks(spark, sf)).select("click_id", "arrived_at", "kind", "value")
+
+
+@query(f"""SELECT kind, done, total, share, round(elapsed, 6) AS elapsed, round(elapsed * (1 - share) / share, 6) AS eta FROM (SELECT kind, done, total, least(1.0, done / total)::DOUBLE AS share, (epoch_us(b) - epoch_us(a)) / 1000000 AS elapsed
+  FROM (SELECT kind, count(*) AS done, min(arrived_at) AS a, max(arrived_at) AS b FROM ({ONCE}) GROUP BY kind) JOIN (SELECT kind, count(*) AS total FROM clicks GROUP BY kind) USING (kind))""")
+def streamed_progress(spark, sf):
+    """Of the cases appended, followed as a stream: how many of those planned by kind, and how long the rest will take."""
+    from chatloom.streaming import results
+
+    store, out = appended_clicks(spark, sf), shared_path(spark, "progress")
+    rows = table(spark, sf, "clicks").where("kind is not null")
+    stream = spark.readStream.schema(spark.read.parquet(store).schema).parquet(store).where("kind is not null")
+    results.progress(stream, rows.groupBy("kind").agg(F.count("*").alias("total")), out, shared_path(spark, "progressstream"), "kind", "arrived_at").awaitTermination()
+    return results.current(spark, out, "kind").withColumns({c: F.round(c, 6) for c in ("elapsed", "eta")})
