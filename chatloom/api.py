@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,14 @@ MESSAGES = "array<struct<role:string,content:string>>"
 RECORD = f"messages {MESSAGES}, instruction string, question string, output string, answer string, reference_answer string, prompt string, completion string, category string, prompt_messages {MESSAGES}, completion_messages {MESSAGES}"
 
 
+class Guard(Protocol):
+    """What knows which sources and which examples are sealed; sources.sealed.Sealed is one."""
+
+    def refuse_sources(self, sources: Iterable[str]) -> None: ...
+
+    def refuse_content(self, *sides: DataFrame) -> None: ...
+
+
 def records(spark: SparkSession, source: str, most: int | None = None, seed: int = 42) -> DataFrame:
     """The records of a source, `most` drawn ones at most, each with the hash of its content as group_id."""
     raw = dataset(spark, source)
@@ -70,8 +80,12 @@ def mixed(rows: DataFrame, stratum: str, ratio: float, total: int, seed: str) ->
 
 
 def load_training_data(spark: SparkSession, sources: list[str], eval_ratio: float = 0.05, seed: int = 42, max_source_rows: int = 25_000, max_training_samples: int = 50_000, allowed_tools: list[str] | None = None,
-                       validation_sources: list[str] | None = None, max_validation_samples: int = 512, menu: bool = False, replay_ratio: float | None = None, replay_stratum: str = "rehearsal") -> tuple[DataFrame, DataFrame]:
-    """Training and validation examples. Whole records go to one side; validation sources must share neither records nor content with training."""
+                       validation_sources: list[str] | None = None, max_validation_samples: int = 512, menu: bool = False, replay_ratio: float | None = None, replay_stratum: str = "rehearsal", sealed: Guard | None = None) -> tuple[DataFrame, DataFrame]:
+    """Training and validation examples. Whole records go to one side; validation sources must share neither records nor content with training,
+    and neither side may be or hold what is sealed."""
+    if sealed is not None:
+        sealed.refuse_sources([*sources, *(validation_sources or [])])
+
     def read(names: list[str], most: int, offset: int) -> DataFrame:
         parts = [normalized(records(spark, s, most, seed + offset + k), allowed_tools) for k, s in enumerate(names)]
         out = reduce(DataFrame.unionByName, parts)
@@ -94,7 +108,10 @@ def load_training_data(spark: SparkSession, sources: list[str], eval_ratio: floa
         rows = mixed(rows, replay_stratum, replay_ratio, min(rows.count(), max_training_samples), str(seed))
     else:
         rows = S.shuffled_limit(rows, "example_hash", max_training_samples, str(seed)).drop("drawn")
-    return rows.drop("group_id"), S.shuffled_limit(held, "example_hash", max_validation_samples, str(seed + 1)).drop("drawn", "group_id")
+    held = S.shuffled_limit(held, "example_hash", max_validation_samples, str(seed + 1)).drop("drawn")
+    if sealed is not None:
+        sealed.refuse_content(rows, held)
+    return rows.drop("group_id"), held.drop("group_id")
 
 
 def validate_training_source(spark: SparkSession, source: str, rows: int = 5, allowed_tools: list[str] | None = None) -> dict:

@@ -275,3 +275,12 @@ def suite_profile(rows: DataFrame, with_tool: Column, skeleton: str) -> DataFram
     return out.withColumn("warnings", problems([
         (F.least("tool_samples", plain) < 0.5 * F.greatest(F.lit(1), F.col("tool_samples"), plain), F.lit("tool and other answers are imbalanced")), (F.col("skeletons") < F.greatest(F.lit(10), F.floor(F.col("n") / 5)), F.lit("prompts are alike")),
     ]))
+
+
+def fingerprint(rows: DataFrame, number: str, order: list[str], h: str, levels: int = 2, width: int = 1024) -> DataFrame:
+    """One hash of all rows' hashes h in order, repeats included; number is the whole number that order begins with."""
+    join = lambda keys, c: sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(c).alias("_h")))), lambda x: x["_h"]), "\n"))
+    level = rows.groupBy(F.floor(F.col(number) / width).alias("b")).agg(join(order, h).alias("h"))
+    for _ in range(levels - 1):
+        level = level.groupBy(F.floor(F.col("b") / width).alias("up")).agg(join(["b"], "h").alias("h")).withColumnRenamed("up", "b")
+    return level.agg(join(["b"], "h").alias("fingerprint"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.operators import conversations as C
 from chatloom.operators import sampling as S
+from chatloom.operators.tables import fingerprint
 from chatloom.operators.tables import aligned
 from chatloom.plans.registry import add, query
 from chatloom.sources.readers import table
@@ -47,15 +48,6 @@ def sealed_profile(spark, sf):
     return fingerprint(rows, "conv_id", ["conv_id", "turn"], "example_hash").join(counts)  # one row each
 
 
-def fingerprint(rows: DataFrame, number: str, order: list[str], h: str, levels: int = 2, width: int = 1024) -> DataFrame:
-    """One hash of all rows' hashes h in order, repeats included; number is the whole number that order begins with."""
-    join = lambda keys, c: T.sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.col(c).alias("_h")))), lambda x: x["_h"]), "\n"))
-    level = rows.groupBy(F.floor(F.col(number) / width).alias("b")).agg(join(order, h).alias("h"))
-    for _ in range(levels - 1):
-        level = level.groupBy(F.floor(F.col("b") / width).alias("up")).agg(join(["b"], "h").alias("h")).withColumnRenamed("up", "b")
-    return level.agg(join(["b"], "h").alias("fingerprint"))
-
-
 @query(f"SELECT conv_id, turn, length(m) AS chars, sha256(m) AS text_hash FROM (SELECT conv_id, turn, json_extract_string(completion_json, '$[0].content') AS m FROM ({EXAMPLES_SQL}))")
 def completion_text(spark, sf):
     text = C.text_of(F.col("completion"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom import api
 from chatloom.operators import events as E
 from chatloom.plans.registry import query
 from chatloom.sources import readers as R
 from chatloom.sources import stores as W
 from chatloom.sources.readers import table
+from chatloom.sources.sealed import Sealed
 from chatloom.sources.shared import shared_path
+from chatloom.sources.versions import Documents
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal, 'written once' AS state FROM supplier")
@@ -96,36 +99,60 @@ def registry_store(spark, sf):
     return store.newest().select("id", "name", (F.col("status") == "again").alias("changed"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation ORDER BY n_nationkey DESC LIMIT 5")
+@query("SELECT p_partkey AS id, p_name AS name FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 5")
 def newest_documents(spark, sf):
-    path = shared_path(spark, "docs")
-    rows = table(spark, sf, "nation").selectExpr("'{\"id\": ' || n_nationkey || ', \"name\": \"' || n_name || '\", \"updated_at\": \"2024-01-' || lpad(n_nationkey + 1, 2, '0') || '\"}' as value")
-    rows.repartition(25, "value").write.option("maxRecordsPerFile", 1).format("text").option("compression", "none").save(path + "/a")
-    rows.limit(1).selectExpr("'{\"id\": ' as value").write.text(path + "/b")
-    whole = spark.read.option("recursiveFileLookup", True).text(path)
-    target = shared_path(spark, "documents")
-    jvm, fs = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    for k, r in enumerate(whole.collect()):  # 26 small documents
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{target}/{k}.json"))
-        out.write(bytearray(r.value.encode()))
-        out.close()
-    return W.listed(spark, target, "id int, name string, updated_at string", "updated_at").select("id", "name").limit(5)
-
-
-@query("SELECT 'm.' || p_partkey AS name, 'F32' AS dtype, p_size::BIGINT AS x, 4::BIGINT AS y FROM part WHERE p_size > 25")
+    """Of JSON documents, a file each, the newest by the time that they name; one is broken."""
+    target, rows = shared_path(spark, "documents"), table(spark, sf, "part")
+    time = F.concat(F.lit("2024-01-"), F.lpad("p_size", 2, "0"), F.lit("T"), F.lpad("p_partkey", 12, "0"))
+    one = rows.select(F.format_string("d%d/%d.json", F.col("p_partkey") % 8, F.col("p_partkey")).alias("path"), F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), time.alias("updated_at"))).alias("content"))
+    W.write_files(one.unionByName(spark.createDataFrame([("broken.json", '{"id": ')], "path string, content string")), target)
+    return W.listed(spark, target, "id long, name string, updated_at string", "updated_at").select("id", "name").limit(5)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'again' ELSE 'new' END AS status, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS size, (SELECT count(*) FROM part) AS at_first FROM part WHERE p_partkey % 5 <> 0""")
+def document_store(spark, sf):
+    """Rows put in a store of commits, some replaced by their ids, some deleted, all made one; and how many there were at the first commit."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("new").alias("status"), F.col("p_size").cast("long").alias("size"))
+    store = Documents(spark, shared_path(spark, "documents"), "id", "id long, status string, size long")
+    first = store.put(rows, new=True)
+    store.put(rows.where("id % 3 = 0").select("id", F.lit("again").alias("status"), (F.col("size") + 1).alias("size")))
+    store.delete(rows.where("id % 5 = 0"))
+    store.compact()
+    return store.read().join(F.broadcast(store.read(first).agg(F.count("*").alias("at_first"))))  # one row
+
+
+@query("""WITH d AS (SELECT source, lang || chr(9) || text AS h FROM documents WHERE text <> ''), s AS (SELECT DISTINCT h FROM d WHERE source IN ('src3', 'src7'))
+  SELECT source, count(*) AS examples, count_if(h IN (SELECT h FROM s))::BIGINT AS sealed, (SELECT count(*) FROM d WHERE source IN ('src3', 'src7')) AS suite_rows, (SELECT count(DISTINCT (source, h)) FROM d WHERE source IN ('src3', 'src7')) AS suite_hashes FROM d GROUP BY source""")
+def sealed_store(spark, sf):
+    """Two sources are registered as sealed suites; the guard tells of every source how many of its examples they hold."""
+    root = shared_path(spark, "suites")
+    docs, store = table(spark, sf, "documents").select("source", F.col("lang").alias("instruction"), F.col("text").alias("output")), Sealed(spark, f"{root}/store")
+    for source in ("src3", "src7"):
+        docs.where(F.col("source") == source).drop("source").write.parquet(f"{root}/{source}")
+        store.register(f"{root}/{source}", source, max_rows=None)
+    docs.write.parquet(f"{root}/all")
+    rows = api.normalized(spark.read.parquet(f"{root}/all").select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in docs.columns else F.col(f.name) for f in spark.createDataFrame([], api.RECORD).schema], F.col("source").alias("group_id")))
+    hits = store.hits(rows).groupBy("group_id").agg(F.count("*").alias("hits"))
+    known = store.suites().agg(F.sum("n").alias("suite_rows"), F.sum("distinct_n").alias("suite_hashes"))
+    out = rows.groupBy("group_id").agg(F.count("*").alias("examples")).join(hits, "group_id", "left").join(F.broadcast(known))  # one row
+    return out.select(F.col("group_id").alias("source"), "examples", F.coalesce("hits", F.lit(0)).alias("sealed"), "suite_rows", "suite_hashes")
+
+
+@query("SELECT 'm.' || p_partkey AS name, 'F32' AS dtype, p_size::BIGINT AS x, 4::BIGINT AS y FROM part")
 def tensor_headers(spark, sf):
-    """A tensor file's header: a length and JSON; what follows isn't read."""
-    import json
-
+    """A tensor file's header is a length and JSON; what follows isn't read. A file for every brand."""
     root = shared_path(spark, "tensors")
-    got = table(spark, sf, "part").where("p_size > 25").select("p_partkey", "p_size").collect()
-    head = json.dumps({"__metadata__": {"format": "pt"}, **{f"m.{r.p_partkey}": {"dtype": "F32", "shape": [r.p_size, 4], "data_offsets": [0, 0]} for r in got}}).encode()
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/checkpoint-1/model.safetensors"))
-    out.write(bytearray(len(head).to_bytes(8, "little") + head + b"\0" * 64))
-    out.close()
-    paths = W.files(spark, root, "*.safetensors").join(W.checkpoint_bytes(spark, root)).where("length = bytes").join(W.latest_file(spark, root, ["model.safetensors"]), "path")
-    return W.tensor_headers(paths).select("name", "dtype", F.get("shape", F.lit(0)).alias("x"), F.get("shape", F.lit(1)).alias("y"))
+    one = F.struct(F.concat(F.lit("m."), F.col("p_partkey")).alias("k"), F.struct(F.lit("F32").alias("dtype"), F.array(F.col("p_size"), F.lit(4)).alias("shape"), F.array(F.lit(0), F.lit(0)).alias("data_offsets")).alias("v"))
+    bare = F.expr("substring(to_json(named_struct('m', e)), 6)")  # of a map, without what stands around it
+    heads = table(spark, sf, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("part")).agg(F.map_from_entries(F.collect_list(one)).alias("e"))  # at most 1000 a file
+    text = F.concat(F.lit('{"__metadata__": {"format": "pt"}, '), F.regexp_replace(bare, r"^\{|\}$", ""))
+    size = F.octet_length(text)
+    prefix = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(size, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)], F.lit("00000000")))
+    made = heads.select(F.concat(F.lit("checkpoint-1/"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit("-"), F.col("part"), F.lit(".safetensors")).alias("path"), F.concat(prefix, text.cast("binary"), F.unhex(F.repeat(F.lit("00"), 64))).alias("content"))
+    W.write_files(made, root)
+    paths = W.files(spark, root, "*.safetensors")
+    whole = paths.agg(F.sum("length").alias("all")).join(W.checkpoint_bytes(spark, root)).where("all = bytes")  # one row each
+    return W.tensor_headers(paths.join(F.broadcast(whole))).select("name", "dtype", F.get("shape", F.lit(0)).alias("x"), F.get("shape", F.lit(1)).alias("y"))
 
 
 @query("SELECT count(*) AS row_count, 'doc_id,lang,source' AS columns, count_if(doc_id % 50 = 0)::BIGINT AS secret_hits FROM documents")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from chatloom.functions.text import SECRETS
 from chatloom.sources.readers import first_objects, json_lines
 from chatloom.sources.shared import kept
+from chatloom.sources.versions import Log
 
 #: How a source names a file of a hosted dataset, and how a failed result begins.
 HOSTED, FAILED = "hf-file:", "Error during inference:"
@@ -127,6 +129,25 @@ def listed(spark: SparkSession, root: str, schema: str, *times: str) -> DataFram
     return rows.select("r.*", "mtime").drop("_bad").orderBy(F.desc(F.coalesce(*times, F.col("mtime").cast("string"))))
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes each row (path below root, content) as a file, from where the row is; how many there were. A file that is there is replaced."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{base}/{name}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(at) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    at = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
+    where = at.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
+
+
 # Keyed stores.
 
 
@@ -141,47 +162,47 @@ def numbered(keys: DataFrame, key: str, above: int) -> DataFrame:
 class Registry:
     """Rows by a key with an id and the times of their making and last change, as numbered versions of a Parquet table.
 
-    A change writes a new version and never reads what it writes; the newest version counts. One writer at a time.
+    A change works out all rows from a version's and becomes the next one; if another writer was faster, it is worked out again from theirs.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, schema: str) -> None:
-        self.spark, self.path, self.key = spark, path, key
+        self.spark, self.path, self.key, self.log = spark, path, key, Log(spark, f"{path}/_log")
         self.schema = spark.createDataFrame([], f"id long, {key} string, {schema}, created_at timestamp, updated_at timestamp").schema
 
-    def version(self) -> int:
-        if not exists(self.spark, self.path):
-            return 0
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        names = [s.getPath().getName() for s in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
-        return max(done, default=0)
-
-    def rows(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], self.schema)
+    def rows(self, version: int | None = None) -> DataFrame:
+        version = self.log.last() if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.log.entries(version)[0]['folder']}")
 
-    def write(self, rows: DataFrame) -> None:
-        rows.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+    def changed(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        while True:
+            version, folder = self.log.last(), f"rows-{uuid.uuid4().hex}"
+            change(self.rows(version)).select(self.schema.fieldNames()).write.parquet(f"{self.path}/{folder}")
+            if self.log.add(version + 1, {"folder": folder}):
+                return
 
     def upsert(self, new: DataFrame) -> None:
         """Rows of a known key keep their id and the time of their making; new keys get the next ids in order of the key."""
-        old, now, own = self.rows(), F.current_timestamp(), [c for c in self.schema.fieldNames() if c not in ("id", self.key, "created_at", "updated_at")]
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).head().top
-        new = new.dropDuplicates([self.key])
-        fresh = new.join(old.select(self.key), self.key, "left_anti").select(self.key)
-        ids = numbered(fresh, self.key, top)
-        sides = [new[c].alias(f"n_{c}") for c in own]
-        both = old.join(new.select(self.key, F.lit(True).alias("given"), *sides), self.key, "full").join(ids, self.key, "left")
-        chosen = {c: F.when(F.col("given"), F.col(f"n_{c}")).otherwise(F.col(c)) for c in own}
-        self.write(both.select(F.coalesce("id", "new_id").alias("id"), self.key, *[x.alias(c) for c, x in chosen.items()], F.coalesce("created_at", now).alias("created_at"), F.when(F.col("given"), now).otherwise(F.col("updated_at")).alias("updated_at")))
+        new, own = new.dropDuplicates([self.key]), [c for c in self.schema.fieldNames() if c not in ("id", self.key, "created_at", "updated_at")]
+
+        def change(old: DataFrame) -> DataFrame:
+            now, top = F.current_timestamp(), old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).head().top
+            fresh = new.join(old.select(self.key), self.key, "left_anti").select(self.key)
+            sides = [new[c].alias(f"n_{c}") for c in own]
+            both = old.join(new.select(self.key, F.lit(True).alias("given"), *sides), self.key, "full").join(numbered(fresh, self.key, top), self.key, "left")
+            chosen = {c: F.when(F.col("given"), F.col(f"n_{c}")).otherwise(F.col(c)) for c in own}
+            return both.select(F.coalesce("id", "new_id").alias("id"), self.key, *[x.alias(c) for c, x in chosen.items()], F.coalesce("created_at", now).alias("created_at"), F.when(F.col("given"), now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+        self.changed(change)
 
     def update(self, ids: list[int], **values: object) -> None:
         """Sets columns of some rows; the others stay."""
         hit = F.col("id").isin(ids)
-        self.write(self.rows().withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()} | {"updated_at": F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))}))
+        self.changed(lambda old: old.withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in values.items()} | {"updated_at": F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))}))
 
     def delete(self, keys: DataFrame) -> None:
-        self.write(self.rows().join(keys.select(self.key).distinct(), self.key, "left_anti"))
+        self.changed(lambda old: old.join(keys.select(self.key).distinct(), self.key, "left_anti"))
 
     def newest(self) -> DataFrame:
         return self.rows().orderBy(F.desc("id"))
