@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.functions import words as treebank
+
 #: What counts as a secret.
 SECRETS = [r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", r"\b(?:sk|ghp|github_pat)_[A-Za-z0-9_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b"]
 SPACE = r"(?U)\s+"
@@ -174,8 +176,7 @@ def all_lowercase(c: Column) -> Column:
 
 
 def capital_words(c: Column, how: str, n: int) -> Column:
-    """Words in capitals by plain word tokens (an approximation of a linguistic tokenizer)."""
-    return relation(F.size(F.filter(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)), all_capital)), how, n)
+    return relation(F.size(F.filter(treebank.words(c), treebank.in_capitals)), how, n)
 
 
 def no_comma(c: Column) -> Column:

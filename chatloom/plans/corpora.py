@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as X
+from chatloom.functions import words as treebank
 from chatloom.operators import generators as G
+from chatloom.operators import languages as D
 from chatloom.operators import literals as L
 from chatloom.operators import metrics as M
 from chatloom.operators import preflight as P
 from chatloom.operators import sampling as S
+from chatloom.operators import sentences as N
 from chatloom.operators import subwords as B
 from chatloom.plans.pieces import DUCK_SAFE, LITERAL_FORMS, SAFE, known_sql, known_text
 from chatloom.plans.registry import add, query
 from chatloom.sources.readers import table
+from chatloom.sources.shared import kept
 
 # Preflight. Examples are made from all documents.
 
@@ -154,9 +158,53 @@ def ifeval_language_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.in_language(F.col("lang"), "en").alias("english"), X.sentences_as_said(F.col("text"), "at least", 5).alias("five_sentences"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+'), lambda x: x = upper(x) AND regexp_matches(x, '\p{L}'))) < 3 AS few_capitals FROM documents")
+SPEECH = """' "I CANNOT go--it''s 3.50 (NASA''s)!" THEY don''t... U.S.A. WON, 50% of it; he said ''gonna'' [OK].'"""
+
+
+@query(f"""SELECT doc_id, len(w)::BIGINT AS words, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{Lu}}') AND NOT regexp_matches(x, '\\p{{Ll}}'))) < 9 AS few_capitals, array_to_string(w[-12:], ' ') AS last_words FROM (SELECT doc_id, {treebank.words_sql(f"text || {SPEECH}")} AS w FROM documents)""")
 def ifeval_capital_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.capital_words(F.col("text"), "less than", 3).alias("few_capitals"))
+    """Words by the treebank's rules, and whether few are in capitals."""
+    t = F.concat("text", F.expr(SPEECH.replace("\\", "\\\\")))
+    own = treebank.words(t)
+    return table(spark, sf, "documents").select("doc_id", F.size(own).cast("long").alias("words"), X.capital_words(t, "less than", 9).alias("few_capitals"), F.array_join(F.slice(own, -12, 12), " ").alias("last_words"))
+
+
+SHORTS = "' Mr. Smith met Dr. No. He left the U.S. today. The work of Mr. Smith was at home by 3. May he rest... He is, e.g. here. mr smith? ' || source || '. It is.'"
+#: For the checking engine.
+POWER = "(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0.0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0.0 END)"
+
+
+def power_sql(k: str, n: str, p: str) -> str:
+    return POWER.format(k=f"({k})", n=f"({n})", p=f"({p})")
+
+
+SENTENCES_SQL = rf"""WITH c AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text || {SHORTS}, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '{N.OPENING.replace("'", "''")}', ''), '{N.CLOSING.replace("'", "''")}', '')) AS c FROM documents),
+  o AS (SELECT doc_id, unnest(c) AS core, unnest(list_append(c[2:], NULL)) AS after FROM c), t AS (SELECT *, regexp_matches(core, '[^.][.]$') AS dotted, lower(regexp_replace(core, '[.,;:!?]$', '')) AS word, lower(regexp_replace(after, '[.,;:!?]$', '')) AS next FROM o),
+  n AS (SELECT word, count_if(dotted)::DOUBLE AS a, count_if(NOT dotted)::DOUBLE AS b, length(replace(word, '.', ''))::DOUBLE AS size FROM t WHERE word <> '' GROUP BY word), z AS (SELECT sum(a) AS dots, sum(a) + sum(b) AS al FROM n),
+  ab AS (SELECT word FROM (SELECT word, -2 * ({power_sql('a', 'a + b', 'dots / al')} - {power_sql('a', 'a + b', '0.99')}) * exp(-size) * (length(word) - size + 1) * pow(size, -b) AS score FROM n, z WHERE a > 0 AND regexp_matches(word, '\p{{L}}')) WHERE score >= 0.3),
+  f AS (SELECT next AS word, count(*)::DOUBLE AS s FROM t WHERE word <> '' AND next IS NOT NULL AND (regexp_matches(core, '[!?]$') OR dotted AND word NOT IN (SELECT word FROM ab) AND NOT regexp_matches(word, '^\p{{L}}$')) GROUP BY 1), y AS (SELECT sum(s) AS e FROM f),
+  st AS (SELECT word FROM (SELECT word, -2 * ({power_sql('s', 'e', 'k / al')} + {power_sql('k - s', 'al - e', 'k / al')} - {power_sql('s', 'e', 's / e')} - {power_sql('k - s', 'al - e', '(k - s) / (al - e)')}) AS score, al / e > k / s AS more FROM (SELECT f.word, s, a + b AS k, al, e FROM f JOIN n USING (word), z, y) WHERE regexp_matches(word, '^\p{{L}}+$')) WHERE score >= 30 AND more),
+  r AS (SELECT doc_id, CASE WHEN after IS NULL THEN true WHEN regexp_matches(core, '[!?]$') THEN true WHEN regexp_matches(core, '[.]{{2,}}$') THEN regexp_matches(after, '^\p{{Lu}}') WHEN dotted THEN CASE WHEN word IN (SELECT word FROM ab) OR regexp_matches(word, '^\p{{L}}$') THEN regexp_matches(after, '^\p{{Lu}}') AND next IN (SELECT word FROM st)
+    WHEN regexp_matches(word, '^[0-9]+$') THEN NOT regexp_matches(after, '^\p{{Ll}}') AND NOT regexp_matches(after, '^[0-9]') ELSE true END ELSE false END AS ends FROM t)
+  SELECT doc_id, count_if(ends)::BIGINT AS sentences, count_if(ends) >= 20 AS enough FROM r GROUP BY doc_id"""
+
+
+@query(SENTENCES_SQL)
+def learned_sentences(spark, sf):
+    """Sentences by abbreviations and first words that are learned from all documents, and whether there are at least twenty."""
+    rows = table(spark, sf, "documents").select("doc_id", F.concat("text", F.expr(SHORTS)).alias("t"))
+    found = N.counted(rows, "doc_id", "t", *map(lambda m: kept(m, "sentences"), N.learn(rows, "t")))
+    return found.select("doc_id", "sentences", X.relation(F.col("sentences"), "at least", 20).alias("enough"))
+
+
+@query()
+def detected_languages(spark, sf):
+    """The language of every document, by a model of those whose crc32 of the id modulo 5 isn't 0; whether it is English, and English in capitals or in small letters."""
+    docs = table(spark, sf, "documents")
+    model = D.learn(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"), "text", "lang")
+    rows = docs.withColumn("detected", model.column(F.col("text")))
+    english = X.in_language(F.col("detected"), "en")
+    return rows.select("doc_id", "lang", "detected", english.alias("english"), (X.all_capital(F.upper("text")) & english).alias("english_capital"), (X.all_lowercase(F.col("text")) & english).alias("english_lowercase"))
 
 
 def split_sql(t: str) -> str:
