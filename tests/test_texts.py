@@ -72,7 +72,7 @@ def test_sentences_by_what_is_learned(spark):
     short, starters, want = plain_sentences(texts)
     found = N.learn(rows, "t")
     assert ({r.word for r in found[0].collect()}, {r.word for r in found[1].collect()}) == (short, starters)
-    assert {"mr", "e.g", "u.s"} <= short and {"he", "the"} <= starters and "home" not in short
+    assert {"mr", "e.g", "u.s"} <= short and "the" in starters and not {"dr", "it", "is"} & short
     got = {r.id: r.sentences for r in N.counted(rows, "id", "t", *found).collect()}
     assert [got[k] for k in range(len(texts))] == want
     none = N.learn(rows.limit(0), "t")
