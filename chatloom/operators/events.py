@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.sampling import id_bucket, ranked
+
 #: The job states that an event leads to.
 STATES = {"signup": "running", "view": "running", "click": "stopping", "purchase": "complete", "error": "failed"}
 
@@ -28,9 +30,8 @@ def states_of(newest: DataFrame) -> DataFrame:
 
 
 def strided(rows: DataFrame, by: str, order: str, points: int) -> DataFrame:
-    """About `points` evenly spaced rows of a series, all of a shorter one."""
-    part = Window.partitionBy(by)
-    rows = rows.withColumn("rn", F.row_number().over(part.orderBy(order)) - 1).withColumn("n", F.count("*").over(part))
+    """About `points` evenly spaced rows of a series, all of a shorter one. order is a whole number; no task takes a whole series."""
+    rows = ranked(rows, "rn", id_bucket(F.col(order)), [F.col(order)], (by,)).withColumn("rn", F.col("rn") - 1)
     return rows.where((F.col("n") <= points) | (F.pmod("rn", F.greatest(F.lit(1), F.floor(F.col("n") / points))) == 0))
 
 

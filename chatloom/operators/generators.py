@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import sha
@@ -57,12 +57,12 @@ CATEGORIES = {
 SPLITS = ["train", "dev", "sealed"]
 
 
-def suite(spark: SparkSession, per_category: int) -> DataFrame:
-    """per_category rows of each category for each split, no two alike: split, category, case_id, prompt, request, tool, key, value."""
-    lookup = spark.createDataFrame([(c, t, p, k, v) for c, (t, p, k, v) in CATEGORIES.items()], "category string, tool string, template string, key string, pattern string")
+def suite(words: DataFrame) -> DataFrame:
+    """A row for each of words (id, whole numbers), category and split, no two alike: split, category, case_id, prompt, request, tool, key, value."""
+    lookup = words.sparkSession.createDataFrame([(c, t, p, k, v) for c, (t, p, k, v) in CATEGORIES.items()], "category string, tool string, template string, key string, pattern string")
     sides = F.explode(F.array(*map(F.lit, SPLITS)))
-    rows = spark.range(per_category).select("id", sides.alias("split")).join(F.broadcast(lookup))  # a row a category
-    word = F.concat(F.substring(F.col("split"), 1, 1), F.lpad(F.col("id").cast("string"), 5, "0"))
+    rows = words.select("id", sides.alias("split")).join(F.broadcast(lookup))  # a row a category
+    word = F.concat(F.substring(F.col("split"), 1, 1), F.lpad(F.col("id").cast("string"), F.greatest(F.lit(5), F.length(F.col("id").cast("string"))), "0"))
     filled = lambda c: F.replace(F.col(c), F.lit("{}"), word)
     menu = F.lit(menu_prompt("Use a tool where one fits.", list(TOOLS)) + "\n")
     return rows.select("split", "category", F.concat_ws("-", "split", "category", "id").alias("case_id"), F.concat(menu, filled("template")).alias("prompt"), filled("template").alias("request"), "tool", "key", filled("pattern").alias("value"))

@@ -86,11 +86,16 @@ def grid(spark: SparkSession, domains: dict[str, list], seed: str, most: int = 1
     else:
         digits = F.conv(F.substring(sha(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("long")
         rows = spark.range(draws).select((digits % total).alias("cell"), F.lpad(F.col("id").cast("string"), 12, "0").alias("key"))
+    return unranked(rows, domains)
+
+
+def unranked(cells: DataFrame, domains: dict[str, list]) -> DataFrame:
+    """cells (cell, ...) with the value of each domain that their number stands for."""
     below = 1
     for name, values in domains.items():
-        rows = rows.withColumn(name, F.get(F.array(*map(F.lit, values)), (F.floor(F.col("cell") / below) % len(values)).cast("int")))
+        cells = cells.withColumn(name, F.get(F.array(*map(F.lit, values)), (F.floor(F.col("cell") / below) % len(values)).cast("int")))
         below *= len(values)
-    return rows
+    return cells
 
 
 #: The gates that a cell has to pass.

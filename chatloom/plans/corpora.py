@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as X
 from chatloom.functions import words as treebank
+from chatloom.operators import calls as K
 from chatloom.operators import generators as G
 from chatloom.operators import languages as D
 from chatloom.operators import literals as L
@@ -18,7 +19,8 @@ from chatloom.operators import sampling as S
 from chatloom.operators import sentences as N
 from chatloom.operators import subwords as B
 from chatloom.plans.pieces import DUCK_SAFE, LITERAL_FORMS, SAFE, known_sql, known_text
-from chatloom.plans.registry import add, query
+from chatloom.plans.calls import texts
+from chatloom.plans.registry import SQL, query
 from chatloom.sources.readers import table
 from chatloom.sources.shared import kept
 
@@ -143,9 +145,14 @@ def dialogue_records(spark, sf):
     return dialogues(rows, "doc_id", 1500).select("doc_id", F.size("messages").alias("messages"), "category", "expected_tool", F.get("messages", F.lit(2)).getField("content").alias("first_reply"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{json.dumps(schema)}')" for name, schema in sorted(G.menu_schemas(["read", "bash", "glob", "glob"]).items())) + ") t(tool, schema)")
+KNOWN_TOOLS = ", ".join(f"('{name}', '{json.dumps(schema)}')" for name, schema in sorted(G.menu_schemas(list(G.TOOLS)).items()))
+OTHER_TOOL = """'{"type": "function", "function": {"name": "' || t || '", "description": "Call the ' || t || ' tool.", "parameters": {"type": "object", "properties": {}, "required": [], "additionalProperties": true}}}'"""
+
+
+@query(f"SELECT t AS tool, coalesce(k.schema, {OTHER_TOOL}) AS schema FROM (SELECT DISTINCT unnest(string_split(names, ',')) AS t FROM ({SQL['tool_names']}) WHERE names <> '') LEFT JOIN (VALUES {KNOWN_TOOLS}) k(tool, schema) ON k.tool = t")
 def tool_menu(spark, sf):
-    return G.tool_menu(spark.createDataFrame([("read",), ("bash",), ("glob",), ("glob",)], "tool string"))
+    """The schemas of all tools that the documents' calls name; unknown ones take any arguments."""
+    return G.tool_menu(texts(spark, sf).select(F.explode(K.tool_names(F.col("t"))).alias("tool")))
 
 
 # Instruction checks that aren't in the registry.
@@ -284,11 +291,11 @@ def corpus_manifest(spark, sf):
     return rows.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"), *[F.count_if(F.col("fold") == k).alias(f"fold{k}") for k in range(3)])
 
 
-@query("SELECT 'en' AS part, count(*) AS n FROM documents WHERE lang = 'en' UNION ALL SELECT 'turns', count(*) FROM conversations UNION ALL SELECT 'pages', count(*) FROM pages")
+@query("SELECT 'documents' AS part, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'turns', count(*), sum(length(text))::BIGINT FROM conversations UNION ALL SELECT 'pages', count(*), sum(length(html))::BIGINT FROM pages")
 def normalized_union(spark, sf):
     """All sources as (part, text), whatever their columns."""
-    parts = [table(spark, sf, "documents").where("lang = 'en'").select(F.lit("en").alias("part"), "text"), table(spark, sf, "conversations").select("text", F.lit("turns").alias("part")), table(spark, sf, "pages").select(F.lit("pages").alias("part"), F.col("html").alias("text"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(F.count("*").alias("n"))
+    parts = [table(spark, sf, "documents").select(F.lit("documents").alias("part"), "text"), table(spark, sf, "conversations").select("text", F.lit("turns").alias("part")), table(spark, sf, "pages").select(F.lit("pages").alias("part"), F.col("html").alias("text"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
 @query("SELECT source, max(text_hash) AS text_hash, count(*) AS stores FROM (SELECT DISTINCT source, sha256(source) AS text_hash, k FROM documents, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR doc_id % 2 = 0) GROUP BY source")
@@ -315,14 +322,17 @@ def sheet_runs(spark, sf):
     return rows.groupBy("sheet").agg(F.count("*").alias("runs"), F.min("doc_id").alias("first_run"))
 
 
-add("generated_suite", lambda spark, sf: G.suite(spark, 40).groupBy("split", "category").agg(F.count("*").alias("n"), F.countDistinct("prompt").alias("prompts"), F.count_if(F.col("tool").isNotNull()).alias("with_tool"), F.count_if(F.col("prompt").contains("List of tools: [")).alias("menus")),
-    f"SELECT split, category, 40::BIGINT AS n, 40::BIGINT AS prompts, CASE WHEN category = 'rehearsal' THEN 0 ELSE 40 END::BIGINT AS with_tool, 40::BIGINT AS menus FROM (VALUES ('train'), ('dev'), ('sealed')) s(split), (SELECT unnest({sorted(G.CATEGORIES)!r}) AS category)")
+@query(f"SELECT split, category, count(*) AS n, count(*) AS prompts, count_if(category <> 'rehearsal')::BIGINT AS with_tool, count(*) AS menus FROM part, (VALUES ('train'), ('dev'), ('sealed')) s(split), (SELECT unnest({sorted(G.CATEGORIES)!r}) AS category) GROUP BY split, category")
+def generated_suite(spark, sf):
+    """Rows of every category and split with the number of each part in their requests."""
+    rows = G.suite(table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
+    return rows.groupBy("split", "category").agg(F.count("*").alias("n"), F.countDistinct("prompt").alias("prompts"), F.count_if(F.col("tool").isNotNull()).alias("with_tool"), F.count_if(F.col("prompt").contains("List of tools: [")).alias("menus"))
 
 
-@query(f"SELECT unnest([{', '.join(repr(c) for c in G.CATEGORIES)}]) AS category, 'ready' AS status, 0::BIGINT AS ungrounded")
+@query(f"SELECT category, CASE WHEN n > 0 THEN 'ready' ELSE 'blocked' END AS status, 0::BIGINT AS ungrounded FROM (SELECT unnest([{', '.join(repr(c) for c in G.CATEGORIES)}]) AS category), (SELECT count(*) AS n FROM part)")
 def generated_audit(spark, sf):
     """Generated rows keep what the audits ask for: even counts, no repeats, one menu, arguments that the prompt shows."""
-    return G.audited(G.suite(spark, 40))
+    return G.audited(G.suite(table(spark, sf, "part").select(F.col("p_partkey").alias("id"))))
 
 
 @query("""WITH d AS (SELECT doc_id, sha256(text) AS h, lang AS category, row_number() OVER (ORDER BY sha256('v:' || doc_id)) AS rn, count(*) OVER () AS n FROM documents), s AS (SELECT *, CASE WHEN rn <= floor(n * 0.85) THEN 'train' ELSE 'dev' END AS side, (rn - 1) % 3 AS fold FROM d)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import text as T
 from chatloom.operators import conversations as C
 from chatloom.operators import sampling as S
-from chatloom.operators.tables import fingerprint
-from chatloom.operators.tables import aligned
+from chatloom.operators.tables import aligned, fingerprint
 from chatloom.plans.registry import add, query
 from chatloom.sources.readers import table
 
@@ -221,12 +220,10 @@ def ifeval_follow_all(spark, sf):
     return table(spark, sf, "documents").agg(F.round(F.avg(every.cast("int")), 9).alias("strict_accuracy"), F.count("*").alias("n"))
 
 
-CONFLICTS = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "d")]
-
-
-@query("WITH p AS (SELECT * FROM (VALUES ('a','b'),('b','c'),('c','a'),('d','d')) t(x,y)) SELECT x, y FROM p UNION SELECT y, x FROM p UNION SELECT x, x FROM p UNION SELECT y, y FROM p")
+@query("WITH p AS (SELECT s_nationkey AS x, s_suppkey % 25 AS y FROM supplier) SELECT x, y FROM p UNION SELECT y, x FROM p UNION SELECT x, x FROM p UNION SELECT y, y FROM p")
 def conflict_closure(spark, sf):
-    p = spark.createDataFrame(CONFLICTS, "x string, y string")
+    """What conflicts with what, both ways, and each with itself."""
+    p = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("x"), (F.col("s_suppkey") % 25).alias("y"))
     return p.union(p.select("y", "x")).union(p.select("x", "x")).union(p.select("y", "y")).toDF("x", "y").distinct()
 
 
@@ -253,9 +250,13 @@ QUOTA_SQL = """SELECT category, idx, (fl + whole + (row_number() OVER (ORDER BY
   SELECT *, floor(share)::BIGINT AS whole, round(share - floor(share), 9) AS part FROM (SELECT *, 11 AS fl, 181 - 44 AS rest, (181 - 44) * weight::DOUBLE AS share FROM (VALUES ('en',0,0.45),('fr',1,0.25),('de',2,0.2),('es',3,0.1)) t(category, idx, weight)))"""
 
 
-@query(f"SELECT category, quota FROM ({QUOTA_SQL})")
+@query("""WITH w AS (SELECT lang AS category, row_number() OVER (ORDER BY lang) - 1 AS idx, count(*)::DOUBLE / sum(count(*)) OVER () AS weight, count(*) OVER () AS n FROM documents GROUP BY lang), f AS (SELECT *, least(12, greatest(1, 181 // (n * 4))) AS fl FROM w),
+  h AS (SELECT *, (181 - fl * n) * weight AS share FROM f), q AS (SELECT *, floor(share)::BIGINT AS whole, round(share - floor(share), 9) AS part FROM h) SELECT category, (fl + whole + (row_number() OVER (ORDER BY part DESC, idx) <= 181 - fl * n - sum(whole) OVER ())::INT)::BIGINT AS quota FROM q""")
 def weighted_quotas(spark, sf):
-    return S.weighted_quotas(spark.createDataFrame(QUOTAS, "category string, idx int, weight double"), 181).select("category", F.col("quota").cast("long").alias("quota"))
+    """A mix of 181 rows by the languages' shares of all documents, each with a floor."""
+    counts = table(spark, sf, "documents").groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("own"))
+    weights = counts.withColumn("idx", F.row_number().over(Window.orderBy("category")) - 1).withColumn("weight", F.col("own") / F.sum("own").over(Window.partitionBy(F.lit(0))))  # a row a language
+    return S.weighted_quotas(weights, 181).select("category", F.col("quota").cast("long").alias("quota"))
 
 
 @query(f"""SELECT d.lang AS category, count(*) AS rows_taken, count(DISTINCT d.doc_id) AS cases FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('5:' || doc_id), doc_id) AS r FROM documents) d

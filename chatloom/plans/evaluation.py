@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,25 +163,36 @@ def grid_sql(domains: dict, cells: str) -> str:
     for name, values in domains.items():
         out.append(f"{list(values)!r}[1 + (cell // {below}) % {len(values)}] AS {name}")
         below *= len(values)
-    return f"SELECT cell, key, {', '.join(out)} FROM ({cells})"
+    return f"SELECT cell, p_partkey, {', '.join(out)} FROM ({cells})"
+
+
+def drawn_cells(spark, sf, domains: dict) -> DataFrame:
+    """A trial for every part: its cell of the grid, drawn by its key."""
+    total = reduce(mul, map(len, domains.values()))
+    digits = F.conv(F.substring(X.sha(F.concat(F.lit("s:"), F.col("p_partkey").cast("string"))), 1, 13), 16, 10).cast("long")
+    return T.unranked(table(spark, sf, "part").select("p_partkey", (digits % total).alias("cell")), domains)
+
+
+DRAWN = "SELECT p_partkey, ('0x' || substr(sha256('s:' || p_partkey), 1, 13))::BIGINT % {total} AS cell FROM part"
 
 
-@query(grid_sql(DOMAINS, "SELECT cell, sha256('s:' || cell) AS key FROM (SELECT unnest(range(72))::BIGINT AS cell)"))
+@query(grid_sql(DOMAINS, "SELECT (p_partkey + p_size) % 72 AS cell, p_partkey FROM part"))
 def config_grid(spark, sf):
-    return T.grid(spark, DOMAINS, "s")
+    """The cell of a grid that each part's number stands for."""
+    return T.unranked(table(spark, sf, "part").select("p_partkey", ((F.col("p_partkey") + F.col("p_size")) % 72).alias("cell")), DOMAINS)
 
 
-@query(grid_sql(WIDE, "SELECT ('0x' || substr(sha256('s:' || i), 1, 13))::BIGINT % 7200000 AS cell, lpad(i::VARCHAR, 12, '0') AS key FROM (SELECT unnest(range(1000)) AS i)"))
+@query(grid_sql(WIDE, DRAWN.format(total=7200000)))
 def config_draws(spark, sf):
-    """More cells than are listed: drawn ones."""
-    return T.grid(spark, WIDE, "s")
+    """Cells of a grid that is too large to list, drawn."""
+    return drawn_cells(spark, sf, WIDE)
 
 
-@query("""SELECT cell, key FROM (SELECT cell, key, signature FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY key) AS rn FROM (SELECT cell, sha256('s:' || cell) AS key, (cell % 12) AS signature FROM (SELECT unnest(range(72))::BIGINT AS cell))) WHERE rn = 1 ORDER BY key LIMIT 10)""")
+@query(f"""SELECT p_partkey, cell FROM (SELECT *, row_number() OVER (PARTITION BY cell % 12 ORDER BY sha256('s:' || p_partkey)) AS rn FROM ({DRAWN.format(total=72)})) WHERE rn = 1""")
 def unique_trials(spark, sf):
-    """In drawn order, the first trials of different signatures; r and alpha alone make one."""
-    rows = T.grid(spark, DOMAINS, "s").withColumn("signature", X.canonical("alpha", "r"))
-    return T.first_of_each(rows, "signature", "key", 10).select("cell", "key")
+    """Of the parts' trials in drawn order the first of each signature; r and alpha alone make one."""
+    rows = drawn_cells(spark, sf, DOMAINS).withColumn("signature", X.canonical("alpha", "r")).withColumn("key", X.sha(F.concat(F.lit("s:"), F.col("p_partkey").cast("string"))))
+    return T.first_of_each(rows, "signature", "key", 1000).select("p_partkey", "cell")
 
 
 TOOLS = ["apply_patch", "bash", "edit", "glob", "grep", "lsp", "read", "todowrite"]
@@ -422,12 +436,13 @@ def probe(tensors: DataFrame, small: int = 3_000_000_000) -> DataFrame:
 DIGITS = "31415926535897932384626433832795028841971"
 
 
-@query(f"""WITH d AS (SELECT '{DIGITS}' AS d), s AS (SELECT unnest(range(40))::BIGINT AS i), m AS (SELECT i, unnest(['single_digit', 'triplets', 'diff', 'digit_pairs']) AS mode FROM s),
-  v AS (SELECT i, mode, CASE mode WHEN 'single_digit' THEN substr(d, 1 + (i % 41)::INT, 1)::INT WHEN 'triplets' THEN substr(d, 1 + 3 * (i % 13)::INT, 3)::INT WHEN 'diff' THEN abs(substr(d, 2 + (i % 40)::INT, 1)::INT - substr(d, 1 + (i % 40)::INT, 1)::INT) ELSE substr(d, 1 + 2 * (i % 21)::INT, 2)::INT END AS v FROM m, d)
-  SELECT i, mode, round(greatest(0.0, 0.1 * (1 + 0.5 * CASE mode WHEN 'triplets' THEN (v - 499.5) / 499.5 WHEN 'digit_pairs' THEN (v - 49.5) / 49.5 ELSE (v - 4.5) / 4.5 END)) * CASE WHEN i / 40.0 >= 0.9 THEN 0 ELSE 0.5 * (1 + cos(pi() * least(1.0, i / 40.0 / 0.9))) END, 9) AS alpha FROM v""")
+@query(f"""WITH d AS (SELECT '{DIGITS}' AS d), m AS (SELECT event_id AS i, unnest(['single_digit', 'triplets', 'diff', 'digit_pairs']) AS mode, (SELECT count(*) FROM events) AS n FROM events),
+  v AS (SELECT i, mode, n, CASE mode WHEN 'single_digit' THEN substr(d, 1 + (i % 41)::INT, 1)::INT WHEN 'triplets' THEN substr(d, 1 + 3 * (i % 13)::INT, 3)::INT WHEN 'diff' THEN abs(substr(d, 2 + (i % 40)::INT, 1)::INT - substr(d, 1 + (i % 40)::INT, 1)::INT) ELSE substr(d, 1 + 2 * (i % 21)::INT, 2)::INT END AS v FROM m, d)
+  SELECT i, mode, round(greatest(0.0, 0.1 * (1 + 0.5 * CASE mode WHEN 'triplets' THEN (v - 499.5) / 499.5 WHEN 'digit_pairs' THEN (v - 49.5) / 49.5 ELSE (v - 4.5) / 4.5 END)) * CASE WHEN i / n::DOUBLE >= 0.9 THEN 0 ELSE 0.5 * (1 + cos(pi() * least(1.0, i / n::DOUBLE / 0.9))) END, 6) AS alpha FROM v""")
 def digit_schedule(spark, sf):
-    """Amplitudes by the digits of a number, read in four ways, under a falling envelope with a clean tail."""
-    return schedule(spark.range(40).select(F.col("id").alias("i")), DIGITS, 0.1, 0.5, 40, 0.1).select("i", "mode", F.round("alpha", 9).alias("alpha"))
+    """For every event as a step of a run: amplitudes by the digits of a number, read in four ways, under a falling envelope with a clean tail."""
+    steps = table(spark, sf, "events").select(F.col("event_id").alias("i"))
+    return schedule(steps, DIGITS, 0.1, 0.5, steps.count(), 0.1).select("i", "mode", F.round("alpha", 6).alias("alpha"))
 
 
 def schedule(steps: DataFrame, digits: str, alpha: float, modulation: float, total: int, tail: float) -> DataFrame:

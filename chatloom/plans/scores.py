@@ -163,10 +163,11 @@ def survivors(spark, sf):
 
 # Dependencies, grids and small rules.
 
-@query("SELECT r, s, round(CASE WHEN s THEN 16 / sqrt(r) ELSE 16.0 / r END, 9) AS scale FROM (VALUES (4), (8), (16)) t(r), (VALUES (true), (false)) u(s)")
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 2 = 0 THEN 16 / sqrt(p_size) ELSE 16.0 / p_size END, 9) AS scale FROM part")
 def lora_scale(spark, sf):
-    rows = spark.createDataFrame([(r, s) for r in (4, 8, 16) for s in (True, False)], "r int, s boolean")
-    return rows.withColumn("scale", F.round(F.when(F.col("s"), 16 / F.sqrt("r")).otherwise(16 / F.col("r")), 9))
+    """An adapter's scale by its rank, or by the rank's square root."""
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("r"), (F.col("p_partkey") % 2 == 0).alias("s"))
+    return rows.select("p_partkey", F.round(F.when(F.col("s"), 16 / F.sqrt("r")).otherwise(16 / F.col("r")), 9).alias("scale"))
 
 
 # Tokens, turns and dialogues.

@@ -144,7 +144,7 @@ def test_command_line(spark, sf, tmp_path, capsys):
 
 
 def test_generated_rows_and_menus(spark):
-    rows = G.suite(spark, 3)
+    rows = G.suite(spark.range(3))
     assert rows.count() == 45 and {r.status for r in G.audited(rows).collect()} == {"ready"}
     bad = rows.withColumn("value", F.lit("not shown"))
     assert {r.category: r.status for r in G.audited(bad).collect()} == {c: "ready" if c == "rehearsal" else "blocked" for c in G.CATEGORIES}
