@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.kernel import U, Lookup, Words, chunks, ngrams
+from chatloom.llm.store import kept
 
 SHORTEST, LONGEST, PAD = 3, 8, 4
 #: So many of an item's shortest runs, the rarest that don't overlap, are always seeds.
@@ -178,7 +179,8 @@ def item_blocks(docs: DataFrame, items: DataFrame, block: int, chance: float) ->
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, chance: float = 0.01, block: int = 20_000) -> DataFrame:
-    """docs and items: (id, text). One row for each document and item that it holds: doc_id, item_id, score, first_word, end_word, n_matches."""
+    """docs and items: (id, text). One row for each document and item that it holds: doc_id, item_id, score, first_word, end_word, n_matches.
+    Rows of one id are one document, with its best passage; rows without an id are a document each."""
     def matcher(own: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -192,8 +194,10 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, cha
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, n_matches long"
     parts = [docs.select("id", "text").mapInArrow(matcher(x), schema) for x in item_blocks(docs, items, block, chance)]
     best = F.max(F.struct("score", (-F.col("first_word")).alias("early"), "end_word", "n_matches")).alias("best")
-    out = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", "best.score", (-F.col("best.early")).alias("first_word"), "best.end_word", "best.n_matches")
+    found = kept(reduce(DataFrame.unionByName, parts), "leaks")
+    out = found.where("doc_id is not null").groupBy("doc_id", "item_id").agg(best)
+    out = out.select("doc_id", "item_id", "best.score", (-F.col("best.early")).alias("first_word"), "best.end_word", "best.n_matches")
+    return out.unionByName(found.where("doc_id is null"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = 0.5, chance: float = 0.01, block: int = 20_000) -> DataFrame:

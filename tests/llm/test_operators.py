@@ -572,3 +572,35 @@ def test_pipeline_keeps_documents_without_an_id(spark):
     rows = [(7, same), (None, same), (None, own), (3, same), (None, None), (None, own)]
     out = P.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(3, same), (None, same), (None, own), (None, None), (None, own)], key=str)
+
+
+CLASH = ["id", "domain", "n_tokens", "copies", "lang_pred", "score", "line", "h", "c0", "component_id", "_tag", "item_id", "rank"]
+
+
+def test_pipeline_stages_with_clashing_columns(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 3 = 0")
+    more = docs.select([F.lit(f"own {c}").alias(c) for c in CLASH[:4]] + docs.columns + [F.lit(f"own {c}").alias(c) for c in CLASH[4:]])
+    plain_, rows = docs, more
+    for name, stage in P.STAGES:
+        plain_, rows = stage(spark, plain_, sf), stage(spark, rows, sf)
+        replaced = ["n_tokens", "copies"] if stage is P.mix_to_weights else []
+        assert rows.columns == [*[c for c in more.columns if c not in replaced], *replaced], name
+        assert all(r[c] == f"own {c}" for r in rows.collect() for c in CLASH if c not in replaced)
+        assert sorted(map(tuple, rows.select(plain_.columns).collect()), key=repr) == sorted(map(tuple, plain_.collect()), key=repr)
+        plain_, rows = (spark.createDataFrame(x.collect(), x.schema) for x in (plain_, rows))
+
+
+def test_contamination_keeps_documents_without_an_id_apart(spark):
+    words = [f"w{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "other words that stand nowhere else at all in here")], "id long, text string")
+    rows = [(None, "before " + " ".join(words)), (None, " ".join(words)), (None, " ".join(words)), (5, " ".join(words[:30])), (5, " ".join(words)), (None, None), (6, "clean")]
+    clash = {c: F.lit(c) for c in ("item_id", "score", "c0", "best")}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id, r.score, r.first_word) for r in decontaminate.contamination(docs.withColumns(clash), items.withColumns(clash)).collect())
+    assert got == [(0, 1, 1.0, 0), (0, 1, 1.0, 0), (0, 1, 1.0, 1), (5, 1, 1.0, 0)]
+    left = decontaminate.without_leaks(docs.withColumns(clash), items)
+    assert left.columns == ["id", "text", *clash] and sorted((r.id or 0, r.text, r.score) for r in left.collect() if r.text) == [(6, "clean", "score")] and left.count() == 2
+    long = spark.createDataFrame([(1, "pad " * 60_000 + " ".join(words) + " pad" * 60_000)], "id long, text string")
+    assert [(r.doc_id, r.first_word) for r in decontaminate.contamination(long, items).collect()] == [(1, 60_000)]
