@@ -103,3 +103,15 @@ def spaced(rows: DataFrame, is_rehearsal: Column, order: str) -> DataFrame:
 
 def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
     return ranked(rows, "rn", id_bucket(F.col(order)), [F.col(order)]).withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k))).drop("rn", "n")
+
+
+def composed(rows: DataFrame, key: str, is_replay: Column, ratio: float, total: int, seed: str) -> DataFrame:
+    """A stream of `total` rows: a share of them drawn from the replayed rows, the rest from the others, each without repeats until its pool is
+    used up, in a drawn order: rows' columns with pool, copy (from 1) and position (from 1)."""
+    again = int(round(total * ratio))
+    marked = rows.withColumn("pool", F.when(F.coalesce(is_replay, F.lit(False)), "replay").otherwise("canonical"))
+    parts = [drawn_with_replacement(marked.where(F.col("pool") == name), key, n, f"{seed}:{name}").select(key, "copies") for name, n in (("replay", again), ("canonical", total - again)) if n]
+    drawn = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = marked.join(drawn, key).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).drop("copies")
+    order = draw(seed, F.col(key), F.col("copy"))
+    return ranked(out, "position", drawn_bucket(order), [order, F.col(key), F.col("copy")]).drop("n")

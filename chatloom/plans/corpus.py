@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatloom.functions import table_functions
 from chatloom.functions import text as T
+from chatloom.operators import audits as A
 from chatloom.operators import conversations as C
 from chatloom.operators import sampling as S
 from chatloom.operators.tables import aligned, fingerprint
@@ -328,3 +330,34 @@ def recover_good_rows(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     good = F.coalesce(F.col("quality") == 1, F.lit(False))
     return rows.groupBy("source").agg(F.count("*").alias("total"), F.count_if(good).alias("retained"), F.count_if(~good).alias("to_retry"))
+
+
+@query(f"SELECT example_hash, prompt_size, sha256(completion_json) AS reply FROM ({EXAMPLES_SQL})")
+def normalized_records(spark, sf):
+    """Examples of all conversations by a table function in SQL."""
+    table_functions.register(spark)
+    C.records(table(spark, sf, "conversations")).select("messages", "conv_id").createOrReplaceTempView("conversation_records")
+    return spark.sql("SELECT example_hash, size(prompt) AS prompt_size, sha2(to_json(completion), 256) AS reply FROM normalized_records(TABLE(conversation_records))")
+
+
+CONTRACT = [
+    A.Expectation("ids", "unique", ["doc_id"]), A.Expectation("texts", "unique", ["text"]), A.Expectation("thousand", "rows", each=1000), A.Expectation("sources", "balanced", ["source"]), A.Expectation("fifties", "balanced", ["source", "lang"], each=50),
+    A.Expectation("languages", "histogram", ["lang"], counts={"en": 620, "de": 129, "fr": 145, "xx": 1}), A.Expectation("empty", "never", condition="text = '' or text is null"), A.Expectation("short", "never", condition="n_chars < 100"), A.Expectation("sides", "apart", ["text"], side="n_chars % 2"),
+    A.Expectation("folds", "apart", ["doc_id"], side="doc_id % 3"),
+]
+
+
+def counted_sql(name: str, value: str, where: str = "true", side: str = "0") -> str:
+    return f"SELECT '{name}' AS name, sum(n)::BIGINT AS rows, count_if(n > 0)::BIGINT AS values, min(n) AS least, max(n) AS most, count_if(sides > 1)::BIGINT AS shared FROM (SELECT {value} AS v, count(*) AS n, count(DISTINCT {side}) AS sides FROM documents WHERE {where} GROUP BY ALL)"
+
+
+LANGUAGES = "(SELECT count(*) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) WHERE (lang, n) IN (('en', 620), ('de', 129), ('fr', 145), ('xx', 1)))"
+
+
+@query(f"""WITH c AS ({' UNION ALL '.join([counted_sql('ids', 'doc_id'), counted_sql('texts', 'sha256(text)'), counted_sql('thousand', '1'), counted_sql('sources', 'source'), counted_sql('fifties', '(source, lang)'), counted_sql('languages', 'lang'), counted_sql('empty', '1', "text = '' OR text IS NULL"), counted_sql('short', '1', 'n_chars < 100'), counted_sql('sides', 'sha256(text)', side='n_chars % 2'), counted_sql('folds', 'doc_id', side='doc_id % 3')])})
+  SELECT k.name, k.kind, CASE kind WHEN 'rows' THEN coalesce(rows, 0) = 1000 WHEN 'unique' THEN coalesce(most, 0) <= 1 WHEN 'balanced' THEN least = most AND (k.name = 'sources' OR most = 50) WHEN 'histogram' THEN {LANGUAGES} = 4 AND values = 4 WHEN 'never' THEN coalesce(rows, 0) = 0 ELSE coalesce(shared, 0) = 0 END AS ok,
+    coalesce(rows, 0) AS rows, coalesce(values, 0) AS values, coalesce(least, 0) AS least, coalesce(most, 0) AS most, CASE kind WHEN 'never' THEN coalesce(rows, 0) WHEN 'apart' THEN coalesce(shared, 0) WHEN 'histogram' THEN greatest(values, 4) - {LANGUAGES} WHEN 'unique' THEN coalesce(rows - values, 0) ELSE 0 END AS wrong
+  FROM (VALUES {', '.join(f"('{e.name}', '{e.kind}')" for e in CONTRACT)}) k(name, kind) LEFT JOIN c USING (name)""")
+def contract_audit(spark, sf):
+    """A contract of ten expectations over all documents, in one plan."""
+    return A.audited(table(spark, sf, "documents"), CONTRACT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import mul
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import text as X
@@ -376,10 +376,35 @@ def variant(r):
     return F.when(on(r["noise"]["intent_consistency_weight"] > 0), "human-intent").when(literal, "literal-lock").otherwise(plain)
 
 
-@query("""SELECT p_partkey AS run, substr(sha256('{"lora_rank":' || p_size || ',"model":"' || p_brand || '","seed":null,"target_profile":"' || p_type || '"}'), 1, 10) AS signature FROM part""")
+#: The parts of a recipe that tell one protocol from another.
+PROTOCOL = [
+    "model", "datasets", "validation_mode", "validation_datasets", "eval_ratio", "max_validation_samples", "seed", "sequence_length", "max_source_rows", "max_training_samples", "time_limit_minutes", "reserve_minutes", "budget_mode", "max_steps", "use_rslora", "lora_rank", "lora_alpha",
+    "target_profile", "learning_rate", "allowed_tools",
+]
+GIVEN = {"lora_rank": "p_size", "model": "p_brand", "target_profile": "p_type", "seed": "p_partkey % 4", "sequence_length": "p_size * 64", "use_rslora": "p_size % 2 = 0"}
+LISTS = {"datasets": ("p_brand", "p_type"), "allowed_tools": ("p_type",)}
+
+
+def recipe_sql() -> str:
+    quoted = lambda e: f"'\"' || {e} || '\"'"
+    value = lambda k: "'[' || " + " || ', ' || ".join(map(quoted, LISTS[k])) + " || ']'" if k in LISTS else "'null'" if k not in GIVEN else quoted(GIVEN[k]) if GIVEN[k] in ("p_brand", "p_type") else f"({GIVEN[k]})::VARCHAR"
+    return "'{' || " + " || ', ' || ".join(f"'\"{k}\": ' || {value(k)}" for k in sorted(PROTOCOL)) + " || '}'"
+
+
+@query(f"SELECT p_partkey AS run, substr(sha256({recipe_sql()}), 1, 10) AS signature FROM part")
 def protocol_signature(spark, sf):
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("run"), F.col("p_size").alias("lora_rank"), F.col("p_brand").alias("model"), F.lit(None).cast("long").alias("seed"), F.col("p_type").alias("target_profile"))
-    return rows.select("run", F.substring(X.sha(X.canonical("lora_rank", "model", "seed", "target_profile")), 1, 10).alias("signature"))
+    """Runs by the twenty parts of their recipes that make a protocol; what a recipe doesn't have is null."""
+    given = {k: F.expr(v) for k, v in GIVEN.items()} | {k: F.array(*v) for k, v in LISTS.items()}
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("run"), *[given.get(k, F.lit(None).cast("string")).alias(k) for k in PROTOCOL])
+    return rows.select("run", F.substring(X.sha(dumped(rows, PROTOCOL)), 1, 10).alias("signature"))
+
+
+def dumped(rows: DataFrame, names: list[str]) -> Column:
+    """Columns as the JSON that is signed: by name, nulls shown, a blank after each comma and colon; lists are of texts."""
+    bare = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":|\}$', "")
+    kinds = dict(rows.dtypes)
+    shown = lambda k: F.concat(F.lit("["), F.array_join(F.transform(k, bare), ", "), F.lit("]")) if kinds[k].startswith("array") else bare(F.col(k))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), F.when(F.col(k).isNull(), "null").otherwise(shown(k))) for k in sorted(names)]), F.lit("}"))
 
 
 @query("SELECT event_type, round(exp(least(20, coalesce(loss, 3.0))), 6) AS perplexity FROM (SELECT event_type, max_by(value / 100, (ts, event_id)) FILTER (event_id % 3 = 0) AS loss FROM events GROUP BY 1)")

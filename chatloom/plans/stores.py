@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom import api
 from chatloom.operators import events as E
 from chatloom.plans.registry import query
+from chatloom.sources import headers
 from chatloom.sources import readers as R
 from chatloom.sources import stores as W
 from chatloom.sources.readers import table
@@ -138,9 +139,8 @@ def sealed_store(spark, sf):
     return out.select(F.col("group_id").alias("source"), "examples", F.coalesce("hits", F.lit(0)).alias("sealed"), "suite_rows", "suite_hashes")
 
 
-@query("SELECT 'm.' || p_partkey AS name, 'F32' AS dtype, p_size::BIGINT AS x, 4::BIGINT AS y FROM part")
-def tensor_headers(spark, sf):
-    """A tensor file's header is a length and JSON; what follows isn't read. A file for every brand."""
+def written_tensors(spark, sf) -> str:
+    """Tensor files of all parts, at most 1000 in one: a length, JSON and some bytes."""
     root = shared_path(spark, "tensors")
     one = F.struct(F.concat(F.lit("m."), F.col("p_partkey")).alias("k"), F.struct(F.lit("F32").alias("dtype"), F.array(F.col("p_size"), F.lit(4)).alias("shape"), F.array(F.lit(0), F.lit(0)).alias("data_offsets")).alias("v"))
     bare = F.expr("substring(to_json(named_struct('m', e)), 6)")  # of a map, without what stands around it
@@ -150,9 +150,30 @@ def tensor_headers(spark, sf):
     prefix = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(size, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)], F.lit("00000000")))
     made = heads.select(F.concat(F.lit("checkpoint-1/"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"), F.lit("-"), F.col("part"), F.lit(".safetensors")).alias("path"), F.concat(prefix, text.cast("binary"), F.unhex(F.repeat(F.lit("00"), 64))).alias("content"))
     W.write_files(made, root)
+    return root
+
+
+TENSORS = "SELECT 'm.' || p_partkey AS name, 'F32' AS dtype, p_size::BIGINT AS x, 4::BIGINT AS y FROM part"
+
+
+def shapes(headers: DataFrame) -> DataFrame:
+    return headers.select("name", "dtype", F.get("shape", F.lit(0)).alias("x"), F.get("shape", F.lit(1)).alias("y"))
+
+
+@query(TENSORS)
+def tensor_headers(spark, sf):
+    """The headers of files that a table names; what follows them isn't read."""
+    root = written_tensors(spark, sf)
     paths = W.files(spark, root, "*.safetensors")
     whole = paths.agg(F.sum("length").alias("all")).join(W.checkpoint_bytes(spark, root)).where("all = bytes")  # one row each
-    return W.tensor_headers(paths.join(F.broadcast(whole))).select("name", "dtype", F.get("shape", F.lit(0)).alias("x"), F.get("shape", F.lit(1)).alias("y"))
+    return shapes(W.tensor_headers(paths.join(F.broadcast(whole))))
+
+
+@query(TENSORS)
+def tensor_header_source(spark, sf):
+    """The same as a data source, a partition a file."""
+    headers.register(spark)
+    return shapes(spark.read.format("tensor_headers").load(written_tensors(spark, sf)))
 
 
 @query("SELECT count(*) AS row_count, 'doc_id,lang,source' AS columns, count_if(doc_id % 50 = 0)::BIGINT AS secret_hits FROM documents")
@@ -162,7 +183,7 @@ def inspect_dataset(spark, sf):
     rows.select(F.to_json(F.struct("doc_id", "lang", "source")).alias("value")).write.format("text").option("lineSep", "\n").save(path)
     target = shared_path(spark, "dataset")
     renamed(spark, path, target, "jsonl")
-    return W.inspected(spark, target, limit=1 << 30).select("row_count", F.array_join("columns", ",").alias("columns"), "secret_hits")
+    return W.inspected(spark, target, limit=None).select("row_count", F.array_join("columns", ",").alias("columns"), "secret_hits")
 
 
 def renamed(spark, source: str, target: str, suffix: str) -> None:

@@ -19,6 +19,7 @@ from chatloom.plans.evaluation import FULL, full
 from chatloom.plans.registry import query
 from chatloom.sources import stores as W
 from chatloom.sources.readers import table
+from chatloom.sources.shared import kept
 
 ROLES = "doc_id % 7 AS role, n_chars % 3 <> 0 AS is_tool, lang IN ('en', 'fr') AS several, n_chars % 2 = 0 AS typed"
 
@@ -133,3 +134,30 @@ def replay_mix(spark, sf):
 
     both = part("replay", docs.where("lang = 'es'"), 120, "1").unionByName(part("canonical", docs.where("lang = 'en'"), 280, "2"))
     return both.withColumn("ratio", F.round(F.col("draws") / F.sum("draws").over(Window.partitionBy(F.lit(0))), 9))
+
+
+STREAM = """SELECT pool, doc_id, h, pool_size, draws, row_number() OVER (ORDER BY sha256('m:' || doc_id || ':' || copy), doc_id, copy) AS position FROM (SELECT pool, doc_id, h, n AS pool_size, draws, unnest(range(1, draws // n + (r < draws % n)::INT + 1)) AS copy FROM (
+  SELECT pool, doc_id, sha256(text) AS h, row_number() OVER (PARTITION BY pool ORDER BY sha256('m:' || pool || ':' || doc_id), doc_id) - 1 AS r, count(*) OVER (PARTITION BY pool) AS n, CASE pool WHEN 'replay' THEN again ELSE total - again END AS draws
+  FROM (SELECT *, CASE WHEN lang = 'es' THEN 'replay' ELSE 'canonical' END AS pool, (SELECT count(*) FROM documents) AS total, round_even((SELECT count(*) FROM documents) * 0.3, 0)::BIGINT AS again FROM documents)))"""
+
+
+def replayed(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", X.sha(F.col("text")).alias("h"))
+    return S.composed(docs, "doc_id", F.col("lang") == "es", 0.3, docs.count(), "m")
+
+
+@query(f"SELECT position, doc_id, pool FROM ({STREAM})")
+def replay_stream(spark, sf):
+    """As many rows as there are documents, three tenths of them replayed Spanish ones, in a drawn order."""
+    return replayed(spark, sf).select("position", "doc_id", "pool")
+
+
+@query(f"""WITH s AS ({STREAM}) SELECT pool, max(pool_size) AS pool_size, count(*) AS draws, count(DISTINCT doc_id) AS distinct_rows, count(*) > max(pool_size) AS replacement, round(count(*) / sum(count(*)) OVER (), 9) AS ratio,
+  (SELECT sha256(string_agg(h, chr(10) ORDER BY b)) FROM (SELECT b // 1024 AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM (SELECT position // 1024 AS b, sha256(string_agg(h, chr(10) ORDER BY position)) AS h FROM s GROUP BY 1) GROUP BY 1)) AS fingerprint FROM s GROUP BY pool""")
+def replay_manifest(spark, sf):
+    """Of the composed stream: its pools, what was drawn of each and whether repeatedly, and a fingerprint of the whole in its order."""
+    stream = kept(replayed(spark, sf), "stream")
+    sizes = table(spark, sf, "documents").groupBy(F.when(F.col("lang") == "es", "replay").otherwise("canonical").alias("pool")).agg(F.count("*").alias("pool_size"))
+    parts = stream.groupBy("pool").agg(F.count("*").alias("draws"), F.countDistinct("doc_id").alias("distinct_rows")).join(sizes, "pool")
+    parts = parts.withColumn("replacement", F.col("draws") > F.col("pool_size")).withColumn("ratio", F.round(F.col("draws") / F.sum("draws").over(Window.partitionBy(F.lit(0))), 9))  # two rows
+    return parts.join(T.fingerprint(stream, "position", ["position"], "h"))  # one row

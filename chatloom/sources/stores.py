@@ -247,20 +247,25 @@ def tensor_headers(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInArrow(run, "path string, name string, dtype string, shape array<long>")
 
 
-def inspected(spark: SparkSession, root: str, limit: int = 100) -> DataFrame:
-    """A dataset folder in one row: bytes, lines of its JSON-lines files (blank ones too; null without any JSON), the columns and secret hits of each file's first lines, and a fingerprint of names and sizes."""
+def inspected(spark: SparkSession, root: str, limit: int | None = 100) -> DataFrame:
+    """A dataset folder in one row: bytes, lines of its JSON-lines files (blank ones too; null without any JSON), the columns and secret hits of the first lines of each part of a file
+    (of all lines without a limit), and a fingerprint of names and sizes. Lines are counted where they are read; none are brought together."""
     every = files(spark, root)
     name = F.regexp_extract("path", "([^/]*)$", 1)
     sizes = every.agg(F.sum("length").alias("bytes"), F.count_if(name.rlike("[.]jsonl?$")).alias("json_files"))
     prints = every.select(F.xxhash64(name, "length").cast("decimal(38,0)").alias("h")).agg(F.sum("h").cast("string").alias("fingerprint"))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
     count = lines.agg(F.count("*").alias("lines"))
-    some = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    first = some.groupBy("file").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("n") % (1 << 33) < limit, F.struct("block", "n", "value")))), 1, limit).alias("v")).select(F.explode("v").alias("v")).select("v.value")
+    first = lines
+    if limit is not None:  # the first lines of a file are among the first of the part of it that begins at byte 0
+        some = lines.where("_metadata.file_block_start = 0").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+        first = some.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("n"))).where(F.col("k") <= limit)  # cut before the shuffle
     keys = F.json_object_keys("value")
     hits = sum((F.col("value").rlike(p).cast("long") for p in SECRETS), F.lit(0))
-    sample = first.where(keys.isNotNull()).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(keys)))).alias("columns"), F.coalesce(F.sum(hits), F.lit(0)).alias("secret_hits"))
-    return sizes.join(prints).join(count).join(sample).withColumn("row_count", F.when(F.col("json_files") > 0, F.col("lines"))).drop("lines", "json_files")  # one row each
+    named = first.where(keys.isNotNull())
+    columns = named.select(F.explode(keys).alias("k")).distinct().agg(F.array_sort(F.collect_list("k")).alias("columns"))  # a name a row
+    sample = named.agg(F.coalesce(F.sum(hits), F.lit(0)).alias("secret_hits"))
+    return sizes.join(prints).join(count).join(columns).join(sample).withColumn("row_count", F.when(F.col("json_files") > 0, F.col("lines"))).drop("lines", "json_files")  # one row each
 
 
 # Reports.
