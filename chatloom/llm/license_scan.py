@@ -87,7 +87,8 @@ def votes(docs: DataFrame, phrases: list[tuple[str, str]] = BASE, notices: list[
     hits = rows.join(F.broadcast(template_pairs(docs, phrases, notices)), "h").where("(x = a and y = b) or (tid < 0 and y is null)")
     n_words = F.col("p") + 1 - F.col("lead") - (F.col("x") == "").cast("int")
     hits = hits.select("id", "tag", "tid", "label", "base", "pairs", F.when(F.col("tid") < 0, n_words).otherwise(F.col("p") - F.col("lead") - F.col("t")).alias("diagonal"), F.expr("shiftleft(1L, t)").alias("bit"))
-    return hits.repartition("id", "tag").groupBy("id", "tag", "tid", "label", "base", "pairs", "diagonal").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    # rows that are alike, however many, are one a task before anything moves; then what is left comes together by id and tag
+    return hits.groupBy("id", "tag", "tid", "label", "base", "pairs", "diagonal").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n")).repartition("id", "tag")
 
 
 def verified(found: DataFrame, coverage: float, slack: int) -> DataFrame:
