@@ -13,8 +13,8 @@ def draw(seed: str, *keys: Column) -> Column:
 
 
 def drawn_bucket(c: Column) -> Column:
-    """Which of 4096 even parts of the order a drawn key is in."""
-    return F.conv(F.substring(c, 1, 3), 16, 10).cast("long")
+    """Which of 65536 even parts of the order a drawn key is in."""
+    return F.conv(F.substring(c, 1, 4), 16, 10).cast("long")
 
 
 def id_bucket(c: Column) -> Column:

@@ -54,10 +54,14 @@ def dual_seed(scores: DataFrame, by: str, score: str, seeds: int = 2) -> DataFra
 def closure(entries: DataFrame, needs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The ids of wanted (id) and all that they need over needs (id, need), whatever the depth. An id that entries (id) lacks is an error.
 
-    Every round joins only what the round before added, so a cycle ends and no edge is walked twice.
+    Every round joins only what the round before added, so a cycle ends and no edge is walked twice; what was found is put in one table now and then.
     """
     found = fresh = kept(wanted.select("id").distinct(), "closure")
+    rounds = 0
     while not fresh.isEmpty():
+        rounds += 1
+        if rounds % 8 == 0:
+            found = kept(found, "closure")
         lost = fresh.join(entries, "id", "left_anti").orderBy("id").limit(5).collect()
         if lost:
             raise ValueError(f"missing ids: {[r['id'] for r in lost]}")

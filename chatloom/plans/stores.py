@@ -49,17 +49,10 @@ def written_scores(spark, sf) -> str:
     """A file of scores for each source: its counts, then its cases."""
     root = shared_path(spark, "scores")
     rows = table(spark, sf, "documents").select(F.concat(F.when(F.col("source") == "src1", "memory_").otherwise("live_"), "source").alias("category"), (F.col("n_chars") % 2 == 0).alias("valid"))
-    sums = rows.groupBy("category").agg(F.count("*").alias("total_count"), F.count_if("valid").alias("correct_count")).collect()  # a row a source
-    import json
-    jvm, fs = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in sums:
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/sub/BFCL_v4_{r.category}_score.json"))
-        out.write(bytearray(("\n" + json.dumps({"total_count": r.total_count, "correct_count": r.correct_count}) + '\n{"id": "x", "valid": true}\n').encode()))
-        out.close()
-    for name, text in (("BFCL_v4_broken_score.json", "oops\n"), ("data_overall.csv", "Rank,Model,Acc\n1,a,90\n"), ("other.csv", 'Model,Note\nb,"x, y"\n')):
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"))
-        out.write(bytearray(text.encode()))
-        out.close()
+    sums = rows.groupBy("category").agg(F.count("*").alias("total_count"), F.count_if("valid").alias("correct_count"))
+    scores = sums.select(F.concat(F.lit("sub/BFCL_v4_"), "category", F.lit("_score.json")).alias("path"), F.concat(F.lit("\n"), F.to_json(F.struct("total_count", "correct_count")), F.lit('\n{"id": "x", "valid": true}\n')).alias("content"))
+    others = [("BFCL_v4_broken_score.json", "oops\n"), ("data_overall.csv", "Rank,Model,Acc\n1,a,90\n"), ("other.csv", 'Model,Note\nb,"x, y"\n')]
+    W.write_files(scores.unionByName(spark.createDataFrame(others, "path string, content string")), root)
     return root
 
 
