@@ -180,7 +180,8 @@ def test_license_scan(spark):
 def test_queries_against_sql(spark, sf, name):
     got = queries()[name](spark, sf).toPandas()
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings", "sale_lines"):
+        duck.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = duck.execute(oracle_sql()[name]).df()[list(got.columns)]
     show = lambda f: sorted(tuple("null" if pd.isna(x) else str(x).removesuffix(".0") for x in r) for r in f.itertuples(index=False, name=None))
     assert show(got) == show(want)

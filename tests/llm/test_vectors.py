@@ -203,18 +203,3 @@ def test_totals_by_label(spark, most):
         want[label] = want.get(label, 0) + error
     got = queries.with_total(spark.createDataFrame(rows, "id long, label int, error long"), "label", "error", "all", most=most).collect()
     assert sorted(((r.id, r["all"]) for r in got)) == [(i, want[label]) for i, label, _ in rows]
-
-
-@pytest.mark.parametrize("name", ["op11_topk_inner_product", "op12_change_points", "op13_vector_codes"])
-def test_queries_against_sql(spark, sf, name):
-    import os
-
-    import duckdb
-
-    con = duckdb.connect()
-    for t in ("embeddings", "sale_lines"):
-        con.execute(f"create view {t} as select * from '{os.path.join(sf, t)}.parquet'")
-    out = queries.queries()[name](spark, sf)
-    want = con.sql(queries.oracle_sql()[name])
-    at = [want.columns.index(c) for c in out.columns]
-    assert sorted(map(tuple, out.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
