@@ -1,10 +1,12 @@
 """Language-model scores of whole texts: a gated recurrent network in numpy with a class-factored softmax.
 
-Words come in vocabulary order of their counts over all training texts; the network predicts the `vocabulary` most frequent ones,
-the end of the text, and one symbol for all other words, whose own share comes from their counts plus one. The softmax first
-predicts a word's class, then the word in its class. Training runs truncated backpropagation through windows of `steps` words. The
+Words come in vocabulary order of their counts over all training texts. The network reads and predicts symbols: the end of the text,
+the `vocabulary` most frequent words, a group each of the `frequent` words, and one symbol for all words beyond them. `groups` groups
+hold words that stand in like company, as the counts of all training texts tell it; in its group a word's share comes from its count
+plus one. The softmax first predicts a symbol's class, then the symbol in its class. Training runs truncated backpropagation through windows of `steps` words. The
 driver starts the network on a bounded sample of texts (`sample`, lowest by a hash of their id); then it is trained on all training
-texts: each falls, by a hash of id and words, to one part of about `part` words; in each of `rounds` rounds a share of the parts
+texts: each falls, by a hash of id and words (without an id: by its place in the written table, as those may all be equal), to one
+part of about `part` words; in each of `rounds` rounds a share of the parts
 trains from the same weights, each part in one task as `wide` streams, and the parts' weights are averaged by their words. Scoring carries the state
 through all windows of a text to its end, so every score is the log-likelihood of the whole text.
 
@@ -259,16 +261,17 @@ class Network:
 
 @dataclass
 class Model:
-    """words: the frequent words' hashes by falling count, with their counts; number: a frequent word's number for the network."""
+    """words: the frequent words' hashes by falling count, with their counts; symbol: a frequent word's symbol; mass: log10 of all
+    counts plus one of a symbol's words, or of what `symbol` lacks; of a symbol with one word it is nothing."""
 
     words: Lookup
     counts: np.ndarray
-    number: np.ndarray
+    symbol: np.ndarray
+    mass: np.ndarray
     network: Network
     n: int
     v: int
     ends: int
-    other: float
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -313,47 +316,171 @@ def most_frequent(counts: DataFrame, n: int) -> DataFrame:
     return rows.unionByName(ties).orderBy(F.desc("c"), "h").limit(n)
 
 
-def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, frequent: int = 1 << 18, sample: int = 512, width: int = 16, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 8e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
-    """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts, `sample` texts and, each round, one set of weights."""
+def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, groups: int = 256, frequent: int = 1 << 18, sample: int = 512, width: int = 16, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 8e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
+    """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts and sums of contexts, the counts
+    of pairs of CONTEXTS words, `sample` texts and, each round, one set of weights."""
     own = docs.where(train)
     counts = kept(count_words(own), "word_counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     ends = own.select("id").count()
     top = most_frequent(counts, frequent).toArrow()
-    words, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy().astype(np.int64)
-    size = min(len(words), max(0, vocabulary - 2))
-    number = np.full(len(words), OTHER, dtype=np.int64)
-    number[:size] = np.arange(size) + 2
-    network = Network(np.concatenate([[ends, n - c[:size].sum()], c[:size]]).astype(np.float64), width, seed)
-    model = Model(Lookup(words), c, number, network, n + ends, v + (ends > 0), ends, float(n - c[:size].sum() + v - size + 1))
+    words, c = Lookup(top.column("h").to_numpy().view(np.uint64)), top.column("c").to_numpy().astype(np.int64)
+    rows = kept(numbers(own, words), "lm_numbers")
+    single = max(0, vocabulary - 2)
+    group = word_groups(rows, c, single, groups) if len(c) > single else np.zeros(0, np.int64)
+    symbol = np.append(np.arange(2, 2 + min(single, len(c))), 2 + single + group)
+    total = np.bincount(symbol, c, max(2, int(symbol.max(initial=0)) + 1))
+    total[[END, OTHER]] = ends, n - c.sum()
+    mass = np.log10(np.bincount(symbol, c + 1.0, len(total)) + (np.arange(len(total)) == OTHER) * (n - c.sum() + v - len(c) + 1.0) + (np.arange(len(total)) == END))
+    mass[2 : 2 + single] = np.log10(c[:single] + 1.0)
+    model = Model(words, c, symbol, mass, Network(total.astype(np.float64), width, seed), n + ends, v + (ends > 0), ends)
+    rows = symbols(rows, model)
     some = own.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = own.join(F.broadcast(some), "id", "left_semi").orderBy("id", F.xxhash64("text")).select("text").toArrow().column("text")
-    lists = []
-    for column in texts.chunks:
-        for _, _, w in chunks(column):
-            lists += [np.append(x, END) for x in np.split(numbered(model, model.words.find(w.hashes())), w.bounds[1:-1])]
-    network.train(lists, steps, streams, epochs, rate, seed)
+    texts = rows.join(F.broadcast(some), "id", "left_semi").orderBy("id", F.xxhash64("numbers")).select("numbers").toArrow().column("numbers")
+    kind = np.min_scalar_type(len(total))
+    model.network.train([np.frombuffer(x, dtype=kind).astype(np.int64) for x in texts.to_pylist()], steps, streams, epochs, rate, seed)
     shards = max(1, -(-model.n // (part * rounds)))
-    rows = kept(numbers(own, model).withColumn("part", F.pmod(F.xxhash64("id", "numbers"), F.lit(shards * rounds))), "lm_numbers")
+    key = F.when(F.col("id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("id", "numbers"))
+    rows = kept(rows.withColumn("part", F.pmod(key, F.lit(shards * rounds))), "lm_symbols")
     for k in range(rounds):
-        network.p = averaged(rows.where(F.col("part") % rounds == k), network, steps, wide, rate * (1 - 0.9 * k / rounds), seed)
+        model.network.p = averaged(rows.where(F.col("part") % rounds == k), model.network, steps, wide, rate * (1 - 0.9 * k / rounds), seed)
     return model, counts
 
 
-def numbers(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (id, text) as id and numbers, those of the text's words and END."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # `frequent` words and the network
+#: Words whose company tells other words' groups, how far it reaches, how many axes it is seen along, and units of an axis.
+CONTEXTS, REACH, AXES, UNITS = 512, 4, 12, 64
+
+
+def numbers(docs: DataFrame, words: Lookup) -> DataFrame:
+    """docs (id, text) as id and numbers (int32): each word's place among `words`, -1 beyond them, and -2 for the end."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most `frequent`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for lo, hi, w in chunks(batch.column(1)):
-                ids = np.insert(numbered(m, m.words.find(w.hashes())), w.bounds[1:], END)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], binaries(ids.astype(np.min_scalar_type(len(m.network.of))), w.bounds + np.arange(hi - lo + 1))], names=["id", "numbers"])
+                ids = np.insert(shared.value.find(w.hashes()), w.bounds[1:], -2)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], binaries(ids.astype(np.int32), w.bounds + np.arange(hi - lo + 1))], names=["id", "numbers"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, numbers binary")
 
 
+def symbols(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows of `numbers` with symbols in their place."""
+    kind = np.min_scalar_type(len(model.network.of))
+    table = rows.sparkSession.sparkContext.broadcast(np.append(model.symbol, [END, OTHER]).astype(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bounds = flat(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), binaries(table.value[ids], bounds)], names=["id", "numbers"])
+
+    return rows.mapInArrow(run, "id long, numbers binary")
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The int32 numbers of a binary column in one array, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=column.offset + len(column) + 1)[column.offset :]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.int32) if offsets[-1] > offsets[0] else np.zeros(0, np.int32), (offsets - offsets[0]) // 4
+
+
+def pieces(batches: Iterator[pa.RecordBatch], size: int = 1 << 17) -> Iterator[tuple[np.ndarray, slice]]:
+    """The numbers of all batches in pieces with REACH more on both sides, and where the piece itself lies in it."""
+    for batch in batches:
+        ids, _ = flat(batch.column(1))
+        for lo in range(0, len(ids), size):
+            begin = max(0, lo - REACH)
+            yield ids[begin : lo + size + REACH], slice(lo - begin, min(len(ids), lo + size) - begin)
+
+
+def word_groups(rows: DataFrame, counts: np.ndarray, single: int, groups: int) -> np.ndarray:
+    """A group for every word from `single` on. Pairs of the CONTEXTS most frequent words, near each other in a text, give these words
+    coordinates (correspondence analysis); a word stands at the mean of those near it; a tree that halves the counts along the widest
+    axis makes the groups. Coordinates are integers, so sums don't depend on any order."""
+    k = min(CONTEXTS, len(counts))
+    shared = rows.sparkSession.sparkContext.broadcast(coordinates(rows, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((k + 1, AXES + 1))
+        table[:k] = shared.value
+        total = np.zeros((len(counts), AXES + 1))
+        for ids, own in pieces(batches):
+            value = table[np.where((ids >= 0) & (ids < k), ids, k)]
+            upto = np.zeros((len(ids) + 1, AXES + 1))
+            np.cumsum(value, axis=0, out=upto[1:])
+            at = own.start + np.flatnonzero(ids[own] >= single)
+            ends = np.flatnonzero(ids == -2)
+            text = np.searchsorted(ends, at)
+            lo = np.maximum(at - REACH, np.append(0, ends + 1)[text])
+            hi = np.minimum(at + REACH + 1, np.append(ends, len(ids))[text])
+            near = upto[hi] - upto[lo] - value[at]
+            word, where = np.unique(ids[at], return_inverse=True)
+            for axis in range(AXES + 1):
+                total[word, axis] += np.bincount(where, near[:, axis], len(word))
+        seen = np.flatnonzero(total[:, AXES])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(x) for x in total[seen].astype(np.int64).T)], names=["word", *names])
+
+    names = [f"s{i}" for i in range(AXES + 1)]
+    sums = rows.mapInArrow(run, ", ".join(f"{x} long" for x in ["word", *names])).groupBy("word").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    place = np.zeros((len(counts), AXES))
+    near = np.stack([sums.column(x).to_numpy() for x in names], axis=1).astype(np.float64)
+    place[sums.column("word").to_numpy()] = near[:, :AXES] / (near[:, AXES:] + 2.0)  # words with few neighbours stay near the middle
+    return halved(place[single:], counts[single:].astype(np.float64), groups)
+
+
+def coordinates(rows: DataFrame, k: int) -> np.ndarray:
+    """For each of the k most frequent words AXES coordinates and a one. At most k * k counts come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, dtype=np.int64)
+        for ids, own in pieces(batches):
+            text = np.cumsum(ids == -2)
+            at = own.start + np.flatnonzero((ids[own] >= 0) & (ids[own] < k))
+            for d in range(1, REACH + 1):
+                one = at[at < len(ids) - d]
+                one = one[text[one] == text[one + d]]
+                other = ids[one + d]
+                few = (other >= 0) & (other < k)
+                total += np.bincount(ids[one[few]].astype(np.int64) * k + other[few], minlength=k * k)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    pairs = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(k * k)
+    table[pairs.column("cell").to_numpy()] = pairs.column("n").to_numpy()
+    table = table.reshape(k, k)
+    table += table.T
+    mass = table.sum(axis=1) + 1.0
+    share = np.sqrt(mass / mass.sum())
+    values, axes = np.linalg.eigh(table / mass.sum() / np.outer(share, share) - np.outer(share, share))
+    order = np.argsort(-np.abs(values), kind="stable")[:AXES]
+    out = np.zeros((k, AXES + 1))
+    out[:, : len(order)] = np.clip(np.rint(axes[:, order] / share[:, None] * np.abs(values[order]) * UNITS), -64 * UNITS, 64 * UNITS)
+    out[:, AXES] = 1
+    return out
+
+
+def halved(place: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
+    """A group number for each place: the heaviest group is cut, at its middle weight along its widest axis, until there are `groups` or none can be cut."""
+    group, held, done = np.zeros(len(place), np.int64), [np.arange(len(place))], []
+    while held and len(held) + len(done) < groups:
+        at = held.pop(int(np.argmax([weight[x].sum() for x in held])))
+        mean = np.average(place[at], axis=0, weights=weight[at])
+        away = place[at] - mean
+        along = away @ np.linalg.eigh((away * weight[at, None]).T @ away)[1][:, -1]
+        order = np.argsort(along, kind="stable")
+        run = np.cumsum(weight[at][order])
+        cut = int(np.searchsorted(run, run[-1] / 2)) + 1
+        if cut >= len(at) or along[order[0]] == along[order[-1]]:
+            done.append(at)
+        else:
+            held += [at[order[:cut]], at[order[cut:]]]
+    for k, at in enumerate(held + done):
+        group[at] = k
+    return group
+
+
 def averaged(rows: DataFrame, network: Network, steps: int, streams: int, rate: float, seed: int, piece: int = 4096) -> dict[str, np.ndarray]:
     """Weights after every part of rows (id, numbers, part) trained from the network's, averaged by words. Averages are taken in tasks, by pieces of the weights."""
     shared, kind = rows.sparkSession.sparkContext.broadcast(network), np.min_scalar_type(len(network.of))
@@ -386,17 +513,13 @@ def averaged(rows: DataFrame, network: Network, steps: int, streams: int, rate:
     return {k: flat[starts[k] : starts[k] + sizes[k]].reshape(v.shape).copy() for k, v in network.p.items()}
 
 
-def numbered(model: Model, found: np.ndarray) -> np.ndarray:
-    return np.where(found >= 0, model.number[np.maximum(found, 0)], OTHER) if len(model.number) else np.full(len(found), OTHER)
-
-
 def parts(docs: DataFrame, model: Model) -> DataFrame:
     """docs (id, held, text), by row: tokens; of frequent words and the end their number and sum of log10(c + 1); the network's log10; and words beyond."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # `frequent` words and the network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        logs = np.log10(m.counts + 1.0)
+        logs, table = np.append(np.log10(m.counts + 1.0), 0.0), np.append(m.symbol, OTHER)  # -1, beyond the frequent words, takes the last
         end = np.log10(m.ends + 1.0)
         for batch in batches:
             size, known, base, other, rare, rare_n, ids = [], [], [], [], [], [], []
@@ -404,13 +527,12 @@ def parts(docs: DataFrame, model: Model) -> DataFrame:
                 h = w.hashes()
                 found = m.words.find(h)
                 hit = found >= 0
-                value = np.where(hit, logs[np.maximum(found, 0)] if len(logs) else 0.0, 0.0)
-                number = numbered(m, found)
+                value = logs[found]
+                number = table[found]
                 size.append(w.counts() + 1)
                 known.append(segment_sum(hit.astype(np.int64), w.bounds) + (m.ends > 0))
                 base.append(segment_sum(value, w.bounds) + end)
-                aside = number == OTHER
-                other.append(segment_sum(np.where(aside, value - np.log10(m.other), 0.0), w.bounds))
+                other.append(segment_sum(value - m.mass[number], w.bounds))
                 rare.append(h[~hit])
                 rare_n.append(segment_sum((~hit).astype(np.int64), w.bounds))
                 ids.append(np.insert(number, w.bounds[1:], END))
