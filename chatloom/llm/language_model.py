@@ -1,7 +1,7 @@
 """Language-model scores of whole texts: a gated recurrent network in numpy with a class-factored softmax.
 
 Words come in vocabulary order of their counts over all training texts. The network reads and predicts symbols: the end of the text,
-the `vocabulary` most frequent words, a group each of the `frequent` words, and one symbol for all words beyond them. `groups` groups
+the `vocabulary` most frequent words, a group for each of the other `frequent` words, and one symbol for all words beyond. `groups` groups
 hold words that stand in like company, as the counts of all training texts tell it; in its group a word's share comes from its count
 plus one. The softmax first predicts a symbol's class, then the symbol in its class. Training runs truncated backpropagation through windows of `steps` words. The
 driver starts the network on a bounded sample of texts (`sample`, lowest by a hash of their id); then it is trained on all training
@@ -316,7 +316,7 @@ def most_frequent(counts: DataFrame, n: int) -> DataFrame:
     return rows.unionByName(ties).orderBy(F.desc("c"), "h").limit(n)
 
 
-def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, groups: int = 256, frequent: int = 1 << 18, sample: int = 512, width: int = 16, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 8e-3, seed: int = 11, part: int = 1 << 20, rounds: int = 4, wide: int = 512) -> tuple[Model, DataFrame]:
+def learn(docs: DataFrame, train: Column, vocabulary: int = 2048, groups: int = 256, frequent: int = 1 << 18, sample: int = 512, width: int = 16, steps: int = 16, streams: int = 64, epochs: int = 2, rate: float = 8e-3, seed: int = 11, part: int = 1 << 19, rounds: int = 4, wide: int = 256) -> tuple[Model, DataFrame]:
     """docs (id, text). The model and the table of all counts. What comes to the driver: `frequent` counts and sums of contexts, the counts
     of pairs of CONTEXTS words, `sample` texts and, each round, one set of weights."""
     own = docs.where(train)
