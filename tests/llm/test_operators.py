@@ -605,3 +605,86 @@ def test_contamination_keeps_documents_without_an_id_apart(spark):
     assert left.columns == ["id", "text", *clash] and sorted((r.id or 0, r.text, r.score) for r in left.collect() if r.text) == [(6, "clean", "score")] and left.count() == 2
     long = spark.createDataFrame([(1, "pad " * 60_000 + " ".join(words) + " pad" * 60_000)], "id long, text string")
     assert [(r.doc_id, r.first_word) for r in decontaminate.contamination(long, items).collect()] == [(1, 60_000)]
+
+
+TONGUES = ("red blue green grey", "rouge bleu vert gris")
+
+
+def two_tongues(n: int) -> list[tuple[int | None, str]]:
+    """Texts of one tongue each: four common words, and between them rare ones that tell the tongue by their company alone."""
+    rng = random.Random(5)
+    common = [x.split() for x in TONGUES]
+    return [(k, " ".join(w for _ in range(40) for w in (rng.choice(common[k % 2]), f"{'xy'[k % 2]}{rng.randrange(60)}"))) for k in range(n)]
+
+
+def test_word_groups_follow_company(spark):
+    docs = spark.createDataFrame(two_tongues(120), "id long, text string")
+    counts = language_model.count_words(docs).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    lookup = language_model.Lookup(counts.h.to_numpy().view(np.uint64))
+    rows = language_model.numbers(docs, lookup)
+    group = language_model.word_groups(rows, counts.c.to_numpy(), 8, 2)
+    again = language_model.word_groups(rows.repartition(5), counts.c.to_numpy(), 8, 2)
+    assert len(group) == 120 and (group == again).all()
+    of = {}
+    for _, w in two_tongues(120):
+        for x in w.split():
+            of[x] = x[0] == "x"
+    hashes = {x: h for x, h in zip(of, plain_hashes(list(of)), strict=True)}
+    place = {h: i for i, h in enumerate(counts.h)}
+    side = {(of[x], int(group[place[h] - 8])) for x, h in hashes.items() if x[0] in "xy" and x[1:].isdigit()}
+    assert len(side) == 2  # each tongue's words have a group of their own
+
+
+def plain_hashes(words: list[str]) -> list[int]:
+    return [int(next(language_model.chunks(pa.array([w])))[2].hashes().view(np.int64)[0]) for w in words]
+
+
+def test_contexts_against_plain_pairs(spark):
+    rng = random.Random(2)
+    texts = [[rng.randrange(-1, 9) for _ in range(rng.choice([0, 1, 2, 30]))] for _ in range(40)]
+    numbers = [(None if k % 3 else k, np.array([*t, -2], np.int32).tobytes()) for k, t in enumerate(texts)]
+    ids = np.frombuffer(b"".join(x for _, x in numbers), np.int32)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in numbers], pa.int64()), language_model.binaries(ids, bounds)], names=["id", "numbers"])
+    for size in (1, 7, 1 << 17):  # pieces hold each place once and reach over their ends
+        own = [p[s] for p, s in language_model.pieces(iter([batch]), size)]
+        assert (np.concatenate(own) == ids).all()
+    rows = spark.createDataFrame(numbers, "id long, numbers binary")
+    k = 4
+    table = np.zeros((k, k))
+    for t in texts:
+        for i, a in enumerate(t):
+            for b in t[i + 1 : i + 1 + language_model.REACH]:
+                if 0 <= a < k and 0 <= b < k:
+                    table[a, b] += 1
+                    table[b, a] += 1
+    mass = table.sum(axis=1) + 1
+    share = np.sqrt(mass / mass.sum())
+    values, axes = np.linalg.eigh(table / mass.sum() / np.outer(share, share) - np.outer(share, share))
+    want = np.sort(np.abs(np.rint(axes / share[:, None] * np.abs(values) * language_model.UNITS)), axis=1)
+    got = language_model.coordinates(rows, k)
+    assert (got[:, language_model.AXES] == 1).all()
+    assert np.abs(np.sort(np.abs(got[:, :k]), axis=1) - want).max() <= 1
+
+
+def test_scores_of_groups_are_probabilities(spark):
+    rows = [*two_tongues(40), (None, "red x1"), (None, "red x1"), (77, None)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    model, counts = language_model.learn(docs, F.lit(True), vocabulary=6, groups=5, frequent=60, sample=5, width=4, part=1 << 9)
+    c, n = np.array([r.c for r in counts.collect()]), model.counts
+    h = np.zeros((1, 4), np.float32)
+    symbol = np.exp(model.network.log_likelihood(np.repeat(h, len(model.network.of), axis=0), np.arange(len(model.network.of))))
+    share = (n + 1.0) / 10 ** model.mass[model.symbol]
+    words = (symbol[model.symbol] * share).sum()
+    beyond = (c.sum() - n.sum() + len(c) - len(n) + 1) / 10 ** model.mass[language_model.OTHER]
+    assert beyond == pytest.approx(1)  # words beyond the frequent ones, and one that was never seen
+    assert words + symbol[[language_model.END, language_model.OTHER]].sum() == pytest.approx(1, abs=1e-4)
+    assert len(model.symbol) == 60 and model.symbol[:4].tolist() == [2, 3, 4, 5] and set(model.symbol[4:].tolist()) == set(range(6, 11))
+
+
+@pytest.mark.parametrize("groups", [1, 3, 50])
+def test_halved(groups):
+    place = np.array([[0.0], [0.0], [1.0], [5.0], [5.0], [9.0]])
+    got = language_model.halved(place, np.ones(6), groups)
+    assert len(set(got.tolist())) <= groups and got.min() == 0
+    assert len(set(language_model.halved(np.zeros((5, 2)), np.ones(5), 4).tolist())) == 1
