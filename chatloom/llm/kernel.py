@@ -7,8 +7,11 @@ empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -194,3 +197,19 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     values = np.ascontiguousarray(values)
     offsets = (np.asarray(bounds, dtype=np.int64) * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+@contextmanager
+def one_thread() -> Iterator[None]:
+    """Small matrix products inside take one thread of numpy's own OpenBLAS, as a task has its core: a second one waits busily for
+    most of its time. Without that library nothing changes."""
+    found = [ctypes.CDLL(str(x)) for x in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas64*")]
+    found = [x for x in found if hasattr(x, "scipy_openblas_set_num_threads64_")]
+    before = [x.scipy_openblas_get_num_threads64_() for x in found]
+    try:
+        for x in found:
+            x.scipy_openblas_set_num_threads64_(1)
+        yield
+    finally:
+        for x, n in zip(found, before, strict=True):
+            x.scipy_openblas_set_num_threads64_(n)

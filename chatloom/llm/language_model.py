@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.kernel import Lookup, binaries, chunks, segment_sum
+from chatloom.llm.kernel import Lookup, binaries, chunks, one_thread, segment_sum
 from chatloom.llm.store import kept
 
 END, OTHER = 0, 1
@@ -195,6 +195,7 @@ class Network:
             grads["emb"][:, k] = np.bincount(word, row, len(grads["emb"]))
         return grads, np.ascontiguousarray(h.T)
 
+    @one_thread()
     def train(self, texts: list[np.ndarray], steps: int, streams: int, epochs: int, rate: float, seed: int) -> None:
         """Truncated backpropagation over texts (word numbers that end with END), dealt to streams; Adam steps. Texts above a stream's fair share are cut."""
         most = max(64 * steps, -(-sum(map(len, texts)) // streams))
@@ -234,6 +235,7 @@ class Network:
                     second[k] += np.float32(0.001) * (np.square(g * np.float32(scale)) - second[k])
                     self.p[k] -= np.float32(step) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
 
+    @one_thread()
     def score(self, ids: np.ndarray, bounds: np.ndarray, steps: int = 16) -> np.ndarray:
         """Natural log-likelihood of each text ids[bounds[i]:bounds[i+1]], state carried from window to window."""
         size = np.diff(bounds)
