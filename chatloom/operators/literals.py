@@ -9,17 +9,29 @@ from pyspark.sql import functions as F
 CELL = 64
 
 
-def literal_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Where code stands in texts: within fences, and between single marks outside of them: key, start, stop. A fence's language isn't code."""
-    inside = r"```(?:[A-Za-z0-9_-]+)?\s*\n?([\s\S]*?)```"
-    found = rows.select(key, F.col(text).alias("_t")).withColumn("_m", F.regexp_extract_all("_t", F.lit(rf"({inside})|((?<!`)`[^`\n]+`(?!`))"), F.lit(0)))
+#: What a fence holds, and what is literal.
+FENCED = r"```(?:[A-Za-z0-9_-]+)?\s*\n?([\s\S]*?)```"
+LITERAL = rf"({FENCED})|((?<!`)`[^`\n]+`(?!`))"
+
+
+def with_literals(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with where code stands in a text, an array of (start, stop): within fences, and between single marks outside of them. A fence's language isn't code."""
+    found = rows.withColumn("_t", F.col(text)).withColumn("_m", F.regexp_extract_all("_t", F.lit(LITERAL), F.lit(0)))
     # the matches follow each other, so each is looked for behind the one before
     walk = F.aggregate("_m", F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")), step, lambda acc: acc["out"])
-    spans = found.select(key, F.explode(walk).alias("s")).select(key, "s.start", "s.m")
-    fence = F.col("m").startswith("```")
-    body = F.regexp_extract("m", f"^{inside}$", 1)
-    start = F.when(fence, F.col("start") + F.char_length("m") - 3 - F.char_length(body)).otherwise(F.col("start") + 1)
-    return spans.select(key, start.alias("start"), F.when(fence, start + F.char_length(body)).otherwise(F.col("start") + F.char_length("m") - 1).alias("stop"))
+    return found.withColumn(name, F.transform(walk, inner)).drop("_t", "_m")
+
+
+def inner(s: Column) -> Column:
+    fence, size = s["m"].startswith("```"), F.char_length(s["m"])
+    body = F.char_length(F.regexp_extract(s["m"], f"^{FENCED}$", 1))
+    start = F.when(fence, s["start"] + size - 3 - body).otherwise(s["start"] + 1)
+    return F.struct(start.alias("start"), F.when(fence, start + body).otherwise(s["start"] + size - 1).alias("stop"))
+
+
+def literal_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, start, stop of all literals."""
+    return with_literals(rows.select(key, text), text, "_s").select(key, F.explode("_s").alias("s")).select(key, "s.start", "s.stop")
 
 
 def step(acc: Column, m: Column) -> Column:

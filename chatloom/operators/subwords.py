@@ -7,11 +7,15 @@ Null and empty texts have no tokens; marks of special tokens in a text are text.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from chatloom.operators.batches import runs
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -31,10 +35,30 @@ def offsets(text: str | None, path: str) -> list[dict]:
     return [{"token": token, "start": start, "stop": stop} for token, (start, stop) in zip(found.ids, found.offsets, strict=True)]
 
 
-def tokens(rows: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
-    """key, n (from 0), token, start, stop of every token of every text."""
-    @F.pandas_udf("array<struct<token:int,start:int,stop:int>>")
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: offsets(t, path))
+def tokens(rows: DataFrame, key: str, text: str, path: str = TOKENIZER, spans: str | None = None) -> DataFrame:
+    """key, n (from 0), token, start, stop of every token of every text. spans, a column of arrays of (start, stop, role), adds the
+    largest role of the spans that a token touches, else 0. What a task holds is a run of texts, never a batch's tokens."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, texts in runs(batch.column(1)):
+                found = [loaded(path).encode(t or "", add_special_tokens=False) for t in texts]
+                size = [len(f.ids) for f in found]
+                at = [np.array(f.offsets, dtype=np.int32).reshape(-1, 2) for f in found]
+                columns = [np.concatenate([np.arange(n, dtype=np.int32) for n in size]), np.concatenate([np.array(f.ids, dtype=np.int32) for f in found]), *np.concatenate(at).T]
+                if spans:
+                    columns.append(np.concatenate([largest(a[:, 0], a[:, 1], s or []) for a, s in zip(at, batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(lo, hi), size))), *map(pa.array, columns)], names=names)
+
+    names = [key, "n", "token", "start", "stop"] + ["role"] * bool(spans)
+    schema = T.StructType([rows.schema[key], *[T.StructField(c, T.IntegerType()) for c in names[1:]]])
+    return rows.select(key, text, *[spans] * bool(spans)).mapInArrow(read, schema)
+
 
-    return rows.select(key, F.posexplode(read(text)).alias("n", "_t")).select(key, "n", "_t.token", "_t.start", "_t.stop")
+def largest(start: np.ndarray, stop: np.ndarray, spans: list[dict]) -> np.ndarray:
+    """Of tokens in order of their places the largest role of the spans that they touch, else 0; empty tokens and spans touch nothing."""
+    out = np.zeros(len(start), dtype=np.int32)
+    for s in spans:
+        if s["stop"] > s["start"]:
+            there = slice(np.searchsorted(stop, s["start"], "right"), np.searchsorted(start, s["stop"], "left"))
+            out[there] = np.maximum(out[there], s["role"])
+    return np.where(stop > start, out, 0)
