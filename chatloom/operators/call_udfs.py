@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.operators import calls as K
+from chatloom.operators.batches import read
 
 CALLS = "array<struct<name:string,arguments:string>>"
 
@@ -20,16 +22,21 @@ def reference_udf(text: pd.Series) -> pd.Series:
     return text.map(K.literal_reference)
 
 
-@F.pandas_udf(f"content string, calls {CALLS}")
-def parse_udf(text: pd.Series) -> pd.DataFrame:
-    got = [K.parse(x) for x in text]
-    return pd.DataFrame({"content": [a for a, _ in got], "calls": [K.structs(b) for _, b in got]})
+PARSED = f"struct<content:string,calls:{CALLS}>"
 
 
-@F.pandas_udf(f"content string, calls {CALLS}")
-def parse_any_udf(text: pd.Series) -> pd.DataFrame:
-    got = [K.parse_any(x) for x in text]
-    return pd.DataFrame({"content": [a for a, _ in got], "calls": [K.structs(b) for _, b in got]})
+def with_parse(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with content and native calls of a text."""
+    return read(rows, text, name, PARSED, K.parsed)
+
+
+def with_parse_any(rows: DataFrame, text: str, name: str) -> DataFrame:
+    return read(rows, text, name, PARSED, K.parsed_any)
+
+
+def with_spans(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the spans of calls in a text."""
+    return read(rows, text, name, "array<struct<start:int,stop:int,role:int>>", K.spans)
 
 
 @F.pandas_udf("boolean")
@@ -37,11 +44,6 @@ def same_udf(key: pd.Series, got: pd.Series, want: pd.Series) -> pd.Series:
     return pd.Series([K.same(k, a, b) for k, a, b in zip(key, got, want, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<struct<start:int,stop:int,role:int>>")
-def spans_udf(text: pd.Series) -> pd.Series:
-    return text.map(K.spans)
-
-
 @F.pandas_udf("strict boolean, elastic boolean")
 def legacy_udf(prediction: pd.Series, answer: pd.Series, category: pd.Series, tried: pd.Series) -> pd.DataFrame:
     known = lambda t: None if t is None or pd.isna(t) else bool(t)

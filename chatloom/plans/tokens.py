@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import text as X
 from chatloom.operators import conversations as C
-from chatloom.operators import literals as L
 from chatloom.operators import metrics as M
 from chatloom.operators import sampling as S
 from chatloom.operators import subwords as B
@@ -50,8 +49,7 @@ def token_role_join(spark, sf, tokenizer: str = B.TOKENIZER):
     from chatloom.operators import call_udfs as U
 
     rows = table(spark, sf, "documents").selectExpr("doc_id", f"{known_text(ROLE_FORMS)} as t")
-    spans = rows.select("doc_id", F.explode(U.spans_udf("t")).alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
-    return L.overlapping(B.tokens(rows, "doc_id", "t", tokenizer), spans, "doc_id").select("doc_id", "n", F.col("start").cast("long").alias("start"), "role")
+    return B.tokens(U.with_spans(rows, "t", "s"), "doc_id", "t", tokenizer, "s").select("doc_id", "n", F.col("start").cast("long").alias("start"), "role")
 
 
 @query("""WITH d AS (SELECT doc_id, lang AS n1, 'v' || doc_id % 7 AS n2, length(lang) AS a, length('v' || doc_id % 7) AS b FROM documents), p AS (SELECT *, a + 7 AS p2, 2 * a + b + 14 AS p3, 3 * a + 2 * b + 21 AS p4 FROM d)
@@ -62,7 +60,7 @@ def state_binding(spark, sf):
 
     code = "lang || ' = f()' || char(10) || 'v' || doc_id % 7 || ' = g(' || lang || ')' || char(10) || lang || ' = h(v' || doc_id % 7 || ')' || char(10) || 'use(' || lang || ')' || char(10) || 'use(nobody)'"
     rows = table(spark, sf, "documents").selectExpr("doc_id", f"{code} as t")
-    spans = rows.select("doc_id", "t", F.explode(U.spans_udf("t")).alias("s")).where("s.role = 4")
+    spans = U.with_spans(rows, "t", "s").select("doc_id", "t", F.explode("s").alias("s")).where("s.role = 4")
     names = spans.select("doc_id", F.col("s.start").cast("long").alias("start"), F.substring("t", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("name"), F.substring("t", F.col("s.stop") + 1, 8).rlike(r"^\s*=").alias("gives")).where(r"name rlike '^[A-Za-z_][A-Za-z0-9_]*$'")
     return T.bound(names, "doc_id").select("doc_id", "name", F.col("start").alias("consumer"), "producer")
 
