@@ -123,7 +123,7 @@ def role_spans(spark, sf):
     """Where the parts of calls stand: in native blocks, read or not, and in code with nested, chained and multi-line calls."""
     from chatloom.operators import call_udfs as U
 
-    return texts(spark, sf).select("doc_id", F.explode(U.spans_udf("t")).alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
+    return U.with_spans(texts(spark, sf).select("doc_id", "t"), "t", "s").select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
 
 
 @query(duck("""WITH d AS (SELECT doc_id, length({safe}) AS v FROM documents) SELECT doc_id, unnest([{'start': 0, 'stop': 1, 'role': 4}, {'start': 2, 'stop': 3, 'role': 1}, {'start': 4, 'stop': 8, 'role': 2}, {'start': 8, 'stop': 9, 'role': 1}, {'start': 9, 'stop': 10, 'role': 3}, {'start': 10, 'stop': 11, 'role': 1},
@@ -133,7 +133,7 @@ def state_spans(spark, sf):
     from chatloom.operators import call_udfs as U
 
     rows = texts(spark, sf, "'x = load(p=''' || {safe} || ''')' || chr(10) || 'use(x)<|im_end|>'")
-    return rows.select("doc_id", F.explode(U.spans_udf("t")).alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
+    return U.with_spans(rows.select("doc_id", "t"), "t", "s").select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.stop", "s.role")
 
 
 FIRST = r"nullif(regexp_extract(t, '\[\s*([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), '')"
