@@ -24,7 +24,7 @@ def first_call(p: str) -> list[Column]:
 def call_parse_native(spark, sf):
     from chatloom.operators import call_udfs as U
 
-    return texts(spark, sf).select("doc_id", U.parse_udf("t").alias("p")).select("doc_id", "p.content", *first_call("p"))
+    return U.with_parse(texts(spark, sf).select("doc_id", "t"), "t", "p").select("doc_id", "p.content", *first_call("p"))
 
 
 OBJECT = f"""'{{"name": "' || {NAME} || '", "arguments": ' || {ARGUMENTS} || '}}'"""
@@ -46,7 +46,7 @@ VALUE = """CASE WHEN NOT regexp_full_match({safe}, '[0-9]+') THEN '{"value": "'
 def call_parse_generic(spark, sf):
     from chatloom.operators import call_udfs as U
 
-    return texts(spark, sf, GENERIC).select("doc_id", U.parse_any_udf("t").alias("p")).select("doc_id", "p.content", *first_call("p"))
+    return U.with_parse_any(texts(spark, sf, GENERIC).select("doc_id", "t"), "t", "p").select("doc_id", "p.content", *first_call("p"))
 
 
 LISTED = """CASE doc_id % 4 WHEN 0 THEN '[{"function": {"name": "exec_command", "arguments": "{\\"cmd\\": \\"' || {safe} || '\\"}"}}]' WHEN 1 THEN '[{"name": "lsp", "arguments": {"path": "' || {safe} || '", "line": ' || n_chars || '}}, {"arguments": {}}]' WHEN 2 THEN '[{"name": "read_file", "arguments": "<' || {safe} || '"}]' ELSE '[{}, 5]' END"""
@@ -144,7 +144,7 @@ FIRST = r"nullif(regexp_extract(t, '\[\s*([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), '')
 def call_shapes(spark, sf):
     from chatloom.operators import call_udfs as U
 
-    rows, t = texts(spark, sf).withColumn("p", U.parse_udf("t")), F.col("t")
+    rows, t = U.with_parse(texts(spark, sf).select("doc_id", "lang", "t"), "t", "p"), F.col("t")
     calls = F.col("p.calls")
     return rows.select("doc_id", K.first_tool(t).alias("first_tool"), K.attempted(t, calls).alias("attempted"), K.well_formed(t, F.array(F.lit("bash"), F.lit("read"))).alias("valid"), K.shape_fits(t, F.col("lang") == "en", calls).alias("format_correct"))
 
