@@ -688,3 +688,30 @@ def test_halved(groups):
     got = language_model.halved(place, np.ones(6), groups)
     assert len(set(got.tolist())) <= groups and got.min() == 0
     assert len(set(language_model.halved(np.zeros((5, 2)), np.ones(5), 4).tolist())) == 1
+
+
+def test_languages_are_learned_from_every_text(spark):
+    """Profiles and bounds see each labelled text, however many a language has: 2,500 of one kind and 2,500 of another, told apart by ids."""
+    from chatloom.llm import language_id
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 2 = 0, 'abc abd', 'xyz xyw') as text", "'one' as lang")
+    got = language_id.learn(rows)
+    grams = rows.selectExpr("id", "text", "lang").where("id < 2")
+    assert set(got.grams.tolist()) == set(language_id.learn(grams).grams.tolist())
+    rare = spark.createDataFrame([(9999, "qqq", "one")], "id long, text string, lang string")
+    assert set(language_id.learn(rare).grams.tolist()) <= set(language_id.learn(rows.unionAll(rare)).grams.tolist())
+    seen = []
+    plain = language_id.judged
+
+    def counted(docs, profiles, text="text"):
+        seen.append(docs.count())
+        return plain(docs, profiles, text)
+
+    language_id.judged = counted
+    try:
+        bound = language_id.least_scores(rows, got)
+    finally:
+        language_id.judged = plain
+    scores = sorted(r.score for r in plain(rows, got).collect())
+    found = rows.select(bound(rows.text)).head()[0]
+    assert seen == [5000] and 0.7 * (scores[49] - 1 / language_id.STEPS) <= found <= 0.7 * scores[50]
