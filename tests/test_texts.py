@@ -79,6 +79,19 @@ def test_sentences_by_what_is_learned(spark):
     assert none[0].count() == none[1].count() == 0 and N.counted(rows.limit(0), "id", "t", *none).count() == 0
 
 
+def test_sentences_read_tokens_with_marks_only(spark):
+    texts = ["one two three. Four (five!) six", "«no marks» here", None, "", "a.” \"b?\" c", "... ''"]
+    rows = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(texts)], "id long, t string")
+    got = [(r.core, r.after) for r in N.marked(rows, "id", "t").orderBy("id", "core", "after").collect()]
+    assert len(got) == 11 and {x for x in got if x[0] is not None} == {("three.", "Four"), ("five!", "six"), ("six", None), ("here", None), ("a.", "b?"), ("b?", "c"), ("c", None), ("...", ""), ("", None)}
+    words = {r.word: (r.a, r.b) for r in N.word_counts(rows.unionAll(rows), "t").collect()}
+    assert words["three"] == (2, 0) and words["five"] == (0, 2) and words["a"] == (2, 0) and "" not in words
+    none = spark.createDataFrame([], "word string, score double")
+    found = N.counted(rows, "id", "t", none, none)
+    assert {r.id: r.sentences for r in found.collect()} == {0: 3, None: 1, 2: 0, 3: 0, 4: 2, 5: 1}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Scan ExistingRDD") == 1  # texts are read once
+
+
 def test_languages_held_out(spark, sf):
     from chatloom.plans.all import QUERIES
 
