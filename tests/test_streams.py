@@ -49,6 +49,16 @@ def test_a_late_line_brings_a_job_back(spark, tmp_path):
     assert seen == [{1: ("running", None), 2: ("running", None)}, {1: ("ended", None), 2: ("running", None)}, {1: ("running", None), 2: ("stopping", None)}, {1: ("running", None), 2: ("stopped", 0)}]
 
 
+def test_state_grows_by_buckets_not_by_jobs(spark, tmp_path):
+    rows = [(k % 5000, k, START + timedelta(seconds=k), ["start", "beat", "stop", "exit"][k // 5000 * (k % 3) % 4], 0, None) for k in range(10_000)]
+    spark.createDataFrame(rows, jobs.LINES).coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = jobs.follow(spark.readStream.schema(jobs.LINES).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), silence=3600)
+    query.awaitTermination(300)
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 3 * jobs.BUCKETS  # values and both sides of timers
+    got = sorted(map(tuple, jobs.current(spark, str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted(map(tuple, jobs.settled(spark.createDataFrame(rows, jobs.LINES), silence=3600).collect()), key=str)
+
+
 SCHEMA = "case string, n int, at timestamp_ntz"
 
 
