@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.kernel import U, Lookup, Words, chunks, ngrams
+from chatloom.llm.kernel import U, Lookup, Words, chunks, lean, ngrams
 from chatloom.llm.store import kept
 
 SHORTEST, LONGEST, PAD = 3, 8, 4
@@ -62,7 +62,7 @@ def frequencies(docs: DataFrame, lookup: Lookup) -> tuple[int, np.ndarray]:
         some = np.flatnonzero(counts[1:])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[1:][some], total))], names=["word", "n"])
 
-    got = {r.word: r.n for r in docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    got = {r.word: r.n for r in docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     counts = np.zeros(len(lookup.keys))
     total = got.pop(-1, 0)
     for k, n in got.items():
@@ -189,7 +189,7 @@ def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.5, cha
                     if got := leaks(w, own, threshold):
                         text, item, *rest = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([ids[lo:hi].take(pa.array(text)), pa.array([own.ids[i] for i in item], pa.int64()), *map(pa.array, rest)], names=["doc_id", "item_id", "score", "first_word", "end_word", "n_matches"])
-        return run
+        return lean(run)
 
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, n_matches long"
     parts = [docs.select("id", "text").mapInArrow(matcher(x), schema) for x in item_blocks(docs, items, block, chance)]
@@ -212,7 +212,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", thresho
                     for t, *_ in leaks(w, own, threshold):
                         clean[lo + t] = False
                 yield batch.filter(pa.array(clean))
-        return run
+        return lean(run)
 
     out = docs
     for own in item_blocks(plain, items, block, chance):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.components import components
-from chatloom.llm.kernel import U, Lookup, binaries, chunks, mix, segment_sum, shingle_sets
+from chatloom.llm.kernel import U, Lookup, binaries, chunks, lean, mix, segment_sum, shingle_sets
 from chatloom.llm.store import kept
 
 NUM, DEN = 75, 100
@@ -75,7 +75,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
         if total:
             yield frequent(parts, np.concatenate(keys))
 
-    return docs.select("id", "text").mapInArrow(run, "id long, cls long, size long, gram long, classes long")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, cls long, size long, gram long, classes long")
 
 
 def hot_grams(own: DataFrame, total: int) -> np.ndarray:
@@ -93,28 +93,33 @@ def incidence(docs: DataFrame, n: int, blocks: int, hot: np.ndarray) -> DataFram
     def packed(parts: list, classes: np.ndarray) -> pa.RecordBatch:
         grams = np.concatenate([p[0] for p in parts])
         at = np.concatenate([p[1] for p in parts])
+        parts.clear()
         keys, first, where = np.unique(classes, return_index=True, return_inverse=True)
+        first, where = first.astype(np.int32), where.astype(np.int32)
         once = first[where[at]] == at  # a class that the batch has twice is written once
         grams, at = grams[once], where[at[once]]
-        block = block_of(grams, blocks).astype(np.int64)
+        block = block_of(grams, blocks).astype(np.int32)
         if len(hot):
-            block = np.where(lookup.find(grams) >= 0, blocks + keys[at] % blocks, block)
+            block = np.where(lookup.find(grams) >= 0, (blocks + keys[at] % blocks).astype(np.int32), block)
         order = np.lexsort((grams, block)) if len(hot) else np.argsort(grams)
         grams, at, block = grams[order], at[order], block[order]
-        named, local = np.unique(block * len(keys) + at, return_inverse=True)  # the classes of each block
-        some, begin = np.unique(block, return_index=True)
-        ends, its = np.append(begin, len(block)), np.append(np.searchsorted(named, some * len(keys)), len(named))
-        local = local - np.repeat(its[:-1], np.diff(ends))
-        kind = np.uint16 if int(np.diff(its).max(initial=0)) <= 1 << 16 else np.uint32
+        begin = begins(block)
+        ends, some = np.append(begin, len(block)), block[begin].astype(np.int64)
+        named = []
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):  # the classes of each block
+            its, at[lo:hi] = np.unique(at[lo:hi], return_inverse=True)
+            named.append(its)
+        sizes = np.array([len(its) for its in named])
+        kind = np.uint16 if int(sizes.max(initial=0)) <= 1 << 16 else np.uint32
         short = pa.array([squeezed(grams[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.diff(ends)), binaries(keys[named % len(keys)], its), binaries(local.astype(kind), ends), short], names=["block", "n", "classes", "at", "grams"])
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.diff(ends)), binaries(keys[np.concatenate(named)], np.append(0, np.cumsum(sizes))), binaries(at.astype(kind), ends), short], names=["block", "n", "classes", "at", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, keys, total, rows = [], [], 0, 0
         for batch in batches:
             for lo, hi, w in chunks(batch.column(0)):
                 grams, bounds = shingle_sets(w, n)
-                parts.append((grams, rows + np.repeat(np.arange(hi - lo), np.diff(bounds))))
+                parts.append((grams, np.repeat(np.arange(rows, rows + hi - lo, dtype=np.int32), np.diff(bounds))))
                 keys.append(class_keys(grams, bounds))
                 total, rows = total + len(grams), rows + hi - lo
                 if total >= EMIT or rows >= EMIT_ROWS:
@@ -123,7 +128,7 @@ def incidence(docs: DataFrame, n: int, blocks: int, hot: np.ndarray) -> DataFram
         if total:
             yield packed(parts, np.concatenate(keys))
 
-    return docs.select("text").mapInArrow(run, "block long, n long, classes binary, at binary, grams binary")
+    return docs.select("text").mapInArrow(lean(run), "block long, n long, classes binary, at binary, grams binary")
 
 
 def squeezed(grams: np.ndarray) -> bytes:
@@ -134,7 +139,7 @@ def squeezed(grams: np.ndarray) -> bytes:
     return grams[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def unsqueezed(short: bytes, n: int) -> np.ndarray:
+def unsqueezed(short: bytes | pa.Buffer, n: int) -> np.ndarray:
     if len(short) == 8 * n:
         return np.frombuffer(short, dtype=U)
     steps = np.zeros((n, 8), dtype=np.uint8)
@@ -158,11 +163,13 @@ def begins(*keys: np.ndarray) -> np.ndarray:
 
 def shared(block: int, table: pa.Table, blocks: int) -> pa.Table:
     """Of one block, the n-grams that two or more classes have and in how many, packed by buckets of classes; all of a block of hot ones, as the most frequent."""
-    cls, gram = [], []
-    for n, classes, at, grams in zip(*(table.column(k).to_pylist() for k in ("n", "classes", "at", "grams")), strict=True):
-        gram.append(unsqueezed(grams, n))
-        cls.append(np.frombuffer(classes, dtype=np.int64)[np.frombuffer(at, dtype=f"u{len(at) // n}")])
-    c, g = np.concatenate(cls), np.concatenate(gram)
+    counts = table.column("n").to_numpy()
+    ends = np.append(0, np.cumsum(counts))
+    c, g = np.empty(ends[-1], dtype=np.int64), np.empty(ends[-1], dtype=U)
+    for lo, n, *row in zip(ends[:-1].tolist(), counts.tolist(), *(table.column(k) for k in ("classes", "at", "grams")), strict=True):
+        classes, at, grams = (x.as_buffer() for x in row)
+        g[lo : lo + n] = unsqueezed(grams, n)
+        c[lo : lo + n] = np.frombuffer(classes, dtype=np.int64)[np.frombuffer(at, dtype=f"u{at.size // n}")]
     hot = block >= blocks
     if not hot:  # first without what is there once
         order = np.argsort(g)
@@ -306,7 +313,7 @@ def block_links(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
         return pa.table({"cls": cls, "root": out})
 
     keyed = rows.withColumn("task", F.pmod(F.xxhash64("grp", "part"), F.lit(tasks)))
-    return keyed.groupBy("task").applyInArrow(run, "cls long, root long")
+    return keyed.groupBy("task").applyInArrow(lean(run), "cls long, root long")
 
 
 def rare_links(alive: DataFrame, post: DataFrame, num: int, den: int) -> DataFrame:
@@ -326,7 +333,7 @@ def rare_links(alive: DataFrame, post: DataFrame, num: int, den: int) -> DataFra
             yes = np.flatnonzero(linked(inter, np.array(na, dtype=np.int64), np.array(nb, dtype=np.int64), num, den))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(yes)), batch.column("b").take(pa.array(yes))], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_grams", "b_grams").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_grams", "b_grams").mapInArrow(lean(run), "a long, b long")
 
 
 def frequent_links(alive: DataFrame, post: DataFrame, labels: DataFrame, num: int, den: int, block_entries: int) -> DataFrame:
@@ -369,9 +376,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
     own = found.where("cls is not null").select("id", "cls", "size")
     total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     blocks = max(1, min(1 << 20, -(-total // block_grams)))
-    parts = incidence(docs, n, blocks, hot_grams(found, total)).groupBy("block").applyInArrow(lambda key, t: shared(key[0].as_py(), t, blocks), "bucket long, classes binary, counts binary, grams binary, dfs binary")
+    parts = incidence(docs, n, blocks, hot_grams(found, total)).groupBy("block").applyInArrow(lean(lambda key, t: shared(key[0].as_py(), t, blocks)), "bucket long, classes binary, counts binary, grams binary, dfs binary")
     sizes = own.where("size > 0").groupBy("cls").agg(F.max("size").alias("size")).withColumn("bucket", F.pmod("cls", F.lit(blocks)))
-    alive = parts.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(lambda t, u: survivors(t, u, num, den), "cls long, size long, entries long, grams binary, prefix array<long>")
+    alive = parts.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(lean(lambda t, u: survivors(t, u, num, den)), "cls long, size long, entries long, grams binary, prefix array<long>")
     alive = kept(alive, "survivors")
     post = alive.select("cls", F.explode("prefix").alias("gram"))
     least = post.groupBy("gram").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -8,9 +8,10 @@ empty text.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from inspect import isgeneratorfunction, signature
 from pathlib import Path
 
 import numpy as np
@@ -199,6 +200,33 @@ def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
+def lean(run: Callable) -> Callable:
+    """run, a task's function of batches or of a table, gives what it freed back to the system at its end. Workers are used again, so
+    else each keeps the most that one of its tasks ever took."""
+    if isgeneratorfunction(run):
+
+        def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(batches)
+            give_back()
+    else:
+
+        def wrapped(*args) -> pa.Table:
+            out = run(*args)
+            give_back()
+            return out
+
+    wrapped.__signature__ = signature(run)  # by it Spark tells whether a function wants the key
+    return wrapped
+
+
+def give_back() -> None:
+    """Where the C library can't, only Arrow's memory goes back."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def one_thread() -> Iterator[None]:
     """Small matrix products inside take one thread of numpy's own OpenBLAS, as a task has its core: a second one waits busily for

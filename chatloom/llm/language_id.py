@@ -17,11 +17,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom.llm.kernel import segment_sum
+from chatloom.llm.kernel import lean, segment_sum
 
 CHARS, ROWS = 1 << 18, 16_384
 #: Scores are counted by steps of 1 / STEPS for bounds.
@@ -66,14 +67,11 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    texts = column.fill_null("").to_pylist()
+    upto = np.append(0, np.cumsum(pc.utf8_length(column).fill_null(0).to_numpy().astype(np.int64)))
     lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and hi - lo < ROWS and (hi == lo or size + len(texts[hi]) <= CHARS):
-            size += len(texts[hi])
-            hi += 1
-        yield lo, hi, texts[lo:hi]
+    while lo < len(column):
+        hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(upto, upto[lo] + CHARS, "right")) - 1))
+        yield lo, hi, column[lo:hi].fill_null("").to_pylist()
         lo = hi
 
 
@@ -162,7 +160,7 @@ def learn(labelled: DataFrame, length: int = 300) -> Profiles:
                 keys, at = np.unique(key, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keys >> 48], pa.string()), pa.array(keys & ((1 << 48) - 1)), pa.array(np.bincount(at, n, len(keys)).astype(np.int64))], names=["lang", "gram", "n"])
 
-    grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = least(grams, [F.desc("n"), "gram"], F.xxhash64("gram"), length).select("lang", "gram", "rank").collect()
     languages, all_grams = sorted({r.lang for r in top}), np.array(sorted({r.gram for r in top}), dtype=np.int64)
     ranks = np.full((len(all_grams), len(languages)), length, dtype=np.int32)
@@ -185,7 +183,7 @@ def judged(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, train: Column, length: int = 300) -> DataFrame:

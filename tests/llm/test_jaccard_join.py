@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from chatloom.llm import jaccard_join as J
@@ -101,3 +103,58 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5, 5)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({out[k] for k in range(301)}) == 1 and len({out[1000 + k] for k in range(200)}) == 1 and len(set(out.values())) == 2
+
+
+class Caught:
+    """Stands for a table and keeps the function that would run over it."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_memory_of_a_task_by_its_entries(monkeypatch):
+    """Bytes at most that tasks of the incidence matrix and of its blocks hold for an entry."""
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 50_000, 1000))) for _ in range(500)])
+    monkeypatch.setattr(J, "EMIT", 400_000)
+    table = Caught()
+    J.incidence(table, 5, 2, np.zeros(0, np.uint64))
+    peaks = []
+    tracemalloc.start()
+    rows = pa.Table.from_batches(table.run(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    peaks.append(tracemalloc.get_traced_memory()[1] / sum(rows.column("n").to_pylist()))
+    tracemalloc.reset_peak()
+    own = rows.filter(pa.compute.equal(rows.column("block"), 0))
+    before = tracemalloc.get_traced_memory()[0]
+    J.shared(0, own, 2)
+    peaks.append((tracemalloc.get_traced_memory()[1] - before) / sum(own.column("n").to_pylist()))
+    tracemalloc.stop()
+    assert peaks[0] < 110
+    assert peaks[1] < 40
+
+
+def test_what_a_task_freed_goes_back_and_functions_stay_as_they_are():
+    from inspect import getfullargspec
+
+    from chatloom.llm import kernel
+
+    assert list(kernel.lean(lambda x: iter(x))([1, 2])) == [1, 2]
+    assert [len(getfullargspec(kernel.lean(f)).args) for f in (lambda t: t, lambda key, t: t)] == [1, 2]
+
+    def run(batches):
+        yield from batches
+
+    assert list(kernel.lean(run)(iter([3, 4]))) == [3, 4]
+
+
+def test_texts_are_cut_in_the_same_pieces_whatever_their_width():
+    from chatloom.llm import language_id
+
+    texts = ["a" * 200_000, None, "", "\u00e9" * 62_144, "x", "b" * 300_000, "y", *["z"] * 20_000]
+    got = list(language_id.pieces(pa.array(texts)))
+    assert [t for _, _, part in got for t in part] == [x or "" for x in texts]
+    assert [lo for lo, _, _ in got] == [0, 4, 5, 6, 6 + language_id.ROWS]
