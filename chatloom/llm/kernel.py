@@ -241,3 +241,21 @@ def one_thread() -> Iterator[None]:
     finally:
         for x, n in zip(found, before, strict=True):
             x.scipy_openblas_set_num_threads64_(n)
+
+
+@contextmanager
+def memory_at_hand() -> Iterator[None]:
+    """Arrays that are made and freed again and again inside take what was freed before: else the C library gives each one back to the
+    system and gets it anew, page by page. At the end all goes back. Without glibc nothing changes."""
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    at_least, trim = -3, -1  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+    if tune:
+        tune(at_least, 1 << 25)
+        tune(trim, 1 << 30)
+    try:
+        yield
+    finally:
+        if tune:
+            tune(at_least, 1 << 17)
+            tune(trim, 1 << 17)
+        give_back()

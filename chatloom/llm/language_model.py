@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.kernel import Lookup, binaries, chunks, one_thread, segment_sum
+from chatloom.llm.kernel import Lookup, binaries, chunks, memory_at_hand, one_thread, segment_sum
 from chatloom.llm.store import kept
 
 END, OTHER = 0, 1
 #: Tokens whose probabilities are worked out together.
 AT_ONCE = 1 << 14
+#: Texts of about a length that are scored side by side: the states of more don't fit in a cache.
+TEXTS = 1024
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,12 +46,17 @@ def row_sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], dtype=x.dtype)
 
 
+def within(total: np.ndarray) -> bool:
+    """Whether sums of exponentials are far from what float32 can't hold."""
+    return bool(total.min() > 1e-25 and total.max() < 1e25)
+
+
 def log_sum_exp(x: np.ndarray) -> np.ndarray:
-    """Over each row. One maximum for all rows is cheaper; where a row is too far below it, each takes its own."""
-    top = x.max()
-    total = row_sums(np.exp(x - top))
-    if total.min() > 1e-25:
-        return np.log(total) + top
+    """Over each row. Without a maximum it is cheaper; where exponentials grow or shrink too much for that, each row takes its own."""
+    with np.errstate(over="ignore"):
+        total = row_sums(np.exp(x))
+    if within(total):
+        return np.log(total)
     top = x.max(axis=1, keepdims=True)
     return np.log(row_sums(np.exp(x - top))) + top[:, 0]
 
@@ -99,7 +106,7 @@ class Network:
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, slice]]]:
         """The order of targets by class, and for each class of several words that occurs its number, its part of that order and its rows."""
-        cls = self.of[target]
+        cls = self.of[target].astype(np.uint16)  # of 16 bits, so they are sorted by counting
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(len(self.edge))).tolist()
         edge = self.edge.tolist()
@@ -124,25 +131,38 @@ class Network:
         return out
 
     def output_grads(self, states: np.ndarray, target: np.ndarray, weight: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
-        def soft(x: np.ndarray, hit: np.ndarray, w: np.ndarray) -> np.ndarray:
-            x -= x.max()
-            np.exp(np.maximum(x, -80, out=x), out=x)
-            x *= (w / row_sums(x))[:, None]
-            x[np.arange(len(x)), hit] -= w
+        def soft(states: np.ndarray, w: np.ndarray, b: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            x = states @ w
+            x += b
+            with np.errstate(over="ignore"):
+                np.exp(x, out=x)
+            total = row_sums(x)
+            if not within(total):
+                x = states @ w + b
+                x -= x.max(axis=1, keepdims=True)
+                np.exp(np.maximum(x, -80, out=x), out=x)
+                total = row_sums(x)
+            x *= (weight / total)[:, None]
+            x[np.arange(len(x)), hit] -= weight
             return x
 
         order, classes = self.by_class(target)
-        states, target, weight = states[order], target[order], weight[order]
-        d = soft(states @ self.p["wc"] + self.p["bc"], self.of[target], weight)
-        grads["wc"] += states.T @ d
-        grads["bc"] += d.sum(axis=0)
+        target, weight = target[order], weight[order]
+        one = np.ones((len(states), self.width + 1), dtype=states.dtype)  # a last column of ones, so one product gives the biases' gradients too
+        one[:, :-1] = states[order]
+        states = one[:, :-1]
+        d = soft(states, self.p["wc"], self.p["bc"], self.of[target], weight)
+        both = one.T @ d
+        grads["wc"] += both[:-1]
+        grads["bc"] += both[-1]
         back = d @ self.p["wc"].T
         place = self.row[target]
         for _, at, rows in classes:
             w = self.p["ww"][rows]
-            d = soft(states[at] @ w.T + self.p["bw"][rows], place[at] - rows.start, weight[at])
-            grads["ww"][rows] += d.T @ states[at]
-            grads["bw"][rows] += d.sum(axis=0)
+            d = soft(states[at], w.T, self.p["bw"][rows], place[at] - rows.start, weight[at])
+            both = d.T @ one[at]
+            grads["ww"][rows] += both[:, :-1]
+            grads["bw"][rows] += both[:, -1]
             back[at] += d @ w
         out = np.empty_like(back)
         out[order] = back
@@ -152,50 +172,53 @@ class Network:
         """Gradients of one window (arrays of steps by streams) that starts from state h, and the state after it."""
         w, p, n, m = self.width, self.p, len(inputs), inputs.shape[1]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        x = np.ascontiguousarray(p["emb"][inputs.ravel()].T)  # all steps of a feature stand together, so one product serves the whole window
-        a = (p["wx"].T @ x + p["b"][:, None]).reshape(-1, n, m)
+        x = np.ascontiguousarray(p["emb"][inputs].transpose(0, 2, 1))  # step by step, so what a step works on stands together and stays in the cache
+        a = p["wx"].T @ x
+        a += p["b"][:, None]
         h = np.ascontiguousarray(h.T)
-        before, states, steps = np.empty((w, n, m), h.dtype), np.empty((w, n, m), h.dtype), []
+        before, states, steps = np.empty_like(x), np.empty_like(x), []
         stays, some = (~fresh).astype(h.dtype), fresh.any(axis=1)
         for t in range(n):
-            before[:, t] = h = h * stays[t] if some[t] else h
-            h, *rest = self.cell(a[:, t], h)
+            before[t] = h = h * stays[t] if some[t] else h
+            h, *rest = self.cell(a[t], h)
             steps.append(rest)
-            states[:, t] = h
+            states[t] = h
         weight = (live.ravel() / max(1, int(live.sum()))).astype(h.dtype)
-        back = self.output_grads(np.ascontiguousarray(states.reshape(w, -1).T), target.ravel(), weight, grads)
-        back = np.ascontiguousarray(back.T).reshape(w, n, m)
-        da, dg, dh = np.empty_like(a), np.empty_like(a), np.zeros_like(h)
+        back = self.output_grads(states.transpose(0, 2, 1).reshape(-1, w), target.ravel(), weight, grads)
+        back = np.ascontiguousarray(back.reshape(n, m, w).transpose(0, 2, 1))
+        da, dg, dh, spare = np.empty_like(a), np.empty_like(a), np.zeros_like(h), np.empty_like(h)
         for t in range(n - 1, -1, -1):
             r, z, c, g = steps[t]
-            dh += back[:, t]
-            dc = 1 - z
+            dh += back[t]
+            dr, dz, dc = da[t, :w], da[t, w : 2 * w], da[t, 2 * w :]
+            np.subtract(1, z, out=dc)
             dc *= dh
-            dz = before[:, t] - c
+            np.subtract(before[t], c, out=dz)
             dz *= dc
             dz *= z
             c *= c
-            dc *= 1 - c
-            dr = r - r * r
+            np.subtract(1, c, out=c)
+            dc *= c
+            np.multiply(r, r, out=spare)
+            np.subtract(r, spare, out=dr)
             dr *= g
             dr *= dc
-            da[:w, t], da[w : 2 * w, t], da[2 * w :, t] = dr, dz, dc
-            dc *= r
-            dg[:w, t], dg[w : 2 * w, t], dg[2 * w :, t] = dr, dz, dc
+            dg[t, : 2 * w] = da[t, : 2 * w]
+            np.multiply(dc, r, out=dg[t, 2 * w :])
             dh *= z
-            dh += p["wh"] @ dg[:, t]
+            dh += np.matmul(p["wh"], dg[t], out=spare)
             if some[t]:
                 dh *= stays[t]
-        da = da.reshape(3 * w, -1)
-        grads["wh"] += before.reshape(w, -1) @ dg.reshape(3 * w, -1).T
-        grads["wx"] += x @ da.T
-        grads["b"] += da.sum(axis=1)
+        grads["wh"] += (before @ dg.transpose(0, 2, 1)).sum(axis=0)
+        grads["wx"] += (x @ da.transpose(0, 2, 1)).sum(axis=0)
+        grads["b"] += da.sum(axis=0).sum(axis=1)
         word = inputs.ravel()
-        for k, row in enumerate(p["wx"] @ da):
+        for k, row in enumerate((p["wx"] @ da).transpose(1, 0, 2).reshape(w, -1)):
             grads["emb"][:, k] = np.bincount(word, row, len(grads["emb"]))
         return grads, np.ascontiguousarray(h.T)
 
     @one_thread()
+    @memory_at_hand()
     def train(self, texts: list[np.ndarray], steps: int, streams: int, epochs: int, rate: float, seed: int) -> None:
         """Truncated backpropagation over texts (word numbers that end with END), dealt to streams; Adam steps. Texts above a stream's fair share are cut."""
         most = max(64 * steps, -(-sum(map(len, texts)) // streams))
@@ -227,17 +250,38 @@ class Network:
                     break
                 grads, h = self.window(inputs[part], target[part], fresh[part], live[part], h)
                 turn += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
                 scale = min(1.0, 1.0 / (norm + 1e-9))
                 step = rate * (1 - 0.9 * epoch / max(1, epochs)) * np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
                 for k, g in grads.items():
-                    first[k] += np.float32(0.1) * (g * np.float32(scale) - first[k])
-                    second[k] += np.float32(0.001) * (np.square(g * np.float32(scale)) - second[k])
-                    self.p[k] -= np.float32(step) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
+                    g *= np.float32(scale)
+                    square = g * g
+                    for mean, x, share in ((first[k], g, 0.1), (second[k], square, 0.001)):
+                        x -= mean
+                        x *= np.float32(share)
+                        mean += x
+                    down = np.sqrt(second[k], out=square)
+                    down += np.float32(1e-8)
+                    np.divide(first[k], down, out=down)
+                    down *= np.float32(step)
+                    self.p[k] -= down
 
     @one_thread()
+    @memory_at_hand()
     def score(self, ids: np.ndarray, bounds: np.ndarray, steps: int = 16) -> np.ndarray:
         """Natural log-likelihood of each text ids[bounds[i]:bounds[i+1]], state carried from window to window."""
+        size = np.diff(bounds)
+        order = np.argsort(-size, kind="stable")
+        if len(order) > TEXTS:
+            out = np.empty(len(order))
+            for lo in range(0, len(order), TEXTS):
+                own = order[lo : lo + TEXTS]
+                ends = np.append(0, np.cumsum(size[own]))
+                out[own] = self.side_by_side(ids[np.repeat(bounds[own] - ends[:-1], size[own]) + np.arange(ends[-1])], ends, steps)
+            return out
+        return self.side_by_side(ids, bounds, steps)
+
+    def side_by_side(self, ids: np.ndarray, bounds: np.ndarray, steps: int) -> np.ndarray:
         size = np.diff(bounds)
         order = np.argsort(-size, kind="stable")
         begin, size = bounds[:-1][order], size[order]

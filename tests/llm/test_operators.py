@@ -372,6 +372,26 @@ def test_log_sum_exp():
     assert language_model.log_sum_exp(x) == pytest.approx(np.logaddexp.reduce(x, axis=1))
 
 
+def test_many_texts_are_scored_in_groups_of_a_length(monkeypatch):
+    network = language_model.Network(np.arange(12, 0, -1).astype(float), 5, 3)
+    bounds = np.append(0, np.cumsum(np.random.default_rng(2).integers(0, 60, 50)))
+    ids = np.random.default_rng(3).integers(0, 12, bounds[-1])
+    want = network.score(ids, bounds)
+    monkeypatch.setattr(language_model, "TEXTS", 7)
+    assert network.score(ids, bounds) == pytest.approx(want, rel=1e-5)
+
+
+def test_gradients_where_exponentials_need_a_shift():
+    network = language_model.Network(np.arange(2304, 0, -1).astype(float), 16, 3)
+    rng = np.random.default_rng(5)
+    inputs, target = rng.integers(0, 2304, (16, 256)), rng.integers(0, 2304, (16, 256))
+    run = lambda: network.window(inputs, target, np.zeros((16, 256), bool), np.ones((16, 256), bool), np.zeros((256, 16), np.float32))
+    usual = run()[0]
+    network.p["bc"] += np.float32(300)
+    for k, g in run()[0].items():
+        assert g == pytest.approx(usual[k], abs=2e-4), k
+
+
 def test_gradients():
     network = language_model.Network(np.arange(9, 0, -1).astype(float), 4, 5)
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
