@@ -3,8 +3,8 @@
 
 A word that keeps company with a final dot far more than dots are frequent is an abbreviation; short ones and such with dots inside are
 likelier, and each time it stands without a dot counts against it. A word that follows sentence ends far more often than it would by
-chance begins sentences. Both are counts by word, so learning is two aggregations over all texts, and the model is two lists of words, of
-at most `most` words each (those of the highest score), which go to all tasks.
+chance begins sentences. Both are counts by word, so learning is two aggregations over all texts, and the model is two tables of words, of
+all whose score is high enough; Spark sends them to all tasks while they are small, and otherwise joins them by word.
 
 A word's last mark ends a sentence if it is ! or ?; a run of dots does before a capital; a dot after an abbreviation or a single letter
 does only before a capitalised word that begins sentences, after a number only where no digit or small letter follows; any other dot
@@ -68,7 +68,7 @@ def power(k: Column, n: Column, p: Column) -> Column:
     return part(k, p) + part(n - k, 1 - p)
 
 
-def learn(texts: DataFrame, text: str, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def learn(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Of all texts: abbreviations (word, score) and words that begin sentences (word, score). Texts are read once for each."""
     counts = kept(word_counts(texts, text), "sentence_words")
     sums = counts.agg(F.sum("a").alias("dots"), (F.sum("a") + F.sum("b")).alias("all"))
@@ -78,9 +78,9 @@ def learn(texts: DataFrame, text: str, most: int = 10_000) -> tuple[DataFrame, D
     ratio = -2 * (power(F.col("a"), n, chance) - power(F.col("a"), n, F.lit(CERTAIN)))
     score = ratio * F.exp(-size.cast("double")) * (inner + 1) * F.pow(size.cast("double"), -F.col("b").cast("double"))
     short = counts.where(r"a > 0 and word rlike '\\p{L}'").join(F.broadcast(sums)).where("dots < all").select("word", score.alias("score")).where(F.col("score") >= ABBREVIATION)  # one row of sums
-    abbreviations = kept(short.orderBy(F.desc("score"), "word").limit(most), "abbreviations")
+    abbreviations = kept(short, "abbreviations")
     rows = marked(texts.withColumn("_one", F.lit(1)), "_one", text).where("word <> ''")
-    ended = rows.join(F.broadcast(abbreviations.select("word", F.lit(True).alias("short"))), "word", "left")
+    ended = rows.join(abbreviations.select("word", F.lit(True).alias("short")), "word", "left")
     end = is_loud(F.col("core")) | (F.col("dotted") & F.col("short").isNull() & ~F.col("word").rlike(r"^\p{L}$"))
     after = ended.where(end & F.col("next").isNotNull()).groupBy(F.col("next").alias("word")).agg(F.count("*").alias("s"))
     ends = after.agg(F.sum("s").alias("ends"))
@@ -88,14 +88,14 @@ def learn(texts: DataFrame, text: str, most: int = 10_000) -> tuple[DataFrame, D
     c, k, e, total = F.col("a") + F.col("b"), F.col("s"), F.col("ends"), F.col("all")
     apart = -2 * (power(k, e, c / total) + power(c - k, total - e, c / total) - power(k, e, k / e) - power(c - k, total - e, (c - k) / (total - e)))
     starters = both.where((total > e) & (c >= k) & (c - k <= total - e) & (total / e > c / k)).where(r"word rlike '^\\p{L}+$'").select("word", apart.alias("score")).where(F.col("score") >= STARTER)
-    return abbreviations, kept(starters.orderBy(F.desc("score"), "word").limit(most), "starters")
+    return abbreviations, kept(starters, "starters")
 
 
 def counted(rows: DataFrame, key: str, text: str, abbreviations: DataFrame, starters: DataFrame) -> DataFrame:
     """key and sentences, of every row; rows of one key count together."""
     t = marked(rows, key, text)
-    t = t.join(F.broadcast(abbreviations.select("word", F.lit(True).alias("short"))), "word", "left")  # at most `most` words each
-    t = t.join(F.broadcast(starters.select(F.col("word").alias("next"), F.lit(True).alias("starts"))), "next", "left")
+    t = t.join(abbreviations.select("word", F.lit(True).alias("short")), "word", "left")
+    t = t.join(starters.select(F.col("word").alias("next"), F.lit(True).alias("starts")), "next", "left")
     upper, lower, own = F.col("after").rlike(r"^\p{Lu}"), F.col("after").rlike(r"^\p{Ll}"), F.col("core")
     single = F.col("word").rlike(r"^\p{L}$")
     dot = F.when(F.col("short").isNotNull() | single, upper & F.col("starts").isNotNull()).when(F.col("word").rlike(r"^[0-9]+$"), ~lower & ~F.col("after").rlike("^[0-9]")).otherwise(True)

@@ -79,6 +79,24 @@ def test_sentences_by_what_is_learned(spark):
     assert none[0].count() == none[1].count() == 0 and N.counted(rows.limit(0), "id", "t", *none).count() == 0
 
 
+def test_all_learned_words_count(spark):
+    """More abbreviations, and more words that begin sentences, than the 10000 that were kept of each; joins by word give the same."""
+    letters = [chr(0x4E00 + k) for k in range(10_050)]
+    short = spark.createDataFrame([(k, f"{c}. no") for k, c in enumerate(letters)], "id long, t string")
+    found = N.learn(short, "t")
+    assert found[0].count() == len(letters)
+    names = ["".join(chr(97 + k // 26**i % 26) for i in range(3)) for k in range(10_050)]
+    rows = spark.createDataFrame([(k, f"so! {n} " * 6 + "x " * 108) for k, n in enumerate(names)], "id long, t string")
+    assert N.learn(rows, "t")[1].where("length(word) = 3").count() == len(names)
+    want = [r.sentences for r in N.counted(short, "id", "t", *found).collect()]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(r.sentences for r in N.counted(short, "id", "t", *found).collect()) == sorted(want) == [1] * len(letters)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_sentences_read_tokens_with_marks_only(spark):
     texts = ["one two three. Four (five!) six", "«no marks» here", None, "", "a.” \"b?\" c", "... ''"]
     rows = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(texts)], "id long, t string")
