@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.operators.batches import read
+
 #: Positions that share a cell meet by an equal key, so an overlap join needs no product of tokens and spans.
 CELL = 64
 
 
-#: What a fence holds, and what is literal.
-FENCED = r"```(?:[A-Za-z0-9_-]+)?\s*\n?([\s\S]*?)```"
-LITERAL = rf"({FENCED})|((?<!`)`[^`\n]+`(?!`))"
+#: What a fence holds, and what stands between single marks. Neither a language nor white space holds a mark, so neither is tried again shorter.
+LITERAL = re.compile(r"`(?:``[A-Za-z0-9_-]*+[ \t\n\x0b\f\r]*+([\s\S]*?)```|(?<!``)([^`\n]+)`(?!`))")
 
 
-def with_literals(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """rows with where code stands in a text, an array of (start, stop): within fences, and between single marks outside of them. A fence's language isn't code."""
-    found = rows.withColumn("_t", F.col(text)).withColumn("_m", F.regexp_extract_all("_t", F.lit(LITERAL), F.lit(0)))
-    # the matches follow each other, so each is looked for behind the one before
-    walk = F.aggregate("_m", F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")), step, lambda acc: acc["out"])
-    return found.withColumn(name, F.transform(walk, inner)).drop("_t", "_m")
+def literals(text: str | None) -> list[dict]:
+    """Where code stands in a text: within fences, and between single marks outside of them. A fence's language isn't code."""
+    return [dict(zip(("start", "stop"), m.span(m.lastindex), strict=True)) for m in LITERAL.finditer(text or "")]
 
 
-def inner(s: Column) -> Column:
-    fence, size = s["m"].startswith("```"), F.char_length(s["m"])
-    body = F.char_length(F.regexp_extract(s["m"], f"^{FENCED}$", 1))
-    start = F.when(fence, s["start"] + size - 3 - body).otherwise(s["start"] + 1)
-    return F.struct(start.alias("start"), F.when(fence, start + body).otherwise(s["start"] + size - 1).alias("stop"))
+def with_literals(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the literals of a text, an array of (start, stop)."""
+    return read(rows, text, name, "array<struct<start:int,stop:int>>", literals)
 
 
 def literal_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,12 +32,6 @@ def literal_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
     return with_literals(rows.select(key, text), text, "_s").select(key, F.explode("_s").alias("s")).select(key, "s.start", "s.stop")
 
 
-def step(acc: Column, m: Column) -> Column:
-    """What is known after one more match: where to look on, and all so far."""
-    at = F.call_function("locate", m, F.col("_t"), acc["at"])
-    return F.struct((at + F.char_length(m)).alias("at"), F.concat(acc["out"], F.array(F.struct((at - 1).alias("start"), m.alias("m")))).alias("out"))
-
-
 def overlapping(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """tokens (key, start, stop and what else tells them apart) with the largest role of the spans (key, start, stop, role) that they touch, else 0."""
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor((F.col(b) - 1) / CELL)))

@@ -11,6 +11,7 @@ from chatloom.operators import metrics as M
 from chatloom.operators import sampling as S
 from chatloom.operators import subwords as B
 from chatloom.operators import tables as T
+from chatloom.operators.calls import spans
 from chatloom.plans.calls import texts
 from chatloom.plans.pieces import DUCK_SAFE, ROLE_FORMS, SAFE, known_sql, known_text
 from chatloom.plans.corpora import DUCK_EXAMPLE, examples
@@ -46,10 +47,8 @@ def variant_expansion(spark, sf):
 @query(known_sql(ROLE_FORMS))
 def token_role_join(spark, sf, tokenizer: str = B.TOKENIZER):
     """Every piece of a vocabulary in texts of calls and code, with the largest role of the spans that it touches."""
-    from chatloom.operators import call_udfs as U
-
     rows = table(spark, sf, "documents").selectExpr("doc_id", f"{known_text(ROLE_FORMS)} as t")
-    return B.tokens(U.with_spans(rows, "t", "s"), "doc_id", "t", tokenizer, "s").select("doc_id", "n", F.col("start").cast("long").alias("start"), "role")
+    return B.tokens(rows, "doc_id", "t", tokenizer, spans).select("doc_id", "n", F.col("start").cast("long").alias("start"), "role")
 
 
 @query("""WITH d AS (SELECT doc_id, lang AS n1, 'v' || doc_id % 7 AS n2, length(lang) AS a, length('v' || doc_id % 7) AS b FROM documents), p AS (SELECT *, a + 7 AS p2, 2 * a + b + 14 AS p3, 3 * a + 2 * b + 21 AS p4 FROM d)

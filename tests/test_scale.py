@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from chatloom.functions import text as X
 from chatloom.operators import batches, generators, subwords
-from chatloom.operators.literals import literal_spans, overlapping
+from chatloom.operators.literals import literal_spans, literals, overlapping
 from chatloom.sources import headers
 
 
@@ -69,6 +69,20 @@ def test_words_of_a_text_are_made_once(spark, sf):
     assert plan(QUERIES["ifeval_capital_words"](spark, sf)).count("(gim|lem)") == 1
 
 
+def test_texts_are_read_in_one_step(spark, sf):
+    """Spans are found where tokens are; texts don't go to Python twice, nor their marks through Java's patterns."""
+    from chatloom.plans.all import QUERIES
+
+    for name in ("token_role_join", "literal_mask"):
+        steps = plan(QUERIES[name](spark, sf))
+        assert steps.count("MapInArrow") == 1 and "regexp_extract_all" not in steps
+
+
+def test_literals_stand_where_they_match():
+    t = "``x` é\n`x` ```py\n `a` ``` é `b\nc` ````z``` ``` open `y`"
+    assert [t[s["start"] : s["stop"]] for s in literals(t)] == ["x", "`a` ", "`z", "y"] and literals(t)[0]["start"] == 8 and literals(None) == []
+
+
 def test_prompts_are_not_shuffled(spark):
     rows = generators.suite(spark.range(5))
     found = generators.audited(rows)
