@@ -1,5 +1,7 @@
 """What a task holds at once, and results that don't depend on how rows are dealt."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -83,6 +85,29 @@ def test_literals_stand_where_they_match():
     assert [t[s["start"] : s["stop"]] for s in literals(t)] == ["x", "`a` ", "`z", "y"] and literals(t)[0]["start"] == 8 and literals(None) == []
 
 
+def test_tasks_list_documents(spark, tmp_path, monkeypatch):
+    """No reader lists the files on the driver; what Spark's readers pass over is passed over."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from chatloom.sources import stores
+
+    names = ["a.json", "x y/ü%20.json", "x y/b/c.json", "x y/b/d/e.json", "a.jsonl", "_no/f.json", ".no/g.json", "b/_h.json", "b/.i.json", "_k=1/j.json", "x.json/k.json", "empty/none.txt", "b/bad.json", "b/late.json"]
+    for k, name in enumerate(names):
+        at = tmp_path / "root 1" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text('{"id": ' if name == "b/bad.json" else f'{{"id": {k}{", " + chr(34) + "at" + chr(34) + ": " + chr(34) + "2001" + chr(34) if name == "b/late.json" else ""}}}')
+        os.utime(at, (1_000_000_000 - k, 1_000_000_000 - k))
+    monkeypatch.setattr(DataFrameReader, "text", None)
+    for root in (str(tmp_path / "root 1"), f"file://{tmp_path}/root 1"):
+        rows = stores.listed(spark, root, "id long, at string", "at").collect()
+        assert [r.id for r in rows] == [0, 1, 2, 3, 9, 10, 13]  # the last ones' times are of 2001, too
+        assert rows[1].mtime.timestamp() == 999_999_999
+    one = stores.listed(spark, str(tmp_path / "root 1" / "a.json"), "id long, at string", "at").collect()
+    assert [r.id for r in one] == [0] and stores.listed(spark, str(tmp_path / "root 1" / "empty"), "id long, at string", "at").count() == 0
+    monkeypatch.setattr(stores, "READ", 1)
+    assert stores.listed(spark, str(tmp_path / "root 1"), "id long, at string", "at").count() == 7
+
+
 def test_prompts_are_not_shuffled(spark):
     rows = generators.suite(spark.range(5))
     found = generators.audited(rows)
