@@ -36,10 +36,13 @@ from chatloom.llm.store import kept
 NUM, DEN = 75, 100
 #: Bounds of a task: n-grams of a block of the incidence matrix, and entries of the rows multiplied at once.
 BLOCK_GRAMS, BLOCK_ENTRIES = 3_000_000, 300_000
+#: Buckets of classes for each block of n-grams, as a bucket takes several times its entries to sort; counts of a product at once; pairs that are compared at once, each with all n-grams of both.
+BUCKETS, COUNTS, PAIRS = 6, 1 << 21, 128
 #: A task sends the matrix on after so many entries or texts.
 EMIT, EMIT_ROWS = 1_500_000, 30_000
 #: An n-gram is hot if it has more entries than this and more than a HOTth of all; TOP is its frequency in the order of n-grams.
 HOT_LEAST, HOT, TOP = 4096, 1 << 20, 65535
+AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Classes across blocks are paired by an n-gram that so many of them have at most in their prefixes; more are multiplied in blocks.
 RARE = 16
 
@@ -161,8 +164,9 @@ def begins(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def shared(block: int, table: pa.Table, blocks: int) -> pa.Table:
+def shared(block: int, table: pa.Table, blocks: int, buckets: int | None = None) -> pa.Table:
     """Of one block, the n-grams that two or more classes have and in how many, packed by buckets of classes; all of a block of hot ones, as the most frequent."""
+    buckets = buckets or blocks
     counts = table.column("n").to_numpy()
     ends = np.append(0, np.cumsum(counts))
     c, g = np.empty(ends[-1], dtype=np.int64), np.empty(ends[-1], dtype=U)
@@ -171,29 +175,39 @@ def shared(block: int, table: pa.Table, blocks: int) -> pa.Table:
         g[lo : lo + n] = unsqueezed(grams, n)
         c[lo : lo + n] = np.frombuffer(classes, dtype=np.int64)[np.frombuffer(at, dtype=f"u{at.size // n}")]
     hot = block >= blocks
-    if not hot:  # first without what is there once
+    if not hot:  # first without what is there once; one array at a time, as each has an entry's length
         order = np.argsort(g)
         g = g[order]
         twice = np.zeros(len(g), dtype=bool)
         twice[1:] = g[1:] == g[:-1]
         twice[:-1] |= twice[1:]
-        c, g = c[order[twice]], g[twice]
+        order = order[twice]
+        g = g[twice]
+        c = c[order]
+        del order, twice
     by = np.lexsort((c, g))
-    c, g = c[by], g[by]
-    first = begins(g, c)
-    c, g = c[first], g[first]
+    c = c[by]
+    g = g[by]
+    by = begins(g, c)
+    c = c[by]
+    g = g[by]
     begin = begins(g)
     count = np.diff(np.append(begin, len(g)))
-    df = np.repeat(np.full(len(count), TOP) if hot else np.where(count > 1, np.minimum(count, TOP - 1), 0), count)
-    c, g, df = c[df > 0], g[df > 0], df[df > 0].astype(np.uint16)
-    by = np.lexsort((c, c % blocks))
-    c, g, df = c[by], g[by], df[by]
+    df = np.repeat((np.full(len(count), TOP) if hot else np.where(count > 1, np.minimum(count, TOP - 1), 0)).astype(np.uint16), count)
+    c = c[df > 0]
+    g = g[df > 0]
+    df = df[df > 0]
+    by = np.lexsort((c, (c % buckets).astype(np.int32)))
+    c = c[by]
+    g = g[by]
+    df = df[by]
+    del by
     begin = begins(c)
     count = np.diff(np.append(begin, len(c))).astype(np.int32)
-    first = begins(c % blocks)
+    first = begins((c % buckets).astype(np.int32))
     entries = np.append(first, len(c))
     classes = np.searchsorted(begin, entries)
-    return pa.table({"bucket": (c % blocks)[first], "classes": binaries(c[begin], classes), "counts": binaries(count, classes), "grams": binaries(g, entries), "dfs": binaries(df, entries)})
+    return pa.table({"bucket": c[first] % buckets, "classes": binaries(c[begin], classes), "counts": binaries(count, classes), "grams": binaries(g, entries), "dfs": binaries(df, entries)})
 
 
 SURVIVORS = pa.schema([("cls", pa.int64()), ("size", pa.int64()), ("entries", pa.int64()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -257,7 +271,7 @@ def product_roots(size: np.ndarray, grams: list[np.ndarray], num: int, den: int,
     if wide:
         whole = np.zeros((n, len(df)), dtype=np.float32)
         whole[row, col] = 1
-    step = max(1, min(256, (1 << 24) // n))
+    step = max(1, min(256, COUNTS // n))
     rows = n if rows is None else rows
     for lo in range(0, rows, step):
         hi = min(rows, lo + step)
@@ -267,8 +281,10 @@ def product_roots(size: np.ndarray, grams: list[np.ndarray], num: int, den: int,
             counts = np.zeros((hi - lo) * n, dtype=np.int64)
             mine, cols = row[bounds[lo] : bounds[hi]] - lo, col[bounds[lo] : bounds[hi]]
             ends = np.cumsum(df[cols])
-            for at in range(0, len(cols), 1 << 16):  # column by column, some at a time
-                part = slice(at, at + (1 << 16))
+            at = 0
+            while at < len(cols):  # column by column, as many at a time as have so many entries
+                part = slice(at, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTS, "right"))))
+                at = part.stop
                 many = df[cols[part]]
                 base = ends[part] - many
                 spot = np.arange(base[0], ends[part][-1]) - np.repeat(base, many) + np.repeat(start[cols[part]], many)
@@ -333,7 +349,14 @@ def rare_links(alive: DataFrame, post: DataFrame, num: int, den: int) -> DataFra
             yes = np.flatnonzero(linked(inter, np.array(na, dtype=np.int64), np.array(nb, dtype=np.int64), num, den))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(yes)), batch.column("b").take(pa.array(yes))], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_grams", "b_grams").mapInArrow(lean(run), "a long, b long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_grams", "b_grams")
+    spark = alive.sparkSession
+    before = spark.conf.get(AT_ONCE)
+    spark.conf.set(AT_ONCE, PAIRS)
+    try:
+        return kept(both.mapInArrow(lean(run), "a long, b long"), "rare")
+    finally:
+        spark.conf.set(AT_ONCE, before)
 
 
 def frequent_links(alive: DataFrame, post: DataFrame, labels: DataFrame, num: int, den: int, block_entries: int) -> DataFrame:
@@ -376,8 +399,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
     own = found.where("cls is not null").select("id", "cls", "size")
     total = own.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     blocks = max(1, min(1 << 20, -(-total // block_grams)))
-    parts = incidence(docs, n, blocks, hot_grams(found, total)).groupBy("block").applyInArrow(lean(lambda key, t: shared(key[0].as_py(), t, blocks)), "bucket long, classes binary, counts binary, grams binary, dfs binary")
-    sizes = own.where("size > 0").groupBy("cls").agg(F.max("size").alias("size")).withColumn("bucket", F.pmod("cls", F.lit(blocks)))
+    buckets = BUCKETS * blocks
+    parts = incidence(docs, n, blocks, hot_grams(found, total)).groupBy("block").applyInArrow(lean(lambda key, t: shared(key[0].as_py(), t, blocks, buckets)), "bucket long, classes binary, counts binary, grams binary, dfs binary")
+    sizes = own.where("size > 0").groupBy("cls").agg(F.max("size").alias("size")).withColumn("bucket", F.pmod("cls", F.lit(buckets)))
     alive = parts.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(lean(lambda t, u: survivors(t, u, num, den)), "cls long, size long, entries long, grams binary, prefix array<long>")
     alive = kept(alive, "survivors")
     post = alive.select("cls", F.explode("prefix").alias("gram"))
@@ -392,8 +416,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = NUM, den: int = D
     if weights.where("parts > 1").head(1):
         several = alive.where("parts > 1")
         heads = several.join(found.where("cls = root").select("cls"), "cls")
+        heads = heads.join(heads.groupBy("grp").agg(F.ceil(F.sum("entries") / block_entries).alias("own")), "grp")  # where little was linked, most are heads
         merged = kept(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(
-            block_links(heads.select("cls", "grp", F.pmod(F.xxhash64(F.lit(1), "cls"), F.ceil(F.col("parts") / 16)).alias("part"), "size", "grams"), num, den, tasks).select(F.col("cls").alias("a"), F.col("root").alias("b"))), "merged")
+            block_links(heads.select("cls", "grp", F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("own")).alias("part"), "size", "grams"), num, den, tasks).select(F.col("cls").alias("a"), F.col("root").alias("b"))), "merged")
         so_far = components(merged)
         labels = several.select("cls").join(so_far, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"))
         merged = merged.unionByName(cross_links(several, kept(labels, "labels"), num, den, block_entries))

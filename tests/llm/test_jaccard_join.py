@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pytest
+from pyspark.sql import functions as F
 
 from chatloom.llm import jaccard_join as J
 from chatloom.llm.components import components
@@ -158,3 +159,42 @@ def test_texts_are_cut_in_the_same_pieces_whatever_their_width():
     got = list(language_id.pieces(pa.array(texts)))
     assert [t for _, _, part in got for t in part] == [x or "" for x in texts]
     assert [lo for lo, _, _ in got] == [0, 4, 5, 6, 6 + language_id.ROWS]
+
+
+def test_parts_of_representatives_are_bounded(spark, monkeypatch):
+    """Classes of one group that share n-grams but no links are all representatives; no product takes more of their entries than a block, but for chance."""
+    half = lambda kind, k: " ".join(f"{kind}{k}x{n}" for n in range(12))
+    texts = [f"{half('a', i)} {half('b', j)}" for i in range(24) for j in range(24)]
+    seen, real = [], J.block_links
+
+    def noted(rows, *args):
+        if "mine" not in rows.columns:
+            seen.append(rows.groupBy("grp", "part").agg(F.sum(F.octet_length("grams") / 8).alias("n")).agg(F.max("n")).head()[0])
+        return real(rows, *args)
+
+    monkeypatch.setattr(J, "block_links", noted)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    found = J.jaccard_components(docs, block_entries=300, num=60)
+    assert found.where("id = component_id").count() == len(texts) and len(seen) == 2 and max(seen) <= 3 * 300
+
+
+def test_buckets_take_a_part_of_a_block(spark):
+    """A bucket of classes is several times smaller than a block, and pairs are compared few at a time, whatever the session says."""
+    docs = spark.createDataFrame([(k, f"a{k // 2} b{k // 2} c d e f g h i j k l m n{k}") for k in range(200)], "id long, text string")
+    before = spark.conf.get(J.AT_ONCE)
+    assert J.BUCKETS > 1 and J.jaccard_components(docs, block_entries=50).count() == 200 and spark.conf.get(J.AT_ONCE) == before
+    rows = pa.table({"n": [4], "classes": [np.arange(1, 13, dtype=np.int64).tobytes()], "at": [np.array([0, 1, 2, 3], dtype=np.uint16).tobytes()], "grams": [np.array([5, 5, 5, 5], dtype=np.uint64).tobytes()]})
+    assert J.shared(0, rows, 1, 6).column("bucket").to_pylist() == [1, 2, 3, 4]
+
+
+def test_products_take_bounded_memory():
+    """Many rows with frequent n-grams: what is counted at once is bounded by entries, not by columns."""
+    draw = np.random.default_rng(2)
+    grams = [np.sort(draw.choice(3000, 300, replace=False)).astype(np.uint64) for _ in range(1000)]
+    grams += [np.unique(np.append(g[:-1], np.uint64(3000 + k))) for k, g in enumerate(grams)]
+    size = np.array([len(g) for g in grams])
+    tracemalloc.start()
+    root = J.product_roots(size, grams, 75, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert root.tolist() == [*range(1000), *range(1000)] and peak < 2.5e8
